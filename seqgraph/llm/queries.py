@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from .common import table
+from . import language, packing, quality, toxicity
+from .common import in_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,7 +18,30 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = in_fold(F.col("doc_id"), 5, 0)
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("doc_id").isNotNull() & ~held, held)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = in_fold(F.col("doc_id"), 4, 2)
+    return language.identify(table(spark, sf_dir, "documents"), F.col("doc_id").isNotNull() & ~held, held)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = in_fold(F.col("doc_id"), 3, 1)
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("doc_id").isNotNull() & ~held, held)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op6_quality_classifier": op6_quality_classifier,
+    "op7_language_id": op7_language_id,
+    "op10_toxicity": op10_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
 }
 
