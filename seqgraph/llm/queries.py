@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import language, packing, quality, toxicity
+from . import jaccard, language, licenses, packing, pieces, quality, rules, toxicity, wordpiece
 from .common import in_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +37,32 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.col("doc_id").isNotNull() & ~held, held)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("matches")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents")).drop("removed_lines")
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard(table(spark, sf_dir, "documents")).drop("sig")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op2_license_scan": op2_license_scan,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality_rules": op5_quality_rules,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_token_counts": op9_token_counts,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_language_id": op7_language_id,
@@ -46,6 +71,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": licenses.oracle(),
     "op3_exact_dedup": """
         SELECT doc_id,
                first_value(doc_id) OVER w AS keep_id,
@@ -54,4 +80,5 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents
         WINDOW w AS (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST)""",
+    "op5_quality_rules": rules.oracle(),
 }
