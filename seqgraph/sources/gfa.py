@@ -25,7 +25,7 @@ def segment_lines(rows: DataFrame) -> DataFrame:
     """name, seq, len, stable name, start and rank, tags; of a name that comes twice the last line counts."""
     f = F.col("f")
     found = _records(rows, "S").where(F.size("f") >= 3)
-    found = found.select("line_no", f[1].alias("name"), F.nullif(f[2], F.lit("*")).alias("seq"), tags(F.slice(f, 4, F.greatest(F.size(f) - 3, F.lit(0)))).alias("tags"))
+    found = found.select("line_no", F.get(f, F.lit(1)).alias("name"), F.nullif(F.get(f, F.lit(2)), F.lit("*")).alias("seq"), tags(F.slice(f, 4, F.greatest(F.size(f) - 3, F.lit(0)))).alias("tags"))
     last = found.groupBy("name").agg(F.max(F.struct("line_no", "seq", F.map_entries("tags").alias("t"))).alias("x"))
     row = last.select("name", F.col("x.line_no").alias("line_no"), F.col("x.seq").alias("seq"), F.map_from_entries("x.t").alias("tags"))
     return row.select(
@@ -39,11 +39,11 @@ def segment_lines(rows: DataFrame) -> DataFrame:
 def link_lines(rows: DataFrame) -> DataFrame:
     """v_name, v_ori, w_name, w_ori, ov, ow, rank, l1, l2, tags; lines with another strand than + or - go."""
     f = F.col("f")
-    found = _records(rows, "L").where((F.size("f") >= 5) & f[2].isin("+", "-") & f[4].isin("+", "-"))
+    found = _records(rows, "L").where((F.size("f") >= 5) & F.get(f, F.lit(2)).isin("+", "-") & F.get(f, F.lit(4)).isin("+", "-"))
     strand = lambda c: F.when(c == "-", 1).otherwise(0)
     over = overlap(F.get(f, F.lit(5)))
     row = found.select(
-        "line_no", f[1].alias("v_name"), strand(f[2]).alias("v_ori"), f[3].alias("w_name"), strand(f[4]).alias("w_ori"),
+        "line_no", F.get(f, F.lit(1)).alias("v_name"), strand(F.get(f, F.lit(2))).alias("v_ori"), F.get(f, F.lit(3)).alias("w_name"), strand(F.get(f, F.lit(4))).alias("w_ori"),
         over.alias("o"), tags(F.slice(f, 7, F.greatest(F.size(f) - 6, F.lit(0)))).alias("tags"),
     )
     return row.select("line_no", "v_name", "v_ori", "w_name", "w_ori", "o.ov", "o.ow", tag_int("tags", "SR").alias("rank"), tag_int("tags", "L1").alias("l1"), tag_int("tags", "L2").alias("l2"), "tags")

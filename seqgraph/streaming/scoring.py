@@ -17,7 +17,7 @@ def scored(reads: DataFrame, graph: Flat) -> DataFrame:
 
 def scores_by_window(scores: DataFrame, time: str, length: str, late: str) -> DataFrame:
     """Counts and sums of scores by event-time window; rows later than late are dropped by the watermark."""
-    return scores.withWatermark(time, late).groupBy(F.window(time, length)).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.max("score").alias("worst"))
+    return scores.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, length)).agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.max("score").alias("worst"))
 
 
 def write(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
