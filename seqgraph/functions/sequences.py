@@ -92,6 +92,16 @@ def tags_text(tag_map: Column | str) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat_ws(":", e["key"], e["value"]["type"], e["value"]["value"])), "\t")
 
 
+def with_tag(tag_map: Column | str, name: str, kind: str, value: Column) -> Column:
+    """The tags with one set."""
+    own = F.map_filter(_(tag_map), lambda k, v: k != name)
+    return F.map_concat(own, F.create_map(F.lit(name), F.struct(F.lit(kind).alias("type"), value.cast("string").alias("value"))))
+
+
+def without_tag(tag_map: Column | str, name: str) -> Column:
+    return F.map_filter(_(tag_map), lambda k, v: k != name)
+
+
 def tag_int(tag_map: Column | str, name: str) -> Column:
     """An integer tag's value, else null."""
     found = F.try_element_at(_(tag_map), F.lit(name))

@@ -31,8 +31,8 @@ STEP = 64
 class Flat:
     """The graph as arrays: texts end to end, arcs by vertex."""
 
-    def __init__(self, texts: list[bytes], arcs: list[tuple[int, int, int]], start: int):
-        """arcs: from, to, overlap in the target."""
+    def __init__(self, texts: list[bytes], arcs: list[tuple[int, int, int]], start: int, end: int | None = None):
+        """arcs: from, to, overlap in the target. end: the vertex at whose end a walk must end, if any."""
         self.length = np.array([len(t) for t in texts], np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.length)])[:-1]
         self.text = np.frombuffer(b"".join(texts) + bytes(STEP + 1), np.uint8)
@@ -40,7 +40,7 @@ class Flat:
         if len(table) and (table[:, 2] >= self.length[table[:, 1]]).any():
             raise ValueError("an overlap covers its whole target vertex")
         self.first = np.searchsorted(table[:, 0], np.arange(len(texts) + 1))
-        self.to, self.over, self.start = table[:, 1], table[:, 2], start
+        self.to, self.over, self.start, self.end = table[:, 1], table[:, 2], start, end
 
 
 def _last_of(key: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,7 +64,7 @@ def scores(graph: Flat, queries: list[bytes]) -> np.ndarray:
     length = np.array([len(q) for q in queries], np.int64)
     place = np.concatenate([[0], np.cumsum(length)])[:-1]
     text = np.frombuffer(b"".join(queries) + bytes(STEP + 1), np.uint8)
-    score = np.where(length == 0, 0, -1)
+    score = np.where((length == 0) & (graph.end is None), 0, -1)
     span = int(length.max(initial=0)) + int(graph.length.max(initial=0)) + 2  # diagonals of a vertex
     shift = int(graph.length.max(initial=0)) + 1
     wide = np.arange(1, STEP + 1)
@@ -89,7 +89,11 @@ def scores(graph: Flat, queries: list[bytes]) -> np.ndarray:
             active = active[(run == STEP) & (moved[active] < room[active])]
         return k + moved
 
-    live = np.flatnonzero(length > 0)
+    def finished(r, v, d, k):
+        done = d + k == length[r] - 1
+        return done if graph.end is None else done & (v == graph.end) & (k == graph.length[v] - 1)
+
+    live = np.flatnonzero(score < 0)
     key, k = pack(live, graph.start, 0), np.full(len(live), -1)
     ended = np.zeros(0, np.int64)  # keys of diagonals that have reached their vertex's end
     level = 0
@@ -100,7 +104,8 @@ def scores(graph: Flat, queries: list[bytes]) -> np.ndarray:
             k = extend(r, v, d, k)
             every_key.append(key)
             every_k.append(k)
-            score[r[d + k == length[r] - 1]] = level
+            done = r[finished(r, v, d, k)]
+            score[done[score[done] < 0]] = level
             at_end = (k == graph.length[v] - 1) & (score[r] < 0)
             at_end &= ~_among(ended, key)
             ended = np.insert(ended, np.searchsorted(ended, key[at_end]), key[at_end])
@@ -140,7 +145,7 @@ def find_start(graph: SequenceGraph, name: str | None = None, strand: int = 0) -
     return first * 2 + strand
 
 
-def flat(vertices: DataFrame, arcs: DataFrame, start: int) -> Flat | None:
+def flat(vertices: DataFrame, arcs: DataFrame, start: int, end: int | None = None) -> Flat | None:
     """The graph as arrays, or None if it is too large to send about."""
     size = vertices.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0)), F.count(F.lit(1)), F.count("seq")).first()
     if size[1] != size[2]:
@@ -149,7 +154,7 @@ def flat(vertices: DataFrame, arcs: DataFrame, start: int) -> Flat | None:
         return None
     rows = vertices.orderBy("v").collect()
     number = {r.v: i for i, r in enumerate(rows)}
-    return Flat([r.seq.encode() for r in rows], [(number[r.v], number[r.w], r.ow) for r in arcs.distinct().collect()], number[start])
+    return Flat([r.seq.encode() for r in rows], [(number[r.v], number[r.w], r.ow) for r in arcs.distinct().collect()], number[start], None if end is None else number.get(end, -1))
 
 
 def score_reads(reads: DataFrame, graph: Flat) -> DataFrame:
@@ -166,11 +171,16 @@ def score_reads(reads: DataFrame, graph: Flat) -> DataFrame:
     return reads.select(F.col("read_idx").cast("long").alias("read_idx"), "seq").mapInArrow(run, "read_idx long, score int")
 
 
-def graph_edit_distance(reads: DataFrame, graph: SequenceGraph, start: str | None = None, strand: int = 0) -> DataFrame:
-    """read_idx, score of reads (read_idx, seq) against what is reachable from the start segment."""
+def graph_edit_distance(reads: DataFrame, graph: SequenceGraph, start: str | None = None, strand: int = 0, end: str | None = None) -> DataFrame:
+    """read_idx, score of reads (read_idx, seq) against what is reachable from the start segment.
+
+    With end, walks must end at the end of that segment, forward; -1 where none does.
+    """
     first = find_start(graph, start, strand)
     vertices, arcs = oriented(graph, first)
-    own = flat(vertices, arcs, first)
+    own = flat(vertices, arcs, first, None if end is None else find_start(graph, end))
+    if own is None and end is not None:
+        raise ValueError("a graph of this size can only be scored with a free end")
     return wavefront.align(reads, vertices, arcs, first) if own is None else score_reads(reads, own)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numbering import numbered, running
-from ..functions.sequences import complement, segment_of, vertex
+from ..functions.sequences import complement, reverse_complement, segment_of, vertex
 from ..sources import gfa
 
 
@@ -142,6 +142,14 @@ def degree_profile(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("v").agg(F.count(F.lit(1)).alias("degree")).groupBy("degree").agg(F.count(F.lit(1)).alias("vertices"))
 
 
+def spell(steps: DataFrame, segments: DataFrame) -> DataFrame:
+    """path, seq of path steps (path, step, name, strand), for paths without overlaps."""
+    met = steps.join(segments.select("name", "seq"), "name")
+    seq = F.when(F.col("strand") == 1, reverse_complement("seq")).otherwise(F.col("seq"))
+    parts = F.array_sort(F.collect_list(F.struct("step", seq.alias("seq"))))
+    return met.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("seq"))
+
+
 def read_batches(reads: DataFrame, limit: int) -> DataFrame:
     """read_idx, batch: reads in order, packed into batches of about limit characters."""
     sized = reads.select("read_idx", F.length("seq").cast("long").alias("n"))

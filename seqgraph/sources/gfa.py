@@ -66,10 +66,14 @@ def dictionary(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
 def fasta_segments(rows: DataFrame, name: str = "file") -> DataFrame:
     """FASTA lines (file, line_no, value) to segments: name s1, s2..., sn (the header's first word), seq, len.
 
-    A record belongs to one file, so files are the unit of parallelism.
+    A tab at the second place ends a record: what follows are graph lines, up to the next header. A record belongs to
+    one file, so files are the unit of parallelism.
     """
     own = W.partitionBy(name).orderBy("line_no")
-    marked = rows.withColumn("record", F.sum(F.col("value").startswith(">").cast("int")).over(own)).where("record > 0")
+    tabbed = (F.length("value") >= 3) & (F.substring("value", 2, 1) == "\t")
+    mode = F.last(F.when(F.col("value").startswith(">"), True).when(tabbed, False), ignorenulls=True).over(own)
+    marked = rows.withColumn("in_fasta", mode).where("in_fasta").drop("in_fasta")
+    marked = marked.withColumn("record", F.sum(F.col("value").startswith(">").cast("int")).over(own)).where("record > 0")
     part = F.when(~F.col("value").startswith(">"), F.struct("line_no", "value"))
     head = F.max(F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S*)", 1))).alias("sn")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["value"]), "").alias("seq")
@@ -78,6 +82,17 @@ def fasta_segments(rows: DataFrame, name: str = "file") -> DataFrame:
     return found.select(F.concat(F.lit("s"), F.col("n") + 1).alias("name"), "sn", F.lit(0).alias("so"), F.lit(0).alias("sr"), "seq", F.length("seq").alias("len"), name, "record")
 
 
+def path_steps(rows: DataFrame) -> DataFrame:
+    """path, step, name, strand of P and W lines: an extension, paths play no part in scoring."""
+    f = F.col("f")
+    at = lambda i: F.get(f, F.lit(i))
+    p = _records(rows, "P").select(at(1).alias("path"), F.filter(F.split(at(2), ","), lambda x: x != "").alias("steps"))
+    p = p.select("path", F.transform("steps", lambda x: F.struct(F.regexp_replace(x, "[+-]$", "").alias("name"), F.when(x.endswith("-"), 1).otherwise(0).alias("strand"))).alias("steps"))
+    w = _records(rows, "W").select(F.concat_ws("#", at(1), at(2), at(3)).alias("path"), F.regexp_extract_all(at(6), F.lit("([<>][^<>]+)"), F.lit(1)).alias("steps"))
+    w = w.select("path", F.transform("steps", lambda x: F.struct(F.substr(x, F.lit(2)).alias("name"), F.when(x.startswith("<"), 1).otherwise(0).alias("strand"))).alias("steps"))
+    return p.unionByName(w).select("path", F.posexplode("steps").alias("step", "s")).select("path", "step", "s.name", "s.strand")
+
+
 def fastx_reads(rows: DataFrame, name: str = "file") -> DataFrame:
     """Whole FASTA or FASTQ records (file, text) to read name, comment, seq, qual, valid.
 

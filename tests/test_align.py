@@ -15,20 +15,22 @@ BUBBLE = ([b"ACGT", b"GG", b"T", b"CCA"], [(0, 1, 0), (0, 2, 0), (1, 3, 0), (2,
 GOLDEN = {"ACGT": 0, "ACGTTCCA": 0, "ACGTGGCCA": 0, "ACGTGCCA": 1, "ACGTCCA": 1, "CGT": 1, "TTTT": 3, "ACGTTCCAGG": 2, "": 0, "A": 0, "acgt": 4}
 
 
-def shortest(texts, arcs, start, q):
+def shortest(texts, arcs, start, q, end=None):
     done, todo, out = set(), [(0, start, -1, 0)], {}
     for a, b, o in arcs:
         out.setdefault(a, []).append((b, o))
     while todo:
         c, v, k, i = heapq.heappop(todo)
-        if i == len(q):
+        if i == len(q) and (end is None or v == end and k == len(texts[v]) - 1):
             return c
         if (v, k, i) in done:
             continue
         done.add((v, k, i))
-        heapq.heappush(todo, (c + 1, v, k, i + 1))
+        if i < len(q):
+            heapq.heappush(todo, (c + 1, v, k, i + 1))
         if k + 1 < len(texts[v]):
-            heapq.heappush(todo, (c + (texts[v][k + 1] != q[i]), v, k + 1, i + 1))
+            if i < len(q):
+                heapq.heappush(todo, (c + (texts[v][k + 1] != q[i]), v, k + 1, i + 1))
             heapq.heappush(todo, (c + 1, v, k + 1, i))
         else:
             for w, o in out.get(v, []):
@@ -55,6 +57,15 @@ def test_kernel_is_the_shortest_path():
         assert A.scores(A.Flat(texts, arcs, 0), queries).tolist() == [shortest(texts, arcs, 0, q) for q in queries]
 
 
+def test_kernel_with_a_fixed_end():
+    rng = random.Random(6)
+    for _ in range(150):
+        texts, arcs, queries = random_case(rng)
+        end = rng.randrange(len(texts))
+        expected = [shortest(texts, arcs, 0, q, end) for q in queries]
+        assert A.scores(A.Flat(texts, arcs, 0, end), queries).tolist() == [-1 if x is None else x for x in expected]
+
+
 def test_kernel_on_mutated_walks():
     rng = random.Random(8)
     base = "".join(rng.choice("ACGT") for _ in range(3000))

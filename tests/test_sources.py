@@ -102,6 +102,23 @@ def test_fasta_graph(spark):
     assert sorted((r.name, r.sn, r.seq) for r in gfa.fasta_segments(rows).collect()) == [("s1", "one", "ACGT"), ("s2", "two", ""), ("s3", "three", "A")]
 
 
+def test_fasta_and_graph_lines_in_one_file(spark):
+    rows = spark.createDataFrame([("f", i, t) for i, t in enumerate([">one", "AC", "S\tx\tGG", "ignored", ">two", "T"])], "file string, line_no long, value string")
+    assert sorted((r.sn, r.seq) for r in gfa.fasta_segments(rows).collect()) == [("one", "AC"), ("two", "T")]
+
+
+def test_paths(spark):
+    rows = lines(spark, "S\ta\tAC", "S\tb\tGT", "P\tp\ta+,b-,a+\t*", "W\ts\t1\tchr\t0\t4\t>a<b")
+    steps = gfa.path_steps(rows)
+    assert {r.path: r.seq for r in G.spell(steps, gfa.segment_lines(rows)).collect()} == {"p": "ACACAC", "s#1#chr": "ACAC"}
+
+
+def test_setting_tags(spark):
+    df = spark.createDataFrame([(["AA:i:1", "BB:Z:x"],)], "f array<string>").select(S.tags(F.col("f")).alias("t"))
+    row = df.select(S.tags_text(S.with_tag("t", "AA", "f", F.lit(2.5))), S.tags_text(S.without_tag("t", "BB"))).first()
+    assert tuple(row) == ("AA:f:2.5\tBB:Z:x", "AA:i:1")
+
+
 def test_reads(spark, tmp_path):
     (tmp_path / "a.fa").write_text(">r1 some words\nAC\nGT\n>r2\n\n")
     (tmp_path / "b.fq").write_text("@q1\nACG\n+\nIII\n@q2 x\nAC\nGT\n+q2\nII\n")
