@@ -1,4 +1,4 @@
-"""Row numbers and running sums over whole tables, without one task that sees all rows."""
+"""Row numbers, running sums and running maxima, without one task that sees all rows or all of a key."""
 
 from __future__ import annotations
 
@@ -9,23 +9,34 @@ from pyspark.sql import Window as W
 from ..sources.storage import materialise
 
 
-def _parts(df: DataFrame, order: list) -> DataFrame:
-    """df dealt by ranges of order, with its range's number; written, since both passes must see the same ranges."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialise(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "ranges")
-
-
-def running(df: DataFrame, order: list, value: Column, name: str) -> DataFrame:
-    """df with name: the sum of value over the rows before in order (exclusive). order must be unique to be repeatable."""
-    ranged = _parts(df.withColumn("__value", value.cast("long")), order)
-    sums = ranged.groupBy("__range").agg(F.sum("__value").alias("__sum"))
-    # As many rows as there are ranges.
-    before = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__sum")
-    inside = W.partitionBy("__range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    local = ranged.withColumn("__local", F.coalesce(F.sum("__value").over(inside), F.lit(0)))
-    return local.join(before, "__range").withColumn(name, F.col("__before") + F.col("__local")).drop("__range", "__value", "__before", "__local")
+def scan(df: DataFrame, keys: list[str], order: list[str], how: str, value: Column, name: str) -> DataFrame:
+    """df with name: the sum or max of value over the rows of the same keys before it in order (null if none).
 
-
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    Rows are dealt by ranges of keys and order, so a key with many rows spreads over many ranges. Inside a range a
+    window does the work; from range to range only one row for each key and range is carried. Ties in order are
+    broken alike in one run only; order should be unique within keys.
+    """
+    agg = {"sum": F.sum, "max": F.max}[how]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.withColumn("__value", value).repartitionByRange(n, *keys, *order).withColumn("__range", F.spark_partition_id())
+    ranged = materialise(ranged, "ranges")  # both passes must see the same ranges
+    inside = W.partitionBy("__range", *keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    ranges = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    carried = ranged.groupBy("__range", *keys).agg(agg("__value").alias("__own"))
+    carried = carried.withColumn("__before", agg("__own").over(ranges)).select(F.col("__range").alias("__r"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__before")
+    same = F.col("__range") == F.col("__r")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    met = ranged.withColumn("__local", agg("__value").over(inside)).join(carried, same)
+    both = F.greatest("__before", "__local") if how == "max" else F.when(F.col("__before").isNull(), F.col("__local")).otherwise(F.col("__before") + F.coalesce("__local", F.lit(0)))
+    return met.withColumn(name, both).select(*df.columns, name)
+
+
+def running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """df with name: the sum of value over all rows before in order, 0 for the first."""
+    return scan(df, [], order, "sum", value.cast("long"), name).withColumn(name, F.coalesce(name, F.lit(0).cast("long")))
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with name: 0, 1, 2... in order."""
     return running(df, order, F.lit(1), name)

@@ -10,8 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..functions.numbering import scan
 from ..sources.storage import materialise
 
 
@@ -22,8 +22,8 @@ def furthest(states: DataFrame, keys: list[str]) -> DataFrame:
 
 def runs(states: DataFrame, keys: list[str]) -> DataFrame:
     """Runs of consecutive diagonals: first, last, n."""
-    own = W.partitionBy(*keys).orderBy("d")
-    marked = states.withColumn("__run", F.col("d") - F.row_number().over(own))
+    numbered = scan(states, keys, ["d"], "sum", F.lit(1).cast("long"), "__n")
+    marked = numbered.withColumn("__run", F.col("d") - F.coalesce("__n", F.lit(0)))
     return marked.groupBy(*keys, "__run").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count(F.lit(1)).alias("n")).drop("__run")
 
 
