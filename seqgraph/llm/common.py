@@ -32,6 +32,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes that a Python worker is given at once, at most: texts and sets can be long.
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small; smaller limits that the session has already stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not 0 < _bytes(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def _bytes(text: str) -> int:
+    """A number, maybe with a unit of bytes; -1 for none."""
+    digits = text.lower().rstrip("bkmgt")
+    unit = text.lower()[len(digits) :].rstrip("b")
+    return int(digits) * 1024 ** ("kmgt".index(unit) + 1 if unit else 0)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds

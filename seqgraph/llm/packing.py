@@ -20,6 +20,7 @@ any other; repeated rows are packed each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,25 +31,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise
+from .common import bounded_batches, materialise
 
 SEQUENCE = 4096
 END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids binary, task int, rank long"
 
 
+_PARTS = re.compile(rb"([a-z\x80-\xff]+)([!-/:-@\[-`{-~]*)")
+
+
+def _letters_and_tail(word: bytes) -> tuple[bytes, bytes] | None:
+    """A word's letters and the punctuation behind them, which the tokenizer separates; None for any other word.
+
+    Letters are those of Latin up to U+024F that stay single letters in lower case.
+    """
+    m = _PARTS.fullmatch(word)
+    if m is None:
+        return None
+    core = m[1]
+    if not core.isascii():
+        text = core.decode()
+        if max(text) >= "\u0250" or not text.isalpha() or "\u0130" in text:
+            return None
+    return core, m[2]
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian uint32, encoding each distinct word once.
 
     The tokenizer never merges across white space, so a text's ids are those of
-    its words in turn. Words of letters only are encoded many at a time: a
-    token that ends a word says so in its form. Case is folded first where
-    the tokenizer does so anyway; texts that spell a special token are given to
-    it whole.
+    its words in turn. Letters and the punctuation behind them are separate
+    words to it, so those are learned apart; words of letters are encoded many
+    at a time, since a token that ends a word says so in its form. Case is
+    folded first where the tokenizer does so anyway; texts that spell a special
+    token are given to it whole.
     """
 
     def __init__(self, path: str):
@@ -62,18 +83,37 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
 
     def _learn(self, words: set[bytes]) -> None:
-        plain = [w for w in words if w.isalpha()]  # of bytes: ASCII letters only
-        other = [w for w in words if not w.isalpha()]
-        for a in range(0, len(plain), 2_000):
-            some = plain[a : a + 2_000]
+        plain: set[bytes] = set()
+        other: set[bytes] = set()
+        tailed: list[tuple[bytes, bytes, bytes]] = []
+        for w in words:
+            if w.isalpha():  # of bytes: ASCII letters only
+                plain.add(w)
+            elif parts := _letters_and_tail(w):
+                plain.add(parts[0])
+                if parts[1]:
+                    tailed.append((w, *parts))
+                    other.add(parts[1])
+            else:
+                other.add(w)
+        known = self.known
+        self._learn_plain(list(plain.difference(known)))
+        self._learn_other(list(other.difference(known)))
+        for w, core, tail in tailed:
+            known[w] = known[core] + known[tail]
+
+    def _learn_plain(self, words: list[bytes]) -> None:
+        for a in range(0, len(words), 2_000):
+            some = words[a : a + 2_000]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(self.ends_word[ids]) + 1
             raw, at = ids.tobytes(), 0
-            for w, cut in zip(some, (cuts * 4).tolist(), strict=True):
+            for w, cut in zip(some, (4 * np.flatnonzero(self.ends_word[ids]) + 4).tolist(), strict=True):
                 self.known[w] = raw[at:cut]
                 at = cut
-        for a in range(0, len(other), 2_000):
-            some = other[a : a + 2_000]
+
+    def _learn_other(self, words: list[bytes]) -> None:
+        for a in range(0, len(words), 2_000):
+            some = words[a : a + 2_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
 
@@ -104,6 +144,7 @@ def encoder(path: str) -> WordEncoder:
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SEQUENCE, end: int = END) -> DataFrame:
     """Tokenised pieces of at most size ids, with their task and rank among its pieces of that length."""
+    bounded_batches(docs.sparkSession)
     tail = int(end).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
