@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Labelled rows of each class that the model is fitted on, at most.
 PER_CLASS = 2_000
 #: Weights; words and word beginnings are hashed to them.
@@ -77,6 +79,7 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> np.ndarray:
     """DIM weights and the bias."""
+    bounded_batches(docs.sparkSession)
     rows = sample(docs, labels, usable).mapInArrow(_featurise, "toxic int, lens array<int>, ids array<int>").toPandas()
     return fit_bags(list(rows.toxic), list(rows.lens), list(rows.ids))
 

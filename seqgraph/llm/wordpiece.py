@@ -26,6 +26,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 REMEMBERED = 500_000
@@ -113,6 +115,7 @@ def automaton(model: str) -> tuple[Automaton, dict[bytes, int]]:
 
 def counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_words, n_tokens."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = automaton(model)

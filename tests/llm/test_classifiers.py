@@ -44,7 +44,6 @@ def test_language_on_held_out_rows(spark):
 
 EDGES = [(1, None, None, None), (2, "", "en", "a"), (3, "1234 !!", "en", None), (None, "the cat", "en", "b"), (4, "x" * 300_000, "en", "b"), (4, "x" * 300_000, "en", "b"), (5, "le chat. idiot!", None, "c")]
 COLUMNS = "doc_id long, text string, lang string, source string"
-YES, NO = F.lit(True), F.lit(False)
 
 
 def edge_docs(spark):
@@ -59,18 +58,18 @@ LABELS = [(5, 0, 1), (2, 1, 0), (None, 1, 1), (4, None, None), (9, 1, 0)]
 def test_edge_cases(spark, labels):
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     docs = edge_docs(spark)
-    for found in (toxicity.toxicity(docs, marks, YES, NO), quality.quality(docs, marks, YES, NO)):
+    for found in (toxicity.toxicity(docs, marks, F.lit(True), F.lit(False)), quality.quality(docs, marks, F.lit(True), F.lit(False))):
         rows = found.toPandas()
         assert len(rows) == len(EDGES) and rows.score.between(0, 1).all()
-    rows = language.identify(docs, YES, NO).toPandas()
+    rows = language.identify(docs, F.lit(True), F.lit(False)).toPandas()
     by = dict(zip(rows.doc_id.fillna(-1), rows.lang_pred, strict=True))
     assert (by[1], by[2], by[3]) == ("und", "und", "und") and by[-1] == "en" and len(rows) == len(EDGES)
-    assert toxicity.keep_clean(docs, marks, YES).columns == docs.columns == language.keep_known(docs, YES).columns
+    assert toxicity.keep_clean(docs, marks, F.lit(True)).columns == docs.columns == language.keep_known(docs, F.lit(True)).columns
 
 
 def test_empty_tables(spark):
     docs, marks = spark.createDataFrame([], COLUMNS), spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert toxicity.toxicity(docs, marks, YES, NO).count() == quality.quality(docs, marks, YES, NO).count() == language.identify(docs, YES, NO).count() == 0
+    assert toxicity.toxicity(docs, marks, F.lit(True), F.lit(False)).count() == quality.quality(docs, marks, F.lit(True), F.lit(False)).count() == language.identify(docs, F.lit(True), F.lit(False)).count() == 0
 
 
 def test_noisy_or_finds_the_sentence():
