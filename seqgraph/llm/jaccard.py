@@ -9,17 +9,22 @@ PERCENT / 100 or more. The join is exact up to collisions of 64-bit hashes.
 2. Prefix filter: linked texts share one of their first n - ceil(.85 n) + 1
    shingles in any common order. The order here puts frequent shingles last, so
    that common passages hardly make candidates; shingles that no other text
-   has are left out. Most texts have no key left and are done.
-3. First round: likely texts meet by a few of their keys, in blocks of bounded
-   size, with their whole sets. Each block builds a signature tree - inner nodes
-   hold the union of bitmaps below and the range of sizes - and a dual traversal
-   drops node pairs whose largest possible overlap is too small, or whose texts
-   are already in one component. What links is verified at once.
-4. Second round, which makes it exact: every key whose texts are not yet all in
-   one component. Rows carry bitmaps only; the traversal gives candidate pairs
-   between components, which are verified on the whole sets. In a large group the
-   texts of its largest component are dealt out over blocks, and only the others
-   go to all blocks.
+   has are left out. A text with more of those than a linked text can have, or
+   without a key left, is done; that is most texts.
+3. Texts of like size that share a key are neighbours; components of neighbours are
+   clusters, and no link leaves a cluster. Each cluster gathers its whole sets once, in
+   blocks of bounded size. A block builds a signature tree - inner nodes hold the
+   union of bitmaps below and the range of sizes - and a dual traversal drops node
+   pairs whose largest possible overlap is too small, or whose texts are already
+   in one component. What is left is verified at once. Most clusters are one block
+   and done.
+4. Of a larger cluster the blocks, dealt by the texts' most frequent key, only
+   connect what they hold. What is still apart meets key by key: every key whose texts are
+   not all in one component brings these together again, now as bitmaps only, and
+   the traversal gives pairs between components that may link, which are verified
+   on the whole sets. A key with many texts is dealt into blocks, and every two
+   blocks meet in a task of their own, but for those that hold nothing outside
+   the key's largest component.
 
 Scale: equal texts count as one from the start, so copies cost one row each; no
 group's pairs are listed; the components come from label propagation on slim
@@ -34,6 +39,7 @@ input are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise
+from .common import bounded_batches, chunks, materialise
 
 WIDTH = 4
 PERCENT = 85
@@ -54,8 +60,6 @@ BITS_PER_KEY, MOST_BITS = 24, 1 << 27
 SLICES = (0, 12, 24, 35)
 #: Texts of a block.
 BLOCK = 512
-#: Texts with this share of shared shingles in their prefix take part in the first round.
-LIKELY = 0.3
 CHUNK = 1_000_000
 
 _rng = np.random.default_rng(20240229)
@@ -191,8 +195,11 @@ def nodes(docs: DataFrame) -> DataFrame:
                     seen.add(sig)
                     late, known = np.zeros(len(s), bool), np.ones(len(s), bool)
                     late[:b], known[:b] = is_frequent[at : at + b], is_shared[at : at + b]
-                    first = np.argsort(late, kind="stable")[: prefix_length(len(s))]
-                    keys = s[first][known[first]]
+                    # A linked text shares all but this many shingles with one other text.
+                    spare = prefix_length(len(s)) - 1
+                    if b - int(known[:b].sum()) <= spare:
+                        first = np.argsort(late, kind="stable")[: spare + 1]
+                        keys = s[first][known[first]]
                 at += b
                 some = keys is not None and len(keys) > 0
                 out.append((doc_id, len(s), sig, keys.view(np.int64) if some else None, s.view(np.int64) if some else None))
@@ -219,13 +226,20 @@ class Union:
 
 
 class Tree:
-    """Signature tree over items sorted by size: (left, right, bitmap, least, most, spare, one item below)."""
+    """Signature tree over items sorted by size: (left, right, bitmap, least, most, spare, one item below).
 
-    def __init__(self, sizes: list[int], bitmaps: list[int], union: Union):
-        self.sizes, self.union = sizes, union
-        self.nodes = [(None, None, b, n, n, n - b.bit_count(), i) for i, (n, b) in enumerate(zip(sizes, bitmaps, strict=True))]
+    With sides, one tree for each side, and only pairs across."""
+
+    def __init__(self, sizes: list[int], bitmaps: list[int], union: Union, items: list[int] | None = None, sides: list[bool] | None = None):
+        """items: what the union calls each item; by default its place."""
+        self.union = union
+        items = list(range(len(sizes))) if items is None else items
+        self.nodes = [(None, None, b, n, n, n - b.bit_count(), i) for i, n, b in zip(items, sizes, bitmaps, strict=True)]
         self.same = [True] * len(sizes)  # all items below known to be in one component
-        level = sorted(range(len(sizes)), key=lambda i: sizes[i])
+        parts = [range(len(sizes))] if sides is None else [[i for i, x in enumerate(sides) if x == side] for side in (False, True)]
+        self.roots = [self._grow(sorted(part, key=lambda i: sizes[i])) for part in parts]
+
+    def _grow(self, level: list[int]) -> int | None:
         while len(level) > 1:
             up = []
             for a, b in zip(level[::2], level[1::2], strict=False):
@@ -234,7 +248,7 @@ class Tree:
                 self.same.append(False)
                 up.append(len(self.nodes) - 1)
             level = up + level[len(level) - len(level) % 2 :]
-        self.root = level[0] if level else None
+        return level[0] if level else None
 
     def one(self, v: int) -> bool:
         if not self.same[v]:
@@ -251,10 +265,10 @@ class Tree:
         return (100 + PERCENT) * most < PERCENT * (x[3] + y[3])
 
     def pairs(self) -> Iterator[tuple[int, int]]:
-        """Item pairs that may link and are not yet in one component when given."""
-        if self.root is None:
+        """Pairs of items that may link and are not yet in one component when given."""
+        if None in self.roots:
             return
-        todo = [(self.root, self.root)]
+        todo = [(self.roots[0], self.roots[-1])]
         while todo:
             v, w = todo.pop()
             x, y = self.nodes[v], self.nodes[w]
@@ -265,7 +279,7 @@ class Tree:
             if self.hopeless(x, y) or self.one(v) and self.one(w) and self.union.find(x[6]) == self.union.find(y[6]):
                 continue
             if x[0] is None and y[0] is None:
-                yield v, w
+                yield x[6], y[6]
             elif y[0] is None or x[0] is not None and x[4] - x[3] >= y[4] - y[3]:
                 todo += [(x[0], w), (x[1], w)]
             else:
@@ -285,6 +299,25 @@ def bitmap(shingles: np.ndarray, size: int) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def may_link(sizes: list[int], bitmaps: list[int], union: Union, sides: list[bool] | None = None) -> Iterator[tuple[int, int]]:
+    """Pairs that may link, by trees of items whose bitmaps, of bits_for(size) bits, have the same length.
+
+    Sizes of linked sets differ so little that their bitmaps' lengths are equal or neighbours; a longer one is folded.
+    """
+    widths = [bits_for(n) for n in sizes]
+    for width in sorted(set(widths)):
+        own = [i for i, w in enumerate(widths) if w == width]
+        most = max(sizes[i] for i in own)
+        near = [i for i, w in enumerate(widths) if w == 2 * width and PERCENT * sizes[i] <= 100 * most]
+        low = (1 << width) - 1
+        folded = [bitmaps[i] for i in own] + [bitmaps[i] & low | bitmaps[i] >> width for i in near]
+        items = own + near
+        tree = Tree([sizes[i] for i in items], folded, union, items, None if sides is None else [sides[i] for i in items])
+        for i, j in tree.pairs():
+            if widths[i] == width or widths[j] == width:
+                yield i, j
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     if len(a) > len(b):
         a, b = b, a
@@ -294,7 +327,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tuple]]:
+def _groups(batches: Iterator[pa.RecordBatch], n_keys: int, with_key: bool = False) -> Iterator:
     """Runs of rows with the same first columns, of a sorted stream."""
     now, rows = None, []
     for batch in batches:
@@ -302,45 +335,52 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[tup
         for row in zip(*columns, strict=True):
             if row[:n_keys] != now:
                 if rows:
-                    yield rows
+                    yield (now, rows) if with_key else rows
                 now, rows = row[:n_keys], []
             rows.append(row[n_keys:])
     if rows:
-        yield rows
+        yield (now, rows) if with_key else rows
+
+
+def _by_component(components: list[bytes]) -> Union:
+    union = Union(len(components))
+    first: dict[bytes, int] = {}
+    for i, c in enumerate(components):
+        union.join(i, first.setdefault(c, i))
+    return union
 
 
 def _pairs_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
-def _first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, block, sig, shingles) to links (a, b) that connect what links in a block."""
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, block, sig, shingles) to a, b: each that links in its block, with the least of its component there."""
     for rows in _groups(batches, 2):
         sets = [r[1].view(np.uint64) for r in rows]
-        size = bits_for(max(map(len, sets)))
+        bits = [int.from_bytes(bitmap(s, bits_for(len(s))), "little") for s in sets]
         union = Union(len(rows))
-        tree = Tree([len(s) for s in sets], [int.from_bytes(bitmap(s, size), "little") for s in sets], union)
-        found = []
-        for i, j in tree.pairs():
+        for i, j in may_link([len(s) for s in sets], bits, union):
             if union.find(i) != union.find(j) and linked(sets[i], sets[j]):
                 union.join(i, j)
-                found.append((rows[i][0], rows[j][0]))
+        least: dict[int, bytes] = {}
+        for i, r in enumerate(rows):
+            at = union.find(i)
+            least[at] = min(r[0], least.get(at, r[0]))
+        found = [(r[0], least[union.find(i)]) for i, r in enumerate(rows) if r[0] != least[union.find(i)]]
         if found:
             yield _pairs_batch(found)
 
 
-def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, block, sig, n, comp, bits) to pairs (a, b) of different components that may link."""
-    for rows in _groups(batches, 2):
-        union = Union(len(rows))
-        first: dict[bytes, int] = {}
-        for i, r in enumerate(rows):
-            union.join(i, first.setdefault(r[2], i))
-        tree = Tree([r[1] for r in rows], [int.from_bytes(r[3], "little") for r in rows], union)
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, low, high, side, sig, n, comp, bits) to pairs (a, b) of different components that may link: of all
+    rows if low is high, else across the sides."""
+    for (_, low, high), rows in _groups(batches, 3, with_key=True):
+        union = _by_component([r[3] for r in rows])
+        bits = [int.from_bytes(r[4], "little") for r in rows]
         found = []
-        for i, j in tree.pairs():
-            a, b = rows[i][0], rows[j][0]
-            found.append((min(a, b), max(a, b)))
+        for i, j in may_link([r[2] for r in rows], bits, union, None if low == high else [r[0] for r in rows]):
+            found.append((min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])))
             if len(found) >= 10_000:
                 yield _pairs_batch(found)
                 found = []
@@ -349,71 +389,96 @@ def _second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the least node of its component) of all nodes in edges (a, b); both binary."""
+    """node, comp (the least node of its component) of all nodes in edges (a, b); both binary.
+
+    Large-star and small-star steps in turn, until every node hangs on one root.
+    """
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "jaccard-edges")
-    before = None
-    while True:
+    while _unsettled(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Large star: every larger neighbour to the least of the neighbourhood.
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # Small star: every smaller neighbour, and the node, to the least of them.
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = materialise(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "jaccard-edges")
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if tuple(state) == before:
-            break
-        before = tuple(state)
-    labels = now.groupBy("u").agg(F.min("v").alias("comp")).withColumnRenamed("u", "node")
-    roots = labels.select(F.col("comp").alias("node")).distinct().join(labels.select("node"), "node", "left_anti")
-    return labels.unionByName(roots.withColumn("comp", F.col("node")))
-
-
-def links(own: DataFrame) -> DataFrame:
-    """a, b: links between sets (by sig) that connect all that are connected; own as nodes() gives it."""
-    spark = own.sparkSession
-    parts = str(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = own.where(F.col("keys").isNotNull()).select("sig", "n", F.explode("keys").alias("key")).distinct()
+    return with_roots(now.select(F.col("u").alias("node"), F.col("v").alias("comp")))
+
+
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether some node has two larger ends, or is a lower end as well."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").isEmpty()
+
+
+def with_roots(labels: DataFrame) -> DataFrame:
+    """node, comp with a row for each root as well."""
+    return labels.unionByName(labels.select(F.col("comp").alias("node"), "comp").distinct())
+
+
+def _in_tasks(rows: DataFrame, keys: list[str], run, name: str) -> DataFrame:
+    """a, b of run over the rows, those of the same keys together."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary"), name)
+
+
+def linked_sets(own: DataFrame) -> DataFrame:
+    """node, comp of all sets (by sig) that are linked with another; own as nodes() gives it."""
+    # Linked sets lie in the same or in neighbouring bands of size; a key keeps bands that can't link apart.
+    band = F.floor(F.log("n") / F.lit(1.001 * math.log(100 / PERCENT)))
+    rows = own.where(F.col("keys").isNotNull()).select("sig", "n", F.explode(F.array(band, band + 1)).alias("band"), "keys")
+    rows = rows.select("sig", "n", "band", F.explode("keys").alias("key")).select("sig", "n", F.xxhash64("key", "band").alias("key")).distinct()
     rows = materialise(rows, "jaccard-keys")
-    counted = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    rows = materialise(rows.join(counted, "key"), "jaccard-groups")
-    # Sets that still have a key that is shared, once each.
-    live = rows.groupBy("sig").agg(
-        F.first("n").alias("n"), F.count(F.lit(1)).alias("shared"),
-        F.max(F.struct("df", "key")).alias("most"), F.min(F.struct("df", "key")).alias("least"),
-        F.max(F.struct("df", F.xxhash64("key"), "key")).alias("other"),
-    )
-    live = materialise(live, "jaccard-live")
-    sets = own.where(F.col("shingles").isNotNull()).select("sig", "shingles").join(live.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+    hubs = rows.groupBy("key").agg(F.min("sig").alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    rows = materialise(rows.join(hubs, "key"), "jaccard-groups")
+    clusters = components(rows.select(F.col("sig").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("sig"), F.col("comp").alias("cluster"))
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    clusters = materialise(clusters.join(sizes, "cluster"), "jaccard-clusters")
+    sets = own.where(F.col("shingles").isNotNull()).select("sig", "shingles").join(clusters.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
     sets = materialise(sets, "jaccard-sets")
 
-    likely = live.where(F.col("shared") >= LIKELY * (F.col("n") * (100 - PERCENT) / 100))
-    meet = likely.select("sig", F.explode(F.array_distinct(F.array("most.key", "least.key", "other.key"))).alias("key"))
-    sizes = meet.groupBy("key").agg(F.count(F.lit(1)).alias("count")).where("count > 1")
-    meet = meet.join(sizes, "key").select("key", F.pmod(F.xxhash64("sig", "key"), F.ceil(F.col("count") / BLOCK)).cast("long").alias("block"), "sig")
-    blocks = meet.join(sets, "sig").select("key", "block", "sig", "shingles").repartition(int(parts), "key", "block").sortWithinPartitions("key", "block")
-    first = materialise(blocks.mapInArrow(_first_round, "a binary, b binary"), "jaccard-first")
-    known = materialise(components(first), "jaccard-known")
-
-    rows = rows.join(known.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    rows = materialise(rows, "jaccard-rows")
-    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("count"), F.max("n").alias("n"))
-    open_keys = per.groupBy("key").agg(F.sum("count").alias("total"), F.max(F.struct("count", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds"), F.max("n").alias("longest")).where("kinds > 1").drop("kinds")
-    dealt = rows.join(open_keys, "key").withColumn("blocks", F.ceil(F.col("total") / BLOCK))
-    own_block = F.array(F.pmod(F.xxhash64("sig"), F.col("blocks")))
-    where = F.when(F.col("comp") == F.col("top.comp"), own_block).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = dealt.select("key", F.explode(where).alias("block"), "sig", "n", "comp", "longest")
-    size = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(64.0), 16.0 * F.col("longest"))))).cast("int").alias("size")
-    bits = dealt.select("key", "block", "sig", "n", "comp", size).join(sets, "sig")
+    large = clusters.where(F.col("size") > BLOCK).select("sig")
+    rows_of_large = rows.join(large, "sig", "left_semi")
+    # In a large cluster texts meet by their most frequent key, in as many blocks as its texts need.
+    top = rows_of_large.groupBy("sig").agg(F.max(F.struct("df", "key")).alias("top")).select("sig", F.col("top.key").alias("top"))
+    counted = top.groupBy("top").agg(F.count(F.lit(1)).alias("size"))
+    by_key = top.join(counted, "top").select(F.col("top").cast("string").cast("binary").alias("cluster"), F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / BLOCK)).alias("block"), "sig")
+    whole = clusters.where(F.col("size") <= BLOCK).select("cluster", F.lit(0).cast("long").alias("block"), "sig")
+    blocks = whole.unionByName(by_key).join(sets, "sig").select("cluster", "block", "sig", "shingles")
+    first = _in_tasks(blocks, ["cluster", "block"], _connect, "jaccard-first")
+    # What a cluster of one block has found is final.
+    labels = first.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    if large.isEmpty():
+        return with_roots(labels)
+    in_large = F.col("a") == F.col("sig")
+    begun = materialise(first.join(large, in_large, "left_semi"), "jaccard-begun")
+    done = with_roots(first.join(large, in_large, "left_anti").select(F.col("a").alias("node"), F.col("b").alias("comp")))
+    links = begun.unionByName(_between(rows_of_large.select("sig", "n", "key"), sets, begun))
+    return done.unionByName(components(links))
+
+
+def _between(rows: DataFrame, sets: DataFrame, first: DataFrame) -> DataFrame:
+    """Links between components of first, among rows (sig, n, key): key by key, as far as texts are still apart."""
+    known = components(first).withColumnRenamed("node", "sig")
+    rows = materialise(rows.join(known, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "jaccard-rows")
+    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("count"))
+    apart = per.groupBy("key").agg(F.sum("count").alias("total"), F.max(F.struct("count", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
 
     @F.arrow_udf("binary")
-    def bitmaps(shingles: pa.Array, sizes: pa.Array) -> pa.Array:
-        return pa.array([bitmap(np.asarray(s.values), k) for s, k in zip(shingles, sizes.to_pylist(), strict=True)], pa.binary())
-
-    bits = bits.select("key", "block", "sig", "n", "comp", bitmaps("shingles", "size").alias("bits"))
-    bits = bits.repartition(int(parts), "key", "block").sortWithinPartitions("key", "block")
-    pairs = materialise(bits.mapInArrow(_second_round, "a binary, b binary").distinct(), "jaccard-pairs")
+    def bits(shingles: pa.Array) -> pa.Array:
+        return pa.array([bitmap(x := np.asarray(s.values), bits_for(len(x))) for s in shingles], pa.binary())
+
+    maps = materialise(sets.join(rows.select("sig").distinct(), "sig", "left_semi").select("sig", bits("shingles").alias("bits")), "jaccard-bits")
+    # Blocks of the key's largest component come behind the others', and don't meet each other.
+    others, most = F.ceil((F.col("total") - F.col("top.count")) / BLOCK), F.ceil(F.col("top.count") / BLOCK)
+    is_top, small = F.col("comp") == F.col("top.comp"), F.col("total") <= BLOCK
+    block = F.when(small, F.lit(0).cast("long")).when(is_top, others + F.pmod(F.xxhash64("sig"), most)).otherwise(F.pmod(F.xxhash64("sig"), others))
+    partners = F.sequence(F.lit(0).cast("long"), F.when(small, F.lit(0)).when(is_top, others - 1).otherwise(others + most - 1))
+    dealt = rows.join(apart, "key").withColumn("block", block).withColumn("other", F.explode(partners))
+    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("side"), "sig", "n", "comp")
+    met = dealt.join(maps, "sig").select("key", "low", "high", "side", "sig", "n", "comp", "bits")
+    pairs = materialise(_in_tasks(met, ["key", "low", "high"], _candidates, "jaccard-candidates").distinct(), "jaccard-pairs")
 
     @F.arrow_udf("boolean")
     def verified(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -421,14 +486,14 @@ def links(own: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
-    second = pairs.join(left, "a").join(right, "b").where(verified("x", "y")).select("a", "b")
-    return first.unionByName(materialise(second, "jaccard-second"))
+    return materialise(pairs.join(left, "a").join(right, "b").where(verified("x", "y")).select("a", "b"), "jaccard-second")
 
 
 def jaccard(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, sig of each row."""
+    bounded_batches(docs.sparkSession)
     own = nodes(docs)
-    labels = materialise(components(links(own)), "jaccard-components")
+    labels = materialise(linked_sets(own), "jaccard-components")
     labelled = own.select("doc_id", "n", "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
     labelled = materialise(labelled, "jaccard-labelled")
     least = labelled.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))

@@ -68,6 +68,15 @@ def test_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 8)
     rows = corpus(5, 3, [40], 4, 10)
     assert answer(spark, rows) == brute(rows)
+    # Chains of passages that several texts share, around near copies.
+    rng = random.Random(4)
+    passages = [[rng.choice("abcdefgh") + str(rng.randint(0, 999)) for _ in range(40)] for _ in range(12)]
+    rows = []
+    for i in range(120):
+        own = [w for p in rng.sample(passages, rng.choice([1, 2])) for w in p] + [f"own{i // 3}x{j}" for j in range(rng.choice([4, 12, 30]))]
+        own[rng.randrange(len(own))] = "changed"
+        rows.append((i, " ".join(own)))
+    assert answer(spark, rows) == brute(rows)
 
 
 def test_edge_cases(spark):
@@ -94,13 +103,16 @@ def test_tree_bound_never_drops_a_link():
     rng = random.Random(11)
     base = [rng.getrandbits(62) for _ in range(200)]
     sets = [np.array(sorted(set(rng.sample(base, rng.randint(150, 200)))), np.uint64) for _ in range(40)]
-    size = J.bits_for(max(map(len, sets)))
-    tree = J.Tree([len(s) for s in sets], [int.from_bytes(J.bitmap(s, size), "little") for s in sets], J.Union(len(sets)))
-    found = {frozenset(p) for p in tree.pairs()}
-    for i in range(40):
+    for n in (125, 126, 127, 128, 129, 130, 131):  # about where bitmaps grow
+        sets += [np.array(sorted(rng.sample(base[:135], n)), np.uint64) for _ in range(6)]
+    bits = [int.from_bytes(J.bitmap(s, J.bits_for(len(s))), "little") for s in sets]
+    found = {frozenset(p) for p in J.may_link([len(s) for s in sets], bits, J.Union(len(sets)))}
+    sides = [i % 3 == 0 for i in range(len(sets))]
+    across = {frozenset(p) for p in J.may_link([len(s) for s in sets], bits, J.Union(len(sets)), sides)}
+    for i in range(len(sets)):
         for j in range(i):
             if J.linked(sets[i], sets[j]):
-                assert frozenset((i, j)) in found
+                assert frozenset((i, j)) in found and (sides[i] == sides[j]) == (frozenset((i, j)) not in across)
 
 
 def test_components(spark):
