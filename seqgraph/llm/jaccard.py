@@ -58,8 +58,10 @@ FREQUENT = 8
 #: Bits of a bitmap for each shingle in it, and at most (16 MB).
 BITS_PER_KEY, MOST_BITS = 24, 1 << 27
 SLICES = (0, 12, 24, 35)
-#: Texts of a block.
-BLOCK = 512
+#: A block's texts, and their shingles together, at most: they bound a task's time and memory (about 70 MB).
+BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
+#: Texts of a block in the second round; two blocks meet in a task.
+MEET = 512
 CHUNK = 1_000_000
 
 _rng = np.random.default_rng(20240229)
@@ -423,6 +425,11 @@ def _in_tasks(rows: DataFrame, keys: list[str], run, name: str) -> DataFrame:
     return materialise(rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary"), name)
 
 
+def _n_blocks():
+    """Blocks that rows with n shingles each need."""
+    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+
+
 def linked_sets(own: DataFrame) -> DataFrame:
     """node, comp of all sets (by sig) that are linked with another; own as nodes() gives it."""
     # Linked sets lie in the same or in neighbouring bands of size; a key keeps bands that can't link apart.
@@ -433,18 +440,19 @@ def linked_sets(own: DataFrame) -> DataFrame:
     hubs = rows.groupBy("key").agg(F.min("sig").alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1")
     rows = materialise(rows.join(hubs, "key"), "jaccard-groups")
     clusters = components(rows.select(F.col("sig").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("sig"), F.col("comp").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    clusters = materialise(clusters.join(sizes, "cluster"), "jaccard-clusters")
+    sizes = rows.groupBy("sig").agg(F.max("n").alias("n"))
+    clusters = clusters.join(sizes, "sig")
+    clusters = materialise(clusters.join(clusters.groupBy("cluster").agg(_n_blocks()), "cluster"), "jaccard-clusters")
     sets = own.where(F.col("shingles").isNotNull()).select("sig", "shingles").join(clusters.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
     sets = materialise(sets, "jaccard-sets")
 
-    large = clusters.where(F.col("size") > BLOCK).select("sig")
+    large = clusters.where("blocks > 1").select("sig")
     rows_of_large = rows.join(large, "sig", "left_semi")
     # In a large cluster texts meet by their most frequent key, in as many blocks as its texts need.
-    top = rows_of_large.groupBy("sig").agg(F.max(F.struct("df", "key")).alias("top")).select("sig", F.col("top.key").alias("top"))
-    counted = top.groupBy("top").agg(F.count(F.lit(1)).alias("size"))
-    by_key = top.join(counted, "top").select(F.col("top").cast("string").cast("binary").alias("cluster"), F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / BLOCK)).alias("block"), "sig")
-    whole = clusters.where(F.col("size") <= BLOCK).select("cluster", F.lit(0).cast("long").alias("block"), "sig")
+    top = rows_of_large.groupBy("sig").agg(F.max(F.struct("df", "key")).alias("top"), F.max("n").alias("n")).select("sig", "n", F.col("top.key").alias("top"))
+    counted = top.groupBy("top").agg(_n_blocks())
+    by_key = top.join(counted, "top").select(F.col("top").cast("string").cast("binary").alias("cluster"), F.pmod(F.xxhash64("sig"), F.col("blocks")).alias("block"), "sig")
+    whole = clusters.where("blocks = 1").select("cluster", F.lit(0).cast("long").alias("block"), "sig")
     blocks = whole.unionByName(by_key).join(sets, "sig").select("cluster", "block", "sig", "shingles")
     first = _in_tasks(blocks, ["cluster", "block"], _connect, "jaccard-first")
     # What a cluster of one block has found is final.
@@ -471,8 +479,8 @@ def _between(rows: DataFrame, sets: DataFrame, first: DataFrame) -> DataFrame:
 
     maps = materialise(sets.join(rows.select("sig").distinct(), "sig", "left_semi").select("sig", bits("shingles").alias("bits")), "jaccard-bits")
     # Blocks of the key's largest component come behind the others', and don't meet each other.
-    others, most = F.ceil((F.col("total") - F.col("top.count")) / BLOCK), F.ceil(F.col("top.count") / BLOCK)
-    is_top, small = F.col("comp") == F.col("top.comp"), F.col("total") <= BLOCK
+    others, most = F.ceil((F.col("total") - F.col("top.count")) / MEET), F.ceil(F.col("top.count") / MEET)
+    is_top, small = F.col("comp") == F.col("top.comp"), F.col("total") <= MEET
     block = F.when(small, F.lit(0).cast("long")).when(is_top, others + F.pmod(F.xxhash64("sig"), most)).otherwise(F.pmod(F.xxhash64("sig"), others))
     partners = F.sequence(F.lit(0).cast("long"), F.when(small, F.lit(0)).when(is_top, others - 1).otherwise(others + most - 1))
     dealt = rows.join(apart, "key").withColumn("block", block).withColumn("other", F.explode(partners))

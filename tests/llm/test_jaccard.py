@@ -66,6 +66,7 @@ def test_like_brute_force(spark, case):
 
 def test_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 8)
+    monkeypatch.setattr(J, "MEET", 6)
     rows = corpus(5, 3, [40], 4, 10)
     assert answer(spark, rows) == brute(rows)
     # Chains of passages that several texts share, around near copies.
