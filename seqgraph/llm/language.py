@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks
+from .common import bounded_batches, chunks, materialise
 
 #: Documents of each language that the counts come from, about, and languages at most.
 PER_LANGUAGE = 1_000
@@ -175,20 +175,6 @@ class Model:
             sums[full] = np.add.reduceat(self.logp(keys).astype(np.float64), start[full])
         return -sums / np.maximum(n, 1)[:, None], n, letters
 
-    def calibrate(self, texts: list[str]) -> None:
-        """From documents outside the counts: the mean, the spread between documents and within one."""
-        self.limits = np.array([np.inf, 0.0])
-        if len(texts) < 2:
-            return
-        h, n, letters = self.entropies(texts)
-        best, n = h.min(axis=1)[letters > 0], n[letters > 0]
-        if len(best) < 2:
-            return
-        middle = np.median(best)
-        spread = np.median(np.abs(best - middle)[n >= np.median(n)]) / 0.6745
-        within = np.median(np.abs(best - middle) * np.sqrt(n)) / 0.6745
-        self.limits = np.array([middle + DEVIATIONS * spread, DEVIATIONS * within])
-
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and whether it is rejected, of each text."""
         names, score, rejected = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -226,11 +212,29 @@ def fit(docs: DataFrame, usable: Column) -> Model:
     counts = {str(lang): (k := g.sort_values("key"))[["key", "n"]].to_numpy().T for lang, g in counted.groupby("lang")}
     model = Model({lang: (x[0].astype(np.uint64), x[1]) for lang, x in counts.items()})
     if model.langs:
-        held = [r.text for r in rows.where("part = 0").select("text").limit(500).collect()]
-        model.calibrate(held)
+        model.limits = limits(model, rows.where("part = 0").select("text"))
     return model
 
 
+def limits(model: Model, held: DataFrame) -> np.ndarray:
+    """From all documents (text) outside the counts: the mean, the spread between documents and within one."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in chunks(texts, CHUNK):
+                h, n, letters = model.entropies(texts[a:b])
+                yield pa.RecordBatch.from_arrays([pa.array(h.min(axis=1)[letters > 0]), pa.array(n[letters > 0].astype(np.int64))], names=["best", "n"])
+
+    scored = materialise(held.mapInArrow(score, "best double, n long"), "language-held")
+    mid = scored.agg(F.count(F.lit(1)).alias("rows"), F.percentile("best", F.lit(0.5)).alias("best"), F.percentile("n", F.lit(0.5)).alias("n")).first()
+    if mid.rows < 2:
+        return np.array([np.inf, 0.0])
+    off = F.abs(F.col("best") - F.lit(mid.best))
+    far = scored.agg(F.percentile(F.when(F.col("n") >= F.lit(mid.n), off), F.lit(0.5)).alias("spread"), F.percentile(off * F.sqrt("n"), F.lit(0.5)).alias("within")).first()
+    return np.array([mid.best + DEVIATIONS * far.spread / 0.6745, DEVIATIONS * far.within / 0.6745])
+
+
 def predictor(model: Model):
     """A column function: text to lang, score, rejected."""
 

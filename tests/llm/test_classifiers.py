@@ -125,3 +125,19 @@ def test_pairs_rank_the_better_feature_up():
     good, bad = rng.normal(1, 1, (50, 2)), rng.normal(0, 1, (50, 2))
     assert (quality.fit_pairs(good, bad) > 0).all()
     assert pd.Series(quality.fit_pairs(good, good)).abs().max() < 0.5
+
+
+def test_rejection_is_calibrated_on_every_language(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(4):  # by language, each of a larger alphabet
+        letters = [chr(0x430 * (k % 2) + 97 * (1 - k % 2) + i) for i in range(4 + 6 * k)]
+        rows += [(1_000 * k + i, f"l{k}", " ".join("".join(rng.choice(letters, 4)) for _ in range(rng.integers(3, 12)))) for i in range(1_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    model = language.fit(docs, F.lit(True))
+    held = [r.text for r in language.sample(docs, F.lit(True)).where("part = 0").collect()]
+    assert len(held) > 600
+    h, n, _ = model.entropies(held)
+    off = np.abs(h.min(axis=1) - np.median(h.min(axis=1)))
+    spread, within = np.median(off[n >= np.median(n)]), np.median(off * np.sqrt(n))
+    assert model.limits == pytest.approx([np.median(h.min(axis=1)) + language.DEVIATIONS * spread / 0.6745, language.DEVIATIONS * within / 0.6745])
