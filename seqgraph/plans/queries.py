@@ -232,6 +232,14 @@ def subgraph_arcs(spark, sf):
     return reach.subgraph(own, reach.levels(own, _start(spark, sf), most=2)).select("link_id", "v", "w")
 
 
+@query(f"""WITH RECURSIVE {D.SEGMENTS_SQL}, {D.ARCS_SQL}, e AS (SELECT DISTINCT v, w FROM arcs),
+           r(v) AS (SELECT min(v) FROM arcs UNION SELECT e.w FROM r JOIN e ON e.v = r.v)
+           SELECT link_id, v, w FROM arcs WHERE v IN (SELECT v FROM r) AND w IN (SELECT v FROM r)""")
+def reachable_subgraph(spark, sf):
+    own = D.arcs(spark, sf)
+    return reach.subgraph(own, reach.levels(own, _start(spark, sf))).select("link_id", "v", "w")
+
+
 @query("""SELECT 'r' || r_regionkey AS v, 0 AS layer FROM region UNION ALL SELECT 'n' || n_nationkey, 1 FROM nation
           UNION ALL SELECT 'c' || c_custkey, 2 FROM customer UNION ALL SELECT 'o' || o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer) THEN 3 ELSE 1 END FROM orders
           UNION ALL SELECT DISTINCT 'c' || o_custkey, 0 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)""")

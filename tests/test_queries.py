@@ -23,3 +23,11 @@ def test_likelihoods_have_a_row_for_each_part(spark, sf):
     rows = QUERIES["pair_likelihoods"](spark, sf)
     assert rows.count() == spark.read.parquet(f"{sf}/part.parquet").count()
     assert rows.where("log10_likelihood > 0").count() == 0
+
+
+def test_reachable_subgraph_has_arcs_at_any_depth(spark, monkeypatch):
+    from seqgraph.plans import derived
+
+    chain = [(i, 2 * i, 2 * i + 2) for i in range(6)] + [(6, 12, 0), (7, 20, 22)]
+    monkeypatch.setattr(derived, "arcs", lambda spark, sf: spark.createDataFrame(chain, "link_id long, v long, w long"))
+    assert sorted(r.link_id for r in QUERIES["reachable_subgraph"](spark, None).collect()) == [0, 1, 2, 3, 4, 5, 6]
