@@ -126,6 +126,28 @@ def test_reads(spark, tmp_path):
     assert found == [(0, "r1", "some words", "ACGT", True), (1, "r2", "", "", True), (2, "q1", "", "ACG", True), (3, "q2", "x", "ACGT", False)]
 
 
+def test_reads_whose_qualities_span_lines(spark, tmp_path):
+    text = "@q1 x\r\nACGT\r\nACGTAC\r\n+\r\n@III\r\nIIII\r\n+I\r\n@q2\nAC\n+\nI\n@q3\nACG\n+q3\n@+>\n\n@q4\n\n+\n\n"
+    (tmp_path / "a.fq").write_bytes(text.encode())
+    found = [(r.name, r.seq, r.qual, r.valid) for r in gfa.read_reads(spark, f"file://{tmp_path}/a.fq").orderBy("read_idx").collect()]
+    assert found == [("q1", "ACGTACGTAC", "@IIIIIII+I", True), ("q2", "AC", "I", False), ("q3", "ACG", "@+>", True), ("q4", "", "", True)]
+
+
+def test_reads_of_one_file_in_many_splits(spark, tmp_path):
+    want = [(f"r{i}", "ACGT" * (i % 7 + 1), "@II+" * (i % 7 + 1)) for i in range(400)]
+    cut = lambda s: "\n".join(s[k : k + 8] for k in range(0, len(s), 8))
+    (tmp_path / "a.fq").write_text("".join(f"@{n}\n{cut(s)}\n+\n{cut(q)}\n" for n, s, q in want))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "1000")
+        rows = gfa.read_reads(spark, f"file://{tmp_path}/a.fq").orderBy("read_idx").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [(r.name, r.seq, r.qual) for r in rows] == want and all(r.valid for r in rows)
+
+
 def test_regions_and_likelihoods(spark):
     text = "2 2\nACGT IIII NNNN NNNN\nAC II NN NN\nACGTA\nTTTTT\n1 1\nG I N N\nGG\n"
     reads, haps = likelihood.regions(spark.createDataFrame([("f", text)], "file string, text string"))
