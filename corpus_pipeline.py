@@ -1,8 +1,10 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage works on all that the one before kept; run() writes each result as
-Parquet into the shared folder and reads it again. Repeated doc_ids are kept
-apart by their texts; null text counts as empty.
+Parquet into the shared folder, reads it again and then deletes the one before.
+Repeated and null doc_ids are kept apart by their texts; null text counts as
+empty; an empty table passes through; very long texts are documents like any
+other; further columns are carried along.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqgraph.llm import exact_dedup, jaccard, language, packing, toxicity
-from seqgraph.llm.common import in_fold, materialise, table
+from seqgraph.llm.common import in_fold, materialise, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +56,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # what the stage has written on the way goes once its result is written
+            docs = last = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}", last, outside=True)
     return docs

@@ -5,34 +5,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialise
+from ..sources.storage import discard, materialise
 
 
-def levels(arcs: DataFrame, start: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """v, hops: vertices reachable from start (v), with the fewest arcs on the way."""
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """The rows of written parts: one scan of all their files, so a long chain of rounds stays one flat plan."""
+    folders = sorted({f.rsplit("/", 1)[0] for p in parts for f in p.inputFiles()})
+    return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*folders) if folders else parts[0]
+
+
+def levels(arcs: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """v, hops: vertices reachable from start (v), with the fewest arcs on the way; with most, up to so many arcs.
+
+    Each round writes what it reached first; earlier rounds are read where they lie, never written again.
+    """
     step = materialise(arcs.select("v", "w").distinct(), "reach-arcs")
-    frontier = materialise(start.select("v").distinct().withColumn("hops", F.lit(0)), "reach-level")
-    seen = frontier
-    for hops in range(1, most + 1):
-        following = frontier.join(step, "v").select(F.col("w").alias("v")).distinct().join(seen, "v", "left_anti")
-        frontier = materialise(following.withColumn("hops", F.lit(hops)), "reach-level")
+    parts = [materialise(start.select("v").distinct().withColumn("hops", F.lit(0)), "reach-level")]
+    while most is None or len(parts) <= most:
+        following = parts[-1].join(step, "v").select(F.col("w").alias("v")).distinct().join(_union(parts), "v", "left_anti")
+        frontier = materialise(following.withColumn("hops", F.lit(len(parts))), "reach-level")
         if frontier.isEmpty():
             break
-        seen = materialise(seen.unionByName(frontier), "reach-seen")
-    return seen
+        parts.append(frontier)
+    discard(step)
+    return _union(parts)
 
 
 def distances(arcs: DataFrame, start: DataFrame, length: str, most: int = 1 << 30) -> DataFrame:
-    """v, dist: shortest sum of arc lengths (column length) from start, up to most; by relaxation of what improved."""
+    """v, dist: shortest sum of arc lengths (column length) from start, up to most; by relaxation of what improved.
+
+    A round writes only what improved; the least of a vertex's rows is its distance so far.
+    """
     step = materialise(arcs.groupBy("v", "w").agg(F.min(length).alias("n")), "reach-arcs")
-    best = materialise(start.select("v").distinct().withColumn("dist", F.lit(0).cast("long")), "reach-best")
-    changed = best
-    while not changed.isEmpty():
-        offers = changed.join(step, "v").select(F.col("w").alias("v"), (F.col("dist") + F.col("n")).alias("offer")).where(F.col("offer") <= most)
+    parts = [materialise(start.select("v").distinct().withColumn("dist", F.lit(0).cast("long")), "reach-best")]
+    while True:
+        offers = parts[-1].join(step, "v").select(F.col("w").alias("v"), (F.col("dist") + F.col("n")).alias("offer")).where(F.col("offer") <= most)
         offers = offers.groupBy("v").agg(F.min("offer").alias("offer"))
+        best = _union(parts).groupBy("v").agg(F.min("dist").alias("dist"))
         changed = materialise(offers.join(best, "v", "left").where("dist is null or offer < dist").select("v", F.col("offer").alias("dist")), "reach-changed")
-        best = materialise(best.join(changed.select("v"), "v", "left_anti").unionByName(changed), "reach-best")
-    return best
+        if changed.isEmpty():
+            break
+        parts.append(changed)
+    discard(step)
+    return _union(parts).groupBy("v").agg(F.min("dist").alias("dist"))
 
 
 def subgraph(arcs: DataFrame, reached: DataFrame) -> DataFrame:
@@ -48,14 +63,14 @@ def topological(arcs: DataFrame, vertices: DataFrame) -> DataFrame:
     """
     left = materialise(arcs.select("v", "w").distinct(), "topological-arcs")
     waiting = materialise(vertices.select("v").distinct(), "topological-waiting")
-    done, layer = None, 0
+    done, layer = [], 0
     while True:
         free = materialise(waiting.join(left.select(F.col("w").alias("v")).distinct(), "v", "left_anti").withColumn("layer", F.lit(layer)), "topological-layer")
         if free.isEmpty():
             break
-        done = free if done is None else materialise(done.unionByName(free), "topological-done")
-        waiting = materialise(waiting.join(free, "v", "left_anti"), "topological-waiting")
-        left = materialise(left.join(free.select("v"), "v", "left_anti"), "topological-arcs")
+        done.append(free)
+        waiting = materialise(waiting.join(free, "v", "left_anti"), "topological-waiting", waiting)
+        left = materialise(left.join(free.select("v"), "v", "left_anti"), "topological-arcs", left)
         layer += 1
     rest = waiting.withColumn("layer", F.lit(None).cast("int"))
-    return rest if done is None else done.unionByName(rest)
+    return _union(done).unionByName(rest) if done else rest

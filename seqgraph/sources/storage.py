@@ -2,28 +2,78 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _own_dir(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="seqgraph-checkpoint-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Where that is unset a temporary folder will do if all run in one process; anywhere else executors would
+    write to disks that the driver can't read, so it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="seqgraph-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return _own_dir(spark.sparkContext.applicationId)
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+#: Folder names below shared_dir in which scratch() has intermediates written, innermost last.
+_SCOPES: list[str] = []
+
 
+def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None, outside: bool = False) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it again: cuts lineage, survives lost executors.
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts the lineage of loops."""
+    instead_of: an earlier such table that nothing needs any more; it is deleted. outside: not into what scratch()
+    deletes.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = "/".join((shared_dir(spark), *([] if outside else _SCOPES[-1:]), f"{name}-{uuid.uuid4().hex}"))
+    df.write.option("compression", "zstd").parquet(path)
+    if instead_of is not None:
+        discard(instead_of)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop, wherever it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a table that materialise() returned."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        delete(df.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Intermediates written inside are deleted at the end; results that are still needed must be written
+    elsewhere before."""
+    scope = f"scratch-{uuid.uuid4().hex}"
+    _SCOPES.append(scope)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(scope)
+        delete(spark, f"{shared_dir(spark)}/{scope}")
