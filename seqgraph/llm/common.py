@@ -2,53 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..sources.storage import delete, discard, materialise, scratch, shared_dir, table
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+__all__ = ["chunks", "delete", "discard", "fold", "in_fold", "materialise", "row_key", "scratch", "shared_dir", "slices", "table"]
 
+#: Rows of an Arrow batch that become Python objects at once; Spark bounds a batch's bytes.
+SLICE = 500
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="seqgraph-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in short slices: a batch stays in Arrow's compact form, and only a slice is unpacked."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
-
-#: Rows and bytes that a Python worker is given at once, at most: texts and sets can be long.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small; smaller limits that the session has already stay."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key, None)
-        if now is None or not 0 < _bytes(now) <= most:
-            spark.conf.set(key, str(most))
-
-
-def _bytes(text: str) -> int:
-    """A number, maybe with a unit of bytes; -1 for none."""
-    digits = text.lower().rstrip("bkmgt")
-    unit = text.lower()[len(digits) :].rstrip("b")
-    return int(digits) * 1024 ** ("kmgt".index(unit) + 1 if unit else 0)
+def row_key(doc_id: Column, text: Column) -> Column:
+    """16 bytes for a row's id and text, never null; the same for rows that agree in both."""
+    return F.unhex(F.md5(F.concat_ws(" ", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text, F.lit("")))))
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -1,12 +1,13 @@
 """Exact deduplication with a cuckoo-filter index.
 
 The index is a table split into hash buckets. Each bucket holds a cuckoo
-filter over its live digests and the entries themselves (digest, row that
-stays, group size). A digest that the filter doesn't know is new; a hit is
-verified against the bucket's stored digests, so a false positive costs a
-lookup and never a document. The filter takes deletions, so documents that
-leave the corpus leave the index too; when an insertion finds no room, the
-filter is rebuilt at twice the capacity from the stored keys.
+filter over its live digests and its content: the digests themselves in order,
+each with the row that stays and the group's size. A digest that the filter
+doesn't know is new and needs no look at the content; a hit is verified against
+it by binary search, so a false positive costs a search and never a document.
+The filter takes deletions, so documents that leave the corpus leave the index
+too; when an insertion finds no room, the filter is rebuilt at twice the capacity
+from the stored digests. The index carries its number of buckets.
 
 Scale: documents are reduced to one partial row for each digest and map
 partition before anything is shuffled by digest, so a text that makes up a
@@ -14,27 +15,29 @@ third of the corpus arrives as one row per map partition. The number of
 buckets follows the number of partial rows; a task holds one bucket at a time.
 
 Edge cases: null text counts as empty; a null doc_id is smaller than any id;
-of rows with the same text and the same doc_id exactly one stays; an empty
-table gives an empty result; other columns of the input are ignored.
+of rows with the same text and the same doc_id exactly one stays; a very long
+text is a digest like any other; an empty table gives an empty result; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
 
 import random
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 
 SLOTS = 4
 MAX_KICKS = 200
 #: Partial rows that a bucket should hold, about; its task's memory is in proportion.
 ROWS_PER_BUCKET = 50_000
 
-INDEX_SCHEMA = "bucket int, digest binary, keep_id long, keep_rid long, group_size long, capacity int, filter binary"
+INDEX_SCHEMA = "bucket int, digest binary, keep_id long, keep_rid long, group_size long, capacity int, filter binary, n_buckets int"
 
 
 class CuckooFilter:
@@ -100,22 +103,43 @@ class CuckooFilter:
 
 
 class Bucket:
-    """A cuckoo filter and the entries that its hits are verified against."""
+    """A cuckoo filter and the content that its hits are verified against, in order: what was stored, and what came since."""
 
     def __init__(self) -> None:
         self.filter = CuckooFilter()
-        self.entries: dict[bytes, list] = {}
+        self.parts: list[tuple[list[bytes], list[list]]] = [([], []), ([], [])]
 
     def load(self, capacity: int, table: bytes) -> None:
         self.filter = CuckooFilter(capacity, bytearray(table))
 
+    def store(self, digest: bytes, keep: tuple, size: int) -> None:
+        """A row of the index; they come in order."""
+        digests, entries = self.parts[0]
+        digests.append(digest)
+        entries.append([keep, size])
+
+    def find(self, digest: bytes) -> tuple[int, int] | None:
+        for part, (digests, _) in enumerate(self.parts):
+            at = bisect_left(digests, digest)
+            if at < len(digests) and digests[at] == digest:
+                return part, at
+        return None
+
+    def get(self, digest: bytes) -> list | None:
+        """The entry of a live digest: [row that stays, group size]."""
+        found = self.find(digest) if digest in self.filter else None
+        return None if found is None else self.parts[found[0]][1][found[1]]
+
     def upsert(self, digest: bytes, keep: tuple, size: int) -> None:
-        entry = self.entries.get(digest) if digest in self.filter else None
+        entry = self.get(digest)
         if entry is not None:
             entry[0] = max(entry[0], keep, key=_order)
             entry[1] += size
             return
-        self.entries[digest] = [keep, size]
+        digests, entries = self.parts[1]
+        at = bisect_left(digests, digest)  # the end, if insertions come in order
+        digests.insert(at, digest)
+        entries.insert(at, [keep, size])
         if not self.filter.insert(digest):
             self.resize()
 
@@ -125,13 +149,20 @@ class Bucket:
         while not done:
             capacity *= 2
             self.filter = CuckooFilter(capacity)
-            done = all(self.filter.insert(d) for d in self.entries)
+            done = all(self.filter.insert(d) for digests, _ in self.parts for d in digests)
 
     def delete(self, digest: bytes) -> None:
-        if digest in self.filter and digest in self.entries:
-            del self.entries[digest]
+        found = self.find(digest) if digest in self.filter else None
+        if found is not None:
+            digests, entries = self.parts[found[0]]
+            del digests[found[1]], entries[found[1]]
             self.filter.delete(digest)
 
+    def entries(self) -> Iterator[tuple[bytes, tuple, int]]:
+        for digests, entries in self.parts:
+            for digest, (keep, size) in zip(digests, entries, strict=True):
+                yield digest, keep, size
+
 
 def _order(keep: tuple) -> tuple:
     return (keep[0] is not None, keep[0] or 0, keep[1])
@@ -142,39 +173,45 @@ FILTER, ENTRY, DELETE, INSERT = 0, 1, 2, 3
 
 
 def _update(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket and action to the bucket's new rows."""
-    schema = pa.schema([("bucket", pa.int32()), ("digest", pa.binary()), ("keep_id", pa.int64()), ("keep_rid", pa.int64()), ("group_size", pa.int64()), ("capacity", pa.int32()), ("filter", pa.binary())])
-
-    def rows(number: int, bucket: Bucket) -> Iterator[pa.RecordBatch]:
-        out = [(number, d, *keep, size, None, None) for d, (keep, size) in bucket.entries.items()]
-        out.append((number, None, None, None, None, bucket.filter.capacity, bytes(bucket.filter.table)))
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), schema.types, strict=True)], schema=schema)
-
-    now, bucket = None, Bucket()
-    for batch in batches:
-        for number, action, digest, keep_id, keep_rid, size, capacity, table in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    """Rows sorted by bucket, action and digest to the bucket's new rows."""
+    types = [pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
+    names = ["bucket", "digest", "keep_id", "keep_rid", "group_size", "capacity", "filter", "n_buckets"]
+
+    def rows(number: int, bucket: Bucket, n_buckets: int) -> pa.RecordBatch:
+        out = [(number, d, *keep, size, None, None, n_buckets) for d, keep, size in bucket.entries()]
+        out.append((number, None, None, None, None, bucket.filter.capacity, bytes(bucket.filter.table), n_buckets))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types, strict=True)], names=names)
+
+    now, bucket, of = None, Bucket(), 0
+    for batch in slices(batches):
+        for number, action, digest, keep_id, keep_rid, size, capacity, table, n_buckets in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if number != now:
                 if now is not None:
-                    yield from rows(now, bucket)
-                now, bucket = number, Bucket()
+                    yield rows(now, bucket, of)
+                now, bucket, of = number, Bucket(), n_buckets
             if action == FILTER:
                 bucket.load(capacity, table)
             elif action == ENTRY:
-                bucket.entries[digest] = [(keep_id, keep_rid), size]
+                bucket.store(digest, (keep_id, keep_rid), size)
             elif action == DELETE:
                 bucket.delete(digest)
             else:
                 bucket.upsert(digest, (keep_id, keep_rid), size)
     if now is not None:
-        yield from rows(now, bucket)
+        yield rows(now, bucket, of)
 
 
-def update_index(index: DataFrame | None, inserts: DataFrame, deletes: DataFrame | None = None, n_buckets: int = 1) -> DataFrame:
-    """Apply deletions, then insertions, to an index (None: a new one) with n_buckets buckets.
+def update_index(index: DataFrame | None, inserts: DataFrame, deletes: DataFrame | None = None, n_buckets: int | None = None) -> DataFrame:
+    """Apply deletions, then insertions, to an index (None: a new one with n_buckets buckets).
 
     inserts: digest binary, keep_id, keep_rid, group_size; deletes: digest binary.
-    The result has one row for each live digest and one with each bucket's filter.
+    The result has one row for each live digest and one with each bucket's filter. An index keeps its number of
+    buckets; another n_buckets is an error.
     """
+    stored = None if index is None else index.agg(F.max("n_buckets")).first()[0]
+    if stored is not None and n_buckets not in (None, stored):
+        raise ValueError(f"the index has {stored} buckets, not {n_buckets}")
+    n_buckets = stored or n_buckets or 1
     bucket = F.pmod(F.xxhash64("digest"), F.lit(n_buckets)).cast("int").alias("bucket")
     none = [F.lit(None).cast("int").alias("capacity"), F.lit(None).cast("binary").alias("filter")]
     stream = inserts.select(bucket, F.lit(INSERT).alias("action"), "digest", "keep_id", "keep_rid", "group_size", *none)
@@ -184,7 +221,8 @@ def update_index(index: DataFrame | None, inserts: DataFrame, deletes: DataFrame
     if index is not None:
         action = F.when(F.col("digest").isNull(), FILTER).otherwise(ENTRY).alias("action")
         stream = stream.unionByName(index.select("bucket", action, "digest", "keep_id", "keep_rid", "group_size", "capacity", "filter"))
-    return stream.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "action").mapInArrow(_update, INDEX_SCHEMA)
+    stream = stream.withColumn("n_buckets", F.lit(n_buckets))
+    return stream.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "action", "digest").mapInArrow(_update, INDEX_SCHEMA)
 
 
 def entries(index: DataFrame) -> DataFrame:
@@ -220,8 +258,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup drops; same columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("__llm_id"), F.unhex("text_sha256").alias("__llm_digest"))
-    own = docs.withColumn("__llm_own", digests(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("__llm_id")) & (F.col("__llm_own") == F.col("__llm_digest"))
-    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__llm_own"]).drop("__llm_own")
+    """docs without the rows that exact_dedup drops; same columns. Texts are moved once: the row that stays is looked up,
+    and one of equal rows picked, by the same key of id and digest."""
+    key = lambda doc_id, digest: F.concat(digest, F.coalesce(doc_id.cast("string"), F.lit("-")).cast("binary"))
+    kept = exact_dedup(docs).where("kept").select(key(F.col("doc_id"), F.unhex("text_sha256")).alias("__llm_key"))
+    own = docs.withColumn("__llm_key", key(F.col("doc_id"), digests(F.col("text"))))
+    return own.join(kept, "__llm_key", "left_semi").dropDuplicates(["__llm_key"]).select(*docs.columns)

@@ -3,66 +3,63 @@
 Two texts link when their sets of word shingles have a Jaccard similarity of
 PERCENT / 100 or more. The join is exact up to collisions of 64-bit hashes.
 
-1. Count in how many distinct texts each shingle occurs, for the quarter of
-   hash space that nearly all prefixes lie in. Two bitmaps of bounded size tell
-   from then on which shingles are shared and which are frequent.
-2. Prefix filter: linked texts share one of their first n - ceil(.85 n) + 1
-   shingles in any common order. The order here puts frequent shingles last, so
-   that common passages hardly make candidates; shingles that no other text
-   has are left out. A text with more of those than a linked text can have, or
-   without a key left, is done; that is most texts.
-3. Texts of like size that share a key are neighbours; components of neighbours are
-   clusters, and no link leaves a cluster. Each cluster gathers its whole sets once, in
-   blocks of bounded size. A block builds a signature tree - inner nodes hold the
-   union of bitmaps below and the range of sizes - and a dual traversal drops node
-   pairs whose largest possible overlap is too small, or whose texts are already
-   in one component. What is left is verified at once. Most clusters are one block
-   and done.
-4. Of a larger cluster the blocks, dealt by the texts' most frequent key, only
-   connect what they hold. What is still apart meets key by key: every key whose texts are
-   not all in one component brings these together again, now as bitmaps only, and
-   the traversal gives pairs between components that may link, which are verified
-   on the whole sets. A key with many texts is dealt into blocks, and every two
-   blocks meet in a task of their own, but for those that hold nothing outside
-   the key's largest component.
-
-Scale: equal texts count as one from the start, so copies cost one row each; no
-group's pairs are listed; the components come from label propagation on slim
-tables that are written each round.
+1. Parts as keys. Of two linked texts at most most_apart(n) shingles are in one
+   only. The hash space is cut into more parts than that, so some parts hold the
+   same shingles in both texts; what a part holds, hashed, is a key. Linked texts
+   share one of their first most_apart + 1 keys in any common order, so only
+   these are looked up; the order puts parts with most shingles first, which texts
+   hardly ever share by chance, common passages and frequent words or not. The
+   number of parts is a power of two, and the smaller text of a pair brings its
+   keys for the next number as well if the larger one can have that. A text with
+   too few parts that hold anything also brings its first shingles alone.
+2. One shuffle of (key, text) by key finds the texts that share a key; their
+   components are clusters, and no link leaves a cluster. Most texts share none
+   and are done.
+3. The texts of each cluster meet in blocks of bounded size. A block builds a
+   signature tree - inner nodes hold the union of bitmaps below and the range of
+   sizes - and a dual traversal drops node pairs whose largest possible overlap is
+   too small, or whose texts are already in one component. What is left is
+   verified on the whole sets at once. Nearly all clusters are one block.
+4. A larger cluster is cut anew: of its texts all keys are counted, each text
+   keeps its rarest most_apart + 1, and texts that only a common passage held
+   together fall apart. Of a cluster that is still larger the blocks, dealt by the
+   texts' most frequent key, connect what they hold; then every key whose texts are
+   not all in one component brings these together, any two of its blocks in a task
+   of their own, but for blocks that hold nothing outside its largest component.
+
+Scale: the shuffle of keys grows with the texts and nothing else. Equal texts count
+once in each task from the start, and a key that many texts of a task share is
+sent once from there, so copies, near copies and common passages cost each task one
+row. No pair of a group is listed; components come from star contraction on slim
+tables that are written each round, the last one replacing the one before.
 
 Edge cases: null or empty text has an empty set and is linked with nothing; a
 text of fewer words than a shingle is one shingle; null doc_ids are ignored in
-the smallest id of a component unless there is no other; other columns of the
-input are ignored.
+the smallest id of a component unless there is no other; repeated rows are rows
+of their own with the same result; a very long text is one set like any other and
+may fill a block by itself; an empty table gives an empty result; other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import bounded_batches, chunks, materialise
+from .common import chunks, discard, materialise, row_key, slices
 
 WIDTH = 4
 PERCENT = 85
-#: Share of hash space in which shingles are counted, as its upper bound.
-CUT = 1 << 62
-#: Shingles in so many texts are frequent: they come last in the order.
-FREQUENT = 8
-#: Bits of a bitmap for each shingle in it, and at most (16 MB).
-BITS_PER_KEY, MOST_BITS = 24, 1 << 27
-SLICES = (0, 12, 24, 35)
-#: A block's texts, and their shingles together, at most: they bound a task's time and memory (about 70 MB).
+#: A block's texts, and their shingles together, about: they bound a task's time and memory (some 70 MB).
 BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
-#: Texts of a block in the second round; two blocks meet in a task.
-MEET = 512
-CHUNK = 1_000_000
+#: Characters that are hashed together, and those whose texts look for shared keys before any are sent.
+CHUNK, WINDOW = 1_000_000, 8_000_000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,98 +115,118 @@ def signature(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and sets of some texts at a time; the last two columns of a batch are doc_id and text."""
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for a, b in chunks(["" if t is None else t for t in texts], CHUNK):
-            yield ids[a:b], shingle_sets(texts[a:b])
+def most_apart(n: np.ndarray) -> np.ndarray:
+    """How many shingles, at most, are in one only of two linked sets, one of which has n."""
+    return (100 - PERCENT) * (n + 100 * n // PERCENT) // (100 + PERCENT)
+
+
+def _bits(n: np.ndarray) -> np.ndarray:
+    """Sets of n shingles have 2 to that power parts: more than most_apart(n)."""
+    return np.frexp(most_apart(n).astype(float))[1].astype(np.int64)
+
+
+def part_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """set, tag, key, rank of all keys: the number of the set, which of its groups of keys, and the place therein by
+    most shingles. Linked sets share a key among the first most_apart + 1 of a group of each with the same tag."""
+    n = np.array([len(s) for s in sets], np.int64)
+    one, two = _bits(n), _bits(100 * n // PERCENT)
+    group = np.concatenate([np.flatnonzero(n), np.flatnonzero((n > 0) & (one != two))])
+    if not len(group):
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    bits = np.concatenate([one[n > 0], two[(n > 0) & (one != two)]])
+    flat = np.concatenate([sets[i] for i in group.tolist()])
+    at = np.repeat(np.arange(len(group)), n[group])
+    part = np.where(bits[at] > 0, flat >> np.minimum(64 - bits[at], 63).astype(np.uint64), np.uint64(0))
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (part[1:] != part[:-1])]))
+    held, own = np.diff(np.append(first, len(flat))), at[first]
+    key = _mix(np.add.reduceat(_mix(flat), first) + bits[own].astype(np.uint64))
+    order = np.lexsort((key, -held, own))
+    own, key = own[order], key[order]
+    begin = np.searchsorted(own, np.arange(len(group)))
+    found = [(group[own], bits[own], key, np.arange(len(own)) - begin[own])]
+    for i in group[np.bincount(own, minlength=len(group)) <= most_apart(n[group])].tolist():
+        plain = _mix(sets[i] ^ np.uint64(PLAIN))
+        found.append((np.full(len(plain), i), np.full(len(plain), -1), plain, np.arange(len(plain))))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
 
+#: Sets keys of single shingles apart from those of parts.
+PLAIN = 0x5DEECE66D
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+NODES = "sig binary, sid long, n long, ids array<long>, rows array<binary>, keys array<long>, near array<long>"
+_NODES = pa.schema([("sig", pa.binary()), ("sid", pa.int64()), ("n", pa.int64()), ("ids", pa.list_(pa.int64())), ("rows", pa.list_(pa.binary())), ("keys", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
+
+
+def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, row, text) to NODES: of each set in a window of texts its rows; where the set comes first in its
+    task also its keys, but for those that another set of the window has sent, and near: the sets that did."""
     seen: set[bytes] = set()
-    for _, sets in _sets(batches):
-        fresh = []
-        for s in sets:
-            if len(s) and (sig := signature(s)) not in seen:
-                seen.add(sig)
-                fresh.append(s[: np.searchsorted(s, np.uint64(CUT))])
-        if fresh:
-            keys, n = np.unique(np.concatenate(fresh), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int32))], names=["key", "n"])
-
-
-class Bitmap:
-    """Which keys are in a set: no false negatives, few false positives."""
-
-    def __init__(self, bits: np.ndarray, size: int):
-        self.bits, self.mask = bits, np.uint64(size - 1)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        hit = np.ones(len(keys), bool)
-        for s in SLICES:
-            at = (keys >> np.uint64(s)) & self.mask
-            hit &= ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
-        return hit
-
-    @classmethod
-    def of(cls, keys: DataFrame, n: int) -> Bitmap:
-        """From a column key of n rows, put together by Spark; MOST_BITS bound what comes to the driver."""
-        size = 1 << 15
-        while size < min(MOST_BITS, n * BITS_PER_KEY):
-            size *= 2
-        at = F.explode(F.array(*(F.shiftrightunsigned("key", s).bitwiseAND(size - 1) for s in SLICES))).alias("at")
-        parts = keys.select(at).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(32767)).alias("bits"))
-        bits = np.zeros(size // 8, np.uint8)
-        for r in parts.toLocalIterator():
-            bits[r.part * 4096 : r.part * 4096 + 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-        return cls(bits, size)
-
-
-def prefix_length(n: int) -> int:
-    return n - (PERCENT * n + 99) // 100 + 1
-
-
-NODES = "doc_id long, n long, sig binary, keys array<long>, shingles array<long>"
-
-
-def nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, n, sig of every row; the first row of a set in its task has also keys (its prefix as far as
-    it is shared) and shingles if there are keys."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = materialise(texts.mapInArrow(_count, "key long, n int").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "jaccard-shared")
-    sizes = counted.agg(F.count(F.lit(1)).alias("shared"), F.count(F.when(F.col("n") >= FREQUENT, 1)).alias("frequent")).first()
-    maps = spark.sparkContext.broadcast((Bitmap.of(counted, sizes.shared), Bitmap.of(counted.where(F.col("n") >= FREQUENT), sizes.frequent)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared, frequent = maps.value
-        seen: set[bytes] = set()
-        for ids, sets in _sets(batches):
-            below = [int(np.searchsorted(s, np.uint64(CUT))) for s in sets]
-            flat = np.concatenate([s[:b] for s, b in zip(sets, below, strict=True)] or [np.zeros(0, np.uint64)])
-            is_shared, is_frequent = shared(flat), frequent(flat)
-            at, out = 0, []
-            for doc_id, s, b in zip(ids, sets, below, strict=True):
+
+    def flush(own: dict[bytes, tuple]) -> pa.RecordBatch:
+        fresh = [sig for sig, x in own.items() if x[0] is not None and len(x[0])]
+        sids = np.array([_sid(sig) for sig in fresh], np.int64)
+        sets = [own[sig][0] for sig in fresh]
+        at, _, key, rank = part_keys(sets)
+        use = np.flatnonzero(rank <= most_apart(np.array([len(s) for s in sets], np.int64))[at])
+        use = use[np.argsort(at[use], kind="stable")]
+        at, key = at[use], key[use]
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        holder = at[first][which]
+        sent = np.zeros(len(key), bool)
+        sent[first] = True
+        mine = [key[sent][a:b].view(np.int64) for a, b in _runs(at[sent], len(fresh))]
+        other = np.unique(np.stack([at, holder], 1)[holder != at], axis=0)
+        near = [sids[other[a:b, 1]] for a, b in _runs(other[:, 0], len(fresh))]
+        place = {sig: i for i, sig in enumerate(fresh)}
+        columns = [list(own), [_sid(sig) for sig in own], [x[1] for x in own.values()], [x[2] for x in own.values()], [x[3] for x in own.values()]]
+        columns += [[x[place[sig]] if sig in place else None for sig in own] for x in (mine, near)]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, _NODES.types, strict=True)], schema=_NODES)
+
+    own: dict[bytes, tuple] = {}
+    size = 0
+    for batch in slices(batches):
+        doc_ids, rows, texts = (c.to_pylist() for c in batch.columns)
+        for a, b in chunks(["" if t is None else t for t in texts], CHUNK):
+            for i, s in enumerate(shingle_sets(texts[a:b]), a):
                 sig = signature(s)
-                keys = None
-                if len(s) and sig not in seen:
+                if sig not in own:
+                    own[sig] = (None if sig in seen else s, len(s), [], [])
                     seen.add(sig)
-                    late, known = np.zeros(len(s), bool), np.ones(len(s), bool)
-                    late[:b], known[:b] = is_frequent[at : at + b], is_shared[at : at + b]
-                    # A linked text shares all but this many shingles with one other text.
-                    spare = prefix_length(len(s)) - 1
-                    if b - int(known[:b].sum()) <= spare:
-                        first = np.argsort(late, kind="stable")[: spare + 1]
-                        keys = s[first][known[first]]
-                at += b
-                some = keys is not None and len(keys) > 0
-                out.append((doc_id, len(s), sig, keys.view(np.int64) if some else None, s.view(np.int64) if some else None))
-            schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("keys", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*out), schema.types, strict=True)], schema=schema)
-
-    return materialise(texts.mapInArrow(run, NODES), "jaccard-nodes")
+                own[sig][2].append(doc_ids[i])
+                own[sig][3].append(rows[i])
+                size += len(texts[i] or "") + 100
+            if size >= WINDOW:
+                yield flush(own)
+                own, size = {}, 0
+    if own:
+        yield flush(own)
+
+
+def _sid(sig: bytes) -> int:
+    """A short name that different sets have in common by rare chance only, which costs a comparison."""
+    return int.from_bytes(sig[:8], "little", signed=True)
+
+
+def _runs(numbers: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Where each of 0..n-1 begins and ends in sorted numbers."""
+    cuts = np.searchsorted(numbers, np.arange(n + 1)).tolist()
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
+def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, sid) sorted by key to edges a, b: each sid with the first one of its key."""
+    last, hub = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, sid = (np.asarray(c) for c in batch.columns)
+        begin = np.concatenate([[key[0] != last], key[1:] != key[:-1]])
+        at = np.maximum.accumulate(np.where(begin, np.arange(len(key)), -1))
+        head = np.where(at >= 0, sid[np.maximum(at, 0)], sid[0] if hub is None else hub)
+        last, hub = key[-1], head[-1]
+        found = np.unique(np.stack([sid, head], 1)[sid != head], axis=0)
+        if len(found):
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
 
 
 class Union:
@@ -329,69 +346,8 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int, with_key: bool = False) -> Iterator:
-    """Runs of rows with the same first columns, of a sorted stream."""
-    now, rows = None, []
-    for batch in batches:
-        columns = [c.to_pylist() if not pa.types.is_list(c.type) else [np.asarray(x.values) for x in c] for c in batch.columns]
-        for row in zip(*columns, strict=True):
-            if row[:n_keys] != now:
-                if rows:
-                    yield (now, rows) if with_key else rows
-                now, rows = row[:n_keys], []
-            rows.append(row[n_keys:])
-    if rows:
-        yield (now, rows) if with_key else rows
-
-
-def _by_component(components: list[bytes]) -> Union:
-    union = Union(len(components))
-    first: dict[bytes, int] = {}
-    for i, c in enumerate(components):
-        union.join(i, first.setdefault(c, i))
-    return union
-
-
-def _pairs_batch(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
-
-
-def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, block, sig, shingles) to a, b: each that links in its block, with the least of its component there."""
-    for rows in _groups(batches, 2):
-        sets = [r[1].view(np.uint64) for r in rows]
-        bits = [int.from_bytes(bitmap(s, bits_for(len(s))), "little") for s in sets]
-        union = Union(len(rows))
-        for i, j in may_link([len(s) for s in sets], bits, union):
-            if union.find(i) != union.find(j) and linked(sets[i], sets[j]):
-                union.join(i, j)
-        least: dict[int, bytes] = {}
-        for i, r in enumerate(rows):
-            at = union.find(i)
-            least[at] = min(r[0], least.get(at, r[0]))
-        found = [(r[0], least[union.find(i)]) for i, r in enumerate(rows) if r[0] != least[union.find(i)]]
-        if found:
-            yield _pairs_batch(found)
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, low, high, side, sig, n, comp, bits) to pairs (a, b) of different components that may link: of all
-    rows if low is high, else across the sides."""
-    for (_, low, high), rows in _groups(batches, 3, with_key=True):
-        union = _by_component([r[3] for r in rows])
-        bits = [int.from_bytes(r[4], "little") for r in rows]
-        found = []
-        for i, j in may_link([r[2] for r in rows], bits, union, None if low == high else [r[0] for r in rows]):
-            found.append((min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])))
-            if len(found) >= 10_000:
-                yield _pairs_batch(found)
-                found = []
-        if found:
-            yield _pairs_batch(found)
-
-
 def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the least node of its component) of all nodes in edges (a, b); both binary.
+    """node, comp (the least node of its component) of all nodes in edges (a, b).
 
     Large-star and small-star steps in turn, until every node hangs on one root.
     """
@@ -404,7 +360,7 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: every smaller neighbour, and the node, to the least of them.
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        now = materialise(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "jaccard-edges")
+        now = materialise(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "jaccard-edges", now)
     return with_roots(now.select(F.col("u").alias("node"), F.col("v").alias("comp")))
 
 
@@ -419,97 +375,182 @@ def with_roots(labels: DataFrame) -> DataFrame:
     return labels.unionByName(labels.select(F.col("comp").alias("node"), "comp").distinct())
 
 
-def _in_tasks(rows: DataFrame, keys: list[str], run, name: str) -> DataFrame:
-    """a, b of run over the rows, those of the same keys together."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialise(rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary"), name)
+#: A set's name: whether it has no doc_id, its least one, its signature. Names sort by these, so the least name of a
+#: component has the component's id.
+def _name(least: Column, sig: Column) -> Column:
+    number = F.lpad(F.hex(F.coalesce(least, F.lit(0).cast("long")).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.unhex(F.concat(F.when(least.isNull(), "01").otherwise("00"), number)), sig)
+
+
+def _id_of(name: Column) -> Column:
+    number = F.conv(F.hex(F.substr(name, F.lit(2), F.lit(8))), 16, 10).cast("decimal(20,0)") - F.lit(str(1 << 63)).cast("decimal(20,0)")
+    return F.when(F.hex(F.substr(name, F.lit(1), F.lit(1))) == "00", number.cast("long"))
 
 
-def _n_blocks():
+def _connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, low, high, side, name, comp, text) to a, b: each name that links in its block, with the least of
+    its component there. Rows of the same comp are known to be connected; where high is not low, only the sides meet."""
+
+    def connected(rows: dict[bytes, tuple], across: bool) -> pa.RecordBatch | None:
+        names, sets = list(rows), [x[2] for x in rows.values()]
+        union, first = Union(len(rows)), {}
+        for i, x in enumerate(rows.values()):
+            union.join(i, first.setdefault(x[1], i))
+        bits = [int.from_bytes(bitmap(s, bits_for(len(s))), "little") for s in sets]
+        for i, j in may_link([len(s) for s in sets], bits, union, [x[0] for x in rows.values()] if across else None):
+            if union.find(i) != union.find(j) and linked(sets[i], sets[j]):
+                union.join(i, j)
+        least: dict[int, bytes] = {}
+        for i, name in enumerate(names):
+            at = union.find(i)
+            least[at] = min(name, least.get(at, name))
+        found = [(name, least[union.find(i)]) for i, name in enumerate(names) if name != least[union.find(i)]]
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], names=["a", "b"]) if found else None
+
+    now, rows = None, {}
+    for batch in slices(batches):
+        *columns, texts = (c.to_pylist() for c in batch.columns)
+        cuts = list(chunks(["" if t is None else t for t in texts], CHUNK))
+        sets = (s for a, b in cuts for s in shingle_sets(texts[a:b]))
+        for cluster, low, high, side, name, comp, s in zip(*columns, sets, strict=True):
+            if (cluster, low, high) != now:
+                if len(rows) > 1 and (found := connected(rows, now[1] != now[2])):
+                    yield found
+                now, rows = (cluster, low, high), {}
+            if len(s) and signature(s) == name[-16:]:
+                rows[name] = (side, comp, s)
+    if len(rows) > 1 and (found := connected(rows, now[1] != now[2])):
+        yield found
+
+
+MEETING = ["cluster", "low", "high", "side", "name", "comp"]
+
+
+def _meet(rows: DataFrame, texts: DataFrame, on: str) -> DataFrame:
+    """a, b that _connect finds among rows (MEETING and the column that texts are found by)."""
+    met = rows.join(texts, on).select(*MEETING, "text")
+    keys = MEETING[:3]
+    return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_connect, "a binary, b binary")
+
+
+def _whole(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows (cluster, name) as one block for each cluster."""
+    zero = F.lit(0).cast("long")
+    return rows.select(F.col("cluster").cast("string").cast("binary").alias("cluster"), zero.alias("low"), zero.alias("high"), F.lit(False).alias("side"), "name", F.col("name").alias("comp"), *more)
+
+
+def _n_blocks() -> Column:
     """Blocks that rows with n shingles each need."""
     return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
 
 
-def linked_sets(own: DataFrame) -> DataFrame:
-    """node, comp of all sets (by sig) that are linked with another; own as nodes() gives it."""
-    # Linked sets lie in the same or in neighbouring bands of size; a key keeps bands that can't link apart.
-    band = F.floor(F.log("n") / F.lit(1.001 * math.log(100 / PERCENT)))
-    rows = own.where(F.col("keys").isNotNull()).select("sig", "n", F.explode(F.array(band, band + 1)).alias("band"), "keys")
-    rows = rows.select("sig", "n", "band", F.explode("keys").alias("key")).select("sig", "n", F.xxhash64("key", "band").alias("key")).distinct()
-    rows = materialise(rows, "jaccard-keys")
-    hubs = rows.groupBy("key").agg(F.min("sig").alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    rows = materialise(rows.join(hubs, "key"), "jaccard-groups")
-    clusters = components(rows.select(F.col("sig").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("sig"), F.col("comp").alias("cluster"))
-    sizes = rows.groupBy("sig").agg(F.max("n").alias("n"))
-    clusters = clusters.join(sizes, "sig")
-    clusters = materialise(clusters.join(clusters.groupBy("cluster").agg(_n_blocks()), "cluster"), "jaccard-clusters")
-    sets = own.where(F.col("shingles").isNotNull()).select("sig", "shingles").join(clusters.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
-    sets = materialise(sets, "jaccard-sets")
-
-    large = clusters.where("blocks > 1").select("sig")
-    rows_of_large = rows.join(large, "sig", "left_semi")
-    # In a large cluster texts meet by their most frequent key, in as many blocks as its texts need.
-    top = rows_of_large.groupBy("sig").agg(F.max(F.struct("df", "key")).alias("top"), F.max("n").alias("n")).select("sig", "n", F.col("top.key").alias("top"))
-    counted = top.groupBy("top").agg(_n_blocks())
-    by_key = top.join(counted, "top").select(F.col("top").cast("string").cast("binary").alias("cluster"), F.pmod(F.xxhash64("sig"), F.col("blocks")).alias("block"), "sig")
-    whole = clusters.where("blocks = 1").select("cluster", F.lit(0).cast("long").alias("block"), "sig")
-    blocks = whole.unionByName(by_key).join(sets, "sig").select("cluster", "block", "sig", "shingles")
-    first = _in_tasks(blocks, ["cluster", "block"], _connect, "jaccard-first")
+def _large(rows: DataFrame) -> DataFrame:
+    """cluster, blocks of those that need several; few, and written, so Spark knows how few."""
+    return materialise(rows.groupBy("cluster").agg(_n_blocks()).where("blocks > 1"), "jaccard-large")
+
+
+def linked_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, comp (names) of all sets that are linked with another; nodes: NODES; docs: row, text."""
+    keyed = nodes.where(F.col("keys").isNotNull()).select(F.explode("keys").alias("key"), "sid")
+    shared = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_sharing, "a long, b long")
+    edges = nodes.select(F.col("sid").alias("a"), F.explode("near").alias("b")).unionByName(shared)
+    clusters = components(edges).select(F.col("node").alias("sid"), F.col("comp").alias("cluster"))
+    met = nodes.where("n > 0").select("sid", "sig", "n", F.array_min("ids").alias("least"), F.get("rows", F.lit(0)).alias("row")).join(clusters, "sid")
+    sets = met.groupBy("cluster", "sig").agg(F.first("n").alias("n"), F.min("least").alias("least"), F.min("row").alias("row"))
+    sets = materialise(sets.select("cluster", _name(F.col("least"), F.col("sig")).alias("name"), "n", "row"), "jaccard-sets")
+    large = _large(sets)
+    small = sets if large.isEmpty() else sets.join(large, "cluster", "left_anti")
+    done = materialise(_meet(_whole(small, "row"), docs, "row"), "jaccard-first")
     # What a cluster of one block has found is final.
-    labels = first.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    labels = with_roots(done.select(F.col("a").alias("node"), F.col("b").alias("comp")))
     if large.isEmpty():
-        return with_roots(labels)
-    in_large = F.col("a") == F.col("sig")
-    begun = materialise(first.join(large, in_large, "left_semi"), "jaccard-begun")
-    done = with_roots(first.join(large, in_large, "left_anti").select(F.col("a").alias("node"), F.col("b").alias("comp")))
-    links = begun.unionByName(_between(rows_of_large.select("sig", "n", "key"), sets, begun))
-    return done.unionByName(components(links))
-
-
-def _between(rows: DataFrame, sets: DataFrame, first: DataFrame) -> DataFrame:
-    """Links between components of first, among rows (sig, n, key): key by key, as far as texts are still apart."""
-    known = components(first).withColumnRenamed("node", "sig")
-    rows = materialise(rows.join(known, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "jaccard-rows")
-    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("count"))
-    apart = per.groupBy("key").agg(F.sum("count").alias("total"), F.max(F.struct("count", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-
-    @F.arrow_udf("binary")
-    def bits(shingles: pa.Array) -> pa.Array:
-        return pa.array([bitmap(x := np.asarray(s.values), bits_for(len(x))) for s in shingles], pa.binary())
-
-    maps = materialise(sets.join(rows.select("sig").distinct(), "sig", "left_semi").select("sig", bits("shingles").alias("bits")), "jaccard-bits")
-    # Blocks of the key's largest component come behind the others', and don't meet each other.
-    others, most = F.ceil((F.col("total") - F.col("top.count")) / MEET), F.ceil(F.col("top.count") / MEET)
-    is_top, small = F.col("comp") == F.col("top.comp"), F.col("total") <= MEET
-    block = F.when(small, F.lit(0).cast("long")).when(is_top, others + F.pmod(F.xxhash64("sig"), most)).otherwise(F.pmod(F.xxhash64("sig"), others))
+        return labels
+    own = sets.join(large, "cluster", "left_semi")
+    own = materialise(own.join(docs, "row").select("name", "n", "text").dropDuplicates(["name"]), "jaccard-large-texts")
+    return labels.unionByName(components(_cut_anew(own)))
+
+
+def _every_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (name, text) to name, tag, most (keys of the tag that are looked up), key."""
+    for batch in slices(batches):
+        names, texts = (c.to_pylist() for c in batch.columns)
+        for a, b in chunks(texts, CHUNK):
+            sets = shingle_sets(texts[a:b])
+            at, tag, key, _ = part_keys(sets)
+            most = most_apart(np.array([len(s) for s in sets], np.int64))[at] + 1
+            yield pa.RecordBatch.from_arrays([pa.array([names[a + i] for i in at.tolist()], pa.binary()), pa.array(tag), pa.array(most), pa.array(key.view(np.int64))], names=["name", "tag", "most", "key"])
+
+
+def _cut_anew(own: DataFrame) -> DataFrame:
+    """Edges a, b of the links among sets of large clusters (name, n, text)."""
+    every = materialise(own.select("name", "text").mapInArrow(_every_key, "name binary, tag long, most long, key long"), "jaccard-every")
+    counted = every.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    rarest = F.row_number().over(W.partitionBy("name", "tag").orderBy("df", "key"))
+    rows = every.join(counted, "key", "left").withColumn("df", F.coalesce("df", F.lit(1).cast("long"))).withColumn("nth", rarest).where("nth <= most and df > 1")
+    rows = materialise(rows.select("name", "key", "df").distinct(), "jaccard-rarest")
+    hubs = rows.groupBy("key").agg(F.min("name").alias("hub"))
+    clusters = components(rows.join(hubs, "key").select(F.col("name").alias("a"), F.col("hub").alias("b"))).select(F.col("node").alias("name"), F.col("comp").alias("cluster"))
+    sets = materialise(clusters.join(own.select("name", "n"), "name"), "jaccard-cut")
+    large = _large(sets)
+    texts = own.select("name", "text")
+    found = materialise(_meet(_whole(sets.join(large, "cluster", "left_anti").select(F.hex("cluster").alias("cluster"), "name")), texts, "name"), "jaccard-cut-links")
+    if large.isEmpty():
+        return found
+    still = sets.join(large, "cluster", "left_semi").select("name", "n")
+    return found.unionByName(_key_by_key(rows.join(still, "name"), texts))
+
+
+def _key_by_key(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges a, b of the links among sets (name, n, key, df), which fill several blocks."""
+    top = rows.groupBy("name").agg(F.max_by("key", F.struct("df", "key")).alias("key"), F.first("n").alias("n"))
+    dealt = top.join(top.groupBy("key").agg(_n_blocks()), "key").withColumn("low", F.pmod(F.xxhash64("name"), F.col("blocks")))
+    cluster = F.col("key").cast("string").cast("binary").alias("cluster")
+    first = dealt.select(cluster, "low", F.col("low").alias("high"), F.lit(False).alias("side"), "name", F.col("name").alias("comp"))
+    first = materialise(_meet(first, texts, "name"), "jaccard-begun")
+    known = components(first).withColumnRenamed("node", "name")
+    rows = materialise(rows.join(known, "name", "left").withColumn("comp", F.coalesce("comp", "name")), "jaccard-rows")
+    per = rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("n"))
+    apart = per.groupBy("key").agg(F.sum("count").alias("total"), F.sum("n").alias("weight"), F.max(F.struct("count", "n", "comp")).alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    # Two blocks meet in a task, so each is half of one; those of the key's largest component don't meet each other.
+    halves = lambda count, n: F.ceil(F.greatest(2 * count / BLOCK, 2 * n / BLOCK_SHINGLES))
+    others, most = halves(F.col("total") - F.col("top.count"), F.col("weight") - F.col("top.n")), halves(F.col("top.count"), F.col("top.n"))
+    is_top, small = F.col("comp") == F.col("top.comp"), (F.col("total") <= BLOCK) & (F.col("weight") <= BLOCK_SHINGLES)
+    block = F.when(small, F.lit(0).cast("long")).when(is_top, others + F.pmod(F.xxhash64("name"), most)).otherwise(F.pmod(F.xxhash64("name"), others))
     partners = F.sequence(F.lit(0).cast("long"), F.when(small, F.lit(0)).when(is_top, others - 1).otherwise(others + most - 1))
     dealt = rows.join(apart, "key").withColumn("block", block).withColumn("other", F.explode(partners))
-    dealt = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("side"), "sig", "n", "comp")
-    met = dealt.join(maps, "sig").select("key", "low", "high", "side", "sig", "n", "comp", "bits")
-    pairs = materialise(_in_tasks(met, ["key", "low", "high"], _candidates, "jaccard-candidates").distinct(), "jaccard-pairs")
+    met = dealt.select(cluster, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") > F.col("other")).alias("side"), "name", "comp")
+    return first.unionByName(materialise(_meet(met, texts, "name"), "jaccard-second"))
 
-    @F.arrow_udf("boolean")
-    def verified(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([linked(np.asarray(a.values).view(np.uint64), np.asarray(b.values).view(np.uint64)) for a, b in zip(x, y, strict=True)], pa.bool_())
 
-    left = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("y"))
-    return materialise(pairs.join(left, "a").join(right, "b").where(verified("x", "y")).select("a", "b"), "jaccard-second")
+def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """NODES, and sets (sig, least, name, root: the name that its component goes by, best: null_id, doc_id, row of the row
+    that may stay) of all but empty ones."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row"), "text")
+    nodes = materialise(own.mapInArrow(_nodes, NODES), "jaccard-nodes")
+    labels = materialise(linked_sets(nodes, own.select("row", "text")), "jaccard-components")
+    best = F.array_min(F.transform(F.arrays_zip("ids", "rows"), lambda x: F.struct(x["ids"].isNull().alias("null_id"), x["ids"].alias("doc_id"), x["rows"].alias("row"))))
+    sets = nodes.where("n > 0").select("sig", best.alias("best")).groupBy("sig").agg(F.min("best").alias("best"))
+    sets = sets.withColumn("name", _name(F.col("best.doc_id"), F.col("sig")))
+    labels = labels.select(F.substr("node", F.lit(10), F.lit(16)).alias("sig"), F.col("comp").alias("root"))
+    return nodes, sets.join(labels, "sig", "left").withColumn("root", F.coalesce("root", "name"))
 
 
 def jaccard(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, sig of each row."""
-    bounded_batches(docs.sparkSession)
-    own = nodes(docs)
-    labels = materialise(linked_sets(own), "jaccard-components")
-    labelled = own.select("doc_id", "n", "sig").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-    labelled = materialise(labelled, "jaccard-labelled")
-    least = labelled.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    joined = labelled.join(least, "comp", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "sig")
+    """doc_id, n_shingles, component_id of each row."""
+    nodes, sets = _sets(docs)
+    joined = nodes.select("sig", "n", F.explode("ids").alias("doc_id")).join(sets.select("sig", "root"), "sig", "left")
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, _id_of(F.col("root"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, that of the smallest doc_id; same columns. Equal texts should be gone before."""
-    kept = jaccard(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__llm_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__llm_id")), "left_semi")
+    """docs with one row of each component, that of the smallest doc_id, and with all rows without words; same columns.
+
+    Rows are told apart by id and text together, so repeated and null ids are no trouble; of several texts with a
+    component's smallest id one stays, and of rows that agree in both any one. Texts are moved once.
+    """
+    nodes, sets = _sets(docs)
+    kept = sets.where(F.col("root") == F.col("name")).select(F.col("best.row").alias("__llm_row"), F.lit(False).alias("__llm_bare"))
+    kept = kept.unionByName(nodes.where("n = 0").select(F.explode("rows").alias("__llm_row"), F.lit(True).alias("__llm_bare")).distinct())
+    own = docs.withColumn("__llm_row", row_key(F.col("doc_id"), F.col("text"))).join(kept, "__llm_row")
+    nth = F.when(F.col("__llm_bare"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return own.withColumn("__llm_nth", nth).dropDuplicates(["__llm_row", "__llm_nth"]).select(*docs.columns)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded_batches, materialise
+from .common import materialise, slices
 
 SEQUENCE = 4096
 END = 1
@@ -144,25 +144,23 @@ def encoder(path: str) -> WordEncoder:
 
 def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, size: int = SEQUENCE, end: int = END) -> DataFrame:
     """Tokenised pieces of at most size ids, with their task and rank among its pieces of that length."""
-    bounded_batches(docs.sparkSession)
     tail = int(end).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task = encoder(public_tokenizers.path(tokenizer)), TaskContext.get().partitionId()
         ranks = np.zeros(size + 1, np.int64).tolist()
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("task", pa.int32()), ("rank", pa.int64())])
-        for batch in batches:
+        for batch in slices(batches):
+            rows = []
             doc_ids, texts = (c.to_pylist() for c in batch.columns)
-            for lo in range(0, len(texts), 500):
-                rows = []
-                for doc_id, raw in zip(doc_ids[lo : lo + 500], own.encode([t or "" for t in texts[lo : lo + 500]]), strict=True):
-                    raw += tail
-                    for n, at in enumerate(range(0, len(raw), 4 * size)):
-                        part = raw[at : at + 4 * size]
-                        length = len(part) // 4
-                        rows.append((doc_id, n, at // 4, length, part, task, ranks[length]))
-                        ranks[length] += 1
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
+            for doc_id, raw in zip(doc_ids, own.encode([t or "" for t in texts]), strict=True):
+                raw += tail
+                for n, at in enumerate(range(0, len(raw), 4 * size)):
+                    part = raw[at : at + 4 * size]
+                    length = len(part) // 4
+                    rows.append((doc_id, n, at // 4, length, part, task, ranks[length]))
+                    ranks[length] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types, strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
 
@@ -209,7 +207,7 @@ class Available:
         first = np.flatnonzero(self.there[:gap])[::-1]
         rest = gap - first
         even = (rest % 2 == 0) & (self.counts[rest // 2] > 1)
-        for c in first[(self.pairs[rest] > 0) | even][:64].tolist():
+        for c in first[(self.pairs[rest] > 0) | even].tolist():
             if self.left(c, used) > 0 and (found := self.pair(gap - c, used | {c: used.get(c, 0) + 1})):
                 return (c, *found)
         return None

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import slices
 
 #: Labelled rows of each class that the model is fitted on, at most.
 PER_CLASS = 2_000
@@ -53,7 +53,7 @@ def features(word: str) -> tuple[int, int]:
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """toxic, text to toxic, lens (features of each sentence) and ids."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for toxic, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             bags = [sorted({i for w in set(WORD.findall(s.lower())) for i in features(w)}) for s in SENTENCE.findall(text or "")]
@@ -79,7 +79,6 @@ def sample(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> np.ndarray:
     """DIM weights and the bias."""
-    bounded_batches(docs.sparkSession)
     rows = sample(docs, labels, usable).mapInArrow(_featurise, "toxic int, lens array<int>, ids array<int>").toPandas()
     return fit_bags(list(rows.toxic), list(rows.lens), list(rows.ids))
 

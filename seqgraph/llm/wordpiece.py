@@ -26,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import slices
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -115,11 +115,10 @@ def automaton(model: str) -> tuple[Automaton, dict[bytes, int]]:
 
 def counts(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, n_words, n_tokens."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, known = automaton(model)
-        for batch in batches:
+        for batch in slices(batches):
             n_words, n_tokens = [], []
             for text in batch.column(1).to_pylist():
                 words = (text or "").encode("utf-8", "surrogatepass").split()

@@ -66,7 +66,6 @@ def test_like_brute_force(spark, case):
 
 def test_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(J, "BLOCK", 8)
-    monkeypatch.setattr(J, "MEET", 6)
     rows = corpus(5, 3, [40], 4, 10)
     assert answer(spark, rows) == brute(rows)
     # Chains of passages that several texts share, around near copies.
@@ -120,3 +119,83 @@ def test_components(spark):
     edges = [(b"e", b"d"), (b"d", b"c"), (b"c", b"b"), (b"b", b"a"), (b"z", b"y"), (b"x", b"z")]
     found = dict((bytes(r.node), bytes(r.comp)) for r in J.components(spark.createDataFrame(edges, "a binary, b binary")).collect())
     assert found == {b"a": b"a", b"b": b"a", b"c": b"a", b"d": b"a", b"e": b"a", b"x": b"x", b"y": b"x", b"z": b"x"}
+
+
+def kept_by_brute_force(rows):
+    """The texts that stay of each component, and all rows without words."""
+    sets = [shingles(t) for _, t in rows]
+    groups = {}
+    for i, (d, t) in enumerate(rows):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                groups.setdefault(i, set()).add(j)
+                groups.setdefault(j, set()).add(i)
+    seen, kept = set(), []
+    for i in range(len(rows)):
+        if not sets[i]:
+            kept.append(rows[i])
+            continue
+        if i in seen:
+            continue
+        todo, own = [i], set()
+        while todo:
+            k = todo.pop()
+            if k not in own:
+                own.add(k)
+                todo += groups.get(k, ())
+        seen |= own
+        ids = [rows[k][0] for k in own]
+        least = min((d is None, d or 0) for d in ids)
+        kept.append((least, [rows[k] for k in own if (rows[k][0] is None, rows[k][0] or 0) == least]))
+    return kept
+
+
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    near = lambda t, w: " ".join([*t[:-1], w])
+    rows = [
+        (2, " ".join(a)), (3, near(a, "x")), (3, " ".join(b)),  # a repeated id with another text
+        (None, near(a, "y")), (None, " ".join(c)), (None, near(c, "z")),  # null ids: one that is near, two near each other
+        (7, ""), (7, ""), (None, None), (8, " ".join(b)), (8, " ".join(b)),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = [(r.doc_id, r.text) for r in J.keep_one(docs).collect()]
+    expected = kept_by_brute_force(rows)
+    assert len(found) == len(expected)
+    for x in expected:
+        if isinstance(x[1], list):
+            assert len([f for f in found if f in x[1]]) == 1
+        else:
+            assert x in found
+    assert sorted(found, key=str) == sorted([(2, " ".join(a)), (3, " ".join(b)), (7, ""), (7, ""), (None, None)] + [f for f in found if f[1] and f[1][0] == "c"], key=str)
+
+
+def test_linked_sets_share_a_key():
+    rng = random.Random(8)
+    for n in [1, 2, 5, 6, 7, 11, 12, 13, 40, 79, 80, 200, 1000, 3000]:
+        base = sorted({rng.getrandbits(64) for _ in range(n)})
+        for _ in range(20):
+            # Of two sets, as many elements as may be are in one only.
+            other = set(base)
+            apart = rng.randint(0, 2 * int(J.most_apart(np.int64(n))))
+            for _ in range(apart):
+                if rng.random() < 0.5 and len(other) > 1:
+                    other.discard(rng.choice(base))
+                else:
+                    other.add(rng.getrandbits(64))
+            x, y = (np.array(sorted(s), np.uint64) for s in (base, other))
+            if J.linked(x, y):
+                at, tag, key, rank = J.part_keys([x, y])
+                use = rank <= J.most_apart(np.array([len(x), len(y)]))[at]
+                first, second = ({(t, k) for a, t, k in zip(at[use], tag[use], key[use], strict=True) if a == i} for i in (0, 1))
+                assert first & second, n
+
+
+def test_few_parts_are_made_up_for():
+    # All shingles lie in a few parts, so parts alone give too few keys.
+    x = np.arange(1, 101, dtype=np.uint64)
+    y = np.concatenate([x[:-4], np.arange(500, 504, dtype=np.uint64)])
+    at, tag, key, rank = J.part_keys([x, y])
+    assert J.linked(x, y) and -1 in tag
+    use = rank <= J.most_apart(np.array([100, 100]))[at]
+    assert {k for a, k in zip(at[use], key[use], strict=True) if a == 0} & {k for a, k in zip(at[use], key[use], strict=True) if a == 1}

@@ -51,9 +51,9 @@ def test_bucket_resizes_from_its_keys():
     keys = [rng.randbytes(32) for _ in range(2000)]
     for i, k in enumerate(keys * 2):
         own.upsert(k, (i, i), 1)
-    assert own.filter.capacity >= 2000 and all(k in own.filter for k in keys) and all(v == [(i + 2000, i + 2000), 2] for i, v in enumerate(own.entries.values()))
+    assert own.filter.capacity >= 2000 and all(k in own.filter for k in keys) and all(own.get(k) == [(i + 2000, i + 2000), 2] for i, k in enumerate(keys))
     own.delete(keys[0])
-    assert keys[0] not in own.entries
+    assert own.get(keys[0]) is None and sorted(d for d, _, _ in own.entries()) == sorted(keys[1:])
 
 
 def test_index_updates(spark):
@@ -63,6 +63,9 @@ def test_index_updates(spark):
     more = exact_dedup.update_index(index, frame([(bytes([5]) * 32, 99, 99, 4), (bytes([50]) * 32, 50, 50, 1)]), frame(rows[:2]).select("digest"), n_buckets=3)
     found = {bytes(r.digest)[0]: (r.keep_id, r.group_size) for r in exact_dedup.entries(more).collect()}
     assert len(found) == 19 and found[5] == (99, 5) and found[50] == (50, 1) and 0 not in found
+    assert sorted(d for d, in exact_dedup.update_index(more, frame([])).select("digest").where("digest is not null").collect()) == sorted(d for d, in more.select("digest").where("digest is not null").collect())
+    with pytest.raises(ValueError, match="3 buckets"):
+        exact_dedup.update_index(index, frame(rows), n_buckets=4)
 
 
 def test_dedup_edge_cases(spark):
