@@ -174,9 +174,10 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         holder = at[first][which]
         sent = np.zeros(len(key), bool)
         sent[first] = True
-        mine = [key[sent][a:b].view(np.int64) for a, b in _runs(at[sent], len(fresh))]
-        other = np.unique(np.stack([at, holder], 1)[holder != at], axis=0)
-        near = [sids[other[a:b, 1]] for a, b in _runs(other[:, 0], len(fresh))]
+        own_keys, other = key[sent].view(np.int64), np.unique(np.stack([at, holder], 1)[holder != at], axis=0)
+        mine = [own_keys[a:b] for a, b in _runs(at[sent], len(fresh))]
+        others = sids[other[:, 1]]
+        near = [others[a:b] for a, b in _runs(other[:, 0], len(fresh))]
         place = {sig: i for i, sig in enumerate(fresh)}
         columns = [list(own), [_sid(sig) for sig in own], [x[1] for x in own.values()], [x[2] for x in own.values()], [x[3] for x in own.values()]]
         columns += [[x[place[sig]] if sig in place else None for sig in own] for x in (mine, near)]
