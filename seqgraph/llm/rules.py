@@ -2,10 +2,10 @@
 
 Rules look at one document: words, symbols, repeated lines, repeated runs of
 WINDOW words. Lines are then compared across documents: each line is normalised
-(lower case, digits to 0, runs of white space to one) and hashed, the distinct
-texts of a host (source) that hold it are counted, and lines in more than the
-host's limit are removed. A document that keeps too few of its words is
-rejected as depleted.
+(lower case, digits to 0, runs of white space to one) and hashed, the documents
+of a host (source) that hold it are counted, and lines in more than LINE_DOCS of
+them are removed. A document that keeps too few of its words is rejected as
+depleted.
 
 Scale: one pass over the texts writes a slim table (numbers and line hashes);
 all the rest works on that. Counts are pre-aggregated before they are shuffled.
@@ -13,10 +13,11 @@ To find each document's frequent lines, its lines are first gathered by line
 and map partition, so a line that a third of all documents hold meets its count
 once for each partition, not once for each document.
 
-Edge cases: null text counts as no words and fails the rules; equal texts count
-as one document of their host, so copies alone make no line frequent; a null
-source is a host of its own; a null doc_id is treated as any other; other
-columns of the input are ignored.
+Edge cases: null text counts as no words and fails the rules; every row is a
+document, so rows with the same id or text count each, and a line counts once
+for each document however often it stands there; a null source is a host of its
+own; a null doc_id is treated as any other; a very long text is read whole; an
+empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, row_key
 
 WINDOW = 8
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: A line is removed if more distinct texts of the host hold it than LINE_DOCS and than LINE_SHARE of them.
-LINE_DOCS, LINE_SHARE = 20, 0.05
+#: A line is removed if more documents of the host hold it.
+LINE_DOCS = 10
 #: Depleted: less than this share of the words is left.
 LEAST_LEFT = 0.2
 
@@ -83,7 +84,7 @@ def measured(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     split = own.select("doc_id", "host", "text", words.alias("words"), lines.alias("lines"))
     return split.select(
-        "doc_id", "host", F.monotonically_increasing_id().alias("row"), F.xxhash64("text", F.lit(1)).alias("text_hash"),
+        "doc_id", "host", F.monotonically_increasing_id().alias("row"), _key(F.col("doc_id"), F.col("host"), F.col("text")).alias("key"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.regexp_replace("text", BLANK + "+", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -98,12 +99,9 @@ def failed() -> Column:
 
 
 def frequent_lines(slim: DataFrame) -> DataFrame:
-    """host, line, n_docs of the lines in more distinct texts than the host's limit."""
-    hosts = slim.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
-    lines = slim.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    counted = lines.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > LINE_DOCS)
-    limited = counted.alias("c").join(hosts.alias("h"), F.col("c.host").eqNullSafe(F.col("h.host")))
-    return limited.where(F.col("n_docs") > LINE_SHARE * F.col("texts")).select("c.host", "line", "n_docs")
+    """host, line, n_docs of the lines in more documents of the host than LINE_DOCS."""
+    lines = slim.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
+    return lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > LINE_DOCS)
 
 
 def removed(slim: DataFrame) -> DataFrame:
@@ -117,23 +115,33 @@ def removed(slim: DataFrame) -> DataFrame:
     return one.groupBy(F.col("r.row").alias("row")).agg(F.sum("r.n").alias("lost"), F.collect_set("line").alias("removed_lines"))
 
 
+def _key(doc_id: Column, host: Column, text: Column) -> Column:
+    """The same for rows that agree in all three."""
+    return F.xxhash64(row_key(doc_id, text), F.coalesce(host, F.lit("")), host.isNull())
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the rules' numbers, base_failed, lost, removed_lines (hashes), depleted, kept."""
+    return _judged(docs).drop("key")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
     slim = materialise(measured(docs), "rules-slim")
-    joined = slim.drop("lines", "text_hash", "host").join(removed(slim), "row", "left").withColumn("lost", F.coalesce("lost", F.lit(0).cast("long")))
+    joined = slim.drop("lines", "host").join(removed(slim), "row", "left").withColumn("lost", F.coalesce("lost", F.lit(0).cast("long")))
     depleted = F.col("n_words") - F.col("lost") < LEAST_LEFT * F.col("n_words")
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "key", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed().alias("base_failed"), "lost", "removed_lines", depleted.alias("depleted"), (~failed() & ~depleted).alias("kept"),
     )
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
-    """doc_id and text of kept documents without their removed lines; ids must be unique."""
-    found = judge(docs).where("kept").select(F.col("doc_id").alias("__id"), "removed_lines")
+    """doc_id and text of kept documents without their removed lines; rows are told apart by id, source and text."""
+    found = _judged(docs).where("kept").select(F.col("key").alias("__key"), "removed_lines").dropDuplicates(["__key"])
     gone = F.coalesce("removed_lines", F.array().cast("array<bigint>"))
     stays = F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains(gone, F.xxhash64(normalised(x))) | ~x.rlike("[^\\x20\\x09-\\x0D]"))
-    return docs.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("__id"))).select("doc_id", F.array_join(stays, "\n").alias("text"))
+    own = docs.select("doc_id", "text", _key(F.col("doc_id"), F.col("source"), F.coalesce(F.col("text"), F.lit(""))).alias("__key"))
+    return own.join(found, "__key").select("doc_id", F.array_join(stays, "\n").alias("text"))
 
 
 def oracle() -> str:
@@ -147,12 +155,10 @@ def oracle() -> str:
         v AS (SELECT r, unnest(windows) AS win, unnest(range(len(windows))) AS i FROM m),
         t AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, win) AS n FROM v) WHERE n > 1),
         c AS (SELECT r, count(DISTINCT i + j) AS n_repeat_words FROM t, range({WINDOW}) AS x(j) GROUP BY r),
-        l AS (SELECT r, host, text, len(regexp_extract_all(line, '{word}')) AS n,
+        l AS (SELECT r, host, len(regexp_extract_all(line, '{word}')) AS n,
                      trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '{blank}+', ' ', 'g'), ' ') AS line
-              FROM (SELECT r, host, text, unnest(lines) AS line FROM m)),
-        f AS (SELECT host, line, count(DISTINCT text) AS docs FROM l GROUP BY ALL),
-        h AS (SELECT host, count(DISTINCT text) AS texts FROM d GROUP BY ALL),
-        o AS (SELECT f.host, line FROM f JOIN h ON f.host IS NOT DISTINCT FROM h.host WHERE docs > {LINE_DOCS} AND docs > {LINE_SHARE} * texts),
+              FROM (SELECT r, host, unnest(lines) AS line FROM m)),
+        o AS (SELECT host, line FROM l GROUP BY ALL HAVING count(DISTINCT r) > {LINE_DOCS}),
         g AS (SELECT r, sum(n)::BIGINT AS lost FROM l JOIN o ON l.line = o.line AND l.host IS NOT DISTINCT FROM o.host GROUP BY r),
         j AS (SELECT m.doc_id, len(words) AS n_words, length(regexp_replace(text, '{blank}+', '', 'g')) AS word_chars,
                      length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,

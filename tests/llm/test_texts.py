@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from seqgraph.llm import exact_dedup, licenses, packing, pieces, rules, wordpiece
 from seqgraph.llm.queries import ORACLE_SQL, QUERIES
 
+from ..oracle import rows as oracle_rows
 from ..oracle import same
 
 EDGES = [
@@ -217,14 +219,39 @@ def test_frequent_lines_deplete(spark):
     common = "Subscribe to our letter number 7 and read on every day of the week for no money at all, dear friends of ours\n" * 1
     rows = [(i, common.replace("7", f"{i:02d}") + ("" if i < 30 else f"own words of {chr(97 + i % 26)}{chr(97 + i // 26)} " * 12), "en", "h") for i in range(60)]
     rows += [(1000 + i, f"another text of host {chr(97 + i % 26)}{chr(97 + i // 26)} " * 9 + " ".join(f"{chr(97 + i % 26)}{j}" for j in range(9)), "en", "h") for i in range(100)]
-    rows += [(2000 + i, "copies alone make no line frequent, whatever their number may be in this or any other host of texts we know", "en", "h") for i in range(40)]
+    rows += [(2000 + i, "every copy is a document of its host, so the line of many copies is frequent there, whatever it says to us all", "en", "h") for i in range(40)]
+    rows += [(3000 + i, "but a line of as many documents as the limit says is none yet, and twice in one document is once, as we all know\n" * 2, "en", "h") for i in range(rules.LINE_DOCS)]
     found = {r.doc_id: r for r in rules.judge(docs(spark, rows)).collect()}
     assert all(found[i].depleted and not found[i].kept for i in range(30)) and all(not found[i].depleted and found[i].lost > 0 for i in range(30, 60))
-    assert all(not found[2000 + i].depleted and found[2000 + i].kept for i in range(40))
+    assert all(found[2000 + i].depleted and not found[2000 + i].kept and not found[2000 + i].base_failed for i in range(40))
+    assert all(not found[3000 + i].depleted and found[3000 + i].lost == 0 for i in range(rules.LINE_DOCS))
     clean = {r.doc_id: r.text for r in rules.cleaned(docs(spark, rows)).collect()}
     assert "Subscribe" not in clean.get(45, "") and rules.judge(docs(spark, [])).count() == 0
 
 
+def test_line_frequency_changes_verdicts_as_in_sql(spark, tmp_path):
+    """Rows on which the verdict hangs on the lines of other documents, against the SQL of the query."""
+    menu = ["Home | News | Sport | Weather | Travel | Money and all the other pages of this site", "Sign in to read on and to leave your comments, or  register NOW 100 % free"]
+    own = lambda i, n: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(n))
+    rows = []
+    for i in range(60):
+        host, lines = ("a", "b", None)[i % 3], [menu[0], menu[1].replace("100", str(i))][: 1 + (i % 2)]
+        rows.append((i, "\n".join([*lines, own(i, 4 if i % 4 else 26)]), "en", host))
+    rows += [(100 + i, "\n".join([*menu, own(i, 3)]), "en", "rare") for i in range(rules.LINE_DOCS)]
+    rows += [(7, rows[7][1], "en", "b"), (None, None, None, None), (None, "", "en", "a")]
+    path = str(tmp_path)
+    spark.createDataFrame(rows, COLUMNS).repartition(3).write.parquet(f"{path}/documents.parquet")
+    found, expected = QUERIES["op5_quality_rules"](spark, path).toPandas(), duckdb.connect()
+    expected.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/documents.parquet/*.parquet')")
+    expected = expected.sql(ORACLE_SQL["op5_quality_rules"]).df()
+    columns = sorted(found.columns)
+    assert columns == sorted(expected.columns) and oracle_rows(found, columns) == oracle_rows(expected, columns)
+    decided = found[~found.base_failed]
+    assert (decided.kept == 0).sum() >= 10 and decided.kept.sum() >= 10
+    cleaned = rules.cleaned(spark.read.parquet(f"{path}/documents.parquet"))
+    assert cleaned.count() == found.kept.sum()
+
+
 # Token counts
 
 
