@@ -8,12 +8,17 @@ cross-entropy lies far above what its length usually gives is rejected, by a
 limit that is calibrated on documents that took no part in the counts.
 
 Scale: the counts come from a bounded sample (PER_LANGUAGE documents of each
-language, by hash of the id); prediction is one narrow pass without a shuffle,
-and the model that each task gets has a fixed order of size.
+language, by hash of the id); prediction is one narrow pass without a shuffle.
+Every language is learned. The model that each task gets grows with their number
+and with nothing else; languages lie in blocks of LANGUAGES_TOGETHER, so a row of
+probabilities never spans them all.
 
 Edge cases: null text or text without a letter gives und with score 0 and is
-rejected; a null lang or doc_id is never learned from; with no document to
-learn from every text is und.
+rejected; a null lang or doc_id is never learned from; repeated rows are learned
+from and predicted each; of languages with the same cross-entropy the first by
+name is taken; a very long text is scored whole; with no document to learn from
+every text is und; an empty table gives an empty result; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -28,9 +33,10 @@ from pyspark.sql import functions as F
 
 from .common import chunks, materialise
 
-#: Documents of each language that the counts come from, about, and languages at most.
+#: Documents of each language that the counts come from, about.
 PER_LANGUAGE = 1_000
-MOST_LANGUAGES = 256
+#: Languages whose probabilities lie side by side.
+LANGUAGES_TOGETHER = 32
 #: Of these, each so-manieth only calibrates the limit of rejection.
 CALIBRATE = 5
 #: Rejected above the mean cross-entropy plus so many standard deviations of a document of its length.
@@ -96,16 +102,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "key", "n"])
 
 
-class Model:
-    """Log probabilities of trigrams, with bigrams and single symbols for those unseen."""
+class Block:
+    """Log probabilities of trigrams in some languages, with bigrams and single symbols for those unseen.
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
-        seen = [counts[x] for x in self.langs]
-        self.tri = np.unique(np.concatenate([k for k, _ in seen])) if seen else np.zeros(0, np.uint64)
+    uni: the symbols of all languages, so that each spreads its last probability over the same ones.
+    """
+
+    def __init__(self, seen: list[tuple[np.ndarray, np.ndarray]], uni: np.ndarray):
+        self.uni = uni
+        self.tri = np.unique(np.concatenate([k for k, _ in seen]))
         self.bi = np.unique(np.concatenate([self.tri & np.uint64(0xFFFFFFFF), self.tri >> np.uint64(16)]))
-        self.uni = np.unique(self.tri & _MASK)
-        shape = len(self.langs)
+        shape = len(seen)
         self.uni_p = np.zeros((len(self.uni) + 1, shape), np.float32)
         self.bi_p, self.bi_back = np.zeros((len(self.bi), shape), np.float32), np.ones((len(self.bi), shape), np.float32)
         self.uni_back = np.ones((len(self.uni) + 1, shape), np.float32)
@@ -113,7 +120,6 @@ class Model:
         for j, (keys, n) in enumerate(seen):
             self._fit(j, keys, n.astype(float))
         self.uni_p, self.bi_p, self.tri_p = (np.log(x) for x in (self.uni_p, self.bi_p, self.tri_p))
-        self.limits: np.ndarray | None = None
 
     def _fit(self, j: int, keys: np.ndarray, n: np.ndarray) -> None:
         low = keys & np.uint64(0xFFFFFFFF)
@@ -165,6 +171,20 @@ class Model:
             out[~hit] = back + np.where(known[:, None], self.bi_p[pair], single)
         return out
 
+
+class Model:
+    """The models of all languages, and the limits of rejection."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.langs = sorted(counts)
+        seen = [counts[x] for x in self.langs]
+        self.uni = np.unique(np.concatenate([k & _MASK for k, _ in seen])) if seen else np.zeros(0, np.uint64)
+        self.blocks = [Block(seen[a : a + LANGUAGES_TOGETHER], self.uni) for a in range(0, len(seen), LANGUAGES_TOGETHER)]
+        self.limits: np.ndarray | None = None
+
+    def logp(self, keys: np.ndarray) -> np.ndarray:
+        return np.concatenate([b.logp(keys) for b in self.blocks], axis=1)
+
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy per symbol in each language, symbols and letters of each text."""
         codes, firsts, letters = symbols(texts)
@@ -172,7 +192,7 @@ class Model:
         full = n > 0
         sums = np.zeros((len(texts), len(self.langs)))
         if full.any():
-            sums[full] = np.add.reduceat(self.logp(keys).astype(np.float64), start[full])
+            sums[full] = np.concatenate([np.add.reduceat(b.logp(keys).astype(np.float64), start[full]) for b in self.blocks], axis=1)
         return -sums / np.maximum(n, 1)[:, None], n, letters
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -198,10 +218,9 @@ class Model:
 def sample(docs: DataFrame, usable: Column) -> DataFrame:
     """lang, text and part (0 calibrates) of about PER_LANGUAGE documents of each language."""
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
-    # MOST_LANGUAGES rows at most.
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = known.join(F.broadcast(sizes), "lang").where(place < F.lit(float(PER_LANGUAGE)) / F.col("n"))
+    chosen = known.join(sizes, "lang").where(place < F.lit(float(PER_LANGUAGE)) / F.col("n"))
     return chosen.select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATE)).alias("part"))
 
 
