@@ -6,14 +6,18 @@ sentences, 1 - prod(1 - p). Only documents carry labels: the gradient of the
 document's log loss is shared out among the sentences, so the model learns by
 itself which sentences offend, and can point at them afterwards.
 
-Scale: the model is fitted on a bounded sample (at most PER_CLASS labelled rows
-of each class, those with the smallest hash of the id, so the sample's size
-doesn't depend on the corpus). Scoring is one narrow pass without a shuffle;
-the weights are a vector of fixed size.
+Scale: the model is fitted on a bounded sample (at most PER_CLASS labelled ids
+of each class, those with the smallest hash, one text of each and none longer
+than LONGEST, so neither the corpus nor a text decides its size). Scoring is one
+narrow pass over whole texts without a shuffle; the weights are a vector of fixed
+size.
 
 Edge cases: null or empty text has no sentence and scores 0; a null doc_id is
 scored but never learned from; a doc_id with contradicting labels counts as
-toxic; without a labelled document of each class every score is 0.
+toxic; of several texts with one labelled id the one with the smallest hash is
+learned from; repeated rows are scored each; without a labelled document of each
+class every score is 0; an empty table gives an empty result; other columns of
+the input are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import labelled, slices
 
-#: Labelled rows of each class that the model is fitted on, at most.
-PER_CLASS = 2_000
+#: Labelled ids of each class that the model is fitted on, at most, and characters of a text among them.
+PER_CLASS, LONGEST = 2_000, 1_000_000
 #: Weights; words and word beginnings are hashed to them.
 DIM = 1 << 18
 PREFIX = 4
@@ -65,22 +69,14 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sample(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     """toxic and text of a bounded sample of labelled rows; usable: which doc_ids may be learned from."""
-    spark = docs.sparkSession
-    chosen = None
-    for kind in (0, 1):
-        rows = labels.where((F.col("toxic") == kind) & usable).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-        rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS)
-        chosen = rows if chosen is None else chosen.unionByName(rows)
-    chosen = chosen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    # Of proven size: 2 * PER_CLASS rows of two numbers.
-    bounded = spark.createDataFrame(chosen.collect(), "doc_id long, toxic int")
-    return docs.select("doc_id", "text").join(F.broadcast(bounded), "doc_id").select("toxic", "text")
+    return labelled(docs, labels.where(usable).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), "toxic", PER_CLASS, LONGEST)
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> np.ndarray:
     """DIM weights and the bias."""
-    rows = sample(docs, labels, usable).mapInArrow(_featurise, "toxic int, lens array<int>, ids array<int>").toPandas()
-    return fit_bags(list(rows.toxic), list(rows.lens), list(rows.ids))
+    rows = sample(docs, labels, usable).mapInArrow(_featurise, "toxic int, lens array<int>, ids array<int>").collect()
+    rows.sort(key=lambda r: (r.toxic, r.ids, r.lens))  # sums come out alike however Spark deals the rows
+    return fit_bags(*([r[k] for r in rows] for k in range(3)))
 
 
 def fit_bags(labels: list[int], lens: list, ids: list) -> np.ndarray:

@@ -1,5 +1,7 @@
 """Toxicity, language and quality: held-out accuracy, and edge cases."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -141,3 +143,136 @@ def test_rejection_is_calibrated_on_every_language(spark):
     off = np.abs(h.min(axis=1) - np.median(h.min(axis=1)))
     spread, within = np.median(off[n >= np.median(n)]), np.median(off * np.sqrt(n))
     assert model.limits == pytest.approx([np.median(h.min(axis=1)) + language.DEVIATIONS * spread / 0.6745, language.DEVIATIONS * within / 0.6745])
+
+
+# References by definition
+
+
+def test_kneser_ney_by_definition():
+    rng = np.random.default_rng(2)
+    texts = {x: ["".join(rng.choice(list(letters), 40)) for _ in range(6)] for x, letters in (("a", "abc  "), ("b", "bcde "), ("c", "xyz "))}
+    grams = {}
+    for x, some in texts.items():
+        for t in some:
+            codes, _, _ = language.symbols([t])
+            grams.setdefault(x, []).extend(tuple(codes[i : i + 3].tolist()) for i in range(len(codes) - 2))
+    symbols = {g[2] for own in grams.values() for g in own}
+    d = language.DISCOUNT
+
+    def probability(own, gram):
+        a, b, c = gram
+        tri = {g: own.count(g) for g in set(own)}
+        bi = {p: len({g for g in tri if g[1:] == p}) for p in {g[1:] for g in tri}}  # in how many contexts
+        uni = {s: len({p for p in bi if p[1] == s}) for s in {p[1] for p in bi}}
+        p = max(0, uni.get(c, 0) - d) / sum(uni.values()) + d * len(uni) / sum(uni.values()) / (len(symbols) + 1)
+        after = {q: n for q, n in bi.items() if q[0] == b}
+        if after:
+            p = max(0, bi.get((b, c), 0) - d) / sum(after.values()) * ((b, c) in bi) + d * len(after) / sum(after.values()) * p
+        after = {g: n for g, n in tri.items() if g[:2] == (a, b)}
+        if after:
+            p = max(0, tri.get(gram, 0) - d) / sum(after.values()) * (gram in tri) + d * len(after) / sum(after.values()) * p
+        return p
+
+    def counted(some):
+        codes, firsts, _ = language.symbols(some)
+        return tuple(np.unique(language._of_text(codes, firsts)[0], return_counts=True))
+
+    model = language.Model({x: counted(some) for x, some in texts.items()})
+    tried = sorted({g for own in grams.values() for g in own} | {(97, 98, 113), (120, 97, 98), (113, 113, 113), (32, 32, 97)})
+    found = model.logp(np.array([(a << 32) | (b << 16) | c for a, b, c in tried], np.uint64))
+    expected = np.log([[probability(grams[x], g) for x in sorted(texts)] for g in tried])
+    assert found == pytest.approx(expected, abs=1e-4)
+    text = "abcb xyz"
+    codes, _, _ = language.symbols([text])
+    h, n, _ = model.entropies([text])
+    assert h[0] == pytest.approx([-np.mean([np.log(probability(grams[x], tuple(codes[i : i + 3].tolist()))) for i in range(len(codes) - 2)]) for x in sorted(texts)], abs=1e-4)
+
+
+def test_languages_in_blocks_score_alike(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = {f"l{k}": ["".join(rng.choice(list("abcdefgh"[k % 4 : k % 4 + 4] + " "), 60)) for _ in range(4)] for k in range(5)}
+
+    def counted(some):
+        codes, firsts, _ = language.symbols(some)
+        return tuple(np.unique(language._of_text(codes, firsts)[0], return_counts=True))
+
+    counts = {x: counted(some) for x, some in texts.items()}
+    tried = ["abc dead", "hgf fed", "zzz", "bade cafe"]
+    whole = language.Model(counts).entropies(tried)[0]
+    monkeypatch.setattr(language, "LANGUAGES_TOGETHER", 2)
+    assert language.Model(counts).entropies(tried)[0] == pytest.approx(whole, abs=1e-4)
+
+
+def test_foreign_text_is_rejected_and_known_text_stays(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    usable = F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"), 4, 2)
+    foreign = ["Это предложение написано на русском языке и не похоже ни на один из известных языков. " * 4, "これは日本語の文章です。機械は知らないはずです。" * 5, "xqzj vkwq zzxk qqjw xzvk jjqx wvkz kqxz " * 8, "qwx" * 200]
+    rows = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(foreign)], docs.schema)
+    held = docs.where(in_fold(F.col("doc_id"), 4, 2)).where(F.length("text") > 40)
+    kept = language.keep_known(docs.unionByName(rows), usable)
+    assert kept.where("doc_id >= 1000000000").count() == 0
+    assert kept.join(held.select("doc_id"), "doc_id", "left_semi").count() >= 0.995 * held.count()
+
+
+def test_noisy_or_by_definition(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    usable = ~in_fold(F.col("doc_id"), 3, 1)
+    weights = toxicity.fit(docs, labels, usable).astype(np.float32)
+    found = {r.doc_id: r.score for r in QUERIES["op10_toxicity"](spark, sf).collect()}
+
+    def score(text):
+        clean = 1.0
+        for sentence in toxicity.SENTENCE.findall(text or ""):
+            words = set(toxicity.WORD.findall(sentence.lower()))
+            if words:
+                logit = sum(float(weights[i]) for w in words for i in set(toxicity.features(w))) + float(weights[toxicity.DIM])
+                clean *= 1 - 1 / (1 + np.exp(-min(30, max(-30, logit))))
+        return 1 - clean
+
+    rows = docs.collect()
+    assert [found[r.doc_id] for r in rows] == pytest.approx([score(r.text) for r in rows], abs=1e-6)
+
+
+def test_bradley_terry_by_definition(spark, sf):
+    regex = pytest.importorskip("regex")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    usable = ~in_fold(F.col("doc_id"), 5, 0)
+    model = quality.fit(docs, labels, usable)
+    found = {r.doc_id: r.score for r in QUERIES["op6_quality_classifier"](spark, sf).collect()}
+
+    def features(text):
+        n = lambda pattern: len(regex.findall(pattern, text))
+        root = lambda x: min(x, 1) ** 0.5
+        words, chars = n(r"\S+") + 1, len(text) + 1
+        return [
+            root(n(r"[#*$%&<>^~_=]{2,}") / words), root(n(r"(?<!\S)\|(?!\S)") / words), root(n(r"!{2,}") / words), root(n(r"\p{Lu}") / chars), root(n(r"(?<!\S)(?:(\S++)(?=\s++\1(?!\S)))") / words),
+            root(n(r"[0-9]") / chars), root(n(r"[.!?]+(?=\s|$)") / words), min(np.log1p(words) / 10, 1), min(chars / words / 20, 1), root(n(r"[^\p{L}\p{N}\s]") / chars),
+        ]
+
+    def score(text):
+        x = sum(w * f for w, f in zip(model.weights, features(text or ""), strict=True))
+        return 1 / (1 + np.exp(-(quality.SLOPE * (x - model.threshold) + np.log(quality.THRESHOLD / (1 - quality.THRESHOLD)))))
+
+    rows = docs.collect()
+    assert [found[r.doc_id] for r in rows] == pytest.approx([score(r.text) for r in rows], abs=1e-6)
+    # And the fit: the seeded pairs' log loss, its gradient one pair at a time.
+    rng = np.random.default_rng(11)
+    good, bad = rng.normal(0.5, 1, (6, 2)), rng.normal(0, 1, (5, 2))
+    w = quality.fit_pairs(good, bad)
+    rng = np.random.default_rng(7)
+    pairs = list(zip(rng.integers(len(good), size=quality.PAIRS).tolist(), rng.integers(len(bad), size=quality.PAIRS).tolist(), strict=True))
+    slope = np.zeros(2)
+    for (i, j), times in Counter(pairs).items():
+        diff = good[i] - bad[j]
+        slope += times * diff / (1 + np.exp(diff @ w))
+    assert slope / len(pairs) - quality.L2 * w == pytest.approx([0, 0], abs=1e-4)
+
+
+def test_contradicting_labels_and_repeated_ids(spark):
+    rows = [(1, "fine words here"), (1, "other words here"), (2, "bad words here"), (3, "x" * 1_000_001)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    bad = quality.sample(docs, marks, F.lit(True)).collect()
+    toxic = toxicity.sample(docs, marks, F.lit(True)).collect()
+    assert [r.quality for r in bad] == [0, 0] and sorted(r.toxic for r in toxic) == [1, 1]
+    assert len({r.text for r in toxic} & {"fine words here", "other words here"}) == 1
