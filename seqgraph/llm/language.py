@@ -35,6 +35,8 @@ from .common import chunks, materialise
 
 #: Documents of each language that the counts come from, about.
 PER_LANGUAGE = 1_000
+#: Languages up to which their numbers of documents are sent to all tasks; beyond, texts are joined with them.
+MOST_BROADCAST = 100_000
 #: Languages whose probabilities lie side by side.
 LANGUAGES_TOGETHER = 32
 #: Of these, each so-manieth only calibrates the limit of rejection.
@@ -218,7 +220,9 @@ class Model:
 def sample(docs: DataFrame, usable: Column) -> DataFrame:
     """lang, text and part (0 calibrates) of about PER_LANGUAGE documents of each language."""
     known = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = materialise(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "language-sizes")
+    # A row for each language, checked; the texts of a language, which may be most of all, then stay where they are.
+    sizes = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = known.join(sizes, "lang").where(place < F.lit(float(PER_LANGUAGE)) / F.col("n"))
     return chosen.select("lang", "text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(CALIBRATE)).alias("part"))
