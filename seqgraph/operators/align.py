@@ -2,10 +2,10 @@
 
 score(q) is the least edit distance between the whole query and a prefix of
 what some walk from the start vertex spells. Reads are independent, so they are
-scored where they lie, many at a time: a batch's states (read, vertex, diagonal,
-offset) move through the score levels together as arrays. The graph, cut to
-what is reachable, goes to the executors once; its size is checked, and beyond
-MOST_BASES the relational wavefront takes over.
+dealt out evenly and scored many at a time: a batch's states (read, vertex,
+diagonal, offset) move through the score levels together as arrays. The graph, cut
+to what is reachable, goes to the executors once; its size is checked first, and
+beyond MOST_BASES reachability and scoring are joins and aggregations.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import reverse_complement, segment_of, strand_of
+from ..functions.sequences import BASES, PAIRED, reverse_complement, segment_of, strand_of
+from ..sources.storage import materialise
 from . import reach, wavefront
 from .graph import SequenceGraph
 
-#: Largest graph that is sent to the executors, in bases.
+#: Largest graph that is looked at in one place and sent to the executors: bases, and eight for each arc and segment.
 MOST_BASES = 64_000_000
 #: Reads whose states move together.
 TOGETHER = 256
@@ -31,12 +32,13 @@ STEP = 64
 class Flat:
     """The graph as arrays: texts end to end, arcs by vertex."""
 
-    def __init__(self, texts: list[bytes], arcs: list[tuple[int, int, int]], start: int, end: int | None = None):
+    def __init__(self, texts: list[bytes], arcs: list[tuple[int, int, int]] | np.ndarray, start: int, end: int | None = None):
         """arcs: from, to, overlap in the target. end: the vertex at whose end a walk must end, if any."""
         self.length = np.array([len(t) for t in texts], np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.length)])[:-1]
         self.text = np.frombuffer(b"".join(texts) + bytes(STEP + 1), np.uint8)
-        table = np.array(sorted(arcs), np.int64).reshape(-1, 3)
+        table = np.asarray(arcs, np.int64).reshape(-1, 3)
+        table = table[np.lexsort(table.T[::-1])]
         if len(table) and (table[:, 2] >= self.length[table[:, 1]]).any():
             raise ValueError("an overlap covers its whole target vertex")
         self.first = np.searchsorted(table[:, 0], np.arange(len(texts) + 1))
@@ -129,11 +131,12 @@ def scores(graph: Flat, queries: list[bytes]) -> np.ndarray:
 
 
 def oriented(graph: SequenceGraph, start: int) -> tuple[DataFrame, DataFrame]:
-    """Vertices (v, seq) and arcs (v, w, ow) reachable from start, in reading direction."""
-    reached = reach.levels(graph.arcs, graph.segments.select(F.lit(start).cast("long").alias("v")).limit(1)).select("v")
+    """Vertices (v, seq) and arcs (v, w, ow) reachable from start, in reading direction; both written."""
+    every = materialise(graph.arcs.select("v", "w", "ow"), "align-arcs")
+    reached = reach.levels(every, graph.segments.select(F.lit(start).cast("long").alias("v")).limit(1)).select("v")
     met = reached.join(graph.segments.select("seg_id", "seq"), segment_of("v") == F.col("seg_id"))
     vertices = met.select("v", F.when(strand_of("v") == 1, reverse_complement("seq")).otherwise(F.col("seq")).alias("seq"))
-    return vertices, reach.subgraph(graph.arcs, reached).select("v", "w", "ow")
+    return materialise(vertices, "align-vertices"), materialise(reach.subgraph(every, reached), "align-reached").select("v", "w", "ow")
 
 
 def find_start(graph: SequenceGraph, name: str | None = None, strand: int = 0) -> int:
@@ -152,14 +155,49 @@ def flat(vertices: DataFrame, arcs: DataFrame, start: int, end: int | None = Non
         raise ValueError("a reachable segment has no sequence")
     if size[0] > MOST_BASES or arcs.count() > MOST_BASES // 8:
         return None
-    rows = vertices.orderBy("v").collect()
-    number = {r.v: i for i, r in enumerate(rows)}
-    return Flat([r.seq.encode() for r in rows], [(number[r.v], number[r.w], r.ow) for r in arcs.distinct().collect()], number[start], None if end is None else number.get(end, -1))
+    rows, links = vertices.orderBy("v").toArrow(), arcs.distinct().toArrow()
+    ids = np.asarray(rows["v"])
+    place = lambda v: int(np.searchsorted(ids, v)) if v in ids else -1
+    table = np.stack([np.searchsorted(ids, np.asarray(links[c])) for c in ("v", "w")] + [np.asarray(links["ow"])], 1)
+    return Flat([t.as_py().encode() for t in rows["seq"]], table, place(start), None if end is None else place(end))
+
+
+def reachable_flat(graph: SequenceGraph, start: int, end: int | None = None) -> Flat | None:
+    """What is reachable from start as arrays, or None if the whole graph is too large to look at in one place."""
+    segments = materialise(graph.segments.select("seg_id", "seq"), "align-segments")
+    every = materialise(graph.arcs.select("v", "w", "ow").distinct(), "align-arcs")
+    if (segments.agg(F.sum(F.length("seq"))).first()[0] or 0) + 8 * (every.count() + segments.count()) > MOST_BASES:
+        return None
+    rows, links = segments.orderBy("seg_id").toArrow(), every.orderBy("v").toArrow()
+    v, w, over = (np.asarray(links[c]) for c in ("v", "w", "ow"))
+    reached = frontier = np.array([start])
+    while len(frontier):
+        first, last = np.searchsorted(v, frontier), np.searchsorted(v, frontier, side="right")
+        out = np.unique(w[np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)])]) if (last > first).any() else frontier[:0]
+        frontier = np.setdiff1d(out, reached, assume_unique=True)
+        reached = np.union1d(reached, frontier)
+    kept = np.isin(v, reached)
+    table = np.stack([np.searchsorted(reached, v[kept]), np.searchsorted(reached, w[kept]), over[kept]], 1)
+    ids, texts = np.asarray(rows["seg_id"]), rows["seq"]
+    own = [texts[int(i)].as_py() for i in np.searchsorted(ids, reached >> 1)]
+    if None in own:
+        raise ValueError("a reachable segment has no sequence")
+    pairs = str.maketrans(BASES, PAIRED)
+    spelled = [(t.translate(pairs)[::-1] if x & 1 else t).encode() for t, x in zip(own, reached.tolist(), strict=True)]
+    place = lambda x: int(np.searchsorted(reached, x)) if x in reached else -1
+    return Flat(spelled, table, place(start), None if end is None else place(end))
 
 
 def score_reads(reads: DataFrame, graph: Flat) -> DataFrame:
-    """read_idx, score. A narrow pass: works on streams too."""
-    shared = reads.sparkSession.sparkContext.broadcast(graph)
+    """read_idx, score. Works on streams too.
+
+    Scoring a read costs far more than moving it, so reads are dealt out evenly first, wherever they were read.
+    """
+    spark = reads.sparkSession
+    shared = spark.sparkContext.broadcast(graph)
+    rows = reads.select(F.col("read_idx").cast("long").alias("read_idx"), "seq")
+    if not reads.isStreaming:
+        rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "read_idx")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +206,7 @@ def score_reads(reads: DataFrame, graph: Flat) -> DataFrame:
                 found = scores(shared.value, [(q or "").encode() for q in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.astype(np.int32))], names=["read_idx", "score"])
 
-    return reads.select(F.col("read_idx").cast("long").alias("read_idx"), "seq").mapInArrow(run, "read_idx long, score int")
+    return rows.mapInArrow(run, "read_idx long, score int")
 
 
 def graph_edit_distance(reads: DataFrame, graph: SequenceGraph, start: str | None = None, strand: int = 0, end: str | None = None) -> DataFrame:
@@ -177,11 +215,9 @@ def graph_edit_distance(reads: DataFrame, graph: SequenceGraph, start: str | Non
     With end, walks must end at the end of that segment, forward; -1 where none does.
     """
     first = find_start(graph, start, strand)
-    vertices, arcs = oriented(graph, first)
-    own = flat(vertices, arcs, first, None if end is None else find_start(graph, end))
-    if own is None and end is not None:
-        raise ValueError("a graph of this size can only be scored with a free end")
-    return wavefront.align(reads, vertices, arcs, first) if own is None else score_reads(reads, own)
+    last = None if end is None else find_start(graph, end)
+    own = reachable_flat(graph, first, last)
+    return wavefront.align(reads, *oriented(graph, first), first, last) if own is None else score_reads(reads, own)
 
 
 def projection(graph: SequenceGraph, start: str | None = None) -> DataFrame:

@@ -87,7 +87,11 @@ def close_complement(arcs: DataFrame) -> DataFrame:
     """With each arc v to w the arc from w's complement to v's, its overlaps swapped, where there is none."""
     mirrored = arcs.select(*[{"v": complement("w"), "w": complement("v"), "ov": F.col("ow"), "ow": F.col("ov"), "comp": F.lit(True)}.get(c, F.col(c)).alias(c) for c in arcs.columns])
     keys = ["v", "w", "ov", "ow"]
-    return arcs.unionByName(mirrored.join(arcs.select(*keys).distinct(), keys, "left_anti").dropDuplicates(keys))
+    rest = [c for c in arcs.columns if c not in keys]
+    # Of arcs alike in keys, the complement of the one with the lowest link_id is added.
+    lone = mirrored.groupBy(*keys).agg(*([F.min(F.struct("link_id", *[c for c in rest if c != "link_id"])).alias("x")] if "link_id" in rest else [F.min(F.struct(*rest)).alias("x")] if rest else []))
+    lone = lone.select(*[f"x.{c}" if c in rest else c for c in arcs.columns])
+    return arcs.unionByName(lone.join(arcs.select(*keys).distinct(), keys, "left_anti"))
 
 
 def clamp_overlaps(arcs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -103,6 +107,11 @@ def delete_segments(arcs: DataFrame, gone: DataFrame) -> DataFrame:
     return kept.join(gone.select(F.col("seg_id").alias("b")), segment_of("w") == F.col("b"), "left_anti")
 
 
+def delete_arcs(arcs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Arcs but for all from v to w of gone (v, w); their complements are arcs of their own."""
+    return arcs.join(gone.select("v", "w").distinct(), ["v", "w"], "left_anti")
+
+
 def find_arcs(pairs: DataFrame, arcs: DataFrame) -> DataFrame:
     """For each pair v, w: its arc's link_id, -1 if there is none, -2 if there are several."""
     counted = arcs.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n"), F.min("link_id").alias("link_id"))
@@ -121,10 +130,22 @@ def surplus_arcs(arcs: DataFrame) -> DataFrame:
 
 
 def best_parallel(arcs: DataFrame) -> DataFrame:
-    """Of parallel arcs the one of the lowest rank, then of the lowest link_id; complements of others go too."""
-    order = F.struct(F.when(F.col("rank") >= 0, 0).otherwise(1), F.col("rank"), F.col("link_id"))
-    best = arcs.groupBy("v", "w").agg(F.min_by("link_id", order).alias("link_id"))
-    return arcs.join(best, ["v", "w", "link_id"], "left_semi")
+    """Of parallel arcs one stays: the first by longest overlap if it has no rank, else the one of the lowest rank, of
+    equal ones again the first; of these orders link_id breaks ties. Complements of the others go too: of two arcs'
+    worth of mirrored groups the one at the lower vertex decides, if it has several arcs. Arcs from a vertex to its own
+    complement all stay.
+    """
+    first = F.col("v") < complement("w")
+    mirrored = arcs.withColumn("__own", first).withColumn("__v", F.when(first, F.col("v")).otherwise(complement("w"))).withColumn("__w", F.when(first, F.col("w")).otherwise(complement("v")))
+    place = F.struct((-F.col("ov")).alias("o"), F.col("link_id").alias("i"))
+    ranked = F.when(F.col("rank") >= 0, F.struct(F.col("rank").alias("r"), place.alias("p")))
+    sides = mirrored.where(F.col("w") != complement("v")).groupBy("__v", "__w", "__own").agg(
+        F.count(F.lit(1)).alias("n"), F.min_by(F.struct("link_id", "rank"), place).alias("head"), F.min_by("link_id", ranked).alias("best")
+    )
+    winner = F.when(F.coalesce(F.col("head.rank"), F.lit(-1)) < 0, F.col("head.link_id")).otherwise(F.col("best"))
+    winners = sides.where("n > 1").groupBy("__v", "__w").agg(F.max_by(winner, "__own").alias("__winner"))
+    kept = mirrored.join(winners, ["__v", "__w"], "left").where((F.col("w") == complement("v")) | F.col("__winner").isNull() | (F.col("__winner") == F.col("link_id")))
+    return kept.select(*arcs.columns)
 
 
 def stable_ranges(segments: DataFrame) -> DataFrame:

@@ -8,25 +8,38 @@ from pyspark.sql import functions as F
 from ..sources.storage import discard, materialise
 
 
+#: Rounds after which what they wrote is put together.
+TOGETHER = 32
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     """The rows of written parts: one scan of all their files, so a long chain of rounds stays one flat plan."""
     folders = sorted({f.rsplit("/", 1)[0] for p in parts for f in p.inputFiles()})
     return parts[0].sparkSession.read.schema(parts[0].schema).parquet(*folders) if folders else parts[0]
 
 
+def _compact(parts: list[DataFrame]) -> list[DataFrame]:
+    """The same rows in one part when there are TOGETHER; the last one stays, it is the next frontier."""
+    if len(parts) < TOGETHER:
+        return parts
+    return [materialise(_union(parts[:-1]).coalesce(8), "reach-parts"), parts[-1]]
+
+
 def levels(arcs: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
     """v, hops: vertices reachable from start (v), with the fewest arcs on the way; with most, up to so many arcs.
 
-    Each round writes what it reached first; earlier rounds are read where they lie, never written again.
+    Each round writes what it reached first; earlier rounds are read where they lie, and put together when they are many.
     """
     step = materialise(arcs.select("v", "w").distinct(), "reach-arcs")
-    parts = [materialise(start.select("v").distinct().withColumn("hops", F.lit(0)), "reach-level")]
-    while most is None or len(parts) <= most:
-        following = parts[-1].join(step, "v").select(F.col("w").alias("v")).distinct().join(_union(parts), "v", "left_anti")
-        frontier = materialise(following.withColumn("hops", F.lit(len(parts))), "reach-level")
+    frontier = materialise(start.select("v").distinct().withColumn("hops", F.lit(0)), "reach-level")
+    parts, hops = [frontier], 0
+    while most is None or hops < most:
+        hops += 1
+        following = frontier.join(step, "v").select(F.col("w").alias("v")).distinct().join(_union(parts), "v", "left_anti")
+        frontier = materialise(following.withColumn("hops", F.lit(hops)), "reach-level")
         if frontier.isEmpty():
             break
-        parts.append(frontier)
+        parts = _compact([*parts, frontier])
     discard(step)
     return _union(parts)
 
@@ -37,15 +50,16 @@ def distances(arcs: DataFrame, start: DataFrame, length: str, most: int = 1 << 3
     A round writes only what improved; the least of a vertex's rows is its distance so far.
     """
     step = materialise(arcs.groupBy("v", "w").agg(F.min(length).alias("n")), "reach-arcs")
-    parts = [materialise(start.select("v").distinct().withColumn("dist", F.lit(0).cast("long")), "reach-best")]
+    changed = materialise(start.select("v").distinct().withColumn("dist", F.lit(0).cast("long")), "reach-best")
+    parts = [changed]
     while True:
-        offers = parts[-1].join(step, "v").select(F.col("w").alias("v"), (F.col("dist") + F.col("n")).alias("offer")).where(F.col("offer") <= most)
+        offers = changed.join(step, "v").select(F.col("w").alias("v"), (F.col("dist") + F.col("n")).alias("offer")).where(F.col("offer") <= most)
         offers = offers.groupBy("v").agg(F.min("offer").alias("offer"))
         best = _union(parts).groupBy("v").agg(F.min("dist").alias("dist"))
         changed = materialise(offers.join(best, "v", "left").where("dist is null or offer < dist").select("v", F.col("offer").alias("dist")), "reach-changed")
         if changed.isEmpty():
             break
-        parts.append(changed)
+        parts = _compact([*parts, changed])
     discard(step)
     return _union(parts).groupBy("v").agg(F.min("dist").alias("dist"))
 

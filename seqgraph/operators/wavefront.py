@@ -8,6 +8,8 @@ projection; align() loops over levels and writes the frontier each time.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,29 +60,31 @@ def _extended(states: DataFrame) -> DataFrame:
     return states.withColumn("k", F.col("k") + more)
 
 
-def align(reads: DataFrame, vertices: DataFrame, arcs: DataFrame, start: int, most: int = 1_000_000) -> DataFrame:
+def align(reads: DataFrame, vertices: DataFrame, arcs: DataFrame, start: int, end: int | None = None) -> DataFrame:
     """read_idx, score of reads (read_idx, seq) against vertices (v, seq) and arcs (v, w, ow), by levels.
 
-    For small distances and as a cross-check of the batched kernel: each level costs a few shuffles of the frontier.
-    Scores above most come back null.
+    For graphs too large to send about, and as a cross-check of the batched kernel: each level costs a few shuffles of
+    the frontier, and there are as many as the largest distance. With end, walks must end at the end of that vertex; -1
+    where none does.
     """
     queries = materialise(reads.select("read_idx", F.coalesce("seq", F.lit("")).alias("q")), "wavefront-reads")
     texts = vertices.select("v", F.col("seq").alias("t"))
-    done = [materialise(queries.where("q = ''").select("read_idx", F.lit(0).alias("score")), "wavefront-done")]
-    frontier = queries.where("q <> ''").select("read_idx", F.lit(start).cast("long").alias("v"), F.lit(0).alias("d"), F.lit(-1).alias("k"))
+    at_once = F.lit(end is None) & (F.col("q") == "")
+    done = [materialise(queries.where(at_once).select("read_idx", F.lit(0).alias("score")), "wavefront-done")]
+    frontier = queries.where(~at_once).select("read_idx", F.lit(start).cast("long").alias("v"), F.lit(0).alias("d"), F.lit(-1).alias("k"))
     keys = ["read_idx", "v", "d"]
     exhausted = None
-    for score in range(most + 1):
+    for score in itertools.count():
         level = None
         while not (frontier := materialise(frontier, "wavefront-new")).isEmpty():
-            reached = materialise(_extended(frontier.join(queries, "read_idx").join(texts, "v")).select(*keys, "k", kind_of().alias("kind")), "wavefront-level")
-            level = reached if level is None else materialise(level.unionByName(reached), "wavefront-all")
+            reached = materialise(_extended(frontier.join(queries, "read_idx").join(texts, "v")).select(*keys, "k", kind_of(end).alias("kind")), "wavefront-level")
+            level = materialise(reached, "wavefront-all") if level is None else materialise(level.unionByName(reached), "wavefront-all", level)
             ends = reached.where("kind = 'vertex_end'")
             if exhausted is not None:
                 ends = ends.join(exhausted, keys, "left_anti")
             ends = materialise(ends.select(*keys, "k").distinct(), "wavefront-ends")
             gone = ends.select(*keys)
-            exhausted = gone if exhausted is None else materialise(exhausted.unionByName(gone), "wavefront-exhausted")
+            exhausted = materialise(gone, "wavefront-exhausted") if exhausted is None else materialise(exhausted.unionByName(gone), "wavefront-exhausted", exhausted)
             frontier = furthest(expand(ends, arcs), keys)
         if level is None:
             break
@@ -95,9 +99,13 @@ def align(reads: DataFrame, vertices: DataFrame, arcs: DataFrame, start: int, mo
     found = done[0]
     for part in done[1:]:
         found = found.unionByName(part)
-    return queries.select("read_idx").join(found, "read_idx", "left")
+    score = F.col("score") if end is None else F.coalesce("score", F.lit(-1))
+    return queries.select("read_idx").join(found, "read_idx", "left").select("read_idx", score.alias("score"))
 
 
-def kind_of() -> F.Column:
-    """kind() for rows with texts q and t."""
-    return F.when(F.col("d") + F.col("k") == F.length("q") - 1, "query_end").when(F.col("k") == F.length("t") - 1, "vertex_end").otherwise("inside")
+def kind_of(end: int | None = None) -> F.Column:
+    """kind() for rows with texts q and t; with end, a query ends there only, at the vertex's end."""
+    done = F.col("d") + F.col("k") == F.length("q") - 1
+    if end is not None:
+        done &= (F.col("v") == end) & (F.col("k") == F.length("t") - 1)
+    return F.when(done, "query_end").when(F.col("k") == F.length("t") - 1, "vertex_end").otherwise("inside")

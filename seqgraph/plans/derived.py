@@ -75,6 +75,19 @@ def nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return chain.unionByName(leaf), forward.unionByName(branch).withColumn("ow", F.lit(0))
 
 
+def nation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same graph as GFA lines (line_no, value): regions and nations by name; branches are given from the other strand."""
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    line = lambda at, *fields: [at.cast("long").alias("line_no"), F.concat_ws("\t", *fields).alias("value")]
+    r, n = F.col("r_regionkey"), F.col("n_nationkey")
+    name = lambda kind, key: F.concat(F.lit(kind), key.cast("string"))
+    segments = region.select(*line(r, F.lit("S"), name("r", r), F.upper("r_name"))).unionByName(nation.select(*line(n + 100, F.lit("S"), name("n", n), F.upper("n_name"))))
+    following = region.select((r - 1).alias("r_regionkey")).join(region.select("r_regionkey"), "r_regionkey")
+    chain = following.select(*line(r + 200, F.lit("L"), name("r", r), F.lit("+"), name("r", r + 1), F.lit("+"), F.lit("0M")))
+    branch = nation.select(*line(n + 300, F.lit("L"), name("n", n), F.lit("-"), name("r", F.col("n_regionkey")), F.lit("-"), F.lit("*")))
+    return segments.unionByName(chain).unionByName(branch)
+
+
 WALKS_SQL = """walks AS (
     SELECT string_agg(upper(r.r_name), '' ORDER BY r.r_regionkey) || upper(n_name) AS t
     FROM nation JOIN region r ON r.r_regionkey <= n_regionkey GROUP BY n_nationkey, n_name

@@ -122,8 +122,12 @@ def fasta_segments(spark, sf):
            SELECT doc_id, 'doc' || doc_id AS name, source AS comment, seq, doc_id % 10 <> 0 AS valid FROM x JOIN documents USING (doc_id)""")
 def fastq_reads(spark, sf):
     seq = D.bases("text")
-    quality = F.concat(F.repeat(F.lit("I"), F.length(seq)), F.when(F.col("doc_id") % 10 == 0, "!").otherwise(""))
-    text = F.concat(F.lit("@doc"), F.col("doc_id").cast("string"), F.lit(" "), F.col("source"), F.lit("\r\n"), seq, F.lit("\n+\n"), quality, F.lit("\n"))
+    """CRLF line ends; sequences and qualities span lines, and a line of quality begins with @."""
+    half = F.ceil(F.length(seq) / 2).cast("int")
+    head, tail = F.substr(seq, F.lit(1), half), F.substr(seq, half + 1)
+    quality = F.concat(F.repeat(F.lit("I"), half), F.lit("\r\n"), F.overlay(F.repeat(F.lit("+"), F.length(tail)), F.substr(F.lit("@"), F.lit(1), F.least(F.length(tail), F.lit(1))), F.lit(1)))
+    quality = F.concat(quality, F.when(F.col("doc_id") % 10 == 0, "!").otherwise(""))
+    text = F.concat(F.lit("@doc"), F.col("doc_id").cast("string"), F.lit(" "), F.col("source"), F.lit("\r\n"), head, F.lit("\r\n"), tail, F.lit("\r\n+\r\n"), quality, F.lit("\r\n"))
     own = table(spark, sf, "documents").select(F.col("doc_id").alias("file"), text.alias("text"))
     return gfa.fastx_reads(own).select(F.col("file").alias("doc_id"), "name", "comment", "seq", "valid")
 
@@ -180,7 +184,10 @@ def multi_arc_count(spark, sf):
     return graph.surplus_arcs(D.arcs(spark, sf))
 
 
-@query(f"{D.GRAPH_SQL} SELECT v, w, link_id FROM (SELECT *, row_number() OVER (PARTITION BY v, w ORDER BY rank, link_id) AS rn FROM arcs) WHERE rn = 1")
+@query(f"""{D.GRAPH_SQL}, a AS (SELECT *, v < xor(w, 1) AS own, least(v, xor(w, 1)) AS cv, CASE WHEN v < xor(w, 1) THEN w ELSE xor(v, 1) END AS cw FROM arcs WHERE w <> xor(v, 1)),
+           s AS (SELECT cv, cw, max(own) AS own FROM (SELECT cv, cw, own FROM a GROUP BY ALL HAVING count(*) > 1) GROUP BY cv, cw),
+           k AS (SELECT cv, cw, link_id AS winner FROM (SELECT a.*, row_number() OVER (PARTITION BY cv, cw ORDER BY rank, ov DESC, link_id) AS rn FROM a JOIN s USING (cv, cw, own)) WHERE rn = 1)
+           SELECT v, w, link_id FROM a LEFT JOIN k USING (cv, cw) WHERE winner IS NULL OR link_id = winner UNION ALL SELECT v, w, link_id FROM arcs WHERE w = xor(v, 1)""")
 def multi_arc_best(spark, sf):
     return graph.best_parallel(D.arcs(spark, sf)).select("v", "w", "link_id")
 
@@ -195,6 +202,40 @@ def delete_segments(spark, sf):
     return graph.delete_segments(D.arcs(spark, sf), D.segments(spark, sf).where("sr = 0").select("seg_id")).select("link_id", "v", "w")
 
 
+@query(f"{D.GRAPH_SQL} SELECT link_id, v, w FROM arcs a WHERE NOT EXISTS (SELECT 1 FROM arcs b WHERE b.v = a.w AND b.w = a.v)")
+def delete_arcs(spark, sf):
+    """Arcs without those that another one runs against."""
+    own = D.arcs(spark, sf)
+    return graph.delete_arcs(own, own.select(F.col("w").alias("v"), F.col("v").alias("w"))).select("link_id", "v", "w")
+
+
+@query(f"""{D.GRAPH_SQL}, x AS (SELECT 's' || (v >> 1) AS name, ov + rank AS n FROM whole UNION ALL SELECT 's' || (w >> 1), ow + 2 * rank FROM whole)
+           SELECT name, CAST(max(n) AS INT) AS implied FROM x GROUP BY name""")
+def implied_lengths(spark, sf):
+    own = D.whole_arcs(spark, sf)
+    name = lambda c: F.concat(F.lit("s"), S.segment_of(c))
+    strand = lambda c: F.when(S.strand_of(c) == 1, "-").otherwise("+")
+    beyond = [F.concat(F.lit("L1:i:"), F.col("rank")), F.concat(F.lit("L2:i:"), F.col("rank") * 2)]
+    lines = own.select(F.col("link_id").alias("line_no"), F.concat_ws("\t", F.lit("L"), name("v"), strand("v"), name("w"), strand("w"), F.concat_ws(":", "ov", "ow"), *beyond).alias("value"))
+    return graph.implied_lengths(gfa.link_lines(lines))
+
+
+@query("SELECT max(p_size % 5) AS max_rank FROM part")
+def max_rank(spark, sf):
+    return graph.max_rank(D.segments(spark, sf))
+
+
+@query(f"""{D.GRAPH_SQL} SELECT concat_ws(chr(9), 'S', name, coalesce(seq, '*'), 'LN:i:' || len, 'SN:Z:' || sn, 'SO:i:' || so, 'SR:i:' || sr) AS line FROM segments
+           UNION ALL SELECT concat_ws(chr(9), 'L', 's' || (v >> 1), CASE WHEN v & 1 = 1 THEN '-' ELSE '+' END, 's' || (w >> 1), CASE WHEN w & 1 = 1 THEN '-' ELSE '+' END,
+               CASE WHEN ov = ow THEN ov || 'M' ELSE ov || ':' || ow END, 'SR:i:' || rank, 'L1:i:' || (a.len - ov), 'L2:i:' || (b.len - ow), 'li:i:' || link_id)
+           FROM whole JOIN segments a ON a.seg_id = v >> 1 JOIN segments b ON b.seg_id = w >> 1""")
+def gfa_text_tagged(spark, sf):
+    own = D.segments(spark, sf)
+    kind = F.struct(F.lit("i").alias("type"), F.col("link_id").cast("string").alias("value"))
+    arcs = D.whole_arcs(spark, sf).withColumn("tags", F.create_map(F.lit("li"), kind))
+    return sinks.segment_text(own).unionByName(sinks.arc_text(arcs, own, both_lengths=True, with_tags=True))
+
+
 @query(f"""{D.GRAPH_SQL}, p AS (SELECT DISTINCT w AS v, v AS w FROM arcs), c AS (SELECT v, w, count(*) AS n, min(link_id) AS link_id FROM arcs GROUP BY v, w)
            SELECT p.v, p.w, CASE WHEN n IS NULL THEN -1 WHEN n > 1 THEN -2 ELSE link_id END AS found FROM p LEFT JOIN c ON p.v = c.v AND p.w = c.w""")
 def find_arcs(spark, sf):
@@ -222,7 +263,7 @@ def reachable_from(spark, sf):
            SELECT v, CAST(min(dist) AS BIGINT) AS dist FROM r GROUP BY v""")
 def shortest_reach(spark, sf):
     own = D.whole_arcs(spark, sf).join(D.segments(spark, sf).select("seg_id", "len"), S.segment_of("w") == F.col("seg_id"))
-    return reach.distances(own.withColumn("n", F.greatest(F.col("len") - F.col("ow"), F.lit(0))), _start(spark, sf), "n", most=40)
+    return reach.distances(own.withColumn("n", F.greatest(F.col("len") - F.col("ow"), F.lit(0))), _start(spark, sf), "n")
 
 
 @query(f"""{D.GRAPH_SQL}, a AS (SELECT min(v) AS v FROM arcs), b AS (SELECT v FROM a UNION SELECT w FROM arcs WHERE v IN (SELECT v FROM a)),
@@ -308,6 +349,29 @@ def forbidden_filter(spark, sf):
 _SCORES = "x AS (SELECT DISTINCT upper(p_name) AS q FROM part), s AS (SELECT q, min(levenshtein(q, t[1:n])) AS score FROM x, {walks}, range(0, 40) AS l(n) WHERE n <= length(t) GROUP BY q)"
 
 
+@query("""WITH x AS (SELECT DISTINCT upper(p_name) AS q FROM part),
+          t AS (SELECT string_agg(upper(r.r_name), '' ORDER BY r.r_regionkey) || upper(n_name) AS t FROM nation JOIN region r ON r.r_regionkey <= n_regionkey WHERE n_nationkey = 24 GROUP BY n_name)
+          SELECT p_partkey AS read_idx, CAST(levenshtein(upper(p_name), t) AS INT) AS score FROM part, t""")
+def fixed_end_align(spark, sf):
+    """Reads against the walks that end at the end of one nation."""
+    vertices, arcs = D.nations(spark, sf)
+    return align.score_reads(D.part_reads(spark, sf), align.flat(vertices, arcs, 0, 124))
+
+
+@query(f"WITH {D.WALKS_SQL}, {_SCORES.format(walks='walks')} SELECT p_partkey AS read_idx, CAST(score AS INT) AS score FROM part JOIN s ON q = upper(p_name)")
+def lines_to_scores(spark, sf):
+    """From GFA lines, with links on either strand, to a finished graph to scores."""
+    own = graph.from_lines(D.nation_lines(spark, sf)).finalize()
+    return align.graph_edit_distance(D.part_reads(spark, sf), own)
+
+
+@query("""WITH s AS (SELECT r_regionkey AS id, upper(r_name) AS seq FROM region UNION ALL SELECT 5 + n_nationkey, upper(n_name) FROM nation),
+          a AS (SELECT r_regionkey AS a, r_regionkey + 1 AS b FROM region WHERE r_regionkey < 4 UNION ALL SELECT n_regionkey, 5 + n_nationkey FROM nation)
+          SELECT concat_ws(chr(9), 'S', id, seq, 'LN:i:' || length(seq)) AS line FROM s UNION ALL SELECT concat_ws(chr(9), 'L', a, '+', b, '+', '0M') FROM a""")
+def projection_lines(spark, sf):
+    return align.projection(graph.from_lines(D.nation_lines(spark, sf)).finalize())
+
+
 @query(f"WITH walks AS (SELECT string_agg(upper(r_name), '' ORDER BY r_regionkey) AS t FROM region), {_SCORES.format(walks='walks')} SELECT p_partkey AS read_idx, CAST(score AS INT) AS score FROM part JOIN s ON q = upper(p_name)")
 def linear_align(spark, sf):
     vertices, arcs = D.nations(spark, sf)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.numbering import numbered, scan
 from ..functions.sequences import overlap, tag_int, tag_string, tags
@@ -67,14 +66,14 @@ def dictionary(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
 def fasta_segments(rows: DataFrame, name: str = "file") -> DataFrame:
     """FASTA lines (file, line_no, value) to segments: name s1, s2..., sn (the header's first word), seq, len.
 
-    A tab at the second place ends a record: what follows are graph lines, up to the next header. A record belongs to
-    one file, so files are the unit of parallelism.
+    A tab at the second place ends a record: what follows are graph lines, up to the next header. A record is named by
+    its header's line; one file spreads over many tasks.
     """
-    own = W.partitionBy(name).orderBy("line_no")
     tabbed = (F.length("value") >= 3) & (F.substring("value", 2, 1) == "\t")
-    mode = F.last(F.when(F.col("value").startswith(">"), True).when(tabbed, False), ignorenulls=True).over(own)
-    marked = rows.withColumn("in_fasta", mode).where("in_fasta").drop("in_fasta")
-    marked = marked.withColumn("record", F.sum(F.col("value").startswith(">").cast("int")).over(own)).where("record > 0")
+    # Twice the number of the last line that is a header or a graph line, and 1 if it is a header.
+    mark = F.when(F.col("value").startswith(">"), F.col("line_no") * 2 + 1).when(tabbed, F.col("line_no") * 2)
+    marked = scan(rows.select(name, "line_no", "value"), [name], ["line_no"], "max", mark, "before").withColumn("mark", F.coalesce(mark, "before"))
+    marked = marked.where("mark % 2 = 1").withColumn("record", F.expr("mark div 2"))
     part = F.when(~F.col("value").startswith(">"), F.struct("line_no", "value"))
     head = F.max(F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>(\S*)", 1))).alias("sn")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["value"]), "").alias("seq")
@@ -95,15 +94,13 @@ def path_steps(rows: DataFrame) -> DataFrame:
 
 
 def fastx_reads(rows: DataFrame, name: str = "file") -> DataFrame:
-    """Whole FASTA or FASTQ records (file, text) to read name, comment, seq, qual, valid.
-
-    text holds one file's content; sequences may span lines. A quality of another length than its sequence makes a
-    read invalid, instead of ending the scan.
+    """Whole FASTA or FASTQ files (file, text) to file, record, name, comment, seq, qual, valid, as line_reads() reads
+    them: line ends may be CRLF, sequences and qualities may span lines and hold any mark, and a quality of another
+    length than its sequence makes a read invalid, instead of ending the scan.
     """
-    fasta = F.filter(F.split("text", r"(?m)^>"), lambda x: x != "")
-    fastq = F.regexp_extract_all("text", F.lit(r"(?m)^@([^\n]*\n[A-Za-z*.\n]*\n\+[^\n]*\n[^\n]*)"), F.lit(1))
-    both = rows.select(name, F.posexplode(F.when(F.col("text").startswith("@"), fastq).otherwise(fasta)).alias("record", "x"))
-    return _reads(both, name)
+    lines = rows.select(F.col(name).alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "value"))
+    found = line_reads(lines.withColumn("line_no", F.col("line_no").cast("long")))
+    return found.withColumnRenamed("file", name) if name != "file" else found
 
 
 def _reads(both: DataFrame, name: str) -> DataFrame:

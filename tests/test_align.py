@@ -90,6 +90,25 @@ def test_relational_wavefront_agrees(spark):
         assert found == dict(enumerate(A.scores(A.Flat(texts, arcs, 0), queries).tolist()))
 
 
+def test_relational_wavefront_with_a_fixed_end(spark):
+    reads = spark.createDataFrame([(0, "ACGTCCA"), (1, ""), (2, "ACGTT")], "read_idx long, seq string")
+    vertices, arcs = frames(spark, *BUBBLE)
+    for end in (3, 2):
+        found = {r.read_idx: r.score for r in wavefront.align(reads, vertices, arcs, 0, end).collect()}
+        assert found == {i: shortest(*BUBBLE, 0, q, end) for i, q in enumerate([b"ACGTCCA", b"", b"ACGTT"])}
+    lone = spark.createDataFrame([(0, "A"), (9, "C")], "v long, seq string")
+    assert [r.score for r in wavefront.align(reads.where("read_idx = 2"), lone, arcs.where("v < 0"), 0, 9).collect()] == [-1]
+
+
+def test_a_large_graph_is_scored_by_relations(spark, monkeypatch):
+    monkeypatch.setattr(A, "MOST_BASES", 5)
+    rows = spark.createDataFrame(list(enumerate(["S\ta\tACGT", "S\tb\tGG", "L\ta\t+\tb\t+\t0M"])), "line_no long, value string")
+    reads = spark.createDataFrame([(0, "ACGTG"), (1, "ACGTGG")], "read_idx long, seq string")
+    own = G.from_lines(rows).finalize()
+    assert sorted(tuple(r) for r in A.graph_edit_distance(reads, own).collect()) == [(0, 0), (1, 0)]
+    assert sorted(tuple(r) for r in A.graph_edit_distance(reads, own, end="b").collect()) == [(0, 1), (1, 0)]
+
+
 def test_whole_query(spark):
     rows = spark.createDataFrame(list(enumerate(["S\ta\tACGT", "S\tb\tGG", "S\tc\tT", "S\td\tCCA", "L\ta\t+\tb\t+\t0M", "L\ta\t+\tc\t+\t0M", "L\tb\t+\td\t+\t0M", "L\tc\t+\td\t+\t0M"])), "line_no long, value string")
     own = G.from_lines(rows).finalize()

@@ -1,6 +1,8 @@
 """Reading and writing graphs and reads: literal edge cases."""
 
 import gzip
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +158,71 @@ def test_regions_and_likelihoods(spark):
     assert found["f:1", 0, 0] > found["f:1", 0, 1] and all(v < 0 for v in found.values())
     rate = spark.createDataFrame([("I!",)], "q string").select(likelihood.error_rate(F.col("q"))).first()[0]
     assert rate == pytest.approx([1e-4, 1.0])
+
+
+def pair_by_definition(read, hap, q_base, q_ins, q_del, c=0.1):
+    rate = lambda q: [10 ** ((33 - ord(x)) / 10) for x in q]
+    base, ins, dele, n = rate(q_base), rate(q_ins), rate(q_del), len(hap)
+    m, x, y = [0.0] * (n + 1), [0.0] * (n + 1), [1 / n] * (n + 1)
+    for i, a in enumerate(read):
+        nm, nx, ny = [0.0] * (n + 1), [0.0] * (n + 1), [0.0] * (n + 1)
+        for j in range(1, n + 1):
+            hit = 1 - base[i] if a == hap[j - 1] or "N" in (a, hap[j - 1]) else base[i] / 3
+            nm[j] = hit * (max(1e-12, 1 - ins[i] - dele[i]) * m[j - 1] + (1 - c) * (x[j - 1] + y[j - 1]))
+            nx[j] = ins[i] * m[j] + c * x[j]
+            ny[j] = dele[i] * nm[j - 1] + c * ny[j - 1]
+        m, x, y = nm, nx, ny
+    return math.log10(sum(m[1:]) + sum(x[1:]))
+
+
+def test_likelihoods_by_definition(monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(40):
+        n = rng.randint(1, 30)
+        rows.append(("".join(rng.choice("ACGTN") for _ in range(n)), "".join(rng.choice("ACGTN") for _ in range(rng.randint(1, 40))), *("".join(rng.choice("+5?IN") for _ in range(n)) for _ in range(3))))
+    for cells in (50, 1_000_000):
+        monkeypatch.setattr(likelihood, "CELLS", cells)
+        found = likelihood.log10_likelihoods(*map(list, zip(*rows, strict=True)))
+        assert found == pytest.approx([pair_by_definition(*r) for r in rows], abs=1e-9)
+    assert likelihood.log10_likelihood("", "A", "", "", "") == float("-inf")
+
+
+def test_parallel_arcs(spark):
+    rows = [
+        (0, 2, 5, 5, None, 1), (0, 2, 3, 3, 0, 2),  # the first by overlap has no rank: it stays
+        (0, 4, 1, 1, 2, 3), (0, 4, 0, 0, 1, 4), (0, 4, 0, 0, 1, 5),  # the lowest rank, then the lowest link_id
+        (5, 1, 1, 1, 2, 3), (5, 1, 0, 0, 1, 4), (5, 1, 0, 0, 1, 5),  # their complements follow
+        (6, 7, 1, 1, 0, 6), (6, 7, 2, 2, 0, 7),  # a vertex and its own complement: all stay
+        (8, 9, 0, 0, 0, 8), (0, 6, 0, 0, None, 9),
+    ]
+    arcs = spark.createDataFrame(rows, "v long, w long, ov int, ow int, rank int, link_id long")
+    kept = sorted((r.v, r.w, r.link_id) for r in G.best_parallel(arcs).collect())
+    assert kept == [(0, 2, 1), (0, 4, 4), (0, 6, 9), (5, 1, 4), (6, 7, 6), (6, 7, 7), (8, 9, 8)]
+    left = G.delete_arcs(arcs, spark.createDataFrame([(0, 4), (0, 4), (1, 5)], "v long, w long"))
+    assert sorted({(r.v, r.w) for r in left.collect()}) == [(0, 2), (0, 6), (5, 1), (6, 7), (8, 9)]
+
+
+def test_written_tags(spark):
+    rows = lines(spark, "S\ta\tACGT\tSN:Z:chr\tSO:i:4\tSR:i:0\tXX:Z:y", "S\tb\tGG", "L\ta\t+\tb\t-\t2:1\tSR:i:1\tZZ:A:q")
+    own = G.from_lines(rows)
+    ids = own.segments.select("seg_id", "name", "len")
+    links = gfa.link_lines(rows)
+    arcs = own.arcs.crossJoin(links.select("tags"))
+    written = [r.line for r in sinks.segment_text(own.segments).collect()] + [r.line for r in sinks.arc_text(arcs, ids, True, True).collect()]
+    assert sorted(written) == ["L\ta\t+\tb\t-\t2:1\tSR:i:1\tL1:i:2\tL2:i:1\tZZ:A:q", "S\ta\tACGT\tLN:i:4\tSN:Z:chr\tSO:i:4\tSR:i:0\tXX:Z:y", "S\tb\tGG\tLN:i:2"]
+    again = G.from_lines(spark.createDataFrame(list(enumerate(sorted(written, reverse=True))), "line_no long, value string"))
+    assert {r.name: (r.seq, r.sn, r.so, r.sr) for r in again.segments.collect()} == {"a": ("ACGT", "chr", 4, 0), "b": ("GG", None, None, None)}
+    assert sinks.arc_text(G.close_complement(own.arcs), ids).count() == 1
+
+
+def test_whole_files_with_crlf_and_wrapped_qualities(spark):
+    texts = [("a", "@r1 x\r\nAC\r\nGT\r\n+\r\nII\r\n@I\r\n@r2\nA\n+\nII\n@r3\nAC\n+r3\n@@"), ("b", ">s one\r\nAC\r\n\r\nG\n>t\n"), ("c", "")]
+    found = gfa.fastx_reads(spark.createDataFrame(texts, "file string, text string")).collect()
+    assert sorted((r.file, r.name, r.comment, r.seq, r.qual, r.valid) for r in found if r.file == "a") == [("a", "r1", "x", "ACGT", "II@I", True), ("a", "r2", "", "A", "II", False), ("a", "r3", "", "AC", "@@", True)]
+    assert sorted((r.name, r.seq, r.qual, r.valid) for r in found if r.file == "b") == [("s", "ACG", None, True), ("t", "", None, True)]
+
+
+def test_scores_are_written(spark, tmp_path):
+    sinks.write_scores(spark.createDataFrame([(1, "b", 3), (0, "a", -1)], "read_idx long, name string, score int"), f"file://{tmp_path}/scores")
+    assert [r.value for r in spark.read.text(f"file://{tmp_path}/scores").collect()] == ["0\ta\t-1", "1\tb\t3"]
