@@ -15,7 +15,9 @@ window over numbers of tasks; a piece's global rank in its length then decides
 its sequence and place by binary search in the plan. No token is shuffled.
 
 Edge cases: null text counts as empty (one end token); a null doc_id packs as
-any other; repeated rows are packed each; an empty table gives an empty result.
+any other; repeated rows are packed each; a very long text is cut into pieces of a
+whole sequence and a rest; pieces of the same length are placed by task and order;
+an empty table gives an empty result; other columns of the input are ignored.
 """
 
 from __future__ import annotations

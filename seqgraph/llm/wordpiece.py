@@ -14,7 +14,9 @@ Scale: one narrow pass without a shuffle; a worker remembers the counts of the
 words it has seen, up to a bound.
 
 Edge cases: null or empty text has no words and no tokens; white space that
-separates words is ASCII's; other columns of the input are ignored.
+separates words is ASCII's; repeated rows are counted each; a very long text, or
+word, is counted whole; greedy matching knows no ties; an empty table gives an empty
+result; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -319,6 +319,13 @@ def test_viterbi_is_best_and_exact():
     for word in {w for t in texts for w in own.mark(t) if pieces._ASIDE not in w and w != "▁"}:
         total = sum(scores.get(i, -pieces.BYTE_COST) for i in np.frombuffer(own.encode([word.replace("▁", " ")[1:] if word[0] == "▁" else word])[0], "<u4").tolist())
         assert total == pytest.approx(best(word))
+    # Whole texts: cutting them into words loses nothing, runs of spaces included.
+    whole = [t for t in texts if "▁" not in t and pieces._ASIDE not in t] + ["a" + " " * n + "in  the \n   end" for n in range(40)]
+    for t, i in zip(whole, own.encode(whole), strict=True):
+        total = sum(scores.get(x, -pieces.BYTE_COST) for x in np.frombuffer(i, "<u4").tolist())
+        marked = t.replace(" ", "▁")
+        assert total == pytest.approx(best(marked if marked[:1] in ("", "\n") else "▁" + marked))
+        assert own.decode(i) == t
 
 
 def test_sentencepiece_round_trip(spark):
