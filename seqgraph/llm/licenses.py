@@ -15,7 +15,8 @@ documents that hold an indexed word pay for the lookups.
 
 Edge cases: null text counts as empty; a document without a match has empty
 labels, score 0 and null places; rows are independent, so repeated rows and ids
-are each answered; words with the same frequency go by name; a very long text is
+are each answered; of key words
+with the same frequency the first in the phrase is indexed; a very long text is
 scanned whole; an empty table gives an empty result; other columns of the input are
 ignored.
 """
