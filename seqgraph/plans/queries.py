@@ -121,8 +121,8 @@ def fasta_segments(spark, sf):
 @query(f"""WITH x AS (SELECT doc_id, {D.bases_sql("text")} AS seq FROM documents)
            SELECT doc_id, 'doc' || doc_id AS name, source AS comment, seq, doc_id % 10 <> 0 AS valid FROM x JOIN documents USING (doc_id)""")
 def fastq_reads(spark, sf):
-    seq = D.bases("text")
     """CRLF line ends; sequences and qualities span lines, and a line of quality begins with @."""
+    seq = D.bases("text")
     half = F.ceil(F.length(seq) / 2).cast("int")
     head, tail = F.substr(seq, F.lit(1), half), F.substr(seq, half + 1)
     quality = F.concat(F.repeat(F.lit("I"), half), F.lit("\r\n"), F.overlay(F.repeat(F.lit("+"), F.length(tail)), F.substr(F.lit("@"), F.lit(1), F.least(F.length(tail), F.lit(1))), F.lit(1)))
@@ -397,6 +397,28 @@ def region_pairs(spark, sf):
     return likelihood.pairs(reads, haps)
 
 
+@query("""WITH n AS (SELECT n_nationkey, n_regionkey || ':' || row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS region FROM nation)
+          SELECT region, 'read' AS kind, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) - 1 AS INT) AS idx, 'C' || c_custkey AS seq, repeat('I', length('C' || c_custkey)) AS q_base
+          FROM customer JOIN n ON n_nationkey = c_nationkey
+          UNION ALL SELECT region, 'hap', CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey) - 1 AS INT), 'S' || s_suppkey, NULL FROM supplier JOIN n ON n_nationkey = s_nationkey""")
+def region_lines(spark, sf):
+    """A file for each region, in it a header, reads and haplotypes for each nation."""
+    nation, customer, supplier = (table(spark, sf, t) for t in ("nation", "customer", "supplier"))
+    n_reads = customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n_reads"))
+    n_haps = supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n_haps"))
+    of = F.col("n_regionkey").alias("file")
+    place = lambda kind, key: ((F.col("n_nationkey").cast("long") * 3 + kind) * 10**12 + key).alias("line_no")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    heads = nation.join(n_reads, "n_nationkey", "left").join(n_haps, "n_nationkey", "left").select(of, place(0, F.lit(0)), F.concat_ws(" ", count("n_reads"), count("n_haps")).alias("value"))
+    read = F.concat(F.lit("C"), F.col("c_custkey").cast("string"))
+    quality = lambda c: F.repeat(F.lit(c), F.length(read))
+    reads = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(of, place(1, F.col("c_custkey")), F.concat_ws(" ", read, quality("I"), quality("N"), quality("N")).alias("value"))
+    haps = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(of, place(2, F.col("s_suppkey")), F.concat(F.lit("S"), F.col("s_suppkey").cast("string"), F.lit("\r")).alias("value"))
+    reads, haps = likelihood.line_regions(heads.unionByName(reads).unionByName(haps))
+    reads = reads.select("region", F.lit("read").alias("kind"), F.col("read_idx").alias("idx"), F.col("read").alias("seq"), "q_base")
+    return reads.unionByName(haps.select("region", F.lit("hap").alias("kind"), F.col("hap_idx").alias("idx"), F.col("hap").alias("seq"), F.lit(None).cast("string").alias("q_base")))
+
+
 @query()
 def pair_likelihoods(spark, sf):
     """Each part's name as a read, its region's name as the haplotype."""

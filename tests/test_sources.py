@@ -160,6 +160,16 @@ def test_regions_and_likelihoods(spark):
     assert rate == pytest.approx([1e-4, 1.0])
 
 
+def test_regions_by_lines(spark):
+    lines = ["stray", "", "1 0\r", "AC II NN NN\r", "", "0 2", "GG", "", "TT", "0 0", "2 1", "A I N N", "C I N N", "G", None]
+    rows = [(f, i, v) for f in ("a", "b") for i, v in enumerate(lines)]
+    reads, haps = likelihood.line_regions(spark.createDataFrame(rows, "file string, line_no long, value string").repartition(5))
+    assert sorted((r.region, r.read_idx, r.read, r.q_del) for r in reads.collect()) == [(f"{f}:{k}", i, x, q) for f in "ab" for k, i, x, q in ((1, 0, "AC", "NN"), (4, 0, "A", "N"), (4, 1, "C", "N"))]
+    assert sorted((r.region, r.hap_idx, r.hap) for r in haps.collect()) == [(f"{f}:{k}", i, x) for f in "ab" for k, i, x in ((2, 0, "GG"), (2, 1, "TT"), (4, 0, "G"))]
+    empty = likelihood.line_regions(spark.createDataFrame([], "file string, line_no long, value string"))
+    assert [x.count() for x in empty] == [0, 0]
+
+
 def pair_by_definition(read, hap, q_base, q_ins, q_del, c=0.1):
     rate = lambda q: [10 ** ((33 - ord(x)) / 10) for x in q]
     base, ins, dele, n = rate(q_base), rate(q_ins), rate(q_del), len(hap)
