@@ -61,16 +61,28 @@ class Template:
 BASE = [Template(label, phrase, phrase, True) for phrase, label in (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))]
 
 TEMPLATES = BASE + [
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "to any person obtaining a copy of this software"),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies"),
     Template("apache-2", "licensed under the apache license version 2 0", "apache license version 2 0"),
+    Template("apache-2", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "distributed under the license is distributed on an as is basis"),
+    Template("gpl", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license as published by the free software foundation"),
+    Template("agpl", "under the terms of the gnu affero general public license", "gnu affero general public license"),
     Template("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
     Template("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
     Template("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    Template("bsd", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
+    Template("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "altered source versions must be plainly marked as such"),
+    Template("bsl-1", "to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "to any person or organization obtaining a copy of the software"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
+    Template("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
+    Template("artistic-2", "under the terms of the artistic license 2 0", "artistic license 2 0"),
     Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "copy modify and or distribute this software"),
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc 4 0"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa 4 0"),
+    Template("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international license"),
+    Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0 international license"),
     Template("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0"),
     Template("all-rights-reserved", "copyright all rights reserved", "all rights reserved"),
 ]

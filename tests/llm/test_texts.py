@@ -177,6 +177,24 @@ def test_packing(spark):
 # Licences
 
 
+def test_license_passages_tell_licences_apart(spark):
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction.",
+        "bsl-1": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use it.",
+        "apache-2": "Software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "bsd": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "agpl": "You may copy it under the terms of the GNU Affero General Public License.",
+        "zlib": "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+        "cc-by": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "": "The names of its contributors may be printed here; source versions must be marked, and the public license is free.",
+    }
+    rows = [(i, f"x y {t} z", "", "") for i, t in enumerate(texts.values())]
+    found = {r.doc_id: r for r in licenses.scan(docs(spark, rows)).collect()}
+    assert [found[i].labels for i in range(len(rows))] == list(texts) and all(r.n_base == 0 for r in found.values())
+
+
 def test_licenses(spark):
     found = {r.doc_id: r for r in licenses.scan(docs(spark)).collect() if r.doc_id is not None}
     seven = found[7]
