@@ -58,6 +58,8 @@ WIDTH = 4
 PERCENT = 85
 #: A block's texts, and their shingles together, about: they bound a task's time and memory (some 70 MB).
 BLOCK, BLOCK_SHINGLES = 4096, 4_000_000
+#: Shares that one node's edges, or the rows of one set, are dealt into for joins.
+SALTS = 64
 #: Characters that are hashed together, and those whose texts look for shared keys before any are sent.
 CHUNK, WINDOW = 1_000_000, 8_000_000
 
@@ -347,20 +349,33 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(a) + len(b) - common)
 
 
+def _dealt(edges: DataFrame) -> DataFrame:
+    """Edges u, v with a salt, over which a node's edges are dealt, so that no node's edges meet in one task."""
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """u, salt, m: the least v of a node, once for each salt of its dealt edges."""
+    parts = edges.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    return parts.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts")).select("u", "m", F.explode("salts").alias("salt"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the least node of its component) of all nodes in edges (a, b).
 
-    Large-star and small-star steps in turn, until every node hangs on one root.
+    Large-star and small-star steps in turn, until every node hangs on one root. The edges at a node may be a large part
+    of all; they are joined with its least neighbour in SALTS shares.
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "jaccard-edges")
+    on = ["u", "salt"]
     while _unsettled(now):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _dealt(now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         # Large star: every larger neighbour to the least of the neighbourhood.
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = _least(both).withColumn("m", F.least("u", "m"))
+        large = _dealt(both.where("v > u").join(least, on).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"))
         # Small star: every smaller neighbour, and the node, to the least of them.
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = _least(large)
+        moved = large.join(small, on).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         now = materialise(moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "jaccard-edges", now)
     return with_roots(now.select(F.col("u").alias("node"), F.col("v").alias("comp")))
 
