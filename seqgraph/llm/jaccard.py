@@ -554,7 +554,11 @@ def _sets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def jaccard(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     nodes, sets = _sets(docs)
-    joined = nodes.select("sig", "n", F.explode("ids").alias("doc_id")).join(sets.select("sig", "root"), "sig", "left")
+    # The rows of one set may be a third of all: they stay in lists, one of a task's window, that are dealt over tasks.
+    own = nodes.select("sig", "n", "ids", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).alias("salt"))
+    salts = own.groupBy("sig").agg(F.collect_set("salt").alias("salts"))
+    named = sets.select("sig", "root").join(salts, "sig").select("sig", "root", F.explode("salts").alias("salt"))
+    joined = own.join(named, ["sig", "salt"], "left").select("n", "root", F.explode("ids").alias("doc_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, _id_of(F.col("root"))).otherwise(F.col("doc_id")).alias("component_id"))
 
 
