@@ -11,8 +11,9 @@ from the stored digests. The index carries its number of buckets.
 
 Scale: documents are reduced to one partial row for each digest and map
 partition before anything is shuffled by digest, so a text that makes up a
-third of the corpus arrives as one row per map partition. The number of
-buckets follows the number of partial rows; a task holds one bucket at a time.
+third of the corpus arrives as one row per map partition; the lists of its rows
+meet the index in SALTS shares. The number of buckets follows the number of
+partial rows; a task holds one bucket at a time.
 
 Edge cases: null text counts as empty; a null doc_id is smaller than any id;
 of rows with the same text and the same doc_id exactly one stays; a very long
@@ -36,6 +37,8 @@ SLOTS = 4
 MAX_KICKS = 200
 #: Partial rows that a bucket should hold, about; its task's memory is in proportion.
 ROWS_PER_BUCKET = 50_000
+#: Shares that the partial rows of one digest are dealt into.
+SALTS = 64
 
 INDEX_SCHEMA = "bucket int, digest binary, keep_id long, keep_rid long, group_size long, capacity int, filter binary, n_buckets int"
 
@@ -250,7 +253,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     n_buckets = max(1, -(-parts.count() // ROWS_PER_BUCKET))
     incoming = parts.select("digest", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"), F.col("n").alias("group_size"))
     index = entries(update_index(None, incoming, n_buckets=n_buckets))
-    joined = parts.select("digest", "members").join(index, "digest")
+    # The lists of one text may hold a third of all rows: they are dealt over tasks by the map partitions they came from.
+    own = parts.select("digest", "members", F.pmod("part", F.lit(SALTS)).alias("salt"))
+    salts = own.groupBy("digest").agg(F.collect_set("salt").alias("salts"))
+    joined = own.join(index.join(salts, "digest").withColumn("salt", F.explode("salts")), ["digest", "salt"])
     return joined.select("*", F.explode("members").alias("m")).select(
         F.col("m.doc_id").alias("doc_id"), "keep_id", "group_size",
         (F.col("m.rid") == F.col("keep_rid")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
