@@ -121,6 +121,23 @@ def test_components(spark):
     assert found == {b"a": b"a", b"b": b"a", b"c": b"a", b"d": b"a", b"e": b"a", b"x": b"x", b"y": b"x", b"z": b"x"}
 
 
+def test_components_of_a_node_with_more_edges_than_shares(spark):
+    name = lambda i: i.to_bytes(2, "big")
+    leaves = range(J.SALTS * 5, J.SALTS * 8)
+    edges = [(name(J.SALTS * 5 - 1), name(i)) for i in leaves] + [(name(leaves[-1]), name(1)), (name(2), name(3))]
+    found = dict((bytes(r.node), bytes(r.comp)) for r in J.components(spark.createDataFrame(edges, "a binary, b binary")).collect())
+    assert found == {name(i): name(1) for i in (1, J.SALTS * 5 - 1, *leaves)} | {name(2): name(2), name(3): name(2)}
+
+
+def test_copies_from_many_partitions(spark):
+    texts = ["a b c d e f", "", "g h i j", None]
+    rows = [(i, texts[i % 3 if i % 50 else 3]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9, "doc_id")
+    found = sorted(map(tuple, J.jaccard(docs).collect()))
+    least = {t: min(i for i, x in rows if x == t) for t in texts}
+    assert found == [(i, n, least[t] if n else i) for i, t in rows for n in [{texts[0]: 3, texts[2]: 1}.get(t, 0)]]
+
+
 def kept_by_brute_force(rows):
     """The texts that stay of each component, and all rows without words."""
     sets = [shingles(t) for _, t in rows]

@@ -81,6 +81,14 @@ def test_dedup_edge_cases(spark):
     assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
 
 
+def test_dedup_of_copies_from_many_partitions(spark):
+    rows = [(i, f"text {i % 4}" if i % 4 else None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(9, "doc_id")
+    found = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs).collect()}
+    assert found == {i: (196 + i % 4, 50, i == 196 + i % 4) for i in range(200)}
+    assert sorted(r.doc_id for r in exact_dedup.keep_one(docs).collect()) == [196, 197, 198, 199]
+
+
 # Packing
 
 
