@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import exact_dedup as dedup
-from . import jaccard, language, licenses, packing, pieces, quality, rules, toxicity, wordpiece
+from . import jaccard, language, licenses, packing, pieces, quality, rules, spelling, tokenfile, toxicity, vafile, wordpiece
 from .common import in_fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,18 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.counts(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_license_scan": op2_license_scan,
     "op4_sentencepiece": op4_sentencepiece,
@@ -68,6 +80,9 @@ QUERIES: dict[str, Query] = {
     "op7_language_id": op7_language_id,
     "op10_toxicity": op10_toxicity,
     "op3_exact_dedup": op3_exact_dedup,
+    "op11_token_files": op11_token_files,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {
