@@ -3,9 +3,16 @@
 score(q) is the least edit distance between the whole query and a prefix of
 what some walk from the start vertex spells. Reads are independent, so they are
 dealt out evenly and scored many at a time: a batch's states (read, vertex,
-diagonal, offset) move through the score levels together as arrays. The graph, cut
-to what is reachable, goes to the executors once; its size is checked first, and
-beyond MOST_BASES reachability and scoring are joins and aggregations.
+diagonal, offset) move through the score levels together as arrays. The graph goes
+to the executors once, and is cut first to what these reads can reach.
+
+A score is at most the read's length, for inserting the whole read at the start is
+one way. So a best walk spells at most twice as many characters as the longest read
+has, and vertices that are entered behind that play no part, however large the graph.
+With a fixed end the bound is the shortest walk to it instead, where that is longer.
+The cut is a search for distances, by joins; only its result is looked at in one
+place. Where even that holds more than MOST_BASES, scoring is joins and aggregations
+(wavefront.align).
 """
 
 from __future__ import annotations
@@ -130,10 +137,31 @@ def scores(graph: Flat, queries: list[bytes]) -> np.ndarray:
     return score
 
 
-def oriented(graph: SequenceGraph, start: int) -> tuple[DataFrame, DataFrame]:
-    """Vertices (v, seq) and arcs (v, w, ow) reachable from start, in reading direction; both written."""
+def spelled(arcs: DataFrame, segments: DataFrame, start: int, most: int | None = None) -> DataFrame:
+    """v, dist: how many characters the shortest walk from start to the end of v spells behind the start vertex."""
+    first = segments.select(F.lit(start).cast("long").alias("v")).limit(1)
+    sized = arcs.join(segments.select(F.col("seg_id"), F.octet_length("seq").alias("__n")), segment_of("w") == F.col("seg_id"))
+    return reach.distances(sized.select("v", "w", F.greatest(F.coalesce(F.col("__n") - F.col("ow"), F.lit(0)), F.lit(0)).alias("n")), first, "n", (1 << 62) if most is None else max(most, 0))
+
+
+def within(arcs: DataFrame, segments: DataFrame, start: int, radius: int) -> DataFrame:
+    """v: start, and the vertices that walks enter before they have spelled radius characters."""
+    own = segments.where(F.col("seg_id") == start >> 1).agg(F.max(F.octet_length("seq"))).first()[0] or 0
+    near = spelled(arcs, segments, start, radius - own - 1).select("v") if radius > own else segments.select(F.lit(start).cast("long").alias("v")).limit(1)
+    if radius <= own:
+        return near
+    near = materialise(near, "align-near")
+    return near.unionByName(arcs.join(near, "v", "left_semi").select(F.col("w").alias("v"))).distinct()
+
+
+def oriented(graph: SequenceGraph, start: int, radius: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Vertices (v, seq) and arcs (v, w, ow) reachable from start, in reading direction; both written. radius: only what
+    walks enter before they have spelled so many characters."""
     every = materialise(graph.arcs.select("v", "w", "ow"), "align-arcs")
-    reached = reach.levels(every, graph.segments.select(F.lit(start).cast("long").alias("v")).limit(1)).select("v")
+    if radius is None:
+        reached = reach.levels(every, graph.segments.select(F.lit(start).cast("long").alias("v")).limit(1)).select("v")
+    else:
+        reached = materialise(within(every, graph.segments, start, radius), "align-within")
     met = reached.join(graph.segments.select("seg_id", "seq"), segment_of("v") == F.col("seg_id"))
     vertices = met.select("v", F.when(strand_of("v") == 1, reverse_complement("seq")).otherwise(F.col("seq")).alias("seq"))
     return materialise(vertices, "align-vertices"), materialise(reach.subgraph(every, reached), "align-reached").select("v", "w", "ow")
@@ -162,8 +190,9 @@ def flat(vertices: DataFrame, arcs: DataFrame, start: int, end: int | None = Non
     return Flat([t.as_py().encode() for t in rows["seq"]], table, place(start), None if end is None else place(end))
 
 
-def reachable_flat(graph: SequenceGraph, start: int, end: int | None = None) -> Flat | None:
-    """What is reachable from start as arrays, or None if the whole graph is too large to look at in one place."""
+def small_flat(graph: SequenceGraph, start: int, end: int | None = None) -> Flat | None:
+    """What is reachable from start as arrays, or None if the whole graph is too large to look at in one place. Of a small
+    graph this is the quicker way: without a job for each hop."""
     segments = materialise(graph.segments.select("seg_id", "seq"), "align-segments")
     every = materialise(graph.arcs.select("v", "w", "ow").distinct(), "align-arcs")
     if (segments.agg(F.sum(F.length("seq"))).first()[0] or 0) + 8 * (every.count() + segments.count()) > MOST_BASES:
@@ -188,11 +217,13 @@ def reachable_flat(graph: SequenceGraph, start: int, end: int | None = None) ->
     return Flat(spelled, table, place(start), None if end is None else place(end))
 
 
-def score_reads(reads: DataFrame, graph: Flat) -> DataFrame:
+def score_reads(reads: DataFrame, graph: Flat | None) -> DataFrame:
     """read_idx, score. Works on streams too.
 
     Scoring a read costs far more than moving it, so reads are dealt out evenly first, wherever they were read.
     """
+    if graph is None:
+        raise ValueError("the graph is too large to send about; wavefront.align scores by joins")
     spark = reads.sparkSession
     shared = spark.sparkContext.broadcast(graph)
     rows = reads.select(F.col("read_idx").cast("long").alias("read_idx"), "seq")
@@ -209,21 +240,40 @@ def score_reads(reads: DataFrame, graph: Flat) -> DataFrame:
     return rows.mapInArrow(run, "read_idx long, score int")
 
 
-def graph_edit_distance(reads: DataFrame, graph: SequenceGraph, start: str | None = None, strand: int = 0, end: str | None = None) -> DataFrame:
+def needed_radius(reads: DataFrame, graph: SequenceGraph, start: int, end: int | None = None) -> int:
+    """How many characters a walk may have spelled where a best one enters its last vertex; see above."""
+    longest = reads.agg(F.max(F.octet_length("seq"))).first()[0] or 0
+    if end is None:
+        return 2 * longest
+    arcs = materialise(graph.arcs.select("v", "w", "ow"), "align-arcs")
+    own = graph.segments.where(F.col("seg_id") == start >> 1).agg(F.max(F.octet_length("seq"))).first()[0] or 0
+    there = spelled(arcs, graph.segments, start).where(F.col("v") == end).first()
+    return longest + max(longest, own + (there.dist if there else 0))
+
+
+def graph_edit_distance(reads: DataFrame, graph: SequenceGraph, start: str | None = None, strand: int = 0, end: str | None = None, radius: int | None = None) -> DataFrame:
     """read_idx, score of reads (read_idx, seq) against what is reachable from the start segment.
 
-    With end, walks must end at the end of that segment, forward; -1 where none does.
+    With end, walks must end at the end of that segment, forward; -1 where none does. radius: only vertices that walks
+    enter before they have spelled so many characters; by default as far as these reads can tell a difference.
     """
     first = find_start(graph, start, strand)
     last = None if end is None else find_start(graph, end)
-    own = reachable_flat(graph, first, last)
-    return wavefront.align(reads, *oriented(graph, first), first, last) if own is None else score_reads(reads, own)
-
-
-def projection(graph: SequenceGraph, start: str | None = None) -> DataFrame:
-    """The reachable part as GFA lines, in one strand and with new numbers by vertex."""
+    own = small_flat(graph, first, last) if radius is None else None
+    if own is None:
+        if radius is None and not reads.isStreaming:
+            radius = needed_radius(reads, graph, first, last)
+        vertices, arcs = oriented(graph, first, radius)
+        own = flat(vertices, arcs, first, last)
+        if own is None:
+            return wavefront.align(reads, vertices, arcs, first, last)
+    return score_reads(reads, own)
+
+
+def projection(graph: SequenceGraph, start: str | None = None, radius: int | None = None) -> DataFrame:
+    """The reachable part as GFA lines, in one strand and with new numbers by vertex. radius: as in oriented()."""
     first = find_start(graph, start)
-    vertices, arcs = oriented(graph, first)
+    vertices, arcs = oriented(graph, first, radius)
     from ..functions.numbering import numbered
 
     ids = numbered(vertices, ["v"], "id").select("v", "id", "seq")

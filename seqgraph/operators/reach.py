@@ -1,4 +1,21 @@
-"""Reachability, distances and topological order from a start vertex, by frontier joins."""
+"""Reachability, distances and topological order from a start vertex.
+
+A round relaxes the arcs of all vertices that have come nearer: a join and an
+aggregation, whose result is written, so a lost executor costs one round at most.
+Searches of a few rounds end so. Longer ones go through a contracted graph first,
+so that rounds follow branching and not length:
+
+- a vertex that has one predecessor and at most one successor adds nothing to the
+  search but its own distance. Pointer doubling along predecessors finds for all
+  such vertices at once the nearest one before them that stays, and the length to
+  there, in as many rounds as the longest chain's length has binary digits;
+- arcs are redrawn between the vertices that stay, of parallel ones the shortest.
+  A bubble's two branches become one arc so, and its ends inner vertices of a longer
+  chain: contraction goes on until few vertices vanish.
+
+What is left is searched; distances of what vanished follow by one join for each
+contraction.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +24,12 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import discard, materialise
 
-
 #: Rounds after which what they wrote is put together.
 TOGETHER = 32
+#: Rounds of a search before the graph is contracted.
+PLAIN = 8
+#: A contraction is worth its rounds if so large a share of the vertices vanishes.
+SHARE = 0.1
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -25,43 +45,90 @@ def _compact(parts: list[DataFrame]) -> list[DataFrame]:
     return [materialise(_union(parts[:-1]).coalesce(8), "reach-parts"), parts[-1]]
 
 
-def levels(arcs: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
-    """v, hops: vertices reachable from start (v), with the fewest arcs on the way; with most, up to so many arcs.
-
-    Each round writes what it reached first; earlier rounds are read where they lie, and put together when they are many.
-    """
-    step = materialise(arcs.select("v", "w").distinct(), "reach-arcs")
-    frontier = materialise(start.select("v").distinct().withColumn("hops", F.lit(0)), "reach-level")
-    parts, hops = [frontier], 0
-    while most is None or hops < most:
-        hops += 1
-        following = frontier.join(step, "v").select(F.col("w").alias("v")).distinct().join(_union(parts), "v", "left_anti")
-        frontier = materialise(following.withColumn("hops", F.lit(hops)), "reach-level")
-        if frontier.isEmpty():
-            break
-        parts = _compact([*parts, frontier])
-    discard(step)
-    return _union(parts)
-
+def _search(arcs: DataFrame, start: DataFrame, most: int, rounds: int | None = None) -> DataFrame | None:
+    """v, dist over arcs (v, w, n), written ones; None if it takes more rounds than given.
 
-def distances(arcs: DataFrame, start: DataFrame, length: str, most: int = 1 << 30) -> DataFrame:
-    """v, dist: shortest sum of arc lengths (column length) from start, up to most; by relaxation of what improved.
-
-    A round writes only what improved; the least of a vertex's rows is its distance so far.
+    A round writes only what came nearer; the least of a vertex's rows is its distance so far.
     """
-    step = materialise(arcs.groupBy("v", "w").agg(F.min(length).alias("n")), "reach-arcs")
-    changed = materialise(start.select("v").distinct().withColumn("dist", F.lit(0).cast("long")), "reach-best")
-    parts = [changed]
+    changed = materialise(start.select("v", F.lit(0).cast("long").alias("dist")), "reach-best")
+    parts, done = [changed], 0
     while True:
-        offers = changed.join(step, "v").select(F.col("w").alias("v"), (F.col("dist") + F.col("n")).alias("offer")).where(F.col("offer") <= most)
+        offers = changed.join(arcs, "v").select(F.col("w").alias("v"), (F.col("dist") + F.col("n")).alias("offer")).where(F.col("offer") <= most)
         offers = offers.groupBy("v").agg(F.min("offer").alias("offer"))
         best = _union(parts).groupBy("v").agg(F.min("dist").alias("dist"))
         changed = materialise(offers.join(best, "v", "left").where("dist is null or offer < dist").select("v", F.col("offer").alias("dist")), "reach-changed")
         if changed.isEmpty():
-            break
+            return _union(parts).groupBy("v").agg(F.min("dist").alias("dist"))
+        done += 1
+        if rounds is not None and done >= rounds:
+            return None
         parts = _compact([*parts, changed])
+
+
+def doubled(links: DataFrame) -> DataFrame:
+    """links: v, p (its predecessor), n (the length from there), a row for each v. For each v the first p on its way back
+    that has no row itself (v, p, n with the length from there), written; vertices on or behind a cycle are left out.
+
+    Each round looks from where a pointer points as far again, so rounds are logarithmic in the longest way.
+    """
+    ends = links.select(F.col("v").alias("p"), F.lit(True).alias("more"))
+    ways = materialise(links.join(ends, "p", "left").select("v", "p", "n", F.coalesce("more", F.lit(False)).alias("more")), "reach-ways")
+    for _ in range(links.count().bit_length() + 1):
+        if ways.where("more").isEmpty():
+            break
+        ahead = ways.select(F.col("v").alias("p"), F.col("p").alias("__p"), F.col("n").alias("__n"), F.col("more").alias("__more"))
+        # Only ways that go on are joined: of each vertex that they point to there is one row.
+        further = ways.where("more").drop("more").join(ahead, "p").select("v", F.col("__p").alias("p"), (F.col("n") + F.col("__n")).alias("n"), F.col("__more").alias("more"))
+        ways = materialise(ways.where("not more").unionByName(further), "reach-ways", ways)
+    return ways.where("not more").select("v", "p", "n")
+
+
+def contract(arcs: DataFrame, start: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Written arcs (v, w, n) to fewer with the same distances from start (v) among the vertices that stay, and tables of
+    those that vanished, in this order: v, p (a vertex that stayed then), n (its length from there)."""
+    vanished = []
+    while True:
+        into = arcs.groupBy(F.col("w").alias("v")).agg(F.count(F.lit(1)).alias("before"), F.min("v").alias("p"), F.min("n").alias("n"))
+        out = arcs.groupBy("v").agg(F.count(F.lit(1)).alias("after"))
+        both = materialise(into.join(out, "v", "full").join(start.select("v", F.lit(True).alias("first")), "v", "left"), "reach-degrees")
+        inner = both.where("before = 1 and coalesce(after, 0) <= 1 and first is null")
+        # What nothing leads to is never reached.
+        unreached = both.where("before is null and first is null").select("v")
+        sizes = both.agg(F.count(F.lit(1)).alias("all"), F.count_if(F.expr("(before = 1 and coalesce(after, 0) <= 1 or before is null) and first is null")).alias("gone")).first()
+        if sizes["gone"] < max(1, SHARE * sizes["all"]):
+            discard(both)
+            return arcs, vanished
+        ways = doubled(materialise(inner.select("v", "p", "n"), "reach-inner"))
+        kept = arcs.join(unreached, "v", "left_anti").join(inner.select(F.col("v").alias("w")), "w", "left_anti")
+        moved = kept.join(ways.select("v", F.col("p").alias("__p"), F.col("n").alias("__n")), "v", "left").select(F.coalesce("__p", "v").alias("v"), "w", (F.col("n") + F.coalesce("__n", F.lit(0))).alias("n"))
+        # An inner vertex that no way leads to lies on or behind a cycle of such vertices, which nothing enters.
+        moved = moved.join(inner.select("v"), "v", "left_anti")
+        arcs = materialise(moved.where("v <> w").groupBy("v", "w").agg(F.min("n").alias("n")), "reach-arcs", arcs)
+        vanished.append(ways)
+        discard(both)
+
+
+def distances(arcs: DataFrame, start: DataFrame, length: str, most: int = 1 << 30) -> DataFrame:
+    """v, dist: shortest sum of arc lengths (column length, none below 0) from start (v), up to most."""
+    first = materialise(start.select("v").distinct(), "reach-start")
+    step = materialise(arcs.where("v <> w").groupBy("v", "w").agg(F.min(F.col(length).cast("long")).alias("n")), "reach-arcs")
+    found = _search(step, first, most, PLAIN)
+    if found is not None:
+        discard(step)
+        return found
+    step, vanished = contract(step, first)
+    found = _search(step, first, most)
+    for ways in reversed(vanished):
+        more = ways.join(found.select(F.col("v").alias("p"), "dist"), "p").select("v", (F.col("dist") + F.col("n")).alias("dist")).where(F.col("dist") <= most)
+        found = materialise(found.unionByName(more), "reach-found")
     discard(step)
-    return _union(parts).groupBy("v").agg(F.min("dist").alias("dist"))
+    return found
+
+
+def levels(arcs: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """v, hops: vertices reachable from start (v), with the fewest arcs on the way; with most, up to so many arcs."""
+    found = distances(arcs.select("v", "w", F.lit(1).alias("n")), start, "n", (1 << 62) if most is None else most)
+    return found.select("v", F.col("dist").cast("int").alias("hops"))
 
 
 def subgraph(arcs: DataFrame, reached: DataFrame) -> DataFrame:

@@ -20,6 +20,18 @@ def bases_sql(text: str) -> str:
     return f"translate(lower(regexp_replace({text}, '[^A-Za-z]', '', 'g')), '{LETTERS}', '{BASES}')"
 
 
+def fastq_text(text: str, doc_id: str, comment: str) -> Column:
+    """A document's bases as a FASTA or FASTQ record of one form or another, by its number."""
+    seq, number = bases(text), F.col(doc_id)
+    half = F.ceil(F.length(seq) / 2).cast("int")
+    head, tail = F.substr(seq, F.lit(1), half), F.substr(seq, half + 1)
+    quality = F.concat(F.repeat(F.lit("I"), half), F.lit("\r\n"), F.overlay(F.repeat(F.lit("+"), F.length(tail)), F.substr(F.lit("@"), F.lit(1), F.least(F.length(tail), F.lit(1))), F.lit(1)))
+    quality = F.concat(F.lit("+\r\n"), quality, F.when(number % 10 == 0, "!").otherwise(""), F.lit("\r\n"))
+    before = F.when(number % 7 == 1, "\r\n").when(number % 7 == 2, "no record\n\n").otherwise("")
+    mark = F.when(number % 6 == 1, ">").otherwise("@")
+    return F.concat(before, mark, F.lit("doc"), number.cast("string"), F.lit(" "), F.col(comment), F.lit("\r\n"), head, F.lit("\r\n"), tail, F.lit("\r\n"), F.when((number % 10 == 0) | (number % 4 != 3), quality).otherwise(""))
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A segment for each part; those of a size that 10 divides have no sequence."""
     part = table(spark, sf_dir, "part")

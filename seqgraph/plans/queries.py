@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import sequences as S
 from ..operators import align, graph, intervals, likelihood, reach, wavefront
-from ..sources import gfa, sinks
-from ..sources.storage import table
+from ..sources import fastx, gfa, sinks
+from ..sources.storage import shared_dir, table
 from . import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -121,15 +122,24 @@ def fasta_segments(spark, sf):
 @query(f"""WITH x AS (SELECT doc_id, {D.bases_sql("text")} AS seq FROM documents)
            SELECT doc_id, 'doc' || doc_id AS name, source AS comment, seq, doc_id % 10 <> 0 AS valid FROM x JOIN documents USING (doc_id)""")
 def fastq_reads(spark, sf):
-    """CRLF line ends; sequences and qualities span lines, and a line of quality begins with @."""
-    seq = D.bases("text")
-    half = F.ceil(F.length(seq) / 2).cast("int")
-    head, tail = F.substr(seq, F.lit(1), half), F.substr(seq, half + 1)
-    quality = F.concat(F.repeat(F.lit("I"), half), F.lit("\r\n"), F.overlay(F.repeat(F.lit("+"), F.length(tail)), F.substr(F.lit("@"), F.lit(1), F.least(F.length(tail), F.lit(1))), F.lit(1)))
-    quality = F.concat(quality, F.when(F.col("doc_id") % 10 == 0, "!").otherwise(""))
-    text = F.concat(F.lit("@doc"), F.col("doc_id").cast("string"), F.lit(" "), F.col("source"), F.lit("\r\n"), head, F.lit("\r\n"), tail, F.lit("\r\n+\r\n"), quality, F.lit("\r\n"))
-    own = table(spark, sf, "documents").select(F.col("doc_id").alias("file"), text.alias("text"))
-    return gfa.fastx_reads(own).select(F.col("file").alias("doc_id"), "name", "comment", "seq", "valid")
+    """CRLF line ends; sequences and qualities span lines, and a line of quality begins with @.
+
+    Some texts begin with empty lines or with lines that are no record, some records begin with > and have a quality,
+    some begin with @ and have none.
+    """
+    own = table(spark, sf, "documents").select(F.col("doc_id").alias("file"), D.fastq_text("text", "doc_id", "source").alias("text"))
+    return fastx.whole_texts(own).select(F.col("file").alias("doc_id"), "name", "comment", "seq", "valid")
+
+
+@query(f"""WITH x AS (SELECT doc_id, {D.bases_sql("text")} AS seq FROM documents)
+           SELECT row_number() OVER (ORDER BY doc_id) - 1 AS read_idx, 'doc' || doc_id AS name, source AS comment, seq, doc_id % 10 <> 0 AS valid FROM x JOIN documents USING (doc_id)""")
+def fastx_files(spark, sf):
+    """The same records written as files in order of doc_id, and read by the data source in parts of 64 kB."""
+    docs = table(spark, sf, "documents")
+    text = F.regexp_replace(D.fastq_text("text", "doc_id", "source"), r"\n$", "")  # each value ends with a line feed of its own
+    path = f"{shared_dir(spark)}/fastx-{uuid.uuid4().hex}"
+    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(text.alias("value")).write.text(path)
+    return gfa.read_reads(spark, path, bytes="65536").select("read_idx", "name", "comment", "seq", "valid")
 
 
 # Normalising and inspecting the graph

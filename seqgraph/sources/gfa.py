@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered, scan
 from ..functions.sequences import overlap, tag_int, tag_string, tags
-from .storage import materialise
+from . import fastx
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -93,72 +93,11 @@ def path_steps(rows: DataFrame) -> DataFrame:
     return p.unionByName(w).select("path", F.posexplode("steps").alias("step", "s")).select("path", "step", "s.name", "s.strand")
 
 
-def fastx_reads(rows: DataFrame, name: str = "file") -> DataFrame:
-    """Whole FASTA or FASTQ files (file, text) to file, record, name, comment, seq, qual, valid, as line_reads() reads
-    them: line ends may be CRLF, sequences and qualities may span lines and hold any mark, and a quality of another
-    length than its sequence makes a read invalid, instead of ending the scan.
-    """
-    lines = rows.select(F.col(name).alias("file"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "value"))
-    found = line_reads(lines.withColumn("line_no", F.col("line_no").cast("long")))
-    return found.withColumnRenamed("file", name) if name != "file" else found
-
-
-def _reads(both: DataFrame, name: str) -> DataFrame:
-    """Records (file, record, x: the text behind the first mark) to read name, comment, seq, qual, valid."""
-    clean = both.withColumn("x", F.replace("x", F.lit("\r"), F.lit("")))
-    header, plus = F.regexp_extract("x", r"^([^\n]*)", 1), F.regexp_extract("x", r"\n\+[^\n]*\n([^\n]*)$", 1)
-    has_qual = F.col("x").rlike(r"\n\+[^\n]*\n[^\n]*$")
-    body = F.regexp_replace(F.regexp_replace("x", r"^[^\n]*\n?", ""), r"(?s)(^|\n)\+[^\n]*\n[^\n]*$", "")
-    row = clean.select(
-        name, "record", F.regexp_extract(header, r"^(\S*)", 1).alias("name"), F.regexp_extract(header, r"^\S*\s+(.*)$", 1).alias("comment"),
-        F.regexp_replace(body, r"\s", "").alias("seq"), F.when(has_qual, plus).alias("qual"),
-    )
-    return row.withColumn("valid", F.coalesce(F.length("qual") == F.length("seq"), F.lit(True)))
-
-
-def line_reads(rows: DataFrame) -> DataFrame:
-    """FASTA or FASTQ lines (file, line_no, value) to file, record, name, comment, seq, qual, valid.
+def read_reads(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """Reads of FASTA or FASTQ files, numbered in order: read_idx, file_path, record, name, comment, seq, qual, valid.
 
-    A file whose first line begins with @ is FASTQ. There a record may start at an @ line that sequence lines and a
-    + line follow, and its quality goes on over lines until it is as long as the sequence. Where no line ends at that
-    length the read is invalid and its quality goes up to the next record. Starts inside the quality of an earlier
-    record are none. One file spreads over many tasks: only starts whose records overlap are looked at together.
+    options: those of the data source, fastx.
     """
-    on = ["file", "line_no"]
-    rows = materialise(rows.select("file", "line_no", F.regexp_replace("value", r"\r$", "").alias("value")), "reads-lines")
-    kinds = rows.groupBy("file").agg(F.min_by("value", "line_no").startswith("@").alias("fastq"))
-    at, plus, letters = F.col("value").startswith("@"), F.col("value").startswith("+"), F.col("value").rlike(r"^[A-Za-z*.]*$")
-    marks = rows.join(kinds.where("fastq").select("file"), "file").select(*on, at.alias("at"), plus.alias("plus"), letters.alias("letters"), F.length("value").cast("long").alias("n"))
-    marks = scan(marks, ["file"], ["line_no"], "sum", F.col("n"), "sum").withColumn("sum", F.coalesce("sum", F.lit(0)) + F.col("n"))
-    # The last line before that is no sequence, twice its number and 1 if it begins with @.
-    marks = scan(marks, ["file"], ["line_no"], "max", F.when(~F.col("letters"), F.col("line_no") * 2 + F.col("at").cast("int")), "last")
-    tops = marks.where("at").select("file", F.col("line_no").alias("start"), F.col("sum").alias("head"))
-    found = marks.where("plus and last % 2 = 1").select("file", F.col("line_no").alias("mid"), F.col("sum").alias("half"), F.expr("last div 2").alias("start")).join(tops, ["file", "start"])
-    # sum counts the + line too, so its own length is taken off by the line itself.
-    own = marks.where("plus").select("file", F.col("line_no").alias("mid"), "n")
-    found = found.join(own, ["file", "mid"]).select("file", "start", "mid", (F.col("half") + F.col("half") - F.col("n") - F.col("head")).alias("sum"))
-    ends = found.join(marks.select("file", "sum", F.col("line_no").alias("end")), ["file", "sum"]).where("end > mid").groupBy("file", "start").agg(F.min("end").alias("end"))
-    found = found.drop("sum").join(ends, ["file", "start"], "left").withColumn("to", F.coalesce("end", "mid"))
-    found = scan(found, ["file"], ["start"], "max", F.col("to"), "covered")
-    free = F.coalesce(F.col("covered") < F.col("start"), F.lit(True)).cast("int")
-    found = scan(found.withColumn("free", free), ["file"], ["start"], "sum", F.col("free"), "island").withColumn("island", F.coalesce("island", F.lit(0)) + F.col("free"))
-    chain = F.array_sort(F.collect_list(F.struct("start", "mid", "end", "to")))
-    kept = F.aggregate(chain, F.array().cast("array<struct<start:bigint,mid:bigint,end:bigint,to:bigint>>"), lambda got, x: F.when((F.size(got) == 0) | (x["start"] > F.get(got, F.size(got) - 1)["to"]), F.concat(got, F.array(x))).otherwise(got))
-    true = found.groupBy("file", "island").agg(kept.alias("x")).select("file", F.explode("x").alias("x")).select("file", "x.start", "x.mid", "x.end")
-    fasta = rows.where(F.col("value").startswith(">")).join(kinds.where("not fastq").select("file"), "file").select("file", F.col("line_no").alias("start"), F.lit(None).cast("long").alias("mid"), F.lit(None).cast("long").alias("end"))
-    starts = materialise(true.unionByName(fasta), "reads-starts")
-    lines = rows.join(starts.select("file", F.col("start").alias("line_no"), F.lit(True).alias("top")), on, "left")
-    lines = scan(lines, ["file"], ["line_no"], "max", F.when(F.col("top"), F.col("line_no")), "record").withColumn("record", F.when(F.col("top"), F.col("line_no")).otherwise(F.col("record")))
-    lines = lines.where("record is not null").join(starts.withColumnRenamed("start", "record"), ["file", "record"]).where("end is null or line_no <= end")
-    part = F.array_sort(F.collect_list(F.struct("line_no", "value")))
-    told = lines.groupBy("file", "record", "mid").agg(part.alias("p"))
-    text = lambda keep, sep: F.array_join(F.transform(F.filter("p", keep), lambda x: x["value"]), sep)
-    front, back = text(lambda x: F.col("mid").isNull() | (x["line_no"] <= F.col("mid")), "\n"), text(lambda x: x["line_no"] > F.col("mid"), "")
-    x = F.substr(F.when(F.col("mid").isNull(), front).otherwise(F.concat(front, F.lit("\n"), back)), F.lit(2))
-    return _reads(told.select("file", "record", x.alias("x")), "file")
-
-
-def read_reads(spark: SparkSession, path: str) -> DataFrame:
-    """Reads of FASTA or FASTQ files, numbered in order; one file spreads over many tasks."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), "value")
-    return numbered(line_reads(rows).withColumnRenamed("file", "file_path"), ["file_path", "record"], "read_idx")
+    fastx.register(spark)
+    rows = spark.read.format("fastx").options(**options).load(path)
+    return numbered(rows.withColumnRenamed("file", "file_path"), ["file_path", "record"], "read_idx")

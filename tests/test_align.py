@@ -109,6 +109,42 @@ def test_a_large_graph_is_scored_by_relations(spark, monkeypatch):
     assert sorted(tuple(r) for r in A.graph_edit_distance(reads, own, end="b").collect()) == [(0, 1), (1, 0)]
 
 
+def graph_of(spark, texts, arcs):
+    rows = [f"S\ts{i}\t{t.decode()}" for i, t in enumerate(texts)] + [f"L\ts{a}\t+\ts{b}\t+\t{o}:{o}" for a, b, o in arcs]
+    return G.from_lines(spark.createDataFrame(list(enumerate(rows)), "line_no long, value string"))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_what_reads_can_reach_is_enough(spark, monkeypatch, seed):
+    monkeypatch.setattr(A, "small_flat", lambda *a: None)
+    rng = random.Random(seed)
+    texts, arcs, queries = random_case(rng, 8)
+    reads = spark.createDataFrame([(i, q.decode()) for i, q in enumerate(queries)], "read_idx long, seq string")
+    own = graph_of(spark, texts, arcs)
+    assert {r.read_idx: r.score for r in A.graph_edit_distance(reads, own, start="s0").collect()} == {i: shortest(texts, arcs, 0, q) for i, q in enumerate(queries)}
+    end = len(texts) - 1
+    expected = {i: shortest(texts, arcs, 0, q, end) for i, q in enumerate(queries)}
+    assert {r.read_idx: r.score for r in A.graph_edit_distance(reads, own, start="s0", end=f"s{end}").collect()} == {i: -1 if x is None else x for i, x in expected.items()}
+
+
+def test_a_graph_of_any_size_is_cut_first(spark, monkeypatch):
+    """3,000 segments are beyond the bound, what reads of twelve bases reach is not; the relational way is not taken."""
+    monkeypatch.setattr(A, "MOST_BASES", 1000)
+    monkeypatch.setattr(wavefront, "align", None)
+    segments = spark.range(3_000).selectExpr("id as seg_id", "concat('s', id) as name", "repeat(substr('ACGT', cast(id % 4 + 1 as int), 1), 5) as seq")
+    arcs = spark.range(2_999).selectExpr("id * 2 as v", "id * 2 + 2 as w", "cast(1 as int) as ow")
+    reads = spark.createDataFrame([(0, "AAAAACCCCGGG"), (1, "AAAACCCC"), (2, "T"), (3, None)], "read_idx long, seq string")
+    own = G.SequenceGraph(segments, arcs)
+    assert {r.read_idx: r.score for r in A.graph_edit_distance(reads, own, start="s0").collect()} == {0: 0, 1: 1, 2: 1, 3: 0}
+    reached = A.within(arcs, segments, 0, 24)
+    # The first spells five characters, each further one four: the sixth is entered when 21 are spelled.
+    assert sorted(r.v for r in reached.collect()) == [0, 2, 4, 6, 8, 10]
+    assert [r.v for r in A.within(arcs, segments, 0, 5).collect()] == [0]
+    assert A.projection(own, "s0", radius=9).count() == 2 + 1
+    with pytest.raises(ValueError, match="too large"):
+        A.score_reads(reads, A.small_flat(own, 0))
+
+
 def test_whole_query(spark):
     rows = spark.createDataFrame(list(enumerate(["S\ta\tACGT", "S\tb\tGG", "S\tc\tT", "S\td\tCCA", "L\ta\t+\tb\t+\t0M", "L\ta\t+\tc\t+\t0M", "L\tb\t+\td\t+\t0M", "L\tc\t+\td\t+\t0M"])), "line_no long, value string")
     own = G.from_lines(rows).finalize()

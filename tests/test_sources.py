@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seqgraph.functions import sequences as S
 from seqgraph.operators import graph as G
 from seqgraph.operators import likelihood
-from seqgraph.sources import gfa, sinks
+from seqgraph.sources import fastx, gfa, sinks
 
 
 def lines(spark, *texts):
@@ -139,14 +139,7 @@ def test_reads_of_one_file_in_many_splits(spark, tmp_path):
     want = [(f"r{i}", "ACGT" * (i % 7 + 1), "@II+" * (i % 7 + 1)) for i in range(400)]
     cut = lambda s: "\n".join(s[k : k + 8] for k in range(0, len(s), 8))
     (tmp_path / "a.fq").write_text("".join(f"@{n}\n{cut(s)}\n+\n{cut(q)}\n" for n, s, q in want))
-    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
-    try:
-        for k in before:
-            spark.conf.set(k, "1000")
-        rows = gfa.read_reads(spark, f"file://{tmp_path}/a.fq").orderBy("read_idx").collect()
-    finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+    rows = gfa.read_reads(spark, f"file://{tmp_path}/a.fq", bytes="1000").orderBy("read_idx").collect()
     assert [(r.name, r.seq, r.qual) for r in rows] == want and all(r.valid for r in rows)
 
 
@@ -228,7 +221,7 @@ def test_written_tags(spark):
 
 def test_whole_files_with_crlf_and_wrapped_qualities(spark):
     texts = [("a", "@r1 x\r\nAC\r\nGT\r\n+\r\nII\r\n@I\r\n@r2\nA\n+\nII\n@r3\nAC\n+r3\n@@"), ("b", ">s one\r\nAC\r\n\r\nG\n>t\n"), ("c", "")]
-    found = gfa.fastx_reads(spark.createDataFrame(texts, "file string, text string")).collect()
+    found = fastx.whole_texts(spark.createDataFrame(texts, "file string, text string")).collect()
     assert sorted((r.file, r.name, r.comment, r.seq, r.qual, r.valid) for r in found if r.file == "a") == [("a", "r1", "x", "ACGT", "II@I", True), ("a", "r2", "", "A", "II", False), ("a", "r3", "", "AC", "@@", True)]
     assert sorted((r.name, r.seq, r.qual, r.valid) for r in found if r.file == "b") == [("s", "ACG", None, True), ("t", "", None, True)]
 
