@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyarrow import fs
 from pyspark import TaskContext
@@ -52,21 +53,25 @@ END = 0
 LENGTH = 2048
 ROWS = 256
 FILE_TOKENS = 64 << 20
-#: Words that a worker remembers.
+#: Texts that are split together.
+TEXTS = 2_000
+#: Units that a worker remembers.
 REMEMBERED = 1_000_000
 
 FILES = "task int, part int, path string, n_docs long, n_tokens long, n_sequences long"
 
 _UNIT = re.compile(rb"[ \n]+[^ \n]*|[^ \n]+")
 _ODD = re.compile(r"[^\S \n]|<\|")
-_PARTS = re.compile(rb" ([A-Za-z\x80-\xff]+)([!-/:-;=-@\[-`{-~]*)")
+_PARTS = re.compile(rb"( [A-Za-z\x80-\xff]+)([!-/:-;=-@\[-`{-~]*)")
 #: Fixed value: how the vocabulary writes a space.
 SPACE = "\u0120"
+#: Stands before a text while it is split, so that its first word is known; a text that has it is split by itself.
+FIRST = b"\x01"
 
 
 def _latin(word: bytes) -> bool:
     """Whether these are letters up to U+024F, whose kind no version of the character tables doubts."""
-    text = word.decode()
+    text = word[1:].decode()
     return max(text) < "\u0250" and text.isalpha()
 
 
@@ -77,6 +82,9 @@ class UnitEncoder:
     white space behind it and looks ahead no further than a run of white space, so a text's ids are those of its units.
     Other white space would cut such a run in two: a text that has any is given to the tokenizer whole, and so is one
     that may spell a special token.
+
+    Texts are split and their ids put together in Arrow, many texts at a time, where white space is such that a unit
+    begins at each single space or line feed: runs of one, two line feeds, or a line feed and a space, before a word.
     """
 
     def __init__(self, path: str):
@@ -88,52 +96,81 @@ class UnitEncoder:
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens with a space before them
         for token, i in vocabulary.items():
             self.begins[i] = token.startswith(SPACE)
+        # Units met of late, and before.
         self.known: dict[bytes, bytes | None] = {}
-        self.plain: dict[bytes, bytes] = {}  # of words of letters with a space before them, and of punctuation
+        self.older: dict[bytes, bytes | None] = {}
+
+    def _units(self, units: list[bytes]) -> list[bytes | None]:
+        """Ids of units; None for those that need their text."""
+        self._meet(units)
+        found = [self.known[u] for u in units]
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        return found
 
-    def _learn(self, units: list[bytes]) -> None:
+    def _meet(self, units: list[bytes]) -> None:
         """Units of a space, letters and punctuation are put together from the ids of the word and of the punctuation."""
-        parted, other = [], []
+        known, older = self.known, self.older
+        missing = []
         for u in units:
+            if u not in known:
+                if u in older:
+                    known[u] = older[u]
+                else:
+                    missing.append(u)
+        parted, words, other = [], [], []
+        for u in missing:
             m = _PARTS.fullmatch(u)
-            if m and (m[1].isascii() or _latin(m[1])):
+            if m is None or not (m[1].isascii() or _latin(m[1])):
+                other.append(u)
+            elif m[2]:
                 parted.append((u, m[1], m[2]))
             else:
-                other.append(u)
-        self._learn_words(list({w for _, w, _ in parted}.difference(self.plain)))
-        self._learn_each(list({t for _, _, t in parted}.difference(self.plain)), self.plain)
-        self._learn_each(other, self.known)
-        self.known.update((u, self.plain[w] + self.plain[t]) for u, w, t in parted)
+                words.append(u)
+        if parted:
+            self._meet(list({x for _, word, tail in parted for x in (word, tail)}))
+        self._learn_words([w for w in words if w not in known])
+        self._learn_each([u for u in other if u not in known])
+        known.update((u, known[word] + known[tail]) for u, word, tail in parted)
 
     def _learn_words(self, words: list[bytes]) -> None:
         """Many words in one text: each begins at a token with a space before it."""
         for at in range(0, len(words), 2_000):
             some = words[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + b" ".join(some).decode()], add_special_tokens=False)[0].ids, self.type)
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, self.type)
             cuts = [*(np.flatnonzero(self.begins[ids]) * self.type.itemsize).tolist(), ids.nbytes]
             raw = ids.tobytes()
-            self.plain.update((w, raw[a:b]) for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
+            self.known.update((w, raw[a:b]) for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
 
-    def _learn_each(self, units: list[bytes], known: dict[bytes, bytes | None]) -> None:
+    def _learn_each(self, units: list[bytes]) -> None:
         for at in range(0, len(units), 2_000):
             some = units[at : at + 2_000]
             texts = [u.decode() for u in some]
             for u, t, e in zip(some, texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                known[u] = None if _ODD.search(t) else np.array(e.ids, self.type).tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [_UNIT.findall(t.encode()) for t in texts]
-        words = set().union(*split)
-        new = words.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            self.plain.clear()
-            new = words
-        self._learn(list(new))
-        known = self.known.__getitem__
-        for text, units in zip(texts, split, strict=True):
-            parts = list(map(known, units))
-            yield b"".join(parts) if None not in parts else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+                self.known[u] = None if _ODD.search(t) else np.array(e.ids, self.type).tobytes()
+
+    def _one(self, raw: bytes) -> bytes:
+        parts = self._units(_UNIT.findall(raw))
+        return b"".join(parts) if None not in parts else np.array(self.tokenizer.encode(raw.decode(), add_special_tokens=False).ids, self.type).tobytes()
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Of each text; null counts as empty."""
+        raw = pc.fill_null(texts.cast(pa.binary()), b"")
+        pieces = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(FIRST, raw, b""), b"\n", b" \n"), b" ")
+        flat = pieces.flatten().dictionary_encode()
+        words = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = self._units([w[1:] if w[:1] == FIRST else w if w[:1] == b"\n" else b" " + w for w in words])
+        index = flat.indices.to_numpy()
+        # Pieces between two spaces, and line feeds before others, stand in longer runs.
+        odd = np.array([x is None or not w for w, x in zip(words, ids, strict=True)])[index]
+        lone = np.array([w == b"\n" for w in words])[index]
+        odd[1:] |= lone[1:] & lone[:-1]
+        bounds = pieces.offsets.to_numpy()
+        whole = np.logical_or.reduceat(odd, bounds[:-1]) | pc.match_substring(raw, FIRST).to_numpy(zero_copy_only=False) if len(raw) else []
+        stream = pa.array([x or b"" for x in ids], pa.binary()).take(flat.indices)
+        data, places = memoryview(stream.buffers()[2] or b""), np.frombuffer(stream.buffers()[1], np.int32, len(index) + 1)[bounds].tolist()
+        for i, apart in enumerate(whole):
+            yield self._one(raw[i].as_py()) if apart else bytes(data[places[i] : places[i + 1]])
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -226,8 +263,8 @@ def write(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, length: i
             kinds = (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row.values(), kinds, strict=True)], names=list(row))
 
-        for batch in slices(batches):
-            for doc_id, raw in zip(batch.column(0).to_pylist(), own.encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+        for batch in slices(batches, TEXTS):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), own.encode(batch.column(1)), strict=True):
                 if file is None:
                     path = f"{top}/tokens-{task:06d}-{part:05d}-{uuid.uuid4().hex}.arrow"
                     file = Writer(path, own.type, length)
