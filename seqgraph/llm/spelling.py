@@ -4,14 +4,17 @@ A word's frequency vector counts its letters by group: each frequent letter is a
 group, the others share a few. Words whose letters differ by one insertion,
 deletion or replacement have vectors that differ by a surplus of at most one and a
 deficit of at most one. The trie arranges words by the counts of one group after
-the other; a depth-first search for a word takes at each level the branch of its
+the other; a search for a word goes down, taking at each level the branch of its
 own count, of one more if no surplus has been spent, and of one less if no deficit
 has been. The words of the leaves reached, few because their letters agree, are
-then compared letter by letter.
+then compared letter by letter. Words are searched for in blocks: a block goes down
+to the leaves, as arrays of word, node and budget, before the next one begins. A node
+of few vectors is a leaf; the rest of their counts is compared there.
 
 Scale: words are counted in a narrow pass with partial counts for each task, then
 summed. The upper HEAD levels of the trie are a partitioning: a word is stored
-under its first counts and asked for under those within budget. Branches that hold
+under its first counts and asked for under those within budget that do not sort
+before its own; what is found under others counts for both words. Branches that hold
 more than STORED words are cut into parts by hash, each a trie of its own that all
 questions go to, and questions that are more than ASKED are dealt over so many
 copies of the part. Each task sorts its rows with stored words first, holds one
@@ -32,6 +35,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,39 +51,44 @@ OTHERS = 6
 GROUPS = len(LETTERS) + OTHERS
 #: Levels of the trie by which words are partitioned; words of a part, and questions to one copy of it.
 HEAD = 4
-STORED = 100_000
-ASKED = 200_000
+STORED = 50_000
+ASKED = 100_000
+#: Counts of a head are no larger, so there are at most (MOST + 1) ** HEAD heads.
+MOST = 15
 #: Distinct words that a task counts before it hands the counts on.
 HELD = 500_000
+#: Vectors of a leaf, words that are searched for together, pairs that are compared together, and letters up to which
+#: words are compared as rows of an array.
+LEAF, BLOCK, PAIRS, WIDE = 8, 4_096, 200_000, 40
 
-_RUN = re.compile("[A-Za-zÀ-ÿ]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Letters of Latin-1 in UTF-8, after A-Z are in lower case.
+_RUN = re.compile(rb"(?:[a-z]+|\xc3[\x80-\xbf])+")
 _GROUP = {c: i for i, c in enumerate(LETTERS)}
 
 
-def words_of(doc_id: int | None, text: str) -> Counter[str]:
-    """A text's words with their occurrences, after the deletions."""
-    found: Counter[str] = Counter()
-    seed = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    for run, n in Counter(_RUN.findall(text.translate(_LOWER))).items():
-        h = zlib.crc32(run.encode(), seed)
-        if h % ONE_IN == 0:
-            at = h % len(run)
-            run = run[:at] + run[at + 1 :]
-        if len(run) >= SHORTEST:
-            found[run] += n
-    return found
-
-
 def vocabulary(docs: DataFrame) -> DataFrame:
     """word, n of words that come at least FEWEST times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
-        told = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        held: dict[bytes, int] = {}
+        crc32 = zlib.crc32
+
+        def told() -> pa.RecordBatch:
+            words = {w.decode(): n for w, n in held.items()}
+            return pa.RecordBatch.from_arrays([pa.array([w for w in words if len(w) >= SHORTEST], pa.string()), pa.array([n for w, n in words.items() if len(w) >= SHORTEST], pa.int64())], names=["word", "n"])
+
         for batch in slices(batches):
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.update(words_of(doc_id, text or ""))
+            texts = batch.column(1).cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+            for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                seed = crc32(b"%b:" % (b"" if doc_id is None else str(doc_id).encode()))
+                for run, n in Counter(_RUN.findall((text or b"").lower())).items():  # of bytes: only A-Z get lower
+                    if len(run) >= SHORTEST:
+                        h = crc32(run, seed)
+                        if not h % ONE_IN:
+                            word = run.decode()
+                            at = h % len(word)
+                            run = (word[:at] + word[at + 1 :]).encode()
+                        held[run] = held.get(run, 0) + n
                 if len(held) > HELD:
                     yield told()
                     held.clear()
@@ -89,13 +98,13 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= FEWEST)
 
 
-def frequencies(word: str) -> tuple[int, ...]:
-    """Letters of each group."""
+def frequencies(word: str) -> bytes:
+    """Letters of each group, 255 at most: such counts differ by no more than the true ones."""
     counts = [0] * GROUPS
     for c in word:
         at = _GROUP.get(c)
         counts[len(LETTERS) + ord(c) % OTHERS if at is None else at] += 1
-    return tuple(counts)
+    return bytes(min(x, 255) for x in counts)
 
 
 def near(a: str, b: str) -> bool:
@@ -108,117 +117,206 @@ def near(a: str, b: str) -> bool:
     return a[i:] == b[i + 1 :] if len(a) < len(b) else a[i + 1 :] == b[i + 1 :]
 
 
+class Words:
+    """Words as arrays: frequency vectors, and letters from either end."""
+
+    def __init__(self, words: list[str], numbers: list[int], counts: list[bytes]):
+        self.words, self.numbers = words, numbers
+        self.counts = np.frombuffer(b"".join(counts), np.uint8).reshape(-1, GROUPS)
+        self.length = np.array([len(w) for w in words])
+        raw = [w.encode("latin-1") if len(w) <= WIDE and w.isascii() else w.encode("latin-1", "ignore") for w in words]
+        # Others, the long ones too, are compared one by one.
+        self.apart = np.array([len(r) > WIDE or len(r) != n for r, n in zip(raw, self.length.tolist(), strict=True)])
+        rows = lambda parts: np.frombuffer(b"".join(r[:WIDE].ljust(WIDE, b"\0") for r in parts), np.uint8).reshape(-1, WIDE)
+        self.forward, self.backward = rows(raw), rows([r[::-1] for r in raw])
+
+    def ranks(self) -> np.ndarray:
+        """Of each word its place by falling number, then by code points."""
+        order = sorted(range(len(self.words)), key=lambda i: (-self.numbers[i], self.words[i]))
+        out = np.empty(len(order), np.int64)
+        out[order] = np.arange(len(order))
+        return out
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many letters rows have in common from their beginnings."""
+    same = a == b
+    return np.where(same.all(axis=1), a.shape[1], same.argmin(axis=1))
+
+
+def compared(asked: Words, held: Words, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """near() of many pairs: all but one letter of the longer word are shared from the two ends."""
+    longer = np.maximum(asked.length[i], held.length[j])
+    front = _shared(asked.forward[i], held.forward[j])
+    back = _shared(asked.backward[i], held.backward[j])
+    out = (np.abs(asked.length[i] - held.length[j]) <= 1) & (front + back >= longer - 1) & (front < WIDE)
+    for k in np.flatnonzero(asked.apart[i] | held.apart[j]).tolist():
+        out[k] = near(asked.words[i[k]], held.words[j[k]])
+    return out
+
+
 class Trie:
     """Words by the counts of one letter group after the other, from some level on.
 
-    Where a branch holds one vector only, it ends there, with the rest of that vector beside its words.
+    Vectors are sorted, so a node is a range of them. For each level there are the children of all nodes: keys of
+    parent and count, sorted, and where each child's vectors begin.
     """
 
-    def __init__(self, rows: list[tuple[tuple[int, ...], str, int]], level: int = HEAD):
-        leaves: dict[tuple[int, ...], list[tuple[str, int]]] = {}
-        for counts, word, n in rows:
-            leaves.setdefault(counts, []).append((word, n))
-        self.level, self.root = level, self._node(list(leaves.items()), level)
-
-    def _node(self, leaves, level):
-        if len(leaves) == 1:
-            return leaves[0]
-        branches: dict[int, list] = {}
-        for leaf in leaves:
-            branches.setdefault(leaf[0][level], []).append(leaf)
-        return {count: self._node(own, level + 1) for count, own in branches.items()}
-
-    def search(self, counts: tuple[int, ...], surplus: int = 1, deficit: int = 1) -> Iterator[tuple[str, int]]:
-        """Words whose counts, from the trie's level on, are within that budget."""
-        stack = [(self.root, self.level, surplus, deficit)]
-        while stack:
-            node, level, more, less = stack.pop()
-            if type(node) is tuple:
-                for a, b in zip(node[0][level:], counts[level:], strict=True):
-                    if a > b:
-                        more -= a - b
-                    elif a < b:
-                        less -= b - a
-                    if more < 0 or less < 0:
-                        break
-                else:
-                    yield from node[1]
-                continue
-            own = counts[level]
-            for count, m, s in ((own, more, less), (own + 1, more - 1, less), (own - 1, more, less - 1)):
-                if m >= 0 and s >= 0 and count in node:
-                    stack.append((node[count], level + 1, m, s))
+    def __init__(self, held: Words, level: int = HEAD):
+        self.held, self.level = held, level
+        order = np.lexsort(held.counts[:, : level - 1 if level else None : -1].T)
+        counts = held.counts[order]
+        new = np.append(True, (counts[1:] != counts[:-1]).any(axis=1))
+        self.order, self.first = order, np.append(np.flatnonzero(new), len(order))
+        self.vectors = counts[new]
+        m = len(self.vectors)
+        node, self.keys, self.begin = np.zeros(m, np.int64), [], [np.array([0, m])]
+        for at in range(level, GROUPS):
+            if np.diff(self.begin[-1]).max() <= LEAF:
+                break
+            key = node * 512 + self.vectors[:, at]
+            new = np.append(True, key[1:] != key[:-1])
+            node = np.cumsum(new) - 1
+            self.keys.append(key[new])
+            self.begin.append(np.append(np.flatnonzero(new), m))
+
+    def search(self, asked: Words, more: np.ndarray, less: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of an asked word and one held near to it, by their numbers."""
+        q, node, m, s = np.arange(len(asked.words)), np.zeros(len(asked.words), np.int64), more, less
+        found = []
+        for depth, begin in enumerate(self.begin):
+            size = begin[node + 1] - begin[node]
+            leaf = size <= LEAF if depth < len(self.keys) else size > 0
+            n = size[leaf]
+            found.append((np.repeat(q[leaf], n), np.repeat(begin[node[leaf]] - np.cumsum(n) + n, n) + np.arange(n.sum())))
+            q, node, m, s = q[~leaf], node[~leaf], m[~leaf], s[~leaf]
+            if not len(q):
+                break
+            own, keys, parts = asked.counts[q, self.level + depth].astype(np.int64), self.keys[depth], []
+            for step, a, b in ((0, 0, 0), (1, 1, 0), (-1, 0, 1)):
+                ok = np.flatnonzero((m >= a) & (s >= b) & (own + step >= 0))
+                key = node[ok] * 512 + own[ok] + step
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[at] == key
+                ok = ok[hit]
+                parts.append((q[ok], at[hit], m[ok] - a, s[ok] - b))
+            q, node, m, s = (np.concatenate(x) for x in zip(*parts, strict=True))
+        q, v = (np.concatenate(x) for x in zip(*found, strict=True))
+        for at in range(0, len(q), PAIRS):
+            i, k = q[at : at + PAIRS], v[at : at + PAIRS]
+            apart = self.vectors[k, self.level :].astype(np.int16) - asked.counts[i, self.level :]
+            within = (np.maximum(apart, 0).sum(axis=1) <= more[i]) & (np.maximum(-apart, 0).sum(axis=1) <= less[i])
+            i, k = i[within], k[within]
+            n = self.first[k + 1] - self.first[k]
+            i, j = np.repeat(i, n), self.order[np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            for b in range(0, len(i), PAIRS):
+                good = compared(asked, self.held, i[b : b + PAIRS], j[b : b + PAIRS])
+                yield i[b : b + PAIRS][good], j[b : b + PAIRS][good]
 
 
 def heads(head: tuple[int, ...]) -> list[tuple[tuple[int, ...], int, int]]:
-    """Heads within budget, with the surplus and deficit that is left."""
+    """Heads within budget that do not sort before this one, with the surplus and deficit that is left."""
     found = [((), 1, 1)]
     for own in head:
-        found = [(h + (c,), m, s) for h, more, less in found for c, m, s in ((own, more, less), (own + 1, more - 1, less), (own - 1, more, less - 1)) if m >= 0 and s >= 0 and c >= 0]
-    return found
+        found = [(h + (c,), m, s) for h, more, less in found for c, m, s in ((own, more, less), (own + 1, more - 1, less), (own - 1, more, less - 1)) if m >= 0 and s >= 0 and 0 <= c <= MOST]
+    return [x for x in found if x[0] >= head]
 
 
 def _placed(words: DataFrame) -> DataFrame:
-    """word, n, head, asked (heads to ask, with the budget that is left)."""
+    """word, n, counts (the frequency vector), head, asked (heads to ask, with the budget that is left)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("head", pa.binary()), ("more", pa.int32()), ("less", pa.int32())]))
+        met: dict[bytes, list] = {}
         for batch in slices(batches):
-            own = [frequencies(w)[:HEAD] for w in batch.column(0).to_pylist()]
-            asked = [[{"head": list(h), "more": m, "less": s} for h, m, s in heads(x)] for x in own]
-            kind = pa.list_(pa.struct([("head", pa.list_(pa.int32())), ("more", pa.int32()), ("less", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([list(x) for x in own], pa.list_(pa.int32())), pa.array(asked, kind)], names=["word", "n", "head", "asked"])
+            counts = [frequencies(w) for w in batch.column(0).to_pylist()]
+            own = [bytes(min(x, MOST) for x in c[:HEAD]) for c in counts]
+            for h in set(own).difference(met):
+                met[h] = [{"head": bytes(x), "more": m, "less": s} for x, m, s in heads(tuple(h))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary()), pa.array(own, pa.binary()), pa.array([met[h] for h in own], kind)], names=["word", "n", "counts", "head", "asked"])
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, head array<int>, asked array<struct<head:array<int>,more:int,less:int>>")
+    return words.select("word", "n").mapInArrow(run, "word string, n long, counts binary, head binary, asked array<struct<head:binary,more:int,less:int>>")
 
 
 def shards(words: DataFrame, stored: int = STORED, most_asked: int = ASKED) -> DataFrame:
-    """head, part, copy, kind (0 stored, 1 asked), word, n, more, less: what meets in each part of the trie."""
+    """head, part, copy, kind (0 stored, 1 asked), word, n, counts, more, less, own (asked under its own head): what meets
+    in each part of the trie."""
     placed = materialise(_placed(words), "spelling-heads")
-    asked = placed.select("word", "n", F.explode("asked").alias("a")).select("word", "n", "a.head", "a.more", "a.less")
+    asked = placed.select("word", "n", "counts", F.col("head").alias("from"), F.explode("asked").alias("a"))
+    asked = asked.select("word", "n", "counts", "a.head", "a.more", "a.less", (F.col("from") == F.col("a.head")).alias("own"))
     sizes = placed.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / stored).cast("int").alias("parts"))
     copies = asked.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / most_asked).cast("int").alias("copies"))
-    sizes = sizes.join(copies, "head")
+    sizes = F.broadcast(sizes.join(copies, "head"))  # of proven size: 65,536 heads
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("word"), F.col(n)).cast("int")
-    kept = placed.select("word", "n", "head", F.lit(0).alias("more"), F.lit(0).alias("less")).join(sizes, "head").withColumn("part", dealt("parts")).withColumn("copy", spread("copies")).withColumn("kind", F.lit(0))
+    kept = placed.select("word", "n", "counts", "head", F.lit(0).alias("more"), F.lit(0).alias("less"), F.lit(True).alias("own")).join(sizes, "head").withColumn("part", dealt("parts")).withColumn("copy", spread("copies")).withColumn("kind", F.lit(0))
     # A head under which nothing is stored is not asked.
     questions = asked.join(sizes, "head").withColumn("copy", dealt("copies")).withColumn("part", spread("parts")).withColumn("kind", F.lit(1))
-    columns = ["head", "part", "copy", "kind", "word", "n", "more", "less"]
+    columns = ["head", "part", "copy", "kind", "word", "n", "counts", "more", "less", "own"]
     return kept.select(*columns).unionByName(questions.select(*columns))
 
 
 NEAR = "word string, n long, other string, other_n long"
-BEST = "word string, n long, n_near long, form_n long, form string"
+BEST = "word string, n_near long, form_n long, form string"
+
+
+def _pairs_told(asked: Words, held: Words, i: np.ndarray, j: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    """Both ways, but for pairs under a common head, which are met twice."""
+    mirrored = ~own[i]
+    pick = lambda x, k: [x[a] for a in k.tolist()]
+    columns = [pick(asked.words, i) + pick(held.words, j[mirrored]), pick(asked.numbers, i) + pick(held.numbers, j[mirrored]), pick(held.words, j) + pick(asked.words, i[mirrored]), pick(held.numbers, j) + pick(asked.numbers, i[mirrored])]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], names=["word", "n", "other", "other_n"])
+
+
+def _best_told(asked: Words, held: Words, ranks: np.ndarray, i: np.ndarray, j: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    """Of each word of a block, and of each held word that they are near to: how many are near, and the best of them."""
+    mirrored = ~own[i]
+    told: list[list] = [[], [], [], []]
+    for a, b, x, y, rank in ((asked, held, i, j, ranks), (held, asked, j[mirrored], i[mirrored], asked.ranks() if mirrored.any() else ranks)):
+        if not len(x):
+            continue
+        order = np.lexsort((rank[y], x))
+        x, y = x[order], y[order]
+        first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
+        told[0] += [a.words[k] for k in x[first].tolist()]
+        told[1] += np.diff(np.append(first, len(x))).tolist()
+        told[2] += [b.numbers[k] for k in y[first].tolist()]
+        told[3] += [b.words[k] for k in y[first].tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(told, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["word", "n_near", "form_n", "form"])
 
 
 def _searched(words: DataFrame, pairs: bool, stored: int, most_asked: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held, trie = None, [], None
-        for batch in slices(batches, 5_000):
-            told: list[list] = [[] for _ in range(4 if pairs else 5)]
-            for head, part, copy, kind, word, n, more, less in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        shard, trie, ranks = None, None, None
+        held: list[tuple] = []
+        asked: list[tuple] = []
+
+        def search() -> Iterator[pa.RecordBatch]:
+            nonlocal trie, ranks, held, asked
+            if held:
+                trie = Trie(Words(*map(list, zip(*held, strict=True))))
+                ranks, held = trie.held.ranks(), []
+            if asked and trie is not None:
+                *own, more, less, same = zip(*asked, strict=True)
+                block = Words(*map(list, own))
+                met = list(trie.search(block, np.array(more), np.array(less)))
+                i, j = (np.concatenate(x) for x in zip(*met, strict=True)) if met else (np.zeros(0, int), np.zeros(0, int))
+                if len(i):
+                    yield _pairs_told(block, trie.held, i, j, np.array(same)) if pairs else _best_told(block, trie.held, ranks, i, j, np.array(same))
+            asked = []
+
+        for batch in slices(batches, BLOCK):
+            for head, part, copy, kind, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (head, part, copy) != shard:
-                    shard, held, trie = (head, part, copy), [], None
-                counts = frequencies(word)
+                    yield from search()
+                    shard, trie, held = (head, part, copy), None, []
                 if not kind:
-                    held.append((counts, word, n))
+                    held.append(tuple(row[:3]))
                     continue
-                if trie is None:
-                    trie, held = Trie(held) if held else False, []
-                found = [x for x in trie.search(counts, more, less) if near(x[0], word)] if trie else []
-                if pairs:
-                    rows = [(word, n, *x) for x in found]
-                elif found:
-                    form, most = min(found, key=lambda x: (-x[1], x[0]))
-                    rows = [(word, n, len(found), most, form)]
-                else:
-                    rows = []
-                for row in rows:
-                    for column, value in zip(told, row, strict=True):
-                        column.append(value)
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64()) if pairs else (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            names = ["word", "n", "other", "other_n"] if pairs else ["word", "n", "n_near", "form_n", "form"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(told, kinds, strict=True)], names=names)
+                asked.append(tuple(row))
+                if len(asked) >= BLOCK:
+                    yield from search()
+        yield from search()
 
     key = ["head", "part", "copy"]
     dealt = shards(words, stored, most_asked).repartition(*key).sortWithinPartitions(*key, "kind")
