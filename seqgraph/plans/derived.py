@@ -27,9 +27,11 @@ def fastq_text(text: str, doc_id: str, comment: str) -> Column:
     head, tail = F.substr(seq, F.lit(1), half), F.substr(seq, half + 1)
     quality = F.concat(F.repeat(F.lit("I"), half), F.lit("\r\n"), F.overlay(F.repeat(F.lit("+"), F.length(tail)), F.substr(F.lit("@"), F.lit(1), F.least(F.length(tail), F.lit(1))), F.lit(1)))
     quality = F.concat(F.lit("+\r\n"), quality, F.when(number % 10 == 0, "!").otherwise(""), F.lit("\r\n"))
-    before = F.when(number % 7 == 1, "\r\n").when(number % 7 == 2, "no record\n\n").otherwise("")
+    has_quality = lambda n: (n % 10 == 0) | (n % 4 != 3)
+    # A line that is no record would be sequence behind one without quality.
+    before = F.when(number % 7 == 1, "\r\n").when((number % 7 == 2) & has_quality(number - 1), "no record\n\n").otherwise("")
     mark = F.when(number % 6 == 1, ">").otherwise("@")
-    return F.concat(before, mark, F.lit("doc"), number.cast("string"), F.lit(" "), F.col(comment), F.lit("\r\n"), head, F.lit("\r\n"), tail, F.lit("\r\n"), F.when((number % 10 == 0) | (number % 4 != 3), quality).otherwise(""))
+    return F.concat(before, mark, F.lit("doc"), number.cast("string"), F.lit(" "), F.col(comment), F.lit("\r\n"), head, F.lit("\r\n"), tail, F.lit("\r\n"), F.when(has_quality(number), quality).otherwise(""))
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +78,35 @@ whole AS (SELECT v, w, ov, coalesce(ow, 0) AS ow, rank, link_id FROM arcs)"""
 GRAPH_SQL = f"WITH {SEGMENTS_SQL},\n{ARCS_SQL}"
 
 
+def order_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A segment for each order."""
+    orders = table(spark, sf_dir, "orders")
+    seq = F.concat(F.translate(F.col("o_orderkey").cast("string"), "0123456789", "ACGTACGTAC"), bases("o_orderpriority"))
+    return orders.select(F.col("o_orderkey").alias("seg_id"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("name"), seq.alias("seq"), F.length(seq).alias("len"))
+
+
+def order_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arcs from each order to its customer's next, some to the one after that, some of a customer's last to the first;
+    some chains are broken. With complements."""
+    own = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    key, v = F.col("o_orderkey"), F.col("o_orderkey") * 2 + (F.col("o_orderkey") % 5 == 0).cast("long")
+    rows = table(spark, sf_dir, "orders").select(key, "o_custkey", v.alias("v"), F.lead(v, 1).over(own).alias("w1"), F.lead(v, 2).over(own).alias("w2"), F.first(v).over(own).alias("w0"))
+    arc = lambda w, k: F.when(k & F.col(w).isNotNull(), F.struct("v", F.col(w).alias("w"), (key % 4).cast("int").alias("ov"), (key % 4).cast("int").alias("ow")))
+    some = F.filter(F.array(arc("w1", key % 13 != 0), arc("w2", key % 11 == 0), arc("w0", F.col("w1").isNull() & (F.col("o_custkey") % 7 == 0))), lambda x: x.isNotNull())
+    arcs = rows.select(F.explode(some).alias("a")).select("a.v", "a.w", "a.ov", "a.ow").distinct()
+    return arcs.unionByName(arcs.select(F.col("w").bitwiseXOR(1).alias("v"), F.col("v").bitwiseXOR(1).alias("w"), F.col("ow").alias("ov"), F.col("ov").alias("ow"))).distinct()
+
+
+ORDERS_SQL = f"""oseg AS (SELECT o_orderkey AS seg_id, 'o' || o_orderkey AS name, translate(CAST(o_orderkey AS VARCHAR), '0123456789', 'ACGTACGTAC') || {bases_sql("o_orderpriority")} AS seq FROM orders),
+overt AS (SELECT seg_id * 2 AS v, seq AS t FROM oseg UNION ALL SELECT seg_id * 2 + 1, reverse(translate(seq, 'ACGT', 'TGCA')) FROM oseg),
+orows AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey * 2 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS v FROM orders),
+ow AS (SELECT k, c, v, lead(v, 1) OVER o AS w1, lead(v, 2) OVER o AS w2, first_value(v) OVER o AS w0 FROM (SELECT orows.*, o_orderdate FROM orows JOIN orders ON o_orderkey = k)
+       WINDOW o AS (PARTITION BY c ORDER BY o_orderdate, k)),
+o1 AS (SELECT v, w1 AS w, CAST(k % 4 AS INT) AS o FROM ow WHERE w1 IS NOT NULL AND k % 13 <> 0 UNION SELECT v, w2, CAST(k % 4 AS INT) FROM ow WHERE w2 IS NOT NULL AND k % 11 = 0
+       UNION SELECT v, w0, CAST(k % 4 AS INT) FROM ow WHERE w1 IS NULL AND c % 7 = 0),
+oarc AS (SELECT v, w, o AS ov, o AS ow FROM o1 UNION SELECT xor(w, 1), xor(v, 1), o, o FROM o1)"""
+
+
 def nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vertices (v, seq) and arcs (v, w, ow): the regions' names one after another, each with branches to its nations."""
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import align, graph, intervals, likelihood, reach, wavefront
+from ..operators import align, assembly, components, graph, intervals, likelihood, reach, wavefront
 from ..sources import fastx, gfa, sinks
 from ..sources.storage import shared_dir, table
 from . import derived as D
@@ -303,6 +303,56 @@ def topological_layers(spark, sf):
     return reach.topological(arcs, arcs.select("v").unionByName(arcs.select(F.col("w").alias("v"))).unionByName(regions))
 
 
+# Components and assembly graphs
+
+
+def _orders(spark, sf):
+    """Arcs and vertices of the graph of orders."""
+    vertices = D.order_segments(spark, sf).select(F.explode(F.array(F.col("seg_id") * 2, F.col("seg_id") * 2 + 1)).alias("v"))
+    return D.order_arcs(spark, sf), vertices
+
+
+@query(f"""WITH RECURSIVE {D.ORDERS_SQL}, r(v, x) AS (SELECT v, v FROM overt UNION SELECT r.v, oarc.w FROM r JOIN oarc ON oarc.v = r.x)
+           SELECT a.v, min(a.x) AS component FROM r a JOIN r b ON a.v = b.x AND a.x = b.v GROUP BY a.v""")
+def strong_components(spark, sf):
+    return components.strong(*_orders(spark, sf))
+
+
+_UNITIGS_SQL = f"""{D.ORDERS_SQL}, s AS (SELECT v, w, ow FROM (SELECT *, count(*) OVER (PARTITION BY v) AS a, count(*) OVER (PARTITION BY w) AS b FROM oarc) WHERE a = 1 AND b = 1 AND w <> xor(v, 1)),
+    lin(u, v, step) AS (SELECT v, v, 0 FROM overt WHERE v NOT IN (SELECT w FROM s) UNION ALL SELECT u, s.w, step + 1 FROM lin JOIN s ON s.v = lin.v),
+    cyc(v, x) AS (SELECT w, w FROM s WHERE w NOT IN (SELECT v FROM lin) UNION SELECT cyc.v, s.w FROM cyc JOIN s ON s.v = cyc.x),
+    ch AS (SELECT v, min(x) AS head FROM cyc GROUP BY v),
+    rnd(u, v, step) AS (SELECT head, head, 0 FROM ch WHERE v = head UNION ALL SELECT u, s.w, step + 1 FROM rnd JOIN s ON s.v = rnd.v WHERE s.w <> u),
+    steps AS (SELECT u, v, step, false AS circular FROM lin UNION ALL SELECT u, v, step, true FROM rnd),
+    kept AS (SELECT u FROM (SELECT u, circular, arg_max(v, step) AS last, min(xor(v, 1)) AS least FROM steps GROUP BY u, circular) WHERE u < CASE WHEN circular THEN least ELSE xor(last, 1) END),
+    u AS (SELECT steps.*, s.ow FROM steps JOIN kept USING (u) LEFT JOIN s ON s.w = steps.v)"""
+
+
+@query(f"""WITH RECURSIVE {_UNITIGS_SQL} SELECT u AS unitig, string_agg(substr(t, 1 + coalesce(ow, 0)), '' ORDER BY step) AS seq, count(*) AS n, any_value(circular) AS circular FROM u JOIN overt USING (v) GROUP BY u""")
+def unitigs(spark, sf):
+    return assembly.unitig_graph(D.order_arcs(spark, sf), D.order_segments(spark, sf))[0]
+
+
+@query(f"""WITH RECURSIVE {_UNITIGS_SQL}, p AS (SELECT v, u * 2 AS u FROM u UNION ALL SELECT xor(v, 1), u * 2 + 1 FROM u)
+           SELECT a.u AS v, b.u AS w, ov, ow FROM oarc JOIN p a ON a.v = oarc.v JOIN p b ON b.v = oarc.w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.v = oarc.v AND s.w = oarc.w)""")
+def unitig_arcs(spark, sf):
+    return assembly.unitig_graph(D.order_arcs(spark, sf), D.order_segments(spark, sf))[1]
+
+
+@query(f"""{D.GRAPH_SQL}, n AS (SELECT v, w, min(len - ov) AS n FROM whole JOIN segments ON seg_id = v >> 1 GROUP BY v, w),
+           g AS (SELECT a.v, b.w FROM n a JOIN n b ON b.v = a.w JOIN n c ON c.v = a.v AND c.w = b.w WHERE a.n + b.n <= c.n + 20 AND greatest(a.n, b.n) < c.n)
+           SELECT v, w FROM g UNION SELECT xor(w, 1), xor(v, 1) FROM g""")
+def transitive_arcs(spark, sf):
+    return assembly.transitive_arcs(D.whole_arcs(spark, sf), D.segments(spark, sf), fuzz=20)
+
+
+@query()
+def drop_tips(spark, sf):
+    """The graph of orders without tips of up to three orders and 60 bases; against brute force in the tests."""
+    sized = D.order_segments(spark, sf).select(F.explode(F.array(F.col("seg_id") * 2, F.col("seg_id") * 2 + 1)).alias("v"), "len")
+    return assembly.drop_tips(D.order_arcs(spark, sf), sized, most_steps=3, most_length=60)
+
+
 # Wavefront steps and intervals
 
 

@@ -10,7 +10,8 @@ record that begins with @ may lack its quality, and one that begins with > may h
 one. Empty lines of a sequence count for nothing, and line ends may be CRLF.
 
 Where quality and sequence differ in length the read is invalid. Its quality ends
-then before the first further line that begins with > or @, if there is one.
+then before the first further line of it, if any, that begins with @ and that lines of
+sequence and a + line follow, so that a quality too short costs one read and not two.
 
 A file is cut by bytes, and a task reads the records that begin in its part. Which
 marks begin records hangs on what goes before, so a task looks back: it reads from
@@ -88,6 +89,16 @@ def _text(raw: bytes) -> str:
     return raw.decode("utf-8", "replace")
 
 
+def _followed(text: Text, at: int) -> bool:
+    """Whether lines that begin with no mark, and then a + line, follow the line at a place."""
+    at = text.line(at)[1]
+    while (found := text.line(at)) is not None:
+        if found[0][:1] in (b">", b"@", b"+"):
+            return found[0][:1] == b"+"
+        at = found[1]
+    return False
+
+
 def records(text: Text, at: int, whole: bool = True) -> Iterator[Record]:
     """start, name, comment, seq, qual, valid of the records from a place on, which is looked at as one between records.
 
@@ -129,7 +140,7 @@ def records(text: Text, at: int, whole: bool = True) -> Iterator[Record]:
             valid = plus and n == len(seq)
             if not valid:
                 for i, (place, line) in enumerate(lines):
-                    if i and line[:1] in (b">", b"@"):
+                    if i and line[:1] == b"@" and _followed(text, place):
                         lines, at = lines[:i], place
                         break
             qual = b"".join(x for _, x in lines)

@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -49,7 +50,7 @@ def by_bytes(data):
                         break
                 qual, valid = got, ended and len(got) == len(seq)
                 if not valid:
-                    again = [e for e in ends[1:] if data[e[0] : e[0] + 1] in (b">", b"@")]
+                    again = [e for e in ends[1:] if re.match(rb"@[^\n]*\n(?:[^>@+\n][^\n]*\n|\n)*\+", data[e[0] :])]
                     if again:
                         at, qual = again[0]
                 break
@@ -66,6 +67,7 @@ CASES = {
     "fasta_with_quality": ">b\nAC\n+\n@>\n>c\nG\n",
     "crlf_and_wraps": "@q1 x\r\nACGT\r\nACGTAC\r\n+\r\n@III\r\nIIII\r\n+I\r\n@q2\r\nA\r\n+\r\nI\r\n",
     "quality_too_short": "@a\nACGTA\n+\nII\n@b\nAC\n+\nII\n",
+    "quality_too_long_in_lines": "@a\nACG\n+\nI\n@III\njunk\n@b\nAC\n+\nII\n",
     "quality_too_long": "@a\nAC\n+\nIII\n@b\nAC\n+\nII\n",
     "junk_between": "@a\nAC\n+\nII\njunk\n\nmore @b c\nGG\n",
     "no_end": "@a\nACGT\n+",
