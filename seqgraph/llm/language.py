@@ -8,9 +8,9 @@ cross-entropy lies far above what its length usually gives is rejected, by a
 limit that is calibrated on documents that took no part in the counts.
 
 Scale: the counts come from a bounded sample (PER_LANGUAGE documents of each
-language, by hash of the id); prediction is one narrow pass without a shuffle.
-Every language is learned. The model that each task gets grows with their number
-and with nothing else; languages lie in blocks of LANGUAGES_TOGETHER, so a row of
+language, by hash of the id, and of their trigrams the PER_MODEL most frequent);
+prediction is one narrow pass without a shuffle. Every language is learned. The model
+that each task gets grows with their number and with nothing else; languages lie in blocks of LANGUAGES_TOGETHER, so a row of
 probabilities never spans them all.
 
 Edge cases: null text or text without a letter gives und with score 0 and is
@@ -30,11 +30,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import chunks, materialise
 
 #: Documents of each language that the counts come from, about.
 PER_LANGUAGE = 1_000
+#: Trigrams of a language that its model keeps, the most frequent ones.
+PER_MODEL = 500_000
 #: Languages up to which their numbers of documents are sent to all tasks; beyond, texts are joined with them.
 MOST_BROADCAST = 100_000
 #: Languages whose probabilities lie side by side.
@@ -49,7 +52,9 @@ UND = "und"
 SPACE = 32
 
 _LETTER = np.zeros(0x110000, bool)
-_MASK = np.uint64(0xFFFF)
+#: Bits of a symbol, enough for any code point; three fill 63 bits of a key.
+_BITS = np.uint64(21)
+_MASK, _PAIR = np.uint64((1 << 21) - 1), np.uint64((1 << 42) - 1)
 
 
 def _letters() -> np.ndarray:
@@ -76,9 +81,9 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def trigrams(codes: np.ndarray) -> np.ndarray:
-    """48-bit keys of the trigrams that end at the third symbol and after."""
-    c = codes.astype(np.uint64) & _MASK
-    return (c[:-2] << np.uint64(32)) | (c[1:-1] << np.uint64(16)) | c[2:]
+    """63-bit keys of the trigrams that end at the third symbol and after."""
+    c = codes.astype(np.uint64)
+    return (c[:-2] << (_BITS + _BITS)) | (c[1:-1] << _BITS) | c[2:]
 
 
 def _of_text(codes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -113,7 +118,7 @@ class Block:
     def __init__(self, seen: list[tuple[np.ndarray, np.ndarray]], uni: np.ndarray):
         self.uni = uni
         self.tri = np.unique(np.concatenate([k for k, _ in seen]))
-        self.bi = np.unique(np.concatenate([self.tri & np.uint64(0xFFFFFFFF), self.tri >> np.uint64(16)]))
+        self.bi = np.unique(np.concatenate([self.tri & _PAIR, self.tri >> _BITS]))
         shape = len(seen)
         self.uni_p = np.zeros((len(self.uni) + 1, shape), np.float32)
         self.bi_p, self.bi_back = np.zeros((len(self.bi), shape), np.float32), np.ones((len(self.bi), shape), np.float32)
@@ -124,7 +129,7 @@ class Block:
         self.uni_p, self.bi_p, self.tri_p = (np.log(x) for x in (self.uni_p, self.bi_p, self.tri_p))
 
     def _fit(self, j: int, keys: np.ndarray, n: np.ndarray) -> None:
-        low = keys & np.uint64(0xFFFFFFFF)
+        low = keys & _PAIR
         # Lower orders count in how many contexts an n-gram continues.
         bi, bi_n = np.unique(low, return_counts=True)
         uni, uni_n = np.unique(bi & _MASK, return_counts=True)
@@ -133,23 +138,23 @@ class Block:
         p[np.searchsorted(self.uni, uni)] += (uni_n - DISCOUNT) / uni_n.sum()
         self.uni_p[:, j] = p
         # Bigrams: context is the first symbol.
-        context, at = np.unique(bi >> np.uint64(16), return_inverse=True)
+        context, at = np.unique(bi >> _BITS, return_inverse=True)
         total, kinds = np.bincount(at, bi_n), np.bincount(at)
         known = np.isin(context, self.uni)
         self.uni_back[np.searchsorted(self.uni, context[known]), j] = (DISCOUNT * kinds / total)[known]
         second = np.searchsorted(self.uni, self.bi & _MASK)
         second = np.where(self.uni[np.minimum(second, len(self.uni) - 1)] == (self.bi & _MASK), second, len(self.uni))
-        first = np.searchsorted(self.uni, self.bi >> np.uint64(16))
-        first = np.where(self.uni[np.minimum(first, len(self.uni) - 1)] == (self.bi >> np.uint64(16)), first, len(self.uni))
+        first = np.searchsorted(self.uni, self.bi >> _BITS)
+        first = np.where(self.uni[np.minimum(first, len(self.uni) - 1)] == (self.bi >> _BITS), first, len(self.uni))
         p = self.uni_back[first, j] * self.uni_p[second, j]
         where = np.searchsorted(self.bi, bi)
         p[where] += (bi_n - DISCOUNT) / total[at]
         self.bi_p[:, j] = p
         # Trigrams: context is the first two symbols.
-        context, at = np.unique(keys >> np.uint64(16), return_inverse=True)
+        context, at = np.unique(keys >> _BITS, return_inverse=True)
         total, kinds = np.bincount(at, n), np.bincount(at)
         self.bi_back[np.searchsorted(self.bi, context), j] = DISCOUNT * kinds / total
-        p = self.bi_back[np.searchsorted(self.bi, self.tri >> np.uint64(16)), j] * self.bi_p[np.searchsorted(self.bi, self.tri & np.uint64(0xFFFFFFFF)), j]
+        p = self.bi_back[np.searchsorted(self.bi, self.tri >> _BITS), j] * self.bi_p[np.searchsorted(self.bi, self.tri & _PAIR), j]
         p[np.searchsorted(self.tri, keys)] += (n - DISCOUNT) / total[at]
         self.tri_p[:, j] = p
 
@@ -163,12 +168,12 @@ class Block:
         out = self.tri_p[at]
         if not hit.all():
             miss = keys[~hit]
-            context, known = self._find(self.bi, miss >> np.uint64(16))
+            context, known = self._find(self.bi, miss >> _BITS)
             back = np.where(known[:, None], np.log(self.bi_back[context]), 0)
-            low = miss & np.uint64(0xFFFFFFFF)
+            low = miss & _PAIR
             pair, known = self._find(self.bi, low)
             one, seen = self._find(self.uni, low & _MASK)
-            mid, found = self._find(self.uni, low >> np.uint64(16))
+            mid, found = self._find(self.uni, low >> _BITS)
             single = np.where(found[:, None], np.log(self.uni_back[mid]), 0) + self.uni_p[np.where(seen, one, len(self.uni))]
             out[~hit] = back + np.where(known[:, None], self.bi_p[pair], single)
         return out
@@ -230,7 +235,9 @@ def sample(docs: DataFrame, usable: Column) -> DataFrame:
 
 def fit(docs: DataFrame, usable: Column) -> Model:
     rows = sample(docs, usable)
-    counted = rows.where("part <> 0").select("lang", "text").mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
+    counted = rows.where("part <> 0").select("lang", "text").mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    first = W.partitionBy("lang").orderBy(F.desc("n"), "key")
+    counted = counted.withColumn("place", F.row_number().over(first)).where(F.col("place") <= PER_MODEL).drop("place").toPandas()
     counts = {str(lang): (k := g.sort_values("key"))[["key", "n"]].to_numpy().T for lang, g in counted.groupby("lang")}
     model = Model({lang: (x[0].astype(np.uint64), x[1]) for lang, x in counts.items()})
     if model.langs:

@@ -35,11 +35,14 @@ from pyspark.sql import functions as F
 from .common import labelled, slices
 
 #: Labelled ids of each class that the model is fitted on, at most, and characters of a text among them.
-PER_CLASS, LONGEST = 2_000, 1_000_000
+#: Both together bound what reaches the driver: two features for each word of 80 M characters at most.
+PER_CLASS, LONGEST = 2_000, 20_000
 #: Weights; words and word beginnings are hashed to them.
 DIM = 1 << 18
 PREFIX = 4
 THRESHOLD = 0.7
+#: A sentence of such a score offends.
+OFFENDING = 0.5
 STEPS, RATE, L1, L2, BIAS = 300, 0.3, 2e-5, 1e-6, -10.0
 #: Chi-square that a feature needs to enter the model.
 TELLING = 15.0
@@ -164,13 +167,17 @@ class Scorer:
                 logits.append(sum(map(self.word, words)))
         return spans, 1 / (1 + np.exp(-np.clip(np.array(logits, float) + self.weights[DIM], -30, 30)))
 
+    def both(self, text: str | None, least: float) -> tuple[float, list[dict]]:
+        """The document's score, and the sentences that score least or more."""
+        spans, p = self.sentences(text or "")
+        score = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+        return score, [{"start": spans[i][0], "end": spans[i][1], "score": float(p[i])} for i in np.flatnonzero(p >= least).tolist()]
+
     def document(self, text: str | None) -> float:
-        p = self.sentences(text)[1] if text else np.zeros(0)
-        return float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())) if len(p) else 0.0
+        return self.both(text, 2.0)[0]
 
-    def offending(self, text: str | None, least: float = 0.5) -> list[dict]:
-        spans, p = self.sentences(text or "")
-        return [{"start": a, "end": b, "score": float(x)} for (a, b), x in zip(spans, p, strict=True) if x >= least]
+    def offending(self, text: str | None, least: float = OFFENDING) -> list[dict]:
+        return self.both(text, least)[1]
 
 
 def _sparse(weights: np.ndarray) -> tuple:
@@ -197,11 +204,28 @@ def scorer(weights: np.ndarray):
     return score
 
 
-def locate(docs: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
+SPANS = "array<struct<start:int,end:int,score:double>>"
+
+
+def judge(weights: np.ndarray, least: float = OFFENDING):
+    """A column function: text to its score and its offending sentences, from one look at it."""
+    at, values = _sparse(weights)
+
+    @F.pandas_udf(f"score double, sentences {SPANS}")
+    def judged(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = Scorer(_dense(at, values))
+        for texts in parts:
+            found = [own.both(t, least) for t in texts]
+            yield pd.DataFrame({"score": [x for x, _ in found], "sentences": [x for _, x in found]})
+
+    return judged
+
+
+def locate(docs: DataFrame, weights: np.ndarray, least: float = OFFENDING) -> DataFrame:
     """doc_id and the spans (code points) of sentences that score least or more."""
     at, values = _sparse(weights)
 
-    @F.pandas_udf("array<struct<start:int,end:int,score:double>>")
+    @F.pandas_udf(SPANS)
     def spans(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Scorer(_dense(at, values))
         for texts in parts:
@@ -211,9 +235,10 @@ def locate(docs: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFram
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, usable: Column, held_out: Column) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    score = scorer(fit(docs, labels, usable))
-    return docs.select("doc_id", held_out.alias("held_out"), score(F.col("text")).alias("score")).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    """doc_id, held_out, score, predicted, sentences (start and end in code points, and score of those that offend)."""
+    judged = judge(fit(docs, labels, usable))
+    found = docs.select("doc_id", held_out.alias("held_out"), judged(F.col("text")).alias("j"))
+    return found.select("doc_id", "held_out", "j.score", (F.col("j.score") >= THRESHOLD).cast("int").alias("predicted"), "j.sentences")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:

@@ -94,6 +94,26 @@ def test_noisy_or_finds_the_sentence():
     assert scorer.document(None) == scorer.document("") == 0.0
 
 
+def test_the_query_tells_offending_sentences(spark, sf):
+    rows = QUERIES["op10_toxicity"](spark, sf).collect()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    assert any(r.sentences for r in rows)
+    for r in rows:
+        assert all(0 <= x.start < x.end <= len(texts[r.doc_id]) and x.score >= toxicity.OFFENDING for x in r.sentences)
+        assert not r.sentences or r.score >= toxicity.OFFENDING  # noisy-or is at least its largest
+
+
+def test_letters_beyond_the_first_plane_are_told_apart():
+    """U+10400 and U+20400 agree in their last 16 bits, and with U+0400."""
+    a, b, c = (language.trigrams(np.array([x, x, x], np.uint32))[0] for x in (0x10400, 0x20400, 0x0400))
+    assert len({int(a), int(b), int(c)}) == 3
+    counts = {}
+    for name, letters in (("one", "\U00010428\U00010429\U0001042a"), ("two", "\U00020428\U00020429\U0002042a")):
+        codes, firsts, _ = language.symbols([letters * 20])
+        counts[name] = np.unique(language._of_text(codes, firsts)[0], return_counts=True)
+    assert language.Model(counts).predict(["\U00010429\U0001042a\U00010428", "\U00020429\U0002042a\U00020428"])[0] == ["one", "two"]
+
+
 def test_located_sentences(spark):
     weights = np.zeros(toxicity.DIM + 1)
     weights[toxicity.DIM] = -5
