@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import align, assembly, components, graph, intervals, likelihood, reach, wavefront
+from ..operators import align, assembly, bubbles, components, graph, intervals, likelihood, reach, wavefront
 from ..sources import fastx, gfa, sinks
 from ..sources.storage import shared_dir, table
 from . import derived as D
@@ -346,6 +346,12 @@ def transitive_arcs(spark, sf):
     return assembly.transitive_arcs(D.whole_arcs(spark, sf), D.segments(spark, sf), fuzz=20)
 
 
+@query()
+def superbubbles(spark, sf):
+    """Bubbles of the graph of orders; against their definition in the tests."""
+    return bubbles.superbubbles(D.order_arcs(spark, sf))
+
+
 @query()
 def drop_tips(spark, sf):
     """The graph of orders without tips of up to three orders and 60 bases; against brute force in the tests."""
