@@ -131,7 +131,7 @@ def test_language_model_is_a_distribution():
     model = language.Model(counts)
     # After a seen context, the probabilities of all symbols (and of one for the unseen) sum to 1.
     context = [ord("a"), ord("b")]
-    keys = np.array([(context[0] << 32) | (context[1] << 16) | int(c) for c in [*model.uni, 0x7A]], np.uint64)
+    keys = np.concatenate([language.trigrams(np.array([*context, int(c)], np.uint32)) for c in [*model.uni, 0x7A]])
     assert np.exp(model.logp(keys))[:, 0].sum() == pytest.approx(1, abs=1e-4)
     assert model.predict(["abba", "dcdc", "", None, "42"])[0] == ["a", "b", "und", "und", "und"]
 
