@@ -40,6 +40,11 @@ def complement(v: Column | str) -> Column:
     return _(v).bitwiseXOR(1)
 
 
+def beyond(length: Column | str, over: Column | str) -> Column:
+    """What of a segment lies behind an overlap: an arc's length on that side."""
+    return F.greatest(_(length) - _(over), F.lit(0))
+
+
 def pack_diagonal(v: Column | str, d: Column | str) -> Column:
     """Vertex and diagonal to one key that sorts like the pair."""
     return F.shiftleft(_(v).cast("long"), 32) + _(d).cast("long") + F.lit(DIAGONAL_BIAS)
@@ -50,11 +55,10 @@ def diagonal_of(key: Column | str) -> Column:
 
 
 def common_extension(a: Column | str, b: Column | str) -> Column:
-    """How many characters two strings share from their beginnings."""
+    """How many characters two strings share from their beginnings; null if either is null."""
     a, b = _(a), _(b)
-    n = F.least(F.length(a), F.length(b))
-    step = lambda acc, i: F.when((acc == i - 1) & (F.substr(a, i, F.lit(1)) == F.substr(b, i, F.lit(1))), i).otherwise(acc)
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0), step)).otherwise(F.lit(0))
+    apart = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x == y), False).cast("int")
+    return F.when(apart > 0, apart - 1).when(apart == 0, F.least(F.length(a), F.length(b)))
 
 
 def overlap(text: Column | str) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import complement, reverse_complement, segment_of, strand_of
+from ..functions.sequences import complement, segment_of, strand_of
 from ..sources.storage import discard, materialise
+from .graph import spelled_steps
 from .reach import doubled
 
 
@@ -54,21 +55,13 @@ def unitigs(arcs: DataFrame, vertices: DataFrame) -> DataFrame:
     return placed.join(kept, "unitig", "left_semi").join(simple.select("v", "ow"), "v", "left").select("unitig", "step", "v", "ow", "circular")
 
 
-def spelled_steps(steps: DataFrame, segments: DataFrame, key: str) -> DataFrame:
-    """key, seq, n: what ways spell. steps: key, step, v, ow (characters shared with the vertex before, null as 0)."""
-    own = steps.join(segments.select("seg_id", "seq"), segment_of("v") == F.col("seg_id"))
-    text = F.when(strand_of("v") == 1, reverse_complement("seq")).otherwise(F.col("seq"))
-    part = F.substr(text, F.coalesce("ow", F.lit(0)) + 1)
-    parts = F.array_sort(F.collect_list(F.struct("step", part.alias("t"))))
-    return own.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("seq"), F.count(F.lit(1)).alias("n"))
-
-
 def unitig_graph(arcs: DataFrame, segments: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Segments unitig, seq, n, circular, and arcs between unitigs: v, w (unitigs, oriented: twice the first vertex and the
     strand), ov, ow."""
     vertices = segments.select(F.explode(F.array(F.col("seg_id") * 2, F.col("seg_id") * 2 + 1)).alias("v"))
     steps = materialise(unitigs(arcs, vertices), "unitig-kept")
-    spelled = spelled_steps(steps, segments, "unitig").join(steps.groupBy("unitig").agg(F.first("circular").alias("circular")), "unitig")
+    texts = steps.join(segments.select("seg_id", "seq"), segment_of("v") == F.col("seg_id")).withColumn("strand", strand_of("v"))
+    spelled = spelled_steps(texts, "unitig").join(steps.groupBy("unitig").agg(F.first("circular").alias("circular")), "unitig")
     # Where a vertex stands in its unitig, on either strand: arcs that are not inside lead from a last to a first one.
     forward = steps.select("v", (F.col("unitig") * 2).alias("u"))
     back = steps.select(complement("v").alias("v"), (F.col("unitig") * 2 + 1).alias("u"))

@@ -163,12 +163,44 @@ def degree_profile(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("v").agg(F.count(F.lit(1)).alias("degree")).groupBy("degree").agg(F.count(F.lit(1)).alias("vertices"))
 
 
-def spell(steps: DataFrame, segments: DataFrame) -> DataFrame:
-    """path, seq of path steps (path, step, name, strand), for paths without overlaps."""
-    met = steps.join(segments.select("name", "seq"), "name")
-    seq = F.when(F.col("strand") == 1, reverse_complement("seq")).otherwise(F.col("seq"))
-    parts = F.array_sort(F.collect_list(F.struct("step", seq.alias("seq"))))
-    return met.groupBy("path").agg(F.array_join(F.transform(parts, lambda x: x["seq"]), "").alias("seq"))
+def spell(steps: DataFrame, segments: DataFrame, arcs: DataFrame | None = None) -> DataFrame:
+    """path, seq of path steps (path, step, name, strand). With arcs (v, w, ow) what a step shares with the one before is
+    told once: the least overlap of the arcs between them, none where there is no arc."""
+    if arcs is None:
+        met = steps.join(segments.select("name", "seq"), "name").withColumn("ow", F.lit(0))
+    else:
+        placed = steps.join(segments.select("name", "seq", "seg_id"), "name").withColumn("v", vertex("seg_id", "strand"))
+        before = placed.select("path", (F.col("step") + 1).alias("step"), F.col("v").alias("__before"))
+        over = arcs.groupBy(F.col("v").alias("__before"), F.col("w").alias("v")).agg(F.min("ow").alias("ow"))
+        met = placed.join(before, ["path", "step"], "left").join(over, ["__before", "v"], "left")
+    return spelled_steps(met, "path").select("path", "seq")
+
+
+def spelled_steps(steps: DataFrame, key: str) -> DataFrame:
+    """key, seq, n: what ways spell. steps: key, step, seq, strand, ow (characters shared with the vertex before, null as 0)."""
+    text = F.when(F.col("strand") == 1, reverse_complement("seq")).otherwise(F.col("seq"))
+    parts = F.array_sort(F.collect_list(F.struct("step", F.substr(text, F.coalesce("ow", F.lit(0)) + 1).alias("t"))))
+    return steps.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("seq"), F.count(F.lit(1)).alias("n"))
+
+
+def in_regions(segments: DataFrame, regions: DataFrame, width: int = 1_000, most: int = 100_000) -> DataFrame:
+    """region, seg_id, start, end: the part of each region (region, sn, start, end) that a segment (seg_id, sn, so, len)
+    covers on its stable sequence. Ends are not included; empty regions and segments meet nothing.
+
+    Both sides are cut into bins of width, and meet in a bin once: in the first that they share. The segments of a bin
+    that holds more than most are dealt over shares, to each of which its regions go. width should be near the length
+    of what is many; a long interval has a row for each of its bins.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor((b - 1) / width)))
+    a, b = F.col("so").cast("long"), (F.col("so") + F.col("len")).cast("long")
+    held = segments.where("sn is not null and so is not null and len > 0").select("seg_id", "sn", a.alias("__a"), b.alias("__b"), bins(a, b).alias("__bin"))
+    shares = held.groupBy("sn", "__bin").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__shares")).where("__shares > 1")
+    held = held.join(shares, ["sn", "__bin"], "left").withColumn("__share", F.pmod(F.xxhash64("seg_id"), F.coalesce("__shares", F.lit(1))).cast("int")).drop("__shares")
+    asked = regions.where(F.col("start") < F.col("end")).select("region", "sn", "start", "end", bins(F.col("start"), F.col("end")).alias("__bin"))
+    asked = asked.join(shares, ["sn", "__bin"], "left").withColumn("__share", F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1))).drop("__shares")
+    met = asked.join(held, ["sn", "__bin", "__share"]).where((F.col("__a") < F.col("end")) & (F.col("start") < F.col("__b")))
+    met = met.where(F.col("__bin") == F.greatest(F.floor(F.col("__a") / width), F.floor(F.col("start") / width)))
+    return met.select("region", "seg_id", F.greatest("__a", "start").alias("start"), F.least("__b", "end").alias("end"))
 
 
 def read_batches(reads: DataFrame, limit: int) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbering import scan
+from ..functions.sequences import common_extension
 from ..sources.storage import materialise
 
 
@@ -54,9 +55,7 @@ def expand(states: DataFrame, arcs: DataFrame) -> DataFrame:
 
 def _extended(states: DataFrame) -> DataFrame:
     """Rows with q and t: k moved along matching characters."""
-    n = F.least(F.length("t") - F.col("k"), F.length("q") - F.col("d") - F.col("k")) - 1
-    same = lambda acc, i: F.when((acc == i - 1) & (F.substr("t", F.col("k") + 1 + i, F.lit(1)) == F.substr("q", F.col("d") + F.col("k") + 1 + i, F.lit(1))), i).otherwise(acc)
-    more = F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0), same)).otherwise(F.lit(0))
+    more = common_extension(F.substr("t", F.col("k") + 2), F.substr("q", F.col("d") + F.col("k") + 2))
     return states.withColumn("k", F.col("k") + more)
 
 

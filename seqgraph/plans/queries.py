@@ -207,6 +207,28 @@ def stable_seq_ranges(spark, sf):
     return graph.stable_ranges(D.segments(spark, sf))
 
 
+@query(f"""WITH {D.SEGMENTS_SQL}, r AS (SELECT c_custkey AS region, 'Brand#' || (1 + c_custkey % 5) || (1 + c_nationkey % 5) AS sn, c_custkey % 500 AS a, c_custkey % 500 + c_nationkey AS b FROM customer)
+           SELECT region, seg_id, CAST(greatest(a, so) AS BIGINT) AS start, CAST(least(b, so + len) AS BIGINT) AS end FROM r JOIN segments USING (sn) WHERE so < b AND a < so + len AND a < b AND len > 0""")
+def segments_in_regions(spark, sf):
+    """A region for each customer, on one of the brands' sequences."""
+    start = F.col("c_custkey") % 500
+    sn = F.concat(F.lit("Brand#"), (1 + F.col("c_custkey") % 5).cast("string"), (1 + F.col("c_nationkey") % 5).cast("string"))
+    regions = table(spark, sf, "customer").select(F.col("c_custkey").alias("region"), sn.alias("sn"), start.alias("start"), (start + F.col("c_nationkey")).alias("end"))
+    return graph.in_regions(D.segments(spark, sf), regions, width=20)
+
+
+@query(f"""WITH {D.ORDERS_SQL}, st AS (SELECT 'c' || c AS path, v, lag(v) OVER o AS p, row_number() OVER o AS step FROM (SELECT orows.*, o_orderdate FROM orows JOIN orders ON o_orderkey = k) WINDOW o AS (PARTITION BY c ORDER BY o_orderdate, k)),
+           a AS (SELECT v, w, min(ow) AS ow FROM oarc GROUP BY v, w)
+           SELECT path, string_agg(substr(t, 1 + coalesce(a.ow, 0)), '' ORDER BY step) AS seq FROM st JOIN overt ON overt.v = st.v LEFT JOIN a ON a.v = st.p AND a.w = st.v GROUP BY path""")
+def path_spellings(spark, sf):
+    """A P line for each customer's orders, read and spelled."""
+    key = F.col("o_orderkey")
+    step = F.struct("o_orderdate", key, F.concat(F.lit("o"), key.cast("string"), F.when(key % 5 == 0, "-").otherwise("+")).alias("t"))
+    ways = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(step)).alias("x"))
+    lines = ways.select(F.col("o_custkey").cast("long").alias("line_no"), F.concat_ws("\t", F.lit("P"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.array_join(F.transform("x", lambda x: x["t"]), ","), F.lit("*")).alias("value"))
+    return graph.spell(gfa.path_steps(lines), D.order_segments(spark, sf), D.order_arcs(spark, sf))
+
+
 @query(f"{D.GRAPH_SQL} SELECT link_id, v, w FROM arcs WHERE (v >> 1) NOT IN (SELECT seg_id FROM segments WHERE sr = 0) AND (w >> 1) NOT IN (SELECT seg_id FROM segments WHERE sr = 0)")
 def delete_segments(spark, sf):
     return graph.delete_segments(D.arcs(spark, sf), D.segments(spark, sf).where("sr = 0").select("seg_id")).select("link_id", "v", "w")
@@ -273,7 +295,7 @@ def reachable_from(spark, sf):
            SELECT v, CAST(min(dist) AS BIGINT) AS dist FROM r GROUP BY v""")
 def shortest_reach(spark, sf):
     own = D.whole_arcs(spark, sf).join(D.segments(spark, sf).select("seg_id", "len"), S.segment_of("w") == F.col("seg_id"))
-    return reach.distances(own.withColumn("n", F.greatest(F.col("len") - F.col("ow"), F.lit(0))), _start(spark, sf), "n")
+    return reach.distances(own.withColumn("n", S.beyond("len", "ow")), _start(spark, sf), "n")
 
 
 @query(f"""{D.GRAPH_SQL}, a AS (SELECT min(v) AS v FROM arcs), b AS (SELECT v FROM a UNION SELECT w FROM arcs WHERE v IN (SELECT v FROM a)),

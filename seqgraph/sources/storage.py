@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
-#: Folder names below shared_dir in which scratch() has intermediates written, innermost last.
-_SCOPES: list[str] = []
+#: Folder name below shared_dir in which the innermost scratch() has intermediates written; each thread has its own.
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None, outside: bool = False) -> DataFrame:
@@ -47,7 +48,7 @@ def materialise(df: DataFrame, name: str, instead_of: DataFrame | None = None, o
     deletes.
     """
     spark = df.sparkSession
-    path = "/".join((shared_dir(spark), *([] if outside else _SCOPES[-1:]), f"{name}-{uuid.uuid4().hex}"))
+    path = "/".join((shared_dir(spark), *filter(None, [None if outside else _SCOPE.get()]), f"{name}-{uuid.uuid4().hex}"))
     df.write.option("compression", "zstd").parquet(path)
     if instead_of is not None:
         discard(instead_of)
@@ -71,9 +72,9 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     """Intermediates written inside are deleted at the end; results that are still needed must be written
     elsewhere before."""
     scope = f"scratch-{uuid.uuid4().hex}"
-    _SCOPES.append(scope)
+    token = _SCOPE.set(scope)
     try:
         yield
     finally:
-        _SCOPES.remove(scope)
+        _SCOPE.reset(token)
         delete(spark, f"{shared_dir(spark)}/{scope}")
