@@ -1,5 +1,6 @@
 """Packing, exact dedup, licences, rules, token counts and SentencePiece: brute force, SQL and edge cases."""
 
+import math
 import random
 import zlib
 
@@ -359,3 +360,34 @@ def test_sentencepiece_round_trip(spark):
     assert encoded.where("not exact").count() == 0
     back = sorted(((r.doc_id, r.text) for r in pieces.decode(encoded).collect()), key=str)
     assert back == sorted(((d, t or "") for d, t, *_ in EDGES), key=str) and pieces.digest(docs(spark, [])).count() == 0
+
+
+def test_expected_pieces_over_all_segmentations():
+    own = pieces.Codec({"a": (0, -1.0), "b": (1, -1.5), "ab": (2, -1.2), "ba": (3, -2.0), "aba": (4, -2.5)}, list(range(10, 266)), 4.0)
+
+    def ways(word):
+        if not word:
+            yield [], 1.0
+        for k in range(1, len(word) + 1):
+            found = [(i, math.exp(s)) for p, (i, s) in own.pieces.items() if p == word[:k]] + ([(-1, math.exp(-4.0 * len(word[0].encode())))] if k == 1 else [])
+            for i, p in found:
+                for rest, q in ways(word[k:]):
+                    yield [i, *rest], p * q
+
+    for word in ("a", "ab", "abab", "bbaba", "aéab", "é"):
+        total = sum(p for _, p in ways(word))
+        plain = {i: sum(w.count(i) * p for w, p in ways(word)) / total for i in range(5)}
+        assert own.expected(word) == pytest.approx({i: x for i, x in plain.items() if x})
+
+
+def test_estimated_scores(spark, sf):
+    """Pieces that texts need get dearer or cheaper with their use; texts cost fewer ids, and decode as before."""
+    given = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    scores = pieces.fit(given)
+    assert (scores == pieces.fit(given.repartition(3))).all()
+    kept = [i for i, _ in pieces.Codec.load().pieces.values()]
+    assert np.exp(scores[kept].astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    before, after = (pieces.encode(given, scores=s).agg(F.sum(F.octet_length("ids")).alias("n"), F.bool_and("exact").alias("exact")).first() for s in (None, scores))
+    assert after.exact and after.n < before.n
+    texts = spark.createDataFrame(EDGES, COLUMNS)
+    assert pieces.fit(docs(spark, [])) is None and pieces.encode(texts, scores=pieces.fit(texts)).where("not exact").count() == 0
