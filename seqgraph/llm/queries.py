@@ -96,4 +96,5 @@ ORACLE_SQL: dict[str, str] = {
         FROM documents
         WINDOW w AS (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST)""",
     "op5_quality_rules": rules.oracle(),
+    "op12_centroid_clustering": vafile.oracle(),
 }

@@ -297,3 +297,22 @@ def cluster(rows: DataFrame, k: int = K, rounds: int = ROUNDS, seed: int = SEED,
     return placed.select(
         "vec_id", "cluster", "distance", of([inertia.get(c, 0) for c in names]).cast("long").alias("cluster_inertia"), F.lit(sum(inertia.values())).cast("long").alias("inertia"), of(names.values()).alias("centroid_sha256")
     )
+
+
+def oracle(k: int = K, rounds: int = ROUNDS, seed: int = SEED, size: int = SIZE) -> str:
+    """The same in DuckDB: every vector against every centroid, a few common tables a round. Doubles hold these integers."""
+    square = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    parts = [
+        f"e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings WHERE len(embedding) = {size})",
+        f"kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(e, lambda v: floor({SCALE} * v)) AS x FROM e WHERE len(list_filter(e, lambda v: v IS NULL OR NOT isfinite(v))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x AS c FROM (SELECT x, sha256('{seed}:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM kept) ORDER BY k LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, min(struct_pack(d := {square}, k := k)) AS m FROM kept, c{i} GROUP BY r)")
+        if i < rounds:
+            means = f"SELECT k, list(floor(s / n) ORDER BY d) AS mean FROM (SELECT m.k AS k, d, sum(v) AS s, count(*) AS n FROM (SELECT m, unnest(x) AS v, generate_subscripts(x, 1) AS d FROM a{i}) GROUP BY ALL) GROUP BY k"
+            parts.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.k, coalesce(mean, c) AS c FROM c{i} LEFT JOIN ({means}) USING (k))")
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, CAST(m.k AS INT) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+               sha256(array_to_string(list_transform(c, lambda v: CAST(v AS BIGINT)), ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} ON c{rounds}.k = m.k"""
