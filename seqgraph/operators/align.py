@@ -11,8 +11,8 @@ one way. So a best walk spells at most twice as many characters as the longest r
 has, and vertices that are entered behind that play no part, however large the graph.
 With a fixed end the bound is the shortest walk to it instead, where that is longer.
 The cut is a search for distances, by joins; only its result is looked at in one
-place. Where even that holds more than MOST_BASES, scoring is joins and aggregations
-(wavefront.align).
+place. Where even that holds more than MOST_BASES, the graph is cut into shards between
+which the states travel (shards.score).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import BASES, PAIRED, reverse_complement, segment_of, strand_of
 from ..sources.storage import materialise
-from . import reach, wavefront
+from . import reach
 from .graph import SequenceGraph
 
 #: Largest graph that is looked at in one place and sent to the executors: bases, and eight for each arc and segment.
@@ -40,13 +40,15 @@ class Flat:
     """The graph as arrays: texts end to end, arcs by vertex."""
 
     def __init__(self, texts: list[bytes], arcs: list[tuple[int, int, int]] | np.ndarray, start: int, end: int | None = None):
-        """arcs: from, to, overlap in the target. end: the vertex at whose end a walk must end, if any."""
+        """arcs: from, to (outside if there is no such text), overlap in the target. end: the vertex at whose end a walk must
+        end, if any."""
         self.length = np.array([len(t) for t in texts], np.int64)
         self.offset = np.concatenate([[0], np.cumsum(self.length)])[:-1]
         self.text = np.frombuffer(b"".join(texts) + bytes(STEP + 1), np.uint8)
         table = np.asarray(arcs, np.int64).reshape(-1, 3)
         table = table[np.lexsort(table.T[::-1])]
-        if len(table) and (table[:, 2] >= self.length[table[:, 1]]).any():
+        within = table[table[:, 1] < len(texts)]
+        if (within[:, 2] >= self.length[within[:, 1]]).any():
             raise ValueError("an overlap covers its whole target vertex")
         self.first = np.searchsorted(table[:, 0], np.arange(len(texts) + 1))
         self.to, self.over, self.start, self.end = table[:, 1], table[:, 2], start, end
@@ -69,21 +71,32 @@ def _among(known: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 def scores(graph: Flat, queries: list[bytes]) -> np.ndarray:
     """Of each query; all levels of all queries at once."""
-    n = len(queries)
+    each = np.arange(len(queries))
+    none = np.zeros(len(queries), np.int64)
+    return propagate(graph, queries, each, none + graph.start, none, none - 1, none)[0]
+
+
+def propagate(graph: Flat, queries: list[bytes], r: np.ndarray, v: np.ndarray, d: np.ndarray, k: np.ndarray, at: np.ndarray, most: int = 1 << 60) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """States (query r, vertex v, diagonal d, offset k), each from its level (at) on, moved through all levels up to most.
+
+    Of each query the level at which it ended (-1 if it did not) and whether the limit stopped it; and the states that
+    left the graph, with their levels: r, v, d, k, level. Vertices numbered beyond the graph's are outside.
+    """
     length = np.array([len(q) for q in queries], np.int64)
     place = np.concatenate([[0], np.cumsum(length)])[:-1]
     text = np.frombuffer(b"".join(queries) + bytes(STEP + 1), np.uint8)
-    score = np.where((length == 0) & (graph.end is None), 0, -1)
+    score, cut = np.full(len(queries), -1), np.zeros(len(queries), bool)
+    n = len(graph.length)
     span = int(length.max(initial=0)) + int(graph.length.max(initial=0)) + 2  # diagonals of a vertex
     shift = int(graph.length.max(initial=0)) + 1
     wide = np.arange(1, STEP + 1)
 
     def pack(r, v, d):
-        return (r * len(graph.length) + v) * span + d + shift
+        return (r * n + v) * span + d + shift
 
     def unpack(key):
         rv, d = np.divmod(key, span)
-        r, v = np.divmod(rv, len(graph.length))
+        r, v = np.divmod(rv, n)
         return r, v, d - shift
 
     def extend(r, v, d, k):
@@ -102,12 +115,24 @@ def scores(graph: Flat, queries: list[bytes]) -> np.ndarray:
         done = d + k == length[r] - 1
         return done if graph.end is None else done & (v == graph.end) & (k == graph.length[v] - 1)
 
-    live = np.flatnonzero(score < 0)
-    key, k = pack(live, graph.start, 0), np.full(len(live), -1)
+    order = np.argsort(at, kind="stable")
+    waiting, waiting_k, at = pack(r, v, d)[order], k[order], at[order]
+    taken, level = 0, 0
+    key, k = waiting[:0], waiting_k[:0]
     ended = np.zeros(0, np.int64)  # keys of diagonals that have reached their vertex's end
-    level = 0
-    while len(key):
-        every_key, every_k = [], []
+    left = []
+    while len(key) or taken < len(at):
+        level = level if len(key) else int(at[taken])
+        if level > most:
+            cut[unpack(waiting[taken:])[0]] = True
+            break
+        due = int(np.searchsorted(at, level, side="right"))
+        if due > taken:
+            fresh = waiting[taken:due]
+            free = ~_among(ended, fresh) & (score[unpack(fresh)[0]] < 0)
+            key, k = _last_of(np.concatenate([key, fresh[free]]), np.concatenate([k, waiting_k[taken:due][free]]))
+            taken = due
+        every_key, every_k = [key[:0]], [k[:0]]
         while len(key):
             r, v, d = unpack(key)
             k = extend(r, v, d, k)
@@ -122,7 +147,11 @@ def scores(graph: Flat, queries: list[bytes]) -> np.ndarray:
             fan = graph.first[v + 1] - graph.first[v]
             arc = np.repeat(graph.first[v] - np.cumsum(fan) + fan, fan) + np.arange(fan.sum())
             to, over = graph.to[arc], graph.over[arc]
-            key, k = _last_of(pack(np.repeat(r, fan), to, np.repeat(place_in, fan) - over + 1), over - 1)
+            r, d, k = np.repeat(r, fan), np.repeat(place_in, fan) - over + 1, over - 1
+            out = to >= n
+            if out.any():
+                left.append((r[out], to[out], d[out], k[out], np.full(out.sum(), level)))
+            key, k = _last_of(pack(r, to, d)[~out], k[~out])
         key, k = _last_of(np.concatenate(every_key), np.concatenate(every_k))
         r, v, d = unpack(key)
         going = score[r] < 0
@@ -134,7 +163,11 @@ def scores(graph: Flat, queries: list[bytes]) -> np.ndarray:
         fresh = ~_among(ended, key)
         key, k = key[fresh], k[fresh]
         level += 1
-    return score
+        if level > most and len(key):
+            cut[unpack(key)[0]] = True
+            key, k = key[:0], k[:0]
+    none = np.zeros(0, np.int64)
+    return score, cut, tuple(map(np.concatenate, zip(*left, strict=True))) if left else (none,) * 5
 
 
 def spelled(arcs: DataFrame, segments: DataFrame, start: int, most: int | None = None) -> DataFrame:
@@ -223,7 +256,7 @@ def score_reads(reads: DataFrame, graph: Flat | None) -> DataFrame:
     Scoring a read costs far more than moving it, so reads are dealt out evenly first, wherever they were read.
     """
     if graph is None:
-        raise ValueError("the graph is too large to send about; wavefront.align scores by joins")
+        raise ValueError("the graph is too large to send about; shards.score takes any")
     spark = reads.sparkSession
     shared = spark.sparkContext.broadcast(graph)
     rows = reads.select(F.col("read_idx").cast("long").alias("read_idx"), "seq")
@@ -266,7 +299,11 @@ def graph_edit_distance(reads: DataFrame, graph: SequenceGraph, start: str | Non
         vertices, arcs = oriented(graph, first, radius)
         own = flat(vertices, arcs, first, last)
         if own is None:
-            return wavefront.align(reads, vertices, arcs, first, last)
+            from . import shards
+
+            if reads.isStreaming:
+                raise ValueError("a stream of reads needs a graph that can be sent about")
+            return shards.score(reads, vertices, arcs, first, last)
     return score_reads(reads, own)
 
 

@@ -1,0 +1,113 @@
+"""Scoring in shards: states that travel, against an independent shortest path."""
+
+import random
+
+import numpy as np
+import pytest
+
+from seqgraph.operators import align as A
+from seqgraph.operators import graph as G
+from seqgraph.operators import shards
+
+from .test_align import frames, random_case, shortest
+
+
+def pieces(texts, arcs, end, own):
+    """The kernel's graph of some vertices alone; others are outside, numbered behind them."""
+    rest = [v for v in range(len(texts)) if v not in own]
+    at = {v: i for i, v in enumerate([*own, *rest])}
+    return A.Flat([texts[v] for v in own], [(at[a], at[b], o) for a, b, o in arcs if a in own], 0, None if end is None else at[end] if end in own else -1), [*own, *rest]
+
+
+def by_pieces(texts, arcs, queries, end=None, most=1 << 60):
+    """Scores where each vertex is a piece of its own, by sending states about until none is new."""
+    best, found = {}, np.full(len(queries), -1)
+    todo = [(r, 0, 0, -1, 0) for r in range(len(queries))]
+    while todo:
+        following = []
+        for v in {t[1] for t in todo}:
+            graph, names = pieces(texts, arcs, end, [v])
+            r, _, d, k, at = (np.array(c) for c in zip(*[t for t in todo if t[1] == v], strict=True))
+            score, _, left = A.propagate(graph, queries, r, np.zeros(len(r), int), d, k, at, most)
+            found = np.where((score >= 0) & ((found < 0) | (score < found)), score, found)
+            following += [(int(a), names[int(b)], int(c), int(e), int(f)) for a, b, c, e, f in zip(*left, strict=True)]
+        todo = []
+        for *state, at in following:
+            if at < best.get(tuple(state), 1 << 60):
+                best[tuple(state)] = at
+                todo.append((*state, at))
+    return found.tolist()
+
+
+def test_pieces_of_the_kernel_are_the_shortest_path():
+    rng = random.Random(31)
+    for _ in range(80):
+        texts, arcs, queries = random_case(rng)
+        end = rng.choice([None, rng.randrange(len(texts))])
+        expected = [shortest(texts, arcs, 0, q, end) for q in queries]
+        assert by_pieces(texts, arcs, queries, end) == [-1 if x is None else x for x in expected]
+
+
+def test_the_limit_stops_and_tells():
+    graph = A.Flat([b"ACGTACGT"], [], 0)
+    q = [b"ACGTACGT", b"TTTTTTTT", b"AAGTACGT"]
+    each, none = np.arange(3), np.zeros(3, int)
+    score, cut, left = A.propagate(graph, q, each, none, none, none - 1, none, most=1)
+    assert score.tolist() == [0, -1, 1] and cut.tolist() == [False, True, False] and not len(left[0])
+
+
+@pytest.mark.parametrize(("seed", "bases", "first"), [(41, 1, 1), (42, 24, 4)])
+def test_shards_agree(spark, monkeypatch, seed, bases, first):
+    monkeypatch.setattr(shards, "FIRST", first)
+    monkeypatch.setattr(shards, "READS", 3)  # so that reads at one shard are dealt over shares
+    rng = random.Random(seed)
+    texts, arcs, queries = random_case(rng, 10)
+    while len(arcs) < 5:
+        texts, arcs, queries = random_case(rng, 10)
+    reads = spark.createDataFrame([(i, q.decode()) for i, q in enumerate(queries)] + [(99, None)], "read_idx long, seq string")
+    for end in (None, len(texts) - 1):
+        expected = {i: shortest(texts, arcs, 0, q, end) for i, q in enumerate([*queries])} | {99: shortest(texts, arcs, 0, b"", end)}
+        found = {r.read_idx: r.score for r in shards.score(reads, *frames(spark, texts, arcs), 0, end, bases=bases).collect()}
+        assert found == {i: -1 if x is None else x for i, x in expected.items()}
+
+
+def test_no_way_and_no_reads(spark):
+    reads = spark.createDataFrame([(2, "ACGTT")], "read_idx long, seq string")
+    vertices, arcs = frames(spark, [b"A", b"C"], [(0, 0, 0)])
+    assert [r.score for r in shards.score(reads, vertices, arcs, 0, 1, bases=1).collect()] == [-1]
+    assert shards.score(reads.limit(0), vertices, arcs, 0).count() == 0
+
+
+def test_what_is_refused(spark):
+    reads = spark.createDataFrame([(2, "ACGTT")], "read_idx long, seq string")
+    vertices, arcs = frames(spark, [b"AC", b"G"], [(0, 1, 1)])
+    with pytest.raises(ValueError, match="whole target"):
+        shards.score(reads, vertices, arcs, 0)
+    lacking = vertices.selectExpr("v", "nullif(seq, 'G') as seq")
+    with pytest.raises(ValueError, match="no sequence"):
+        shards.score(reads, lacking, arcs.where("v < 0"), 0)
+
+
+def test_long_reads_cross_many_shards(spark):
+    rng = random.Random(43)
+    base = "".join(rng.choice("ACGT") for _ in range(4000))
+    texts = [base[i : i + 50].encode() for i in range(0, 4000, 50)]
+    chain = [(i, i + 1, 0) for i in range(len(texts) - 1)] + [(i, i + 2, 0) for i in range(0, len(texts) - 2, 5)]
+    mutated = "".join(rng.choice("ACGT") if rng.random() < 0.02 else c for c in base[:3000])
+    queries = [base[:3500], mutated, base[:700] + base[720:2000]]
+    reads = spark.createDataFrame(list(enumerate(queries)), "read_idx long, seq string")
+    vertices, arcs = frames(spark, texts, chain)
+    found = {r.read_idx: r.score for r in shards.score(reads, vertices, arcs, 0, bases=1160).collect()}
+    assert found == dict(enumerate(A.scores(A.Flat(texts, chain, 0), [q.encode() for q in queries]).tolist()))
+
+
+def test_a_large_graph_goes_by_shards(spark, monkeypatch):
+    monkeypatch.setattr(A, "MOST_BASES", 5)
+    called = []
+    own_score = shards.score
+    monkeypatch.setattr(shards, "score", lambda *a: called.append(1) or own_score(*a))
+    rows = spark.createDataFrame(list(enumerate(["S\ta\tACGT", "S\tb\tGG", "L\ta\t+\tb\t+\t0M"])), "line_no long, value string")
+    reads = spark.createDataFrame([(0, "ACGTG"), (1, "ACGTGG")], "read_idx long, seq string")
+    own = G.from_lines(rows).finalize()
+    assert sorted(tuple(r) for r in A.graph_edit_distance(reads, own, end="b").collect()) == [(0, 1), (1, 0)]
+    assert called
