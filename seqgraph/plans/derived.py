@@ -107,6 +107,23 @@ o1 AS (SELECT v, w1 AS w, CAST(k % 4 AS INT) AS o FROM ow WHERE w1 IS NOT NULL A
 oarc AS (SELECT v, w, o AS ov, o AS ow FROM o1 UNION SELECT xor(w, 1), xor(v, 1), o, o FROM o1)"""
 
 
+def order_insertions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From inside every third order to inside its customer's first: some without text, some that are alike."""
+    own = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    key, size = F.col("o_orderkey"), F.length(F.concat(F.col("o_orderkey").cast("string"), bases("o_orderpriority")))
+    rows = table(spark, sf_dir, "orders").select(key, "o_orderpriority", size.cast("long").alias("n"), F.first(key).over(own).alias("f"), F.first(size.cast("long")).over(own).alias("m"))
+    ways = rows.where(key % 3 == 0).select(
+        F.concat(F.lit("i"), key).alias("name"), (key * 2 + key % 2).alias("v"), (1 + key % F.col("n")).alias("v_off"), (F.col("f") * 2 + (key % 5 == 0).cast("long")).alias("w"), (key % F.col("m")).alias("w_off"),
+        F.when(key % 4 == 0, "").otherwise(bases("o_orderpriority")).alias("seq"),
+    )
+    return ways.unionByName(ways.where("v % 7 = 0").withColumn("name", F.concat("name", F.lit("again"))))
+
+
+INSERTIONS_SQL = f"""irow AS (SELECT o_orderkey AS k, {bases_sql("o_orderpriority")} AS p, length(oseg.seq) AS vn, first_value(o_orderkey) OVER c AS f, first_value(length(oseg.seq)) OVER c AS wn
+    FROM orders JOIN oseg ON seg_id = o_orderkey WINDOW c AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+ins AS (SELECT 'i' || k AS name, k * 2 + k % 2 AS v, 1 + k % vn AS v_off, vn, f * 2 + CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END AS w, k % wn AS w_off, wn, CASE WHEN k % 4 = 0 THEN '' ELSE p END AS seq FROM irow WHERE k % 3 = 0)"""
+
+
 def nations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Vertices (v, seq) and arcs (v, w, ow): the regions' names one after another, each with branches to its nations."""
     region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import align, assembly, bubbles, components, graph, intervals, likelihood, reach, wavefront
+from ..operators import align, assembly, augment, bubbles, components, graph, intervals, likelihood, reach, shards, wavefront
 from ..sources import fastx, gfa, sinks
 from ..sources.storage import shared_dir, table
 from . import derived as D
@@ -381,6 +381,42 @@ def drop_tips(spark, sf):
     return assembly.drop_tips(D.order_arcs(spark, sf), sized, most_steps=3, most_length=60)
 
 
+# Insertions into the graph of orders, its arcs taken without overlaps
+
+
+def _augmented(spark, sf):
+    segments, arcs = D.order_segments(spark, sf), D.order_arcs(spark, sf).select("v", "w", F.lit(0).alias("ov"), F.lit(0).alias("ow")).distinct()
+    return augment.augment(graph.SequenceGraph(segments, arcs), D.order_insertions(spark, sf))[0]
+
+
+_AUGMENTED_SQL = f"""{D.ORDERS_SQL}, {D.INSERTIONS_SQL},
+    told AS (SELECT min(name) AS name, v, v_at, w, w_at, seq FROM (SELECT *, CASE WHEN v % 2 = 1 THEN vn - v_off ELSE v_off END AS v_at, CASE WHEN w % 2 = 1 THEN wn - w_off ELSE w_off END AS w_at FROM ins) GROUP BY v, v_at, w, w_at, seq),
+    cuts AS (SELECT seg_id, 0 AS a FROM oseg UNION SELECT v >> 1, v_at FROM told JOIN oseg ON seg_id = v >> 1 WHERE v_at < length(oseg.seq)
+             UNION SELECT w >> 1, w_at FROM told JOIN oseg ON seg_id = w >> 1 WHERE w_at < length(oseg.seq)),
+    spans AS (SELECT seg_id, name, seq, length(seq) AS n, a, lead(a, 1, length(seq)) OVER (PARTITION BY seg_id ORDER BY a) AS b FROM cuts JOIN oseg USING (seg_id)),
+    piece AS (SELECT seg_id, n, a, b, CASE WHEN b - a = n THEN name ELSE name || ':' || a || '-' || b END AS name, substr(seq, a + 1, b - a) AS seq FROM spans),
+    side AS (SELECT seg_id * 2 AS v, a AS enters, b AS leaves, a = 0 AS first, b = n AS last, name, 0 AS s FROM piece UNION ALL SELECT seg_id * 2 + 1, b, a, b = n, a = 0, name, 1 FROM piece)"""
+
+
+@query(f"WITH {_AUGMENTED_SQL} SELECT name, seq, length(seq) AS len FROM piece UNION ALL SELECT name, seq, length(seq) FROM told WHERE seq <> ''")
+def augmented_segments(spark, sf):
+    return _augmented(spark, sf).segments.select("name", "seq", "len")
+
+
+@query(f"""WITH {_AUGMENTED_SQL},
+    one AS (SELECT a.name AS x, a.s AS p, b.name AS y, b.s AS q FROM oarc JOIN side a ON a.v = oarc.v AND a.last JOIN side b ON b.v = oarc.w AND b.first
+            UNION SELECT a.name, a.s, b.name, b.s FROM side a JOIN side b ON a.v = b.v AND a.leaves = b.enters
+            UNION SELECT a.name, a.s, b.name, b.s FROM told JOIN side a ON a.v = told.v AND a.leaves = v_at JOIN side b ON b.v = told.w AND b.enters = w_at WHERE told.seq = ''
+            UNION SELECT a.name, a.s, told.name, 0 FROM told JOIN side a ON a.v = told.v AND a.leaves = v_at WHERE told.seq <> ''
+            UNION SELECT told.name, 0, b.name, b.s FROM told JOIN side b ON b.v = told.w AND b.enters = w_at WHERE told.seq <> '')
+    SELECT x AS v_name, p AS v_ori, y AS w_name, q AS w_ori FROM one UNION SELECT y, 1 - q, x, 1 - p FROM one""")
+def augmented_arcs(spark, sf):
+    own = _augmented(spark, sf)
+    of = lambda p: own.segments.select(F.col("seg_id").alias(f"{p}_id"), F.col("name").alias(f"{p}_name"))
+    met = own.arcs.join(of("v"), S.segment_of("v") == F.col("v_id")).join(of("w"), S.segment_of("w") == F.col("w_id"))
+    return met.select("v_name", S.strand_of("v").cast("int").alias("v_ori"), "w_name", S.strand_of("w").cast("int").alias("w_ori"))
+
+
 # Wavefront steps and intervals
 
 
@@ -478,6 +514,21 @@ def scores_summary(spark, sf):
     return bubble_align(spark, sf).groupBy("score").agg(F.count(F.lit(1)).alias("n"))
 
 
+# What is spelled from the first order on, by its customer's chain, up to twice the longest read.
+@query(f"""WITH RECURSIVE {D.ORDERS_SQL}, p AS (SELECT p_partkey, {D.bases_sql("p_name")} AS q FROM part), far AS (SELECT 2 * max(length(q)) AS n FROM p),
+           r(v, t) AS (SELECT v, t FROM overt WHERE v = (SELECT min(seg_id) * 2 FROM oseg) UNION SELECT o.v, r.t || substr(o.t, 1 + a.ow) FROM r JOIN oarc a ON a.v = r.v JOIN overt o ON o.v = a.w WHERE length(r.t) < (SELECT n FROM far)),
+           pre AS (SELECT DISTINCT t[1:l.n] AS t FROM r, range(0, 200) AS l(n) WHERE l.n <= length(t) AND l.n <= (SELECT n FROM far)), d AS (SELECT DISTINCT q FROM p),
+           s AS (SELECT q, min(levenshtein(q, t)) AS score FROM d, pre GROUP BY q)
+           SELECT p_partkey AS read_idx, CAST(score AS INT) AS score FROM p JOIN s USING (q)""")
+def shard_align(spark, sf):
+    """Parts' names as reads, against the graph of orders in shards: what the reads can reach from the first order."""
+    own = graph.SequenceGraph(D.order_segments(spark, sf), D.order_arcs(spark, sf))
+    reads = table(spark, sf, "part").select(F.col("p_partkey").alias("read_idx"), D.bases("p_name").alias("seq"))
+    start = align.find_start(own)
+    vertices, arcs = align.oriented(own, start, align.needed_radius(reads, own, start))
+    return shards.score(reads, vertices, arcs, start, bases=100)
+
+
 @query("SELECT c_custkey, s_suppkey, c_nationkey AS region FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def region_pairs(spark, sf):
     reads = table(spark, sf, "customer").select(F.col("c_nationkey").alias("region"), "c_custkey")
