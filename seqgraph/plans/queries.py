@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..functions.numbering import numbered
 from ..operators import align, assembly, augment, bubbles, components, graph, intervals, likelihood, reach, shards, wavefront
 from ..sources import fastx, gfa, sinks
 from ..sources.storage import shared_dir, table
@@ -76,6 +77,31 @@ def tag_fields(spark, sf):
     return own.select("event_id", S.tag_string("tags", "KD").alias("kind"), S.tag_int("tags", "NR").alias("n"), S.tags_text("tags").alias("text"))
 
 
+@query("""SELECT event_id, 'KD:Z:' || event_type || chr(9) || 'NR:i:' || (event_id % 7) || chr(9) || CASE WHEN event_id % 3 = 0 THEN 'XF:f:0.5' || chr(9) ELSE '' END || 'XU:A:' || substr(event_type, 1, 1) AS text FROM events""")
+def tag_updates(spark, sf):
+    """A tag replaced, one added, one deleted; the others stay."""
+    fields = F.array(F.lit("NR:i:1"), F.concat(F.lit("KD:Z:"), F.col("event_type")), F.when(F.col("event_id") % 3 == 0, "XF:f:0.5").otherwise("bad"), F.lit("XB:B:i,1,2"))
+    own = S.without_tag(S.with_tag(S.tags(fields), "NR", "i", F.col("event_id") % 7), "XB")
+    return table(spark, sf, "events").select("event_id", S.tags_text(S.with_tag(own, "XU", "A", F.substr("event_type", F.lit(1), F.lit(1)))).alias("text"))
+
+
+def _written(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""{D.GRAPH_SQL} SELECT 'S' AS kind, name AS a, seq AS b, CAST(len AS INT) AS n FROM segments
+           UNION ALL SELECT 'L', 's' || (v >> 1), 's' || (w >> 1), CAST(least(ov, ow) AS INT) FROM whole""")
+def gfa_files(spark, sf):
+    """Segments and links written as GFA with CRLF line ends, compressed, among lines of other kinds, and read back."""
+    own, path = D.segments(spark, sf), _written(spark, "gfa")
+    lines = sinks.segment_text(own.select("name", "seq", "len")).unionByName(sinks.arc_text(D.whole_arcs(spark, sf), own))
+    other = own.where("seg_id % 5 = 0").select(F.explode(F.array(F.lit("H\tVN:Z:1.0"), F.lit(""), F.lit("S"), F.concat(F.lit("#\t"), "name"))).alias("line"))
+    lines.unionByName(other).select(F.concat("line", F.lit("\r"))).write.option("compression", "gzip").text(path)
+    back = gfa.lines(spark, path)
+    segments = gfa.segment_lines(back).select(F.lit("S").alias("kind"), F.col("name").alias("a"), F.col("seq").alias("b"), F.col("len").cast("int").alias("n"))
+    return segments.unionByName(gfa.link_lines(back).select(F.lit("L").alias("kind"), F.col("v_name").alias("a"), F.col("w_name").alias("b"), F.col("ov").cast("int").alias("n")))
+
+
 # Sources and sinks
 
 
@@ -529,6 +555,25 @@ def shard_align(spark, sf):
     return shards.score(reads, vertices, arcs, start, bases=100)
 
 
+@query(f"WITH {D.WALKS_SQL}, {_SCORES.format(walks='walks')} SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS place, p_partkey AS read_idx, p_name AS name, CAST(score AS INT) AS score FROM part JOIN s ON q = upper(p_name)")
+def score_file(spark, sf):
+    """Scores written to files and read back: place is the line's, over all files."""
+    names, path = table(spark, sf, "part").select(F.col("p_partkey").alias("read_idx"), F.col("p_name").alias("name")), _written(spark, "scores")
+    sinks.write_scores(bubble_align(spark, sf).join(names, "read_idx"), path)
+    back = spark.read.schema("read_idx long, name string, score int").csv(path, sep="\t")
+    rows = back.select("*", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    return numbered(rows, ["file", "line"], "place").select("place", "read_idx", "name", "score")
+
+
+@query(f"""WITH t AS (SELECT reverse(translate(string_agg(upper(r.r_name), '' ORDER BY r.r_regionkey) || upper(n_name), '{S.BASES}', '{S.PAIRED}')) AS t
+           FROM nation JOIN region r ON r.r_regionkey <= n_regionkey WHERE n_nationkey = 7 GROUP BY n_name), {_SCORES.format(walks='t')}
+           SELECT p_partkey AS read_idx, CAST(score AS INT) AS score FROM part JOIN s ON q = upper(p_name)""")
+def strand_align(spark, sf):
+    """From a named segment, on its other strand, with a radius as far as these reads can tell a difference."""
+    own = graph.from_lines(D.nation_lines(spark, sf)).finalize()
+    return align.graph_edit_distance(D.part_reads(spark, sf), own, start="n7", strand=1, radius=200)
+
+
 @query("SELECT c_custkey, s_suppkey, c_nationkey AS region FROM customer JOIN supplier ON c_nationkey = s_nationkey")
 def region_pairs(spark, sf):
     reads = table(spark, sf, "customer").select(F.col("c_nationkey").alias("region"), "c_custkey")
@@ -569,6 +614,28 @@ def pair_likelihoods(spark, sf):
     return likelihood.likelihoods(reads, haps)
 
 
+#: The forward recurrence, a read's base at a time, in plain probabilities; qualities are those of pair_likelihoods.
+_FORWARD_SQL = f"""RECURSIVE p AS (SELECT p_partkey, p_size % 5 AS region, {D.bases_sql("p_name")} AS q FROM part WHERE length({D.bases_sql("p_name")}) > 0),
+    h AS (SELECT r_regionkey AS region, {D.bases_sql("r_name")} AS h FROM region),
+    pairs AS (SELECT DISTINCT region, q, h, length(h) AS n FROM p JOIN h USING (region)),
+    f(region, q, h, n, i, m, x, y) AS (
+        SELECT region, q, h, n, 0, list_transform(range(0, n + 1), lambda j: 0.0::DOUBLE), list_transform(range(0, n + 1), lambda j: 0.0::DOUBLE), list_transform(range(0, n + 1), lambda j: 1.0::DOUBLE / n) FROM pairs
+        UNION ALL
+        SELECT region, q, h, n, i + 1, nm, nx, list_transform(range(0, n + 1), lambda j: coalesce(list_sum(list_transform(range(0, j), lambda l: power(10, -4.5) * nm[l + 1] * power(0.1, j - 1 - l))), 0.0))
+        FROM (SELECT *,
+                list_transform(range(0, n + 1), lambda j: CASE WHEN j = 0 THEN 0.0 ELSE (CASE WHEN h[j] = q[i + 1] THEN 1 - power(10, -4) ELSE power(10, -4) / 3 END)
+                    * ((1 - 2 * power(10, -4.5)) * m[j] + 0.9::DOUBLE * (x[j] + y[j])) END) AS nm,
+                list_transform(range(0, n + 1), lambda j: CASE WHEN j = 0 THEN 0.0 ELSE power(10, -4.5) * m[j + 1] + 0.1::DOUBLE * x[j + 1] END) AS nx
+              FROM f WHERE i < length(q)))"""
+
+
+@query(f"""WITH {_FORWARD_SQL}, s AS (SELECT region, q, round(log10(list_sum(m[2:]) + list_sum(x[2:])), 4) AS score FROM f WHERE i = length(q))
+           SELECT region, p_partkey AS read_idx, score FROM p JOIN s USING (region, q)""")
+def pair_scores(spark, sf):
+    """pair_likelihoods to four decimals."""
+    return pair_likelihoods(spark, sf).select("region", "read_idx", F.round("log10_likelihood", 4).alias("score"))
+
+
 @query(f"WITH x AS (SELECT {D.bases_sql('text')} AS seq FROM documents) SELECT count(*) AS n_reads, CAST(sum(length(seq)) AS BIGINT) AS n_bases, CAST(max(length(seq)) AS INT) AS longest FROM x")
 def read_statistics(spark, sf):
     return graph.read_statistics(table(spark, sf, "documents").select(D.bases("text").alias("seq")))
