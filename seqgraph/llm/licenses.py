@@ -7,7 +7,10 @@ has these words; a posting at position i of a word that the template has at p
 proposes that the template starts at i - p. The proposals of both words are
 intersected, so that only places remain where the rare words stand at the right
 distance, and there the key phrase is verified word by word. Around it, the
-share of template words that stand at their place is the score.
+share of template words that stand at their place is the score. In a key phrase
+that is part of a sentence, and not a licence's name, a few words (SLACK) may stand
+between its own: a posting proposes a start for each number of them, and words
+count that far from their place.
 
 Scale: one pass counts documents for the templates' words (a few hundred
 counts, whatever the corpus), one pass scans; neither shuffles texts. Only
@@ -34,6 +37,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LEAST = 0.5
 #: Indexed words of each key phrase.
 ANCHORS = 2
+#: Words that may stand between those of a key phrase that is a sentence's; in a licence's name one word makes another licence.
+SLACK = 2
 
 
 @dataclass(frozen=True)
@@ -42,6 +47,7 @@ class Template:
     text: str
     key: str
     base: bool = False
+    sentence: bool = False
 
     @property
     def words(self) -> list[str]:
@@ -51,6 +57,11 @@ class Template:
     def key_words(self) -> list[str]:
         return self.key.split()
 
+    @property
+    def slack(self) -> int:
+        """How many words may stand between those of the key phrase."""
+        return SLACK if self.sentence else 0
+
     @property
     def key_at(self) -> int:
         k = self.key_words
@@ -61,29 +72,36 @@ class Template:
 BASE = [Template(label, phrase, phrase, True) for phrase, label in (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))]
 
 TEMPLATES = BASE + [
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "to any person obtaining a copy of this software"),
-    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "to any person obtaining a copy of this software", sentence=True),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included in all copies", sentence=True),
     Template("apache-2", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    Template("apache-2", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "distributed under the license is distributed on an as is basis"),
+    Template("apache-2", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "distributed under the license is distributed on an as is basis", sentence=True),
     Template("gpl", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license as published by the free software foundation"),
     Template("agpl", "under the terms of the gnu affero general public license", "gnu affero general public license"),
     Template("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
     Template("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
     Template("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    Template("bsd", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
-    Template("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "altered source versions must be plainly marked as such"),
-    Template("bsl-1", "to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "to any person or organization obtaining a copy of the software"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms", sentence=True),
+    Template("bsd", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software", sentence=True),
+    Template("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software", "altered source versions must be plainly marked as such", sentence=True),
+    Template("bsl-1", "to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "to any person or organization obtaining a copy of the software", sentence=True),
+    Template("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain", sentence=True),
     Template("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
     Template("artistic-2", "under the terms of the artistic license 2 0", "artistic license 2 0"),
     Template("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "copy modify and or distribute this software"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "copy modify and or distribute this software", sentence=True),
     Template("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc 4 0"),
     Template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa 4 0"),
     Template("cc-by", "licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0 international license"),
     Template("cc-by-sa", "licensed under a creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike 4 0 international license"),
     Template("cc0", "dedicated to the public domain under cc0 1 0 universal", "cc0 1 0"),
+    Template("gpl-3", "licensed under the gnu gpl v3", "gnu gpl v3"),
+    Template("gpl-2", "licensed under the gnu gpl v2", "gnu gpl v2"),
+    Template("mit", "spdx license identifier mit", "spdx license identifier mit"),
+    Template("apache-2", "spdx license identifier apache 2 0", "spdx license identifier apache 2 0"),
+    Template("bsd", "spdx license identifier bsd", "spdx license identifier bsd"),
+    Template("gpl-3", "spdx license identifier gpl 3 0", "spdx license identifier gpl 3 0"),
+    Template("gpl-2", "spdx license identifier gpl 2 0", "spdx license identifier gpl 2 0"),
     Template("all-rights-reserved", "copyright all rights reserved", "all rights reserved"),
 ]
 
@@ -115,15 +133,21 @@ def index(idf: dict[str, float], templates: list[Template] = TEMPLATES) -> list[
 
 
 def _sum_matched(own: Column, t: Template, start: Column) -> Column:
-    """Share of the template's words at their places."""
+    """Share of the template's words at their places, or as far from them as words may stand between."""
     expected = F.array(*map(F.lit, t.words))
-    hit = lambda w, j: F.coalesce(F.get(own, start + j) == w, F.lit(False))
+    if t.slack:
+        first = lambda j: F.greatest(start + j - t.slack, F.lit(0))
+        near = lambda j: F.slice(own, first(j) + 1, F.greatest(start + j + t.slack + 1 - first(j), F.lit(0)))
+        hit = lambda w, j: F.array_contains(near(j), w)
+    else:
+        hit = lambda w, j: F.coalesce(F.get(own, start + j) == w, F.lit(False))
     return F.size(F.filter(expected, hit)) / F.lit(float(len(t.words)))
 
 
-def _starts(hits: Column, word: str, position: int) -> Column:
-    """Where the template would start for each place of its word at that position."""
-    return F.transform(F.filter(hits, lambda x: x["w"] == word), lambda x: x["i"] - position)
+def _starts(hits: Column, word: str, position: int, slack: int) -> Column:
+    """Where the template would start for each place of its word at that position, with up to slack words before it."""
+    exact = F.transform(F.filter(hits, lambda x: x["w"] == word), lambda x: x["i"] - position)
+    return F.array_distinct(F.flatten(F.transform(exact, lambda s: F.sequence(s - slack, s)))) if slack else exact
 
 
 def _match(t: Template, places: Column) -> Column:
@@ -133,9 +157,16 @@ def _match(t: Template, places: Column) -> Column:
 
 def _places(t: Template, anchors: list[tuple[str, int]], hits: Column, own: Column) -> Column:
     """Starts (may be below 0) and scores of the template's verified places."""
-    proposals = F.array_intersect(*(_starts(hits, w, p) for w, p in anchors)) if len(anchors) > 1 else _starts(hits, *anchors[0])
-    key, at = F.array(*map(F.lit, t.key_words)), t.key_at
-    verified = F.filter(proposals, lambda s: (s + at >= 0) & (F.slice(own, F.greatest(s + at, F.lit(0)) + 1, len(t.key_words)) == key))
+    proposals = F.array_intersect(*(_starts(hits, w, p, t.slack) for w, p in anchors)) if len(anchors) > 1 else _starts(hits, *anchors[0], t.slack)
+    key, at, n = F.array(*map(F.lit, t.key_words)), t.key_at, len(t.key_words)
+    there = lambda s: F.slice(own, F.greatest(s + at, F.lit(0)) + 1, n + t.slack)
+    if t.slack:
+        # The first word at the start, the others in order behind it, each taken where it comes first.
+        in_order = lambda s: F.aggregate(there(s), F.lit(0), lambda done, w: done + F.coalesce(F.get(key, done) == w, F.lit(False)).cast("int"))
+        holds = lambda s: (F.get(own, s + at) == t.key_words[0]) & (in_order(s) == n)
+    else:
+        holds = lambda s: there(s) == key
+    verified = F.filter(proposals, lambda s: (s + at >= 0) & holds(s))
     return F.transform(verified, lambda s: F.struct((s + at).alias("at"), _sum_matched(own, t, s).alias("score")))
 
 
@@ -169,16 +200,17 @@ def oracle() -> str:
     """The same in DuckDB SQL, by trying every start."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    rows = ",\n".join(f"('{t.label}', {str(t.base).lower()}, {quoted(t.words)}, {quoted(t.key_words)}, {t.key_at})" for t in TEMPLATES)
+    rows = ",\n".join(f"('{t.label}', {str(t.base).lower()}, {quoted(t.words)}, {quoted(t.key_words)}, {t.key_at}, {t.slack})" for t in TEMPLATES)
     return f"""
-        WITH t(label, base, tw, key, key_at) AS (VALUES {rows}),
+        WITH t(label, base, tw, key, key_at, slack) AS (VALUES {rows}),
         w AS (SELECT row_number() OVER () AS r, doc_id,
                      regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{WORD}') AS words FROM documents),
-        k AS (SELECT r, label, base, tw, key_at, words,
-                     unnest(list_filter(range(len(words)), lambda i: words[i + 1 : i + len(key)] = key)) AS word
+        k AS (SELECT r, label, base, tw, key_at, slack, words,
+                     unnest(list_filter(range(len(words)), lambda i: words[i + 1] = key[1] AND len(key) =
+                         list_reduce(range(i, least(i + len(key) + slack, len(words))), lambda n, x: CASE WHEN words[x + 1] = key[n + 1] THEN n + 1 ELSE n END, 0))) AS word
               FROM w, t WHERE list_has_all(words, key)),
         m AS (SELECT r, label, base, word,
-                     len(list_filter(range(len(tw)), lambda j: word - key_at + j >= 0 AND words[word - key_at + j + 1] = tw[j + 1])) / len(tw)::DOUBLE AS score
+                     len(list_filter(range(len(tw)), lambda j: len(list_filter(range(greatest(word - key_at + j - slack, 0), word - key_at + j + slack + 1), lambda x: words[x + 1] = tw[j + 1])) > 0)) / len(tw)::DOUBLE AS score
               FROM k),
         g AS (SELECT r, count(*) FILTER (base) AS n_base, min(word) FILTER (base) AS first_word, max(word) FILTER (base) AS last_word,
                      string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,

@@ -204,6 +204,41 @@ def test_license_passages_tell_licences_apart(spark):
     assert [found[i].labels for i in range(len(rows))] == list(texts) and all(r.n_base == 0 for r in found.values())
 
 
+def test_licenses_with_inserted_words(spark):
+    grant = "Permission is hereby granted, free of charge, to any person {} a copy of this {}software and associated documentation files"
+    forms = "Redistribution and use in source and {}binary forms, with or without modification, are permitted"
+    cases = [
+        (grant.format("who is obtaining", ""), "mit"), (grant.format("obtaining", "very "), "mit"), (grant.format("who is now obtaining", ""), ""), (grant.format("who obtaining is", ""), "mit"),
+        (grant.format("who wants", ""), ""), (forms.format("in "), "bsd"), ("a " * 40 + forms.format("in any "), "bsd"), (forms.format("in any other "), ""), (forms.format("in ")[14:], ""),
+        ("This is under the GNU GPL v3.", "gpl-3"), ("SPDX-License-Identifier: MIT", "mit"), ("# SPDX-License-Identifier: Apache-2.0", "apache-2"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2"), ("under the very MIT license", ""),
+    ]
+    rows = docs(spark, [(i, t, "", "") for i, (t, _) in enumerate(cases)])
+    found = {r.doc_id: r for r in licenses.scan(rows).collect()}
+    assert [found[i].labels for i in range(len(cases))] == [label for _, label in cases]
+    # A word pushed out of its place still counts.
+    assert found[0].score == found[5].score == 1.0 and found[0].n_base == 0
+
+
+def test_licenses_with_inserted_words_like_sql(spark, tmp_path):
+    passages = [t.key for t in licenses.TEMPLATES] + [t.text for t in licenses.TEMPLATES]
+    rng, rows = random.Random(12), []
+    for i in range(300):
+        words = [w for _ in range(rng.randint(1, 3)) for w in (*["filler"] * rng.randint(0, 3), *rng.choice(passages).split())]
+        for _ in range(rng.randint(0, 4)):
+            words.insert(rng.randrange(len(words)), rng.choice(["is", "the", "of", "and", "x"]))
+        if rng.random() < 0.3:
+            words.pop(rng.randrange(len(words)))
+        rows.append((i, " ".join(words), "", ""))
+    docs(spark, rows).write.parquet(f"file://{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    expected = c.sql(licenses.oracle()).df()
+    columns = list(expected.columns)
+    found = licenses.scan(spark.read.parquet(f"file://{tmp_path}/documents.parquet")).select(*columns).toPandas()
+    assert oracle_rows(found, columns) == oracle_rows(expected, columns)
+    assert (found["labels"] != "").mean() > 0.5
+
+
 def test_licenses(spark):
     found = {r.doc_id: r for r in licenses.scan(docs(spark)).collect() if r.doc_id is not None}
     seven = found[7]
