@@ -25,8 +25,10 @@ def fastq_text(text: str, doc_id: str, comment: str) -> Column:
     seq, number = bases(text), F.col(doc_id)
     half = F.ceil(F.length(seq) / 2).cast("int")
     head, tail = F.substr(seq, F.lit(1), half), F.substr(seq, half + 1)
-    quality = F.concat(F.repeat(F.lit("I"), half), F.lit("\r\n"), F.overlay(F.repeat(F.lit("+"), F.length(tail)), F.substr(F.lit("@"), F.lit(1), F.least(F.length(tail), F.lit(1))), F.lit(1)))
-    quality = F.concat(F.lit("+\r\n"), quality, F.when(number % 10 == 0, "!").otherwise(""), F.lit("\r\n"))
+    # One too many for every tenth record: on the last line that has a quality, else the lines before are long enough.
+    odd = lambda own: F.when((number % 10 == 0) & own, "!").otherwise("")
+    quality = F.concat(F.repeat(F.lit("I"), half), odd(tail == ""), F.lit("\r\n"), F.overlay(F.repeat(F.lit("+"), F.length(tail)), F.substr(F.lit("@"), F.lit(1), F.least(F.length(tail), F.lit(1))), F.lit(1)))
+    quality = F.concat(F.lit("+\r\n"), quality, odd(tail != ""), F.lit("\r\n"))
     has_quality = lambda n: (n % 10 == 0) | (n % 4 != 3)
     # A line that is no record would be sequence behind one without quality.
     before = F.when(number % 7 == 1, "\r\n").when((number % 7 == 2) & has_quality(number - 1), "no record\n\n").otherwise("")

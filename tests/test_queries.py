@@ -1,10 +1,13 @@
 """Every registered query of the graph library against its SQL."""
 
+import os
+
 import pytest
 
 from seqgraph.plans.queries import ORACLE_SQL, QUERIES
 
-from .oracle import same
+from .conftest import SF
+from .oracle import TABLES, same
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -31,3 +34,14 @@ def test_reachable_subgraph_has_arcs_at_any_depth(spark, monkeypatch):
     chain = [(i, 2 * i, 2 * i + 2) for i in range(6)] + [(6, 12, 0), (7, 20, 22)]
     monkeypatch.setattr(derived, "arcs", lambda spark, sf: spark.createDataFrame(chain, "link_id long, v long, w long"))
     assert sorted(r.link_id for r in QUERIES["reachable_subgraph"](spark, None).collect()) == [0, 1, 2, 3, 4, 5, 6]
+
+
+@pytest.mark.parametrize("name", ["fastq_reads"])
+def test_short_texts_as_records(spark, tmp_path, name):
+    """Texts of no base up to four, by all forms of records: a quality of the wrong length is wrong in each."""
+    texts = [(i, "?" + "acgt"[: i // 420], "en", f"src{i % 3}", 0) for i in range(420 * 5)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for other in TABLES:
+        if other != "documents":
+            os.symlink(f"{SF}/{other}.parquet", f"{tmp_path}/{other}.parquet")
+    assert same(spark, QUERIES[name], ORACLE_SQL[name], str(tmp_path)) == len(texts)
