@@ -36,7 +36,7 @@ def test_reachable_subgraph_has_arcs_at_any_depth(spark, monkeypatch):
     assert sorted(r.link_id for r in QUERIES["reachable_subgraph"](spark, None).collect()) == [0, 1, 2, 3, 4, 5, 6]
 
 
-@pytest.mark.parametrize("name", ["fastq_reads"])
+@pytest.mark.parametrize("name", ["fastq_reads", "fastx_files"])
 def test_short_texts_as_records(spark, tmp_path, name):
     """Texts of no base up to four, by all forms of records: a quality of the wrong length is wrong in each."""
     texts = [(i, "?" + "acgt"[: i // 420], "en", f"src{i % 3}", 0) for i in range(420 * 5)]
