@@ -8,16 +8,17 @@ scores of a prefix are computed once and reused for all words below it.
 
 The vocabulary file holds merge ranks, not probabilities. Those are estimated: from
 scores of -log(r + 2) for a piece of rank r (Zipf's law), ROUNDS of expectation and
-maximisation. A round counts how often each piece is expected in the words of a
-sample, over all segmentations (forward and backward sums), and takes the logs of
+maximisation. A round counts how often each piece is expected in the words of all
+texts, over all segmentations (forward and backward sums), and takes the logs of
 the shares, each count raised by SMOOTH, as scores. A byte costs more than the
 rarest piece. Decoding is exact: a literal word mark in the text is spelled in bytes,
 the mark itself is always a space.
 
 Scale: encoding is one narrow pass without a shuffle; a worker remembers words up to
-a bound. The sample is bounded: about SAMPLE texts by hash of id and text, of which
-texts beyond LONGEST characters and words beyond WIDEST are passed over. Counts are
-summed by Spark; as many numbers as there are pieces reach the driver.
+a bound. Before it, another pass counts the words of all texts whole: tasks hand on
+their counts whenever they hold COUNTED words, and Spark sums them, so a round works on
+distinct words however often they come. As many numbers as there are pieces reach the
+driver.
 
 Edge cases: null or empty text has no ids; characters without a piece go as
 bytes; lone surrogates are replaced by a question mark as Spark's strings hold
@@ -45,9 +46,11 @@ from .common import materialise, slices
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 BYTE_COST = 12.0
-#: The sample that scores are estimated from, and its longest texts and words.
-SAMPLE, LONGEST, WIDEST = 1_000, 20_000, 60
 ROUNDS, SMOOTH = 3, 0.1
+#: Words that a task counts before it hands on their counts.
+COUNTED = 200_000
+#: Below this a word's probability is counted in logs: longer words, or such as are spelled in bytes.
+TINY = 1e-200
 REMEMBERED = 300_000
 #: Texts whose words are sorted together.
 TOGETHER = 500
@@ -91,23 +94,41 @@ class Codec:
         n, edges = len(word), []
         front, back = [1.0] + [0.0] * n, [0.0] * n + [1.0]
         for s in range(n):
-            edges.append((s, s + 1, -1, math.exp(-self.byte_cost * len(word[s].encode()))))
+            edges.append((s, s + 1, -1, -self.byte_cost * len(word[s].encode())))
             for e in range(s + 1, min(n, s + self.longest) + 1):
                 part = word[s:e]
                 if (found := self.pieces.get(part)) is not None:
-                    edges.append((s, e, found[0], math.exp(found[1])))
+                    edges.append((s, e, found[0], found[1]))
                 if part not in self.beginnings:
                     break
-        for s, e, _, p in edges:  # in order of their starts
+        likely = [math.exp(x) for *_, x in edges]
+        for (s, e, _, _), p in zip(edges, likely, strict=True):  # in order of their starts
             front[e] += front[s] * p
-        for s, e, _, p in reversed(edges):
+        if front[n] < TINY:
+            return self._expected_in_logs(n, edges)
+        for (s, e, _, _), p in zip(reversed(edges), reversed(likely), strict=True):
             back[s] += p * back[e]
         out: dict[int, float] = {}
-        for s, e, i, p in edges:
-            if i >= 0 and front[n] > 0:
+        for (s, e, i, _), p in zip(edges, likely, strict=True):
+            if i >= 0:
                 out[i] = out.get(i, 0.0) + front[s] * p * back[e] / front[n]
         return out
 
+    @staticmethod
+    def _expected_in_logs(n: int, edges: list[tuple[int, int, int, float]]) -> dict[int, float]:
+        """The same where probabilities are too small for a number."""
+        front, back = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+        plus = lambda a, b: max(a, b) + math.log1p(math.exp(-abs(a - b))) if a > -math.inf else b
+        for s, e, _, x in edges:
+            front[e] = plus(front[e], front[s] + x)
+        for s, e, _, x in reversed(edges):
+            back[s] = plus(back[s], back[e] + x)
+        out: dict[int, float] = {}
+        for s, e, i, x in edges:
+            if i >= 0:
+                out[i] = out.get(i, 0.0) + math.exp(front[s] + x + back[e] - front[n])
+        return out
+
     def mark(self, text: str) -> list[str]:
         """Marked words; a literal mark, and what stands for it, are put aside by a private character each."""
         safe = text.replace(_ASIDE, _ASIDE + "0").replace(MARK, _ASIDE + "1").replace(" ", MARK)
@@ -204,27 +225,32 @@ def codec(model: str = MODEL, name: str = "", scores: np.ndarray | None = None)
     return _CODECS[key]
 
 
-def sample(docs: DataFrame) -> DataFrame:
-    """text of about SAMPLE rows, by hash."""
-    n = docs.count()
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
-    return docs.where((F.length("text") <= LONGEST) & (place < int((1 << 30) * min(1.0, SAMPLE / max(n, 1))))).select("text")
-
-
-def fit(docs: DataFrame, model: str = MODEL) -> np.ndarray | None:
-    """Scores by id, estimated from a sample of documents; None where it has no word."""
-    start = codec(model)
+def counted(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """word, n: how often each marked word comes in all texts. Of a word with characters put aside its other parts count,
+    which are encoded each by itself."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, words = codec(model), Counter()
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
         for batch in slices(batches, TOGETHER):
             for text in batch.column(0).to_pylist():
-                words.update(w for w in own.mark(text) if len(w) <= WIDEST and _ASIDE not in w)
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
+                marked = own.mark(text)
+                if _ASIDE in text or MARK in text:
+                    marked = [p for w in marked for p in re.split(f"{_ASIDE}[01]", w) if p]
+                words.update(marked)
+            if len(words) >= COUNTED:
+                yield told()
+                words.clear()
+        yield told()
+
+    return docs.where("text is not null").select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
 
-    words = sample(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def fit(docs: DataFrame, model: str = MODEL) -> np.ndarray | None:
+    """Scores by id, estimated from all words of all documents; None where there is none."""
+    start = codec(model)
     tasks = docs.sparkSession.sparkContext.defaultParallelism
-    words = materialise(words, "pieces-words").repartition(tasks, "word").sortWithinPartitions("word")  # sums in one order
+    words = materialise(counted(docs, model), "pieces-words").repartition(2 * tasks, "word").sortWithinPartitions("word")  # sums in one order
     scores = np.zeros(max(i for i, _ in start.pieces.values()) + 1)
     for i, s in start.pieces.values():
         scores[i] = s

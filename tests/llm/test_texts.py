@@ -2,7 +2,9 @@
 
 import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -426,3 +428,22 @@ def test_estimated_scores(spark, sf):
     assert after.exact and after.n < before.n
     texts = spark.createDataFrame(EDGES, COLUMNS)
     assert pieces.fit(docs(spark, [])) is None and pieces.encode(texts, scores=pieces.fit(texts)).where("not exact").count() == 0
+
+
+def test_scores_are_of_all_words(spark, monkeypatch):
+    """Long texts, long words and words with characters put aside count too, and so does each of many texts."""
+    rows = [(i, f"w{i % 7} common") for i in range(3_000)] + [(3_000, "tail " * 5_000), (3_001, "x" * 70), (3_002, "ab▁cd▁"), (3_003, None)]
+    monkeypatch.setattr(pieces, "COUNTED", 5)
+    found = {r.word: r.n for r in pieces.counted(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    own, plain = pieces.Codec.load(), Counter()
+    for _, text in rows:
+        plain.update(p for w in own.mark(text or "") for p in re.split(f"{pieces._ASIDE}[01]", w) if p)
+    assert found == plain and found["▁common"] == 3_000 and found["▁tail"] == 5_000 and found["▁" + "x" * 70] == 1
+    assert pieces.fit(spark.createDataFrame([(1, "tail " * 5_000 + "x" * 70)], "doc_id long, text string")) is not None
+    # In logs as in plain numbers.
+    for word in ("▁internationalisation", "▁aéab日"):
+        before = own.expected(word)
+        with monkeypatch.context() as m:
+            m.setattr(pieces, "TINY", 2.0)
+            assert own.expected(word) == pytest.approx(before)
+    assert sum(own.expected("é日" * 500 + "common").values()) > 0.5
