@@ -16,34 +16,37 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import discard, materialise
 from .assembly import cycle_heads
-from .reach import doubled
+from .reach import _compact, _union, doubled
 
 
 def _coloured(arcs: DataFrame, vertices: DataFrame) -> DataFrame:
     """v, colour: the largest vertex that reaches v."""
-    best = materialise(vertices.select("v", F.col("v").alias("colour")), "scc-colours")
-    changed = best
+    changed = materialise(vertices.select("v", F.col("v").alias("colour")), "scc-colours")
+    parts = [changed]  # the largest of a vertex's rows is its colour so far
     while True:
+        best = _union(parts).groupBy("v").agg(F.max("colour").alias("colour"))
         offers = changed.join(arcs, "v").groupBy(F.col("w").alias("v")).agg(F.max("colour").alias("offer"))
         raised = materialise(offers.join(best, "v").where("offer > colour").select("v", F.col("offer").alias("colour")), "scc-raised")
         if raised.isEmpty():
             return best
-        best = materialise(best.unionByName(raised).groupBy("v").agg(F.max("colour").alias("colour")), "scc-colours", best)
         changed = raised
+        parts = _compact([*parts, changed])
 
 
 def _back(arcs: DataFrame, colours: DataFrame) -> DataFrame:
     """v, colour of those from which the vertex of their colour is reached within it."""
     a, b = colours.select("v", F.col("colour").alias("__a")), colours.select(F.col("v").alias("w"), F.col("colour").alias("__b"))
     own = materialise(arcs.join(a, "v").join(b, "w").where("__a = __b").select("v", "w"), "scc-inside")
-    found = frontier = materialise(colours.where("v = colour"), "scc-back")
+    frontier = materialise(colours.where("v = colour"), "scc-back")
+    parts = [frontier]
     while True:
+        found = _union(parts)
         into = frontier.select(F.col("v").alias("w"), "colour").join(own, "w").select("v", "colour").distinct()
         frontier = materialise(into.join(found.select("v"), "v", "left_anti"), "scc-frontier")
         if frontier.isEmpty():
             discard(own)
             return found
-        found = materialise(found.unionByName(frontier), "scc-back", found)
+        parts = _compact([*parts, frontier])
 
 
 def _core(arcs: DataFrame, vertices: DataFrame) -> DataFrame:

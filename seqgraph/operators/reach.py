@@ -69,18 +69,23 @@ def doubled(links: DataFrame) -> DataFrame:
     """links: v, p (its predecessor), n (the length from there), a row for each v. For each v the first p on its way back
     that has no row itself (v, p, n with the length from there), written; vertices on or behind a cycle are left out.
 
-    Each round looks from where a pointer points as far again, so rounds are logarithmic in the longest way.
+    Each round looks from where a pointer points as far again, so rounds are logarithmic in the longest way. A round writes
+    what it moved. While a way is left that ends, a round ends one; when none ended, all that go on lie on or behind a cycle.
     """
     ends = links.select(F.col("v").alias("p"), F.lit(True).alias("more"))
-    ways = materialise(links.join(ends, "p", "left").select("v", "p", "n", F.coalesce("more", F.lit(False)).alias("more")), "reach-ways")
-    for _ in range(links.count().bit_length() + 1):
-        if ways.where("more").isEmpty():
-            break
-        ahead = ways.select(F.col("v").alias("p"), F.col("p").alias("__p"), F.col("n").alias("__n"), F.col("more").alias("__more"))
+    last = materialise(links.join(ends, "p", "left").select("v", "p", "n", F.coalesce("more", F.lit(False)).alias("more")), "reach-ways")
+    parts = [last]
+    while not last.where("more").isEmpty():
+        going = last.where("more")
+        known = _union(parts).where("not more").unionByName(going)
+        ahead = known.select(F.col("v").alias("p"), F.col("p").alias("__p"), F.col("n").alias("__n"), F.col("more").alias("__more"))
         # Only ways that go on are joined: of each vertex that they point to there is one row.
-        further = ways.where("more").drop("more").join(ahead, "p").select("v", F.col("__p").alias("p"), (F.col("n") + F.col("__n")).alias("n"), F.col("__more").alias("more"))
-        ways = materialise(ways.where("not more").unionByName(further), "reach-ways", ways)
-    return ways.where("not more").select("v", "p", "n")
+        further = going.drop("more").join(ahead, "p").select("v", F.col("__p").alias("p"), (F.col("n") + F.col("__n")).alias("n"), F.col("__more").alias("more"))
+        last = materialise(further, "reach-ways")
+        parts.append(last)
+        if last.where("not more").isEmpty():
+            break
+    return _union(parts).where("not more").select("v", "p", "n")
 
 
 def contract(arcs: DataFrame, start: DataFrame) -> tuple[DataFrame, list[DataFrame]]:

@@ -165,3 +165,25 @@ def test_the_query_of_tips(spark, sf):
     arcs = [tuple(r) for r in derived.order_arcs(spark, sf).collect()]
     sizes = {2 * r.seg_id + k: r.len for r in derived.order_segments(spark, sf).collect() for k in (0, 1)}
     assert {r.v for r in QUERIES["drop_tips"](spark, sf).collect()} == plain_tips(sizes, arcs, 3, 60)
+
+
+def test_rounds_follow_ways_and_not_the_table(spark, monkeypatch):
+    """Many short cycles beside many short ways: tables written do not grow with their number."""
+    from seqgraph.operators import reach
+
+    written = []
+    for module in (reach, assembly):
+        plain = module.materialise
+        monkeypatch.setattr(module, "materialise", lambda df, name, *a, plain=plain, **k: (written.append(name), plain(df, name, *a, **k))[1])
+    counts = []
+    for n in (4, 600):
+        cycles = [(10 * i + k, 10 * i + (k + 1) % 5) for i in range(n) for k in range(5)]
+        ways = [(10 * i + k, 10 * i + k - 1) for i in range(n) for k in range(6, 10)] + [(10**6 + i, i % 5) for i in range(n)]
+        links = spark.createDataFrame([(v, p, 1) for v, p in cycles + ways], "v long, p long, n long")
+        written.clear()
+        found = {(r.v, r.p, r.n) for r in reach.doubled(links).collect()}
+        assert found == {(10 * i + k, 10 * i + 5, k - 5) for i in range(n) for k in range(6, 10)}
+        heads = {r.v: r["head"] for r in assembly.cycle_heads(spark.createDataFrame(cycles, "v long, p long")).collect()}
+        assert heads == {v: v // 10 * 10 for v, _ in cycles}
+        counts.append(len(written))
+    assert counts[0] == counts[1] <= 10
