@@ -80,14 +80,17 @@ def overlap(text: Column | str) -> Column:
     return F.struct(ov.alias("ov"), ow.alias("ow"))
 
 
+#: A well-formed tag.
+TAG = r"^[A-Za-z][A-Za-z0-9]:([AZ]:.*|i:[-+]?\d+|f:[-+]?[0-9.]+([eE][-+]?\d+)?|B:[cCsSiIf](,[-+0-9.eE]+)*)$"
+
+
 def tags(fields: Column) -> Column:
     """Array of XX:T:value to a map from tag to struct type, value; malformed ones and unknown B kinds go."""
-    good = F.filter(fields, lambda x: x.rlike(r"^[A-Za-z][A-Za-z0-9]:([AZ]:.*|i:[-+]?\d+|f:[-+]?[0-9.]+([eE][-+]?\d+)?|B:[cCsSiIf](,[-+0-9.eE]+)*)$"))
+    good = F.filter(fields, lambda x: x.rlike(TAG))
     entry = F.transform(good, lambda x: F.struct(F.substr(x, F.lit(1), F.lit(2)), F.struct(F.substr(x, F.lit(4), F.lit(1)).alias("type"), F.substr(x, F.lit(6)).alias("value"))))
-    # Of a tag that comes twice the first counts.
-    keys = F.array_distinct(F.transform(entry, lambda e: e["col1"]))
-    first = F.transform(keys, lambda k: F.struct(k, F.get(F.filter(entry, lambda e: e["col1"] == k), F.lit(0))["col2"]))
-    return F.map_from_entries(first)
+    # Of a tag that comes twice the first counts. Fields are bound in an array of one, so that they are parsed once.
+    first = lambda own: F.filter(own, lambda e, i: F.array_position(F.transform(own, lambda o: o["col1"]), e["col1"]) == i + 1)
+    return F.map_from_entries(F.get(F.transform(F.array(entry), first), F.lit(0)))
 
 
 def tags_text(tag_map: Column | str) -> Column:
@@ -112,6 +115,12 @@ def tag_int(tag_map: Column | str, name: str) -> Column:
     return F.when(found["type"] == "i", found["value"].try_cast("int"))
 
 
+def field_int(fields: Column, name: str) -> Column:
+    """tag_int of tags(fields), without the map."""
+    own = F.get(F.filter(fields, lambda x: x.startswith(f"{name}:") & x.rlike(TAG)), F.lit(0))
+    return F.when(F.substr(own, F.lit(4), F.lit(1)) == "i", F.substr(own, F.lit(6)).try_cast("int"))
+
+
 def tag_string(tag_map: Column | str, name: str) -> Column:
     found = F.try_element_at(_(tag_map), F.lit(name))
     return F.when(found["type"] == "Z", found["value"])

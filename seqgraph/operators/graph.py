@@ -46,9 +46,10 @@ def read_gfa(spark, path: str) -> SequenceGraph:
 
 def implied_lengths(links: DataFrame) -> DataFrame:
     """name, implied: the longest length that L1 and L2 tags imply (overlap and what lies beyond it)."""
-    one = links.select(F.col("v_name").alias("name"), (F.col("ov") + F.col("l1")).alias("n"))
-    two = links.select(F.col("w_name").alias("name"), (F.col("ow") + F.col("l2")).alias("n"))
-    return one.unionByName(two).where("n is not null").groupBy("name").agg(F.max("n").alias("implied"))
+    side = lambda name, over, rest: F.struct(F.col(name).alias("name"), (F.col(over) + F.col(rest)).alias("n"))
+    # Each line is parsed once. What implies nothing goes behind the maximum: before, its test would parse lines again.
+    both = links.select(F.inline(F.array(side("v_name", "ov", "l1"), side("w_name", "ow", "l2"))))
+    return both.groupBy("name").agg(F.max("n").alias("implied")).where("implied is not null")
 
 
 def number_links(links: DataFrame, ids: DataFrame) -> DataFrame:

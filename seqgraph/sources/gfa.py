@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbering import numbered, scan
-from ..functions.sequences import overlap, tag_int, tag_string, tags
+from ..functions.sequences import field_int, overlap, tag_int, tag_string, tags
 from . import fastx
 
 
@@ -18,7 +18,9 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 def _records(rows: DataFrame, kind: str) -> DataFrame:
     """Lines of that record kind, split at tabs; others (headers, paths, short lines) are passed over."""
-    return rows.where(F.length("value") >= 3).where(F.substring("value", 1, 2) == f"{kind}\t").select("line_no", F.split("value", "\t", -1).alias("f"))
+    own = rows.where(F.col("value").startswith(f"{kind}\t") & (F.length("value") >= 3))
+    # Out of an array of one: filters on the fields stay behind it, so a line is split once and not again for each.
+    return own.select("line_no", F.explode(F.array(F.split("value", "\t", -1))).alias("f"))
 
 
 def segment_lines(rows: DataFrame) -> DataFrame:
@@ -41,12 +43,12 @@ def link_lines(rows: DataFrame) -> DataFrame:
     f = F.col("f")
     found = _records(rows, "L").where((F.size("f") >= 5) & F.get(f, F.lit(2)).isin("+", "-") & F.get(f, F.lit(4)).isin("+", "-"))
     strand = lambda c: F.when(c == "-", 1).otherwise(0)
-    over = overlap(F.get(f, F.lit(5)))
+    over, rest = overlap(F.get(f, F.lit(5))), F.slice(f, 7, F.greatest(F.size(f) - 6, F.lit(0)))
     row = found.select(
         "line_no", F.get(f, F.lit(1)).alias("v_name"), strand(F.get(f, F.lit(2))).alias("v_ori"), F.get(f, F.lit(3)).alias("w_name"), strand(F.get(f, F.lit(4))).alias("w_ori"),
-        over.alias("o"), tags(F.slice(f, 7, F.greatest(F.size(f) - 6, F.lit(0)))).alias("tags"),
+        over.alias("o"), field_int(rest, "SR").alias("rank"), field_int(rest, "L1").alias("l1"), field_int(rest, "L2").alias("l2"), tags(rest).alias("tags"),
     )
-    return row.select("line_no", "v_name", "v_ori", "w_name", "w_ori", "o.ov", "o.ow", tag_int("tags", "SR").alias("rank"), tag_int("tags", "L1").alias("l1"), tag_int("tags", "L2").alias("l2"), "tags")
+    return row.select("line_no", "v_name", "v_ori", "w_name", "w_ori", "o.ov", "o.ow", "rank", "l1", "l2", "tags")
 
 
 def first_mentions(segments: DataFrame, links: DataFrame) -> DataFrame:

@@ -40,6 +40,18 @@ def test_reads_of_a_hot_region_are_dealt(spark):
         assert found.columns == ["region", "read_idx", "hap_idx"] and sorted(tuple(r) for r in found.collect()) == plain
 
 
+def test_links_imply_lengths_with_each_line_parsed_once(spark):
+    lines = ["L\ta\t+\tb\t-\t2:3\tL1:i:4\tL2:i:5\tL1:i:9", "L\tb\t+\tc\t-\t1:1\tL1:Z:7\tL2:i:x\tL2:i:8\tL1:i:6", "L\td\t+\te\t+\t*", "L\td\t?\ta\t+\t1:1\tL2:i:99", "S\ta\tACGT\tL1:i:99", "L\t"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")
+    links = gfa.link_lines(rows)
+    # Of a tag that comes twice the first well-formed one counts, and only if it is a number.
+    assert sorted(tuple(r) for r in links.select("v_name", "ov", "ow", "l1", "l2").collect()) == [("a", 2, 3, 4, 5), ("b", 1, 1, None, 8), ("d", 0, 0, None, None)]
+    assert {r.v_name: {k: tuple(x) for k, x in r.tags.items()} for r in links.collect()}["b"] == {"L1": ("Z", "7"), "L2": ("i", "8")}
+    found = G.implied_lengths(links)
+    assert {tuple(r) for r in found.collect()} == {("a", 6), ("b", 8), ("c", 9)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
 @pytest.mark.parametrize(("a", "b", "n"), [("", "", 0), ("a", "", 0), ("abc", "abd", 2), ("abc", "abc", 3), ("abc", "abcd", 3), ("xbc", "abc", 0), ("é日x", "é日y", 2), (None, "a", None)])
 def test_common_extension(spark, a, b, n):
     row = spark.createDataFrame([(a, b)], "a string, b string").select(S.common_extension("a", "b"), S.common_extension(F.col("b"), F.col("a"))).first()
