@@ -40,6 +40,19 @@ def test_reads_of_a_hot_region_are_dealt(spark):
         assert found.columns == ["region", "read_idx", "hap_idx"] and sorted(tuple(r) for r in found.collect()) == plain
 
 
+def largest_share(df):
+    """The share of df's rows that its largest task has."""
+    sizes = df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    return max(sizes) / sum(sizes)
+
+
+def test_pairs_of_one_region_are_dealt_evenly(spark):
+    reads = spark.createDataFrame([("x", i) for i in range(400)], "region string, read_idx int")
+    haps = spark.createDataFrame([("x", i) for i in range(300)], "region string, hap_idx int")
+    found = likelihood.pairs(reads, haps, 20)
+    assert found.count() == found.distinct().count() == 120_000 and largest_share(found) < 0.5
+
+
 def test_links_imply_lengths_with_each_line_parsed_once(spark):
     lines = ["L\ta\t+\tb\t-\t2:3\tL1:i:4\tL2:i:5\tL1:i:9", "L\tb\t+\tc\t-\t1:1\tL1:Z:7\tL2:i:x\tL2:i:8\tL1:i:6", "L\td\t+\te\t+\t*", "L\td\t?\ta\t+\t1:1\tL2:i:99", "S\ta\tACGT\tL1:i:99", "L\t"]
     rows = spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")
