@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.blocks import blocks, told
 from ..functions.numbering import numbered, running
 from ..functions.sequences import complement, reverse_complement, segment_of, vertex
 from ..sources import gfa
@@ -184,24 +185,29 @@ def spelled_steps(steps: DataFrame, key: str) -> DataFrame:
     return steps.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["t"]), "").alias("seq"), F.count(F.lit(1)).alias("n"))
 
 
-def in_regions(segments: DataFrame, regions: DataFrame, width: int = 1_000, most: int = 100_000) -> DataFrame:
+def in_regions(segments: DataFrame, regions: DataFrame, width: int = 1_000, most: int = 100_000, together: int = 300) -> DataFrame:
     """region, seg_id, start, end: the part of each region (region, sn, start, end) that a segment (seg_id, sn, so, len)
     covers on its stable sequence. Ends are not included; empty regions and segments meet nothing.
 
-    Both sides are cut into bins of width, and meet in a bin once: in the first that they share. The segments of a bin
-    that holds more than most are dealt over shares, to each of which its regions go. width should be near the length
-    of what is many; a long interval has a row for each of its bins.
+    Segments at one place are one interval with a block of them, up to about together, and regions likewise, so what is
+    compared are intervals. Both sides are cut into bins of width, and meet in a bin once: in the first that they share.
+    The intervals of a bin that holds more than most are dealt over shares, to each of which its regions go. Blocks that
+    met are dealt evenly before they are told apart. width should be near the length of what is many; a long interval
+    has a row for each of its bins.
     """
     bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor((b - 1) / width)))
     a, b = F.col("so").cast("long"), (F.col("so") + F.col("len")).cast("long")
-    held = segments.where("sn is not null and so is not null and len > 0").select("seg_id", "sn", a.alias("__a"), b.alias("__b"), bins(a, b).alias("__bin"))
+    held = segments.where("sn is not null and so is not null and len > 0").select("seg_id", "sn", a.alias("__a"), b.alias("__b"))
+    held = blocks(held, ["sn", "__a", "__b"], "__segments", together).withColumn("__bin", bins(F.col("__a"), F.col("__b")))
     shares = held.groupBy("sn", "__bin").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("__shares")).where("__shares > 1")
-    held = held.join(shares, ["sn", "__bin"], "left").withColumn("__share", F.pmod(F.xxhash64("seg_id"), F.coalesce("__shares", F.lit(1))).cast("int")).drop("__shares")
-    asked = regions.where(F.col("start") < F.col("end")).select("region", "sn", "start", "end", bins(F.col("start"), F.col("end")).alias("__bin"))
+    held = held.join(shares, ["sn", "__bin"], "left").withColumn("__share", F.pmod(F.xxhash64("__a", "__b", "__segments"), F.coalesce("__shares", F.lit(1))).cast("int")).drop("__shares")
+    asked = blocks(regions.where(F.col("start") < F.col("end")).select("region", "sn", "start", "end"), ["sn", "start", "end"], "__regions", together)
+    asked = asked.withColumn("__bin", bins(F.col("start"), F.col("end")))
     asked = asked.join(shares, ["sn", "__bin"], "left").withColumn("__share", F.explode(F.sequence(F.lit(0), F.coalesce("__shares", F.lit(1)) - 1))).drop("__shares")
     met = asked.join(held, ["sn", "__bin", "__share"]).where((F.col("__a") < F.col("end")) & (F.col("start") < F.col("__b")))
     met = met.where(F.col("__bin") == F.greatest(F.floor(F.col("__a") / width), F.floor(F.col("start") / width)))
-    return met.select("region", "seg_id", F.greatest("__a", "start").alias("start"), F.least("__b", "end").alias("end"))
+    met = met.select("__regions", "__segments", F.greatest("__a", "start").alias("start"), F.least("__b", "end").alias("end"))
+    return told(met, "__regions", "__segments").select("region", "seg_id", "start", "end")
 
 
 def read_batches(reads: DataFrame, limit: int) -> DataFrame:

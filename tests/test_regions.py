@@ -53,6 +53,14 @@ def test_pairs_of_one_region_are_dealt_evenly(spark):
     assert found.count() == found.distinct().count() == 120_000 and largest_share(found) < 0.5
 
 
+def test_regions_of_one_place_are_dealt_evenly(spark):
+    own = spark.range(400).select(F.col("id").alias("seg_id"), F.lit("a").alias("sn"), F.lit(3).alias("so"), F.lit(4).alias("len"))
+    asked = spark.range(300).select(F.col("id").alias("region"), F.lit("a").alias("sn"), F.lit(0).cast("long").alias("start"), F.lit(5).cast("long").alias("end"))
+    found = G.in_regions(own, asked, width=20, together=50)
+    assert found.count() == found.distinct().count() == 120_000 and largest_share(found) < 0.5
+    assert found.select("start", "end").distinct().collect() == [(3, 5)]
+
+
 def test_links_imply_lengths_with_each_line_parsed_once(spark):
     lines = ["L\ta\t+\tb\t-\t2:3\tL1:i:4\tL2:i:5\tL1:i:9", "L\tb\t+\tc\t-\t1:1\tL1:Z:7\tL2:i:x\tL2:i:8\tL1:i:6", "L\td\t+\te\t+\t*", "L\td\t?\ta\t+\t1:1\tL2:i:99", "S\ta\tACGT\tL1:i:99", "L\t"]
     rows = spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")
