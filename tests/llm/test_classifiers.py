@@ -288,6 +288,23 @@ def test_bradley_terry_by_definition(spark, sf):
     assert slope / len(pairs) - quality.L2 * w == pytest.approx([0, 0], abs=1e-4)
 
 
+def test_quality_is_fitted_on_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(quality, "PER_CLASS", 3)  # where the fit starts
+    rng = np.random.default_rng(5)
+    texts = [(i, " ".join(rng.choice(["word", "Other", "x!!", "12", "##", "end."], 12, p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.1] if i % 2 else [0.3, 0.2, 0.1, 0.1, 0.2, 0.1]))) for i in range(120)]
+    docs = spark.createDataFrame([*texts, (500, "words " * 200_000)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(500, 1)], "doc_id long, quality int")
+    rows = docs.select("doc_id", F.array(*quality.features(F.col("text"))).alias("x")).collect()
+    x, y = np.array([r.x for r in rows]), np.array([1 if r.doc_id == 500 else r.doc_id % 2 for r in rows])
+    model = quality.fit(docs, marks, F.lit(True))
+    w = np.array(model.weights)
+    diff = (x[y == 1][:, None, :] - x[y == 0][None, :, :]).reshape(-1, len(w))
+    slope = -(diff / (1 + np.exp(diff @ w))[:, None]).mean(0) + quality.L2 * w
+    assert np.abs(slope).max() < 1e-5  # of the loss over all pairs
+    share = (y == 0).mean()
+    assert model.threshold == pytest.approx(np.quantile(x @ w, [share - 0.01, share + 0.01]).mean(), abs=1e-9)
+
+
 def test_contradicting_labels_and_repeated_ids(spark):
     rows = [(1, "fine words here"), (1, "other words here"), (2, "bad words here"), (3, "x" * 1_000_001)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
