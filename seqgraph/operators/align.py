@@ -253,24 +253,28 @@ def small_flat(graph: SequenceGraph, start: int, end: int | None = None) -> Flat
 def score_reads(reads: DataFrame, graph: Flat | None) -> DataFrame:
     """read_idx, score. Works on streams too.
 
-    Scoring a read costs far more than moving it, so reads are dealt out evenly first, wherever they were read.
+    Scoring a read costs far more than moving it, so equal reads are scored once, and the texts are dealt out evenly
+    first, wherever they were read. A stream's reads are scored each.
     """
     if graph is None:
         raise ValueError("the graph is too large to send about; shards.score takes any")
     spark = reads.sparkSession
     shared = spark.sparkContext.broadcast(graph)
-    rows = reads.select(F.col("read_idx").cast("long").alias("read_idx"), "seq")
-    if not reads.isStreaming:
-        rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), "read_idx")
+    rows = reads.select(F.col("read_idx").cast("long").alias("read_idx"), F.coalesce("seq", F.lit("")).alias("seq"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(at, TOGETHER)
-                found = scores(shared.value, [(q or "").encode() for q in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.astype(np.int32))], names=["read_idx", "score"])
-
-    return rows.mapInArrow(run, "read_idx long, score int")
+                found = scores(shared.value, [q.encode() for q in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found.astype(np.int32))], names=[part.schema.names[0], "score"])
+
+    if reads.isStreaming:
+        return rows.mapInArrow(run, "read_idx long, score int")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    texts = rows.select("seq").distinct().repartition(tasks, "seq")
+    scored = texts.select("seq", F.col("seq").alias("text")).mapInArrow(run, "seq string, score int")
+    return rows.join(scored, "seq").select("read_idx", "score")
 
 
 def needed_radius(reads: DataFrame, graph: SequenceGraph, start: int, end: int | None = None) -> int:

@@ -195,3 +195,12 @@ def test_windows_of_a_stream(spark, sf, tmp_path):
     query = scoring.scores_by_window(stream, "ts", "1 hour", "1 day").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("windows").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_equal_reads_are_scored_once(spark):
+    graph = A.Flat(*BUBBLE, 0)
+    reads = spark.createDataFrame([(i, q) for i, q in enumerate([*GOLDEN] * 20 + [None, ""])], "read_idx long, seq string")
+    found = A.score_reads(reads, graph)
+    assert [r.score for r in found.orderBy("read_idx").collect()] == [*GOLDEN.values()] * 20 + [0, 0]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("MapInArrow") :]  # distinct texts go into the kernel
