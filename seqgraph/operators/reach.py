@@ -45,23 +45,31 @@ def _compact(parts: list[DataFrame]) -> list[DataFrame]:
     return [materialise(_union(parts[:-1]).coalesce(8), "reach-parts"), parts[-1]]
 
 
-def _search(arcs: DataFrame, start: DataFrame, most: int, rounds: int | None = None) -> DataFrame | None:
-    """v, dist over arcs (v, w, n), written ones; None if it takes more rounds than given.
+def _search(arcs: DataFrame, start: DataFrame, most: int, rounds: int | None = None) -> tuple[DataFrame | None, DataFrame]:
+    """v, dist over arcs (v, w, n), written ones, None if it takes more rounds than given; and the arcs that count.
 
-    A round writes only what came nearer; the least of a vertex's rows is its distance so far.
+    A round writes only what came nearer; the least of a vertex's rows is its distance so far. Once a round meets no new
+    vertex, and none is known that lies too far, all that can be reached is known: of a search with given rounds, arcs from
+    elsewhere are left out from then on, so what follows doesn't grow with them.
     """
-    changed = materialise(start.select("v", F.lit(0).cast("long").alias("dist")), "reach-best")
-    parts, done = [changed], 0
+    changed = materialise(start.select("v", F.lit(0).cast("long").alias("dist"), F.lit(True).alias("fresh")), "reach-best")
+    parts, done, closed, beyond = [changed], 0, rounds is None, False
     while True:
-        offers = changed.join(arcs, "v").select(F.col("w").alias("v"), (F.col("dist") + F.col("n")).alias("offer")).where(F.col("offer") <= most)
+        offers = changed.where(F.col("dist") <= most).join(arcs, "v").select(F.col("w").alias("v"), (F.col("dist") + F.col("n")).alias("offer"))
         offers = offers.groupBy("v").agg(F.min("offer").alias("offer"))
         best = _union(parts).groupBy("v").agg(F.min("dist").alias("dist"))
-        changed = materialise(offers.join(best, "v", "left").where("dist is null or offer < dist").select("v", F.col("offer").alias("dist")), "reach-changed")
-        if changed.isEmpty():
-            return _union(parts).groupBy("v").agg(F.min("dist").alias("dist"))
+        nearer = offers.join(best, "v", "left").where("dist is null or offer < dist")
+        changed = materialise(nearer.select("v", F.col("offer").alias("dist"), F.col("dist").isNull().alias("fresh")), "reach-changed")
+        told = changed.agg(F.min("dist").alias("least"), F.max("dist").alias("most"), F.max("fresh").alias("fresh")).first()
+        if told["least"] is None or told["least"] > most:
+            return _union(parts).groupBy("v").agg(F.min("dist").alias("dist")).where(F.col("dist") <= most), arcs
         done += 1
+        beyond |= told["most"] > most
+        if not closed and not told["fresh"] and not beyond:
+            closed = True
+            arcs = materialise(arcs.join(_union(parts).select("v").distinct(), "v", "left_semi"), "reach-arcs", arcs)
         if rounds is not None and done >= rounds:
-            return None
+            return None, arcs
         parts = _compact([*parts, changed])
 
 
@@ -117,12 +125,12 @@ def distances(arcs: DataFrame, start: DataFrame, length: str, most: int = 1 << 3
     """v, dist: shortest sum of arc lengths (column length, none below 0) from start (v), up to most."""
     first = materialise(start.select("v").distinct(), "reach-start")
     step = materialise(arcs.where("v <> w").groupBy("v", "w").agg(F.min(F.col(length).cast("long")).alias("n")), "reach-arcs")
-    found = _search(step, first, most, PLAIN)
+    found, step = _search(step, first, most, PLAIN)
     if found is not None:
         discard(step)
         return found
     step, vanished = contract(step, first)
-    found = _search(step, first, most)
+    found, _ = _search(step, first, most)
     for ways in reversed(vanished):
         more = ways.join(found.select(F.col("v").alias("p"), "dist"), "p").select("v", (F.col("dist") + F.col("n")).alias("dist")).where(F.col("dist") <= most)
         found = materialise(found.unionByName(more), "reach-found")

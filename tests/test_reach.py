@@ -99,3 +99,14 @@ def test_a_long_chain_of_bubbles_takes_few_rounds(spark, rounds):
     got = found(spark, arcs, [0])
     assert len(got) == 3 * n + 1 and got[3 * n] == 2 * n and got[3 * n - 1] == 2 * n
     assert len(rounds) <= 60
+
+
+def test_what_nothing_reaches_is_left_out_before_the_graph_is_contracted(spark, monkeypatch):
+    """All twelve vertices are met in the first round and come nearer in twelve; a thousand others never are."""
+    seen, contract = [], reach.contract
+    monkeypatch.setattr(reach, "contract", lambda arcs, start: seen.append(arcs.count()) or contract(arcs, start))
+    rows = [(0, i, 5 if i == 1 else 100) for i in range(1, 13)] + [(i, i + 1, 1) for i in range(1, 12)] + [(i, i + 1, 1) for i in range(1_000, 2_000)]
+    arcs, start = spark.createDataFrame(rows, "v long, w long, n long"), spark.createDataFrame([(0,)], "v long")
+    expected = {0: 0, **{i: 4 + i for i in range(1, 13)}}
+    assert {r.v: r.dist for r in reach.distances(arcs, start, "n").collect()} == expected and seen == [23]
+    assert {r.v: r.dist for r in reach.distances(arcs, start, "n", 9).collect()} == {v: d for v, d in expected.items() if d <= 9}
