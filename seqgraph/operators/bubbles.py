@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import discard, materialise
+from .reach import _compact, _union
 
 #: Vertices of a bubble, entrance included and exit not.
 MOST = 1_000
@@ -22,32 +23,32 @@ MOST = 1_000
 
 def superbubbles(arcs: DataFrame, most: int = MOST) -> DataFrame:
     """entrance, exit, n (vertices between them) of all bubbles by arcs (v, w) whose entrance has two ways on at least."""
-    step = materialise(arcs.select("v", "w").distinct(), "bubble-arcs")
-    into = materialise(step.groupBy("w").agg(F.count(F.lit(1)).alias("needed")), "bubble-degrees")
+    single = arcs.select("v", "w").distinct()
+    # With each arc how many lead where it leads, so that a round joins no other large table.
+    step = materialise(single.join(single.groupBy("w").agg(F.count(F.lit(1)).alias("needed")), "w").select("v", "w", "needed"), "bubble-arcs")
     forks = step.where("v <> w").groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ready = materialise(forks.select(F.col("v").alias("s"), "v"), "bubble-front")
-    waiting = step.limit(0).select(F.col("v").alias("s"), F.col("w").alias("v"), F.lit(0).cast("long").alias("met"))
+    waiting = step.limit(0).select(F.col("v").alias("s"), F.col("w").alias("v"), F.lit(0).cast("long").alias("met"), "needed")
     passed = ready.groupBy("s").agg(F.lit(0).cast("long").alias("passed"))
-    found = None
+    found = []
     while True:
-        moved = materialise(ready.join(step, "v", "left").select("s", "v", "w"), "bubble-moves")
+        moved = materialise(ready.join(step, "v", "left").select("s", "v", "w", "needed"), "bubble-moves")
         # Of each entrance: what the front has passed, and whether it ran into an end or a circle.
         trail = moved.groupBy("s").agg(F.count_distinct("v").alias("now"), F.bool_or(F.col("w").isNull() | (F.col("w") == F.col("s"))).alias("lost"))
-        seen = moved.where("w is not null").groupBy("s", F.col("w").alias("v")).agg(F.count(F.lit(1)).alias("met"))
-        seen = seen.unionByName(waiting).groupBy("s", "v").agg(F.sum("met").alias("met"))
-        seen = materialise(seen.join(into.withColumnRenamed("w", "v"), "v"), "bubble-seen")
+        seen = moved.where("w is not null").groupBy("s", F.col("w").alias("v")).agg(F.count(F.lit(1)).alias("met"), F.max("needed").alias("needed"))
+        seen = materialise(seen.unionByName(waiting).groupBy("s", "v").agg(F.sum("met").alias("met"), F.max("needed").alias("needed")), "bubble-seen")
         fronts = seen.groupBy("s").agg(F.count_if(F.col("met") == F.col("needed")).alias("open"), F.count(F.lit(1)).alias("all"), F.max(F.when(F.col("met") == F.col("needed"), F.col("v"))).alias("t"))
         state = trail.join(passed, "s").join(fronts, "s").select("s", (F.col("passed") + F.col("now")).alias("passed"), "lost", "open", "all", "t")
         state = materialise(state.where("not lost and open > 0").where(F.col("passed") <= most), "bubble-state")
-        # The exit must not lead back to the entrance.
-        ended = state.where("open = 1 and all = 1").join(step.select(F.col("v").alias("t"), F.col("w").alias("s")), ["t", "s"], "left_anti")
-        ended = materialise(ended.select(F.col("s").alias("entrance"), F.col("t").alias("exit"), (F.col("passed") - 1).alias("n")), "bubbles")
-        found = ended if found is None else materialise(found.unionByName(ended), "bubbles", found)
+        ended = state.where("open = 1 and all = 1").select(F.col("s").alias("entrance"), F.col("t").alias("exit"), (F.col("passed") - 1).alias("n"))
+        found = _compact([*found, materialise(ended, "bubbles")])
         going = state.where("all > 1")
         if going.isEmpty():
+            # The exit must not lead back to the entrance.
+            closed = step.select(F.col("v").alias("exit"), F.col("w").alias("entrance"))
+            told = materialise(_union(found).join(closed, ["exit", "entrance"], "left_anti").select("entrance", "exit", "n"), "bubbles")
             discard(step)
-            return found
+            return told
         live = seen.join(going.select("s"), "s", "left_semi")
         ready = materialise(live.where("met = needed").select("s", "v"), "bubble-front")
-        waiting = materialise(live.where("met < needed").select("s", "v", "met"), "bubble-waiting")
-        passed = materialise(going.select("s", "passed"), "bubble-passed")
+        waiting, passed = live.where("met < needed").select("s", "v", "met", "needed"), going.select("s", "passed")
