@@ -87,16 +87,21 @@ def order_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select(F.col("o_orderkey").alias("seg_id"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("name"), seq.alias("seq"), F.length(seq).alias("len"))
 
 
-def order_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arcs from each order to its customer's next, some to the one after that, some of a customer's last to the first;
-    some chains are broken. With complements."""
+    some chains are broken. Of complements one is given, and arcs that are alike stay."""
     own = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     key, v = F.col("o_orderkey"), F.col("o_orderkey") * 2 + (F.col("o_orderkey") % 5 == 0).cast("long")
     rows = table(spark, sf_dir, "orders").select(key, "o_custkey", v.alias("v"), F.lead(v, 1).over(own).alias("w1"), F.lead(v, 2).over(own).alias("w2"), F.first(v).over(own).alias("w0"))
     arc = lambda w, k: F.when(k & F.col(w).isNotNull(), F.struct("v", F.col(w).alias("w"), (key % 4).cast("int").alias("ov"), (key % 4).cast("int").alias("ow")))
     some = F.filter(F.array(arc("w1", key % 13 != 0), arc("w2", key % 11 == 0), arc("w0", F.col("w1").isNull() & (F.col("o_custkey") % 7 == 0))), lambda x: x.isNotNull())
-    arcs = rows.select(F.explode(some).alias("a")).select("a.v", "a.w", "a.ov", "a.ow").distinct()
-    return arcs.unionByName(arcs.select(F.col("w").bitwiseXOR(1).alias("v"), F.col("v").bitwiseXOR(1).alias("w"), F.col("ow").alias("ov"), F.col("ov").alias("ow"))).distinct()
+    return rows.select(F.explode(some).alias("a")).select("a.v", "a.w", "a.ov", "a.ow")
+
+
+def order_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same arcs, each once, with complements."""
+    other = F.struct(F.col("w").bitwiseXOR(1).alias("v"), F.col("v").bitwiseXOR(1).alias("w"), F.col("ow").alias("ov"), F.col("ov").alias("ow"))
+    return order_links(spark, sf_dir).select(F.inline(F.array(F.struct("v", "w", "ov", "ow"), other))).distinct()
 
 
 ORDERS_SQL = f"""oseg AS (SELECT o_orderkey AS seg_id, 'o' || o_orderkey AS name, translate(CAST(o_orderkey AS VARCHAR), '0123456789', 'ACGTACGTAC') || {bases_sql("o_orderpriority")} AS seq FROM orders),

@@ -161,6 +161,24 @@ def test_tips(spark, seed):
     assert {r.v for r in again.collect()} == kept
 
 
+def test_rounds_of_tips_write_what_they_meet(spark, monkeypatch):
+    """A tree whose leaves go round by round, and ways that a fork stops until its branch is gone, beside many rings."""
+    rows, plain = [], assembly.materialise
+    monkeypatch.setattr(assembly, "materialise", lambda df, *a: (found := plain(df, *a), rows.append(found.count()))[0])
+    arcs = {(2 * i, 2 * ((i + 1) // 2 - 1)) for i in range(1, 31)}
+    for at in range(200, 240, 8):  # a way to a fork, whose one branch is a tip from the other strand; it ends in a ring
+        arcs |= {(2 * at, 2 * at + 2), (2 * at + 2, 2 * at + 4), (2 * at + 2, 2 * at + 8), (2 * at + 4, 2000)}
+    arcs |= {(2 * i, 2 * (i - 4 if i % 5 == 4 else i + 1)) for i in range(1_000, 3_000)}
+    arcs = sorted(arcs | {(w ^ 1, v ^ 1) for v, w in arcs})
+    sizes = {2 * i + k: 5 for i in [*range(31), *range(200, 240), *range(1_000, 3_000)] for k in (0, 1)}
+    vertices = spark.createDataFrame(list(sizes.items()), "v long, len int")
+    expected = plain_tips(sizes, [(*a, 0, 0) for a in arcs], 3, 20)
+    assert len(expected) == 4_000
+    once = [(v, w) for v, w in arcs if (v, w) <= (w ^ 1, v ^ 1)] * 2  # complements need not be given
+    assert {r.v for r in assembly.drop_tips(spark.createDataFrame(once, "v long, w long"), vertices, 3, 20).collect()} == expected
+    assert sum(rows) < 2 * len(sizes)
+
+
 def test_the_query_of_tips(spark, sf):
     arcs = [tuple(r) for r in derived.order_arcs(spark, sf).collect()]
     sizes = {2 * r.seg_id + k: r.len for r in derived.order_segments(spark, sf).collect() for k in (0, 1)}
