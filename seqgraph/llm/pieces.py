@@ -2,9 +2,10 @@
 
 Text is cut into marked words: each begins at a run of spaces, which become word
 marks, or at a line feed. The best segmentation of a word is the one with the
-highest sum of piece scores (Viterbi). A batch's distinct words are sorted, so
-that neighbours share prefixes, and walked as a trie depth first: the forward
-scores of a prefix are computed once and reused for all words below it.
+highest sum of piece scores (Viterbi). A batch's distinct words go through the
+trie of pieces together, as arrays: from each position all words that reach so far
+take a step at once. Few words, very long ones and such as need bytes go one by one,
+sorted, so that the forward scores of a shared prefix are computed once.
 
 The vocabulary file holds merge ranks, not probabilities. Those are estimated: from
 scores of -log(r + 2) for a piece of rank r (Zipf's law), ROUNDS of expectation and
@@ -29,6 +30,7 @@ table gives an empty result; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -54,6 +56,8 @@ TINY = 1e-200
 REMEMBERED = 300_000
 #: Texts whose words are sorted together.
 TOGETHER = 500
+#: Characters of words that go through the trie together, filled up to the longest; and how many words are worth that.
+CELLS, ENOUGH = 200_000, 32
 
 #: No piece has a mark behind another character, or a line feed inside, so words begin with a run of marks or a line feed.
 _WORD = re.compile(f"(?:{MARK}+|\n)[^{MARK}\n]*")
@@ -61,13 +65,79 @@ _WORD = re.compile(f"(?:{MARK}+|\n)[^{MARK}\n]*")
 _ASIDE = "\ue000"
 
 
+def _n_bytes(codes: np.ndarray) -> np.ndarray:
+    """How many bytes of UTF-8 each character takes."""
+    return 1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800) + (codes >= 0x10000)
+
+
+class Trie:
+    """The pieces' beginnings as a double array: from node x character kind k leads to base[x] + k if that one's check is x."""
+
+    def __init__(self, pieces: dict[str, tuple[int, float]], beginnings: set[str]):
+        letters = sorted({p[-1] for p in beginnings})
+        #: By code point; 0 stands in no piece.
+        self.kind = np.zeros(0x110000, np.int32)
+        self.kind[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        number = {c: k for k, c in enumerate(letters, 1)}
+        below: dict[str, list[int]] = {}
+        for p in beginnings:
+            below.setdefault(p[:-1], []).append(number[p[-1]])
+        used, free, base = bytearray(1), 1, {}
+        for p in sorted(below, key=lambda p: (-len(below[p]), p)):
+            kinds = sorted(below[p])
+            while free < len(used) and used[free]:
+                free += 1
+            at = max(free, kinds[0])
+            for at in range(at, min(at + 50, len(used))):
+                if not any(used[i] for k in kinds if (i := at - kinds[0] + k) < len(used)):
+                    break
+            else:
+                at = max(len(used), kinds[0])
+            base[p] = at - kinds[0]
+            used.extend(bytes(max(0, base[p] + kinds[-1] + 1 - len(used))))
+            for k in kinds:
+                used[base[p] + k] = 1
+        slot = {p: base[p[:-1]] + number[p[-1]] for p in beginnings} | {"": 0}
+        self.base, self.check, self.piece = (np.full(len(used) + len(letters) + 1, x, np.int32) for x in (0, -1, -1))
+        for p, x in slot.items():
+            self.base[x] = base.get(p, 0)
+            if p:
+                self.check[x] = slot[p[:-1]]
+        for p, (i, _) in pieces.items():
+            self.piece[slot[p]] = i
+
+    def walk(self, codes: np.ndarray, reach: list[int]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """codes: a row for each position, a column for each word, words by falling length; reach: how many words are longer
+        than each position. Start, end, words and ids of all pieces that stand there, by start and end."""
+        kinds = self.kind[codes]
+        for start in range(len(reach)):
+            words, nodes = np.arange(reach[start]), np.zeros(reach[start], np.int32)
+            for at in range(start, len(reach)):
+                if at > start:
+                    most = np.searchsorted(words, reach[at])
+                    words, nodes = words[:most], nodes[:most]
+                ahead = self.base[nodes] + kinds[at, words]
+                there = self.check[ahead] == nodes
+                words, nodes = words[there], ahead[there]
+                if not len(words):
+                    break
+                ids = self.piece[nodes]
+                there = ids >= 0
+                if there.any():
+                    yield start, at + 1, words[there], ids[there]
+
+
 class Codec:
-    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], byte_cost: float = BYTE_COST):
-        """pieces: to id and score; byte_ids: ids of the 256 bytes."""
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], byte_cost: float = BYTE_COST, trie: Trie | None = None):
+        """pieces: to id and score; byte_ids: ids of the 256 bytes; trie: of the same pieces."""
         self.pieces, self.byte_ids, self.byte_cost = pieces, byte_ids, byte_cost
         self.spelling = {i: p.replace(MARK, " ").encode() for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
         self.longest = max(map(len, pieces), default=1)
         self.beginnings = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
+        self.trie = trie or Trie(pieces, self.beginnings)
+        self.scores = np.zeros(max((i for i, _ in pieces.values()), default=-1) + 1)
+        for i, x in pieces.values():
+            self.scores[i] = x
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -87,7 +157,7 @@ class Codec:
     def scored(self, scores: np.ndarray) -> Codec:
         """The same pieces with scores by id."""
         own = {p: (i, float(scores[i])) for p, (i, _) in self.pieces.items()}
-        return Codec(own, self.byte_ids, 1.0 - min((s for _, s in own.values()), default=0.0))
+        return Codec(own, self.byte_ids, 1.0 - min((s for _, s in own.values()), default=0.0), self.trie)
 
     def expected(self, word: str) -> dict[int, float]:
         """How often each piece is expected in a word, over all its segmentations by their probabilities."""
@@ -129,6 +199,68 @@ class Codec:
                 out[i] = out.get(i, 0.0) + math.exp(front[s] + x + back[e] - front[n])
         return out
 
+    @staticmethod
+    def _blocks(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]]:
+        """Where the words of a block stand, their lengths, which fall, their codes and reach as walk() takes them. What is left
+        is too little for arrays: a block without codes."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-sizes, kind="stable")
+        at = 0
+        while at < len(order):
+            size = int(sizes[order[at]])
+            own = order[at : at + max(1, CELLS // max(1, size))]
+            own = own[sizes[own] >= size // 2 - 8]  # a very long word takes no short ones along
+            at += len(own)
+            if len(own) < ENOUGH or not size:
+                yield own, sizes[own], np.zeros((0, 0), np.uint32), []
+                continue
+            n = sizes[own]
+            codes = np.zeros((len(own), size), np.uint32)
+            codes[np.arange(size) < n[:, None]] = np.frombuffer("".join([words[i] for i in own.tolist()]).encode("utf-32-le"), np.uint32)
+            yield own, n, np.ascontiguousarray(codes.T), np.searchsorted(-n, -np.arange(size), "left").tolist()
+
+    def total(self, words: list[str], counts: list[int]) -> np.ndarray:
+        """How often each piece is expected in all words, by id: expected() of each word times its count."""
+        out = np.zeros(len(self.scores))
+        likely = np.exp(self.scores)
+        for own, n, codes, reach in self._blocks(words):
+            rest = own
+            if len(reach):
+                front, back = np.zeros((len(reach) + 1, len(own))), np.zeros((len(reach) + 1, len(own)))
+                front[0] = 1
+                back[n, np.arange(len(own))] = 1
+                alone = np.exp(-self.byte_cost * _n_bytes(codes))
+                edges, done = [], 0
+                for edge in self.trie.walk(codes, reach):
+                    start, end, at, ids = edge
+                    for k in range(done, start + 1):  # bytes of the positions before, whose sums are whole now
+                        if k:
+                            front[k, : reach[k - 1]] += front[k - 1, : reach[k - 1]] * alone[k - 1, : reach[k - 1]]
+                    done = start + 1
+                    edges.append((start, end, at, ids, p := likely[ids]))
+                    front[end, at] += front[start, at] * p
+                for k in range(max(done, 1), len(reach) + 1):
+                    front[k, : reach[k - 1]] += front[k - 1, : reach[k - 1]] * alone[k - 1, : reach[k - 1]]
+                whole = front[n, np.arange(len(own))]
+                rest = own[small := whole < TINY]
+                times = np.where(small, 0.0, np.asarray(counts, float)[own] / np.where(small, 1.0, whole))
+                i = len(edges)
+                for start in range(len(reach) - 1, -1, -1):
+                    back[start, : reach[start]] += alone[start, : reach[start]] * back[start + 1, : reach[start]]
+                    while i and edges[i - 1][0] == start:
+                        i -= 1
+                        _, end, at, ids, p = edges[i]
+                        x = p * back[end, at]
+                        back[start, at] += x
+                        edges[i] = ids, front[start, at] * x * times[at]
+                if edges:
+                    ids, x = (np.concatenate(c) for c in zip(*edges, strict=True))
+                    out += np.bincount(ids, x, len(out))
+            for k in rest.tolist():
+                for i, x in self.expected(words[k]).items():
+                    out[i] += counts[k] * x
+        return out
+
     def mark(self, text: str) -> list[str]:
         """Marked words; a literal mark, and what stands for it, are put aside by a private character each."""
         safe = text.replace(_ASIDE, _ASIDE + "0").replace(MARK, _ASIDE + "1").replace(" ", MARK)
@@ -138,15 +270,65 @@ class Codec:
         return [self.byte_ids[b] for b in part.encode()]
 
     def learn(self, words: set[str]) -> None:
-        """Viterbi over the sorted words, sharing the forward scores of common prefixes."""
+        """Viterbi: remembers the words' ids."""
         if len(self.known) + len(words) > REMEMBERED:
             self.known.clear()
+        given = sorted(words)
+        for own, n, codes, reach in self._blocks(given):
+            if not len(reach):
+                self._learn_sorted(sorted(given[k] for k in own.tolist()))
+                continue
+            best, last, ids = np.full((len(reach) + 1, len(own)), -np.inf), np.zeros((len(reach) + 1, len(own)), np.int32), np.full((len(reach) + 1, len(own)), -1, np.int32)
+            best[0] = 0
+            alone, done = self.byte_cost * _n_bytes(codes), 0
+
+            def spell(k: int) -> None:
+                """The character before k as bytes; of equal scores this one is taken."""
+                r = reach[k - 1]
+                score = best[k - 1, :r] - alone[k - 1, :r]
+                better = score >= best[k, :r]
+                best[k, :r][better], last[k, :r][better], ids[k, :r][better] = score[better], k - 1, -1
+
+            for start, end, at, found in self.trie.walk(codes, reach):
+                # The byte of the character at start comes before the pieces from there, when all of start is known.
+                for k in range(done, start + 1):
+                    spell(k + 1)
+                done = start + 1
+                score = best[start, at] + self.scores[found]
+                better = score > best[end, at]
+                at = at[better]
+                best[end, at], last[end, at], ids[end, at] = score[better], start, found[better]
+            for k in range(done, len(reach)):
+                spell(k + 1)
+            # Back from all words' ends at once.
+            left, at, column = np.arange(len(own)), n.copy(), []
+            plain = np.ones(len(own), bool)
+            while len(left):
+                column.append((left, found := ids[at, left]))
+                plain[left[found < 0]] = False
+                at = last[at, left]
+                left, at = left[at > 0], at[at > 0]
+            many = np.zeros(len(own), np.int64)
+            for at, _ in column:
+                many[at] += 1
+            ends = np.cumsum(many)
+            flat = np.zeros(int(ends[-1]), "<u4")
+            for k, (at, found) in enumerate(column, 1):
+                flat[ends[at] - k] = found.astype(np.uint32)
+            raw, cuts = flat.tobytes(), (4 * ends).tolist()
+            for k, a, b, whole in zip(own.tolist(), [0, *cuts], cuts, plain.tolist(), strict=False):
+                if whole:
+                    self.known[given[k]] = raw[a:b]
+            self._learn_sorted(sorted(given[k] for k in own[~plain].tolist()))
+
+    def _learn_sorted(self, words: list[str]) -> None:
+        """One by one, sharing the forward scores of common prefixes."""
         pieces, beginnings, longest, known = self.pieces, self.beginnings, self.longest, self.known
         before = ""
         best: list[float] = [0.0]  # best score of each prefix of the present word
         back: list[int] = [0]  # where its last piece starts; -1 - start if it goes as bytes
         ready: list[list[int]] = [[]]  # starts from which a piece may still go on beyond each prefix
-        for word in sorted(words):
+        for word in words:
             shared = 0
             top = min(len(before), len(word))
             while shared < top and before[shared] == word[shared]:
@@ -205,8 +387,21 @@ class Codec:
             ids[w] = self._aside(w)
         return [b"".join(map(ids.__getitem__, some)) for some in marked]
 
+    @functools.cached_property
+    def _spelled(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All spellings one after another, and by id where one starts and how long it is; 0 for an id without any."""
+        sizes = np.zeros(max(self.spelling) + 1, np.int64)
+        for i, x in self.spelling.items():
+            sizes[i] = len(x)
+        return np.frombuffer(b"".join(self.spelling[i] for i in sorted(self.spelling)), np.uint8), np.cumsum(sizes) - sizes, sizes
+
     def decode(self, ids: bytes) -> str:
-        raw = b"".join(map(self.spelling.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        spelled, starts, sizes = self._spelled
+        own = np.frombuffer(ids, "<u4")
+        n = sizes[own]
+        if not n.all():
+            raise KeyError(f"no piece: {own[n == 0][0]}")
+        raw = spelled[np.arange(n.sum()) + np.repeat(starts[own] - (np.cumsum(n) - n), n)].tobytes().decode("utf-8", "replace")
         # The mark before the first word stands for no space, unless the text begins with a line feed.
         return raw[1:] if raw[:1] == " " else raw
 
@@ -261,12 +456,12 @@ def fit(docs: DataFrame, model: str = MODEL) -> np.ndarray | None:
         now = scores.astype(np.float32)
 
         def expect(batches: Iterator[pa.RecordBatch], now: np.ndarray = now) -> Iterator[pa.RecordBatch]:
-            own, total = codec(model).scored(now), {}
-            for batch in slices(batches, TOGETHER):
-                for word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for i, x in own.expected(word).items():
-                        total[i] = total.get(i, 0.0) + n * x
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(list(total.values()), pa.float64())], names=["id", "x"])
+            own = codec(model).scored(now)
+            total = np.zeros(len(own.scores))
+            for batch in batches:
+                total += own.total(*(c.to_pylist() for c in batch.columns))
+            needed = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(needed, pa.int32()), pa.array(total[needed], pa.float64())], names=["id", "x"])
 
         # Whole millionths, so that sums are alike in any order.
         told = words.mapInArrow(expect, "id int, x double").groupBy("id").agg(F.sum(F.round(F.col("x") * 1e6).cast("long")).alias("x")).collect()

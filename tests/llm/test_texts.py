@@ -417,6 +417,37 @@ def test_expected_pieces_over_all_segmentations():
         assert own.expected(word) == pytest.approx({i: x for i, x in plain.items() if x})
 
 
+def test_words_together_as_one_by_one(monkeypatch):
+    """Same ids, and same expected pieces, of words that go through the trie together; few go one by one."""
+    rng = random.Random(4)
+    plain = pieces.Codec.load()
+    tied = pieces.Codec({"a": (0, -4.0), "b": (1, -2.0), "ab": (2, -6.0), "ba": (3, -4.0), "aba": (4, -8.0), "bab": (5, -6.0)}, list(range(10, 266)), 4.0)
+    for own, letters, n in ((plain, "▁aeinrst.éж", 2_000), (plain, "▁ae日漢😀", 300), (tied, "ab", 300), (tied, "abé", 300)):
+        words = sorted({"".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(n)} | {"a" * 300, letters * 3, "é" * 200})
+        counts = [rng.randint(1, 9) for _ in words]
+        alone, each = [], own.expected
+        wanted = np.zeros(max(i for i, _ in own.pieces.values()) + 1)
+        for word, k in zip(words, counts, strict=True):
+            for i, x in each(word).items():
+                wanted[i] += k * x
+        own.known.clear()
+        own._learn_sorted(words)
+        ids = dict(own.known)
+        for cells in (pieces.CELLS, 600):
+            own.known.clear()
+            with monkeypatch.context() as m:
+                m.setattr(pieces, "CELLS", cells)
+                m.setattr(own, "expected", lambda word, each=each, alone=alone: alone.append(word) or each(word))
+                assert own.total(words, counts) == pytest.approx(wanted, rel=1e-9)
+                own.learn(set(words))
+            assert own.known == ids
+            if cells != 600:
+                assert len(alone) <= 35
+    assert tied.total([], []).tolist() == [0] * 6
+    with pytest.raises(KeyError):
+        plain.decode(np.array([1], "<u4").tobytes())
+
+
 def test_estimated_scores(spark, sf):
     """Pieces that texts need get dearer or cheaper with their use; texts cost fewer ids, and decode as before."""
     given = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
