@@ -90,3 +90,37 @@ def test_the_query(spark, sf):
     arcs = [(r.v, r.w) for r in derived.order_arcs(spark, sf).collect()]
     found = {r.entrance: (r.exit, r.n) for r in QUERIES["superbubbles"](spark, sf).collect()}
     assert found == by_definition(arcs) and len(found) > 100
+
+
+def test_a_bubble_of_many_ways(spark):
+    arcs = [a for v in range(1, 1_201) for a in ((0, v), (v, 1_201))]
+    assert [tuple(r) for r in bubbles.superbubbles(spark.createDataFrame(arcs, "v long, w long")).collect()] == [(0, 1_201, 1_200)]
+
+
+def test_a_bubble_of_long_ways(spark, monkeypatch):
+    """One way is 1,500 vertices, the other three bubbles within each other; it takes a few rounds nevertheless."""
+    monkeypatch.setattr(bubbles, "ROUNDS", 2)
+    written, old = [], bubbles.materialise
+    monkeypatch.setattr(bubbles, "materialise", lambda df, name, *rest: written.append(name) or old(df, name, *rest))
+    way = [0, *range(1_000, 2_500), 1]
+    arcs = list(zip(way, way[1:], strict=False)) + [(0, 10), (10, 11), (10, 12), (12, 13), (12, 14), (14, 15), (14, 16), (15, 17), (16, 17), (17, 18), (13, 18), (18, 19), (11, 19), (19, 1)]
+    found = {r.entrance: (r.exit, r.n) for r in bubbles.superbubbles(spark.createDataFrame(arcs, "v long, w long")).collect()}
+    assert found == {14: (17, 2), 12: (18, 5), 10: (19, 8), 0: (1, 1_510)} and len(written) < 60
+
+
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_contracted_graphs_have_the_same_bubbles(spark, monkeypatch, rounds):
+    """Random graphs beside each other, whose bubbles need more rounds than are tried before each contraction."""
+    monkeypatch.setattr(bubbles, "ROUNDS", rounds)
+    arcs, expected = [], {}
+    for seed in range(60):
+        rng, at = random.Random(seed), 1_000 * seed
+        own = random_arcs(seed)
+        if seed % 3 == 1:  # few vertices and any arcs, circles and arcs to themselves too
+            own = sorted({(rng.randrange(7), rng.randrange(7)) for _ in range(rng.randint(5, 12))})
+        elif seed % 3 == 2:  # arcs that go forward, most of them not far
+            own = sorted({(v, min(14, v + rng.choice([1, 1, 2, 3]))) for v in rng.choices(range(14), k=26)})
+        arcs += [(at + v, at + w) for v, w in own]
+        expected |= {at + s: (at + t, n) for s, (t, n) in by_definition(own).items()}
+    found = [(r.entrance, (r.exit, r.n)) for r in bubbles.superbubbles(spark.createDataFrame(arcs, "v long, w long")).collect()]
+    assert sorted(found) == sorted(expected.items()) and len(found) > 50
