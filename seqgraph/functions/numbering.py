@@ -43,12 +43,16 @@ def running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFr
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with name: 0, 1, 2... in order. Ranges are sorted and counted where they are written, so rows are shuffled once."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed(df.repartitionByRange(n, *order).sortWithinPartitions(*order), name)
+
+
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """df with name: 0, 1, 2... in the order of its partitions, and of the rows in each. Rows are made once and not shuffled."""
     # Of each row its range and its place there, in one number.
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
-    ranged = materialise(ranged, "ranges")
+    ranged = materialise(df.withColumn("__place", F.monotonically_increasing_id()), "ranges")
     counts = ranged.groupBy(F.shiftright("__place", PLACE_BITS).alias("__range")).agg(F.count(F.lit(1)).alias("__own"))
     before = F.sum("__own").over(W.orderBy("__range").rowsBetween(W.unboundedPreceding, -1))
-    # A row for each range, no more than n.
+    # A row for each range.
     carried = counts.select("__range", F.coalesce(before, F.lit(0)).cast("long").alias("__before"))
     met = ranged.join(F.broadcast(carried), F.shiftright("__place", PLACE_BITS) == F.col("__range"))
     return met.withColumn(name, F.col("__before") + F.col("__place").bitwiseAND((1 << PLACE_BITS) - 1)).select(*df.columns, name)

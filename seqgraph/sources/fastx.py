@@ -23,7 +23,9 @@ of reading from the beginning for all files whose records are not longer, and fo
 longer ones too unless qualities span lines of which some look like headers.
 
 Options: path (a file, a folder, or a pattern; commas separate several), bytes (of
-a part) and lookback. Files named .gz are read by one task each.
+a part) and lookback. Where there are many more parts than TASKS, a task reads several
+that follow one another, up to 64 MB of a file, and looks back once. Files named .gz
+are read by one task each.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 BYTES = 64 << 20
+#: Tasks that are enough; where there are more parts, neighbours go together up to BYTES.
+TASKS = 64
 LOOK_BACK = 1 << 20
 #: Bytes that are read at once, and records of a batch, with some bound on their characters.
 BLOCK = 1 << 20
@@ -225,6 +229,18 @@ def _parts(files: list[tuple[str, int, int]], size: int) -> list[Part]:
     return out
 
 
+def _dealt(parts: list[Part]) -> list[Part]:
+    """The same stretches of files in fewer parts: a task for each small one costs more than what it reads."""
+    most, out = min(BYTES, sum(p.end - p.begin for p in parts if p.end is not None) // TASKS), []
+    for part in parts:
+        last = out[-1] if out else None
+        if last and part.end is not None and last.path == part.path and last.end == part.begin and part.end - last.begin <= most:
+            out[-1] = Part(part.path, last.begin, part.end)
+        else:
+            out.append(part)
+    return out
+
+
 def _gunzipped(stream) -> Callable[[int, int], bytes]:
     """Reads one block after the other of a gzip file, of one or several members."""
     state, rest = zlib.decompressobj(31), b""
@@ -291,7 +307,7 @@ class _Reading:
 
 class FastxReader(_Reading, DataSourceReader):
     def partitions(self) -> list[Part]:
-        return _parts(_files(self.path), self.bytes) or [Part("", 0, 0)]
+        return _dealt(_parts(_files(self.path), self.bytes)) or [Part("", 0, 0)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         return super().read(part) if part.path else iter(())
@@ -311,7 +327,8 @@ class FastxStreamReader(_Reading, DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Part]:
         after = lambda offset, p, t: t > offset["time"] or t == offset["time"] and p not in offset["paths"]
-        return _parts([f for f in _files(self.path) if after(start, f[0], f[2]) and not after(end, f[0], f[2])], self.bytes) or [Part("", 0, 0)]
+        files = [f for f in _files(self.path) if after(start, f[0], f[2]) and not after(end, f[0], f[2])]
+        return _dealt(_parts(files, self.bytes)) or [Part("", 0, 0)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         return super().read(part) if part.path else iter(())

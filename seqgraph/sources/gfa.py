@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numbering import numbered, scan
+from ..functions.numbering import numbered, placed, scan
 from ..functions.sequences import field_int, overlap, tag_int, tag_string, tags
 from . import fastx
 
@@ -102,4 +102,5 @@ def read_reads(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """
     fastx.register(spark)
     rows = spark.read.format("fastx").options(**options).load(path)
-    return numbered(rows.withColumnRenamed("file", "file_path"), ["file_path", "record"], "read_idx")
+    # Its partitions are stretches of files in order of paths and places, with their records in order.
+    return placed(rows.withColumnRenamed("file", "file_path"), "read_idx")

@@ -144,6 +144,23 @@ def test_the_format(spark, tmp_path):
     assert [r.read_idx for r in sorted(numbers, key=lambda r: (r.file_path, r.record))] == list(range(len(numbers)))
 
 
+def test_many_small_parts_are_read_by_few_tasks(spark, tmp_path):
+    """Neighbours go together, all of them, each file's apart; numbers follow paths and places."""
+    want = []
+    for name, n in (("b", 900), ("a", 1_500), ("c", 1), ("d", 0)):
+        (tmp_path / name).write_bytes(wrapped(random.Random(n), n).encode())
+    for name in "abc":
+        want += [(name, *r[1:]) for r in by_bytes((tmp_path / name).read_bytes())]
+    parts = fastx._parts(fastx._files(f"file://{tmp_path}"), 40)
+    dealt = fastx._dealt(parts)
+    assert len(parts) > 1_000 and fastx.TASKS <= len(dealt) < 2 * fastx.TASKS
+    assert [(p.path, at) for p in dealt for at in range(p.begin, p.end)] == [(p.path, at) for p in parts for at in range(p.begin, p.end)]
+    found = gfa.read_reads(spark, f"file://{tmp_path}", bytes="40", lookback="1000").collect()
+    assert sorted((r.read_idx, r.file_path[-1], r.name, r.comment, r.seq, r.qual, r.valid) for r in found) == [(i, *w) for i, w in enumerate(want)]
+    fastx.register(spark)
+    assert spark.read.format("fastx").option("bytes", "40").load(f"file://{tmp_path}").rdd.getNumPartitions() == len(dealt)
+
+
 def test_the_stream(spark, tmp_path):
     inbox, out = tmp_path / "in", f"file://{tmp_path}/out"
     inbox.mkdir()
