@@ -53,6 +53,21 @@ def test_pairs_of_one_region_are_dealt_evenly(spark):
     assert found.count() == found.distinct().count() == 120_000 and largest_share(found) < 0.5
 
 
+@pytest.mark.parametrize("columns", ["hap_idx int", "hap_idx int, hap string"])
+def test_reads_meet_blocks_of_haplotypes(spark, columns):
+    """A block is one row in the join and told apart behind it; nothing is lost that is null or comes twice."""
+    reads = spark.createDataFrame([("x", i, None if i % 3 else "r") for i in range(30)] * 2 + [(None, 1, "r")], "region string, read_idx int, read string")
+    haps = spark.createDataFrame([("x", i if i % 4 else None, "h") for i in range(20)] * 2 + [(None, 1, "h")], "region string, hap_idx int, hap string").select(*["region", "hap_idx", "hap"][: 2 + columns.count(",")])
+    found = likelihood.pairs(reads, haps, 7)
+    plain = reads.join(haps, "region")
+    assert found.columns == plain.columns and found.count() == 60 * 40
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 <= plan.find("(__block") < plan.find("Join Inner")
+    # Rows are dealt before they are copied, and again to meet.
+    assert plan.count("RepartitionByExpression") == 4
+
+
 def test_regions_of_one_place_are_dealt_evenly(spark):
     own = spark.range(400).select(F.col("id").alias("seg_id"), F.lit("a").alias("sn"), F.lit(3).alias("so"), F.lit(4).alias("len"))
     asked = spark.range(300).select(F.col("id").alias("region"), F.lit("a").alias("sn"), F.lit(0).cast("long").alias("start"), F.lit(5).cast("long").alias("end"))
